@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from iqlake.llm.common import table
 
@@ -15,6 +16,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the windows of all conversations and one whose texts are control strings."""
+    from iqlake.llm.chat import chat_windows, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    rows = rows.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    return read_back(chat_windows(rows, tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
 def op3_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iqlake.llm.sharding import shard
 
@@ -27,6 +38,26 @@ def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
+def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed sequences, their binary columns as digests."""
+    from iqlake.llm.token_output import packed_matrix
+
+    rows = packed_matrix(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return rows.select("block", "row", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"), "cu_seqlens", "doc_ids", "pieces", "starts")
+
+
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iqlake.llm.exact_dedup import exact_dedup
 
