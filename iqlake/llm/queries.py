@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.substring import drop_repeats
+
+    rows = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the windows of all conversations and one whose texts are control strings."""
     from iqlake.llm.chat import chat_windows, read_back
