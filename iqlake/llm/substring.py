@@ -49,7 +49,7 @@ class Grammar:
             pair = np.zeros(len(names), bool)
             if len(names) > 1:
                 pair[:-1] = (side[:-1] == 0) & (side[1:] == 1) & ~first[starts[1:]]
-            right = np.concatenate([[False], pair[:-1]])
+            right = np.concatenate([np.zeros(min(1, len(pair)), bool), pair[:-1]])
             merged = names.copy()
             left = np.flatnonzero(pair)
             merged[left] = mix(names[left] * _LEFT + mix(names[left + 1] * _RIGHT + U(r + 1)))
