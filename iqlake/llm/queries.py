@@ -45,6 +45,12 @@ def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed sequences, their binary columns as digests."""
     from iqlake.llm.token_output import packed_matrix
