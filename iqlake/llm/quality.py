@@ -24,6 +24,8 @@ _TABLE = {name: np.isin(np.arange(256), list(chars.encode())) for name, chars in
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: Documents stay at this posterior probability of the good class or more.
 KEEP_AT = 0.5
+#: Pseudo-documents of each outcome.
+PRIOR = 0.1
 
 
 def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -109,18 +111,19 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance:
     """Posterior probability of the good class for each pattern.
 
     Two classes, rules independent within a class, an outcome (good, bad, abstain) for each rule. The start is the vote:
-    documents without a bad vote are likely good. One pseudo-document of each outcome keeps probabilities from 0.
+    documents without a bad vote are almost surely good, others almost surely not, so that a small bad class is not swamped
+    by the good one. A tenth of a pseudo-document of each outcome keeps probabilities from 0.
     """
     if not len(patterns):
         return np.zeros(0)
     digits = (patterns[:, None] // 3 ** np.arange(len(RULES))[None, :]) % 3
     hot = np.stack([digits == v for v in range(3)], 2).astype(float)
     w = counts.astype(float)
-    good = np.where((digits == 2).any(1), 0.1, 0.9)
+    good = np.where((digits == 2).any(1), 0.001, 0.999)
     before = -np.inf
     for _ in range(rounds):
-        size = np.array([(w * good).sum(), (w * (1 - good)).sum()]) + 1
-        p = np.stack([np.einsum("p,prv->rv", w * q, hot) + 1 for q in (good, 1 - good)])
+        size = np.array([(w * good).sum(), (w * (1 - good)).sum()]) + PRIOR
+        p = np.stack([np.einsum("p,prv->rv", w * q, hot) + PRIOR for q in (good, 1 - good)])
         p /= p.sum(2, keepdims=True)
         like = np.einsum("prv,crv->pc", hot, np.log(p)) + np.log(size / size.sum())
         top = like.max(1, keepdims=True)

@@ -154,8 +154,8 @@ def test_em_is_the_formula():
     c = rng.integers(1, 100, len(p))
     good = quality.fit(p, c, rounds=4000, tolerance=0)
     digits = [[int(x) // 3**k % 3 for k in range(len(quality.RULES))] for x in p]
-    size = [1 + sum(c * good), 1 + sum(c * (1 - good))]
-    prob = [[[(1 + sum(n * q for n, q, d in zip(c, w, digits) if d[k] == v)) for v in range(3)] for k in range(len(quality.RULES))] for w in (good, 1 - good)]
+    size = [quality.PRIOR + sum(c * good), quality.PRIOR + sum(c * (1 - good))]
+    prob = [[[(quality.PRIOR + sum(n * q for n, q, d in zip(c, w, digits) if d[k] == v)) for v in range(3)] for k in range(len(quality.RULES))] for w in (good, 1 - good)]
     for i, d in enumerate(digits):
         like = [size[y] / sum(size) * np.prod([prob[y][k][v] / sum(prob[y][k]) for k, v in enumerate(d)]) for y in range(2)]
         assert abs(like[0] / sum(like) - good[i]) < 1e-3
