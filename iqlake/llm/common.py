@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +44,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._last)
+
+    def _last(self) -> None:
+        """What a lazy result still needed goes when the program ends."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:
+                self.drop()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -55,6 +64,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if not name:
+            atexit.unregister(self._last)
 
 
 def sha256_hex(text: Column) -> Column:
