@@ -17,7 +17,7 @@ import pyarrow as pa
 from iqlake.llm.textcore import Texts, slices
 
 #: Words kept by a worker; beyond it the memory starts anew, which costs time only.
-KEEP_WORDS = 600_000
+KEEP_WORDS = 2_000_000
 
 
 class WordEncoder:
@@ -28,43 +28,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, added = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = added.content
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.empty(0, np.uint64)  # ascending
+        self.lo, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(1 << 20, np.uint32)
         self.n_ids = 0
-        self.begin = [0]
 
     def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for k, e in zip(keys.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            got = e.ids
-            if self.n_ids + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(got), np.uint32)])
-            self.ids[self.n_ids : self.n_ids + len(got)] = got
-            self.n_ids += len(got)
-            self.known[k] = len(self.begin) - 1
-            self.begin.append(self.n_ids)
+        """Adds words that are not known; one text, a special token between words, is much cheaper than many texts."""
+        flat = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(w.decode("utf-8", "replace") for w in words)], add_special_tokens=False)[0].ids, np.uint32)
+        is_mark = flat == self.mark_id
+        cuts = np.concatenate([[-1], np.flatnonzero(is_mark), [len(flat)]])
+        if len(cuts) != len(words) + 1:
+            raise ValueError("a word holds a special token")
+        size = np.diff(cuts) - 1
+        got = flat[~is_mark]
+        if self.n_ids + len(got) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(got), np.uint32)])
+        self.ids[self.n_ids : self.n_ids + len(got)] = got
+        lo = self.n_ids + np.cumsum(size) - size
+        self.n_ids += len(got)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.lo, self.size = np.insert(self.keys, at, keys), np.insert(self.lo, at, lo), np.insert(self.size, at, size)
 
     def encode(self, parts: list, close: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``close``, and where each text begins (and the end)."""
-        if len(self.known) > KEEP_WORDS:
+        if len(self.keys) > KEEP_WORDS:
             self._clear()
+        raw = None
+        whole: list[int] = []
         t = Texts(parts)
+        if any(s in t.raw for s in self.special):
+            raw = parts
+            whole = [i for i in range(len(parts)) if any(s in t.raw[t.starts[i] : t.starts[i + 1]] for s in self.special)]
+            t = Texts([b"" if i in set(whole) else p for i, p in enumerate(parts)])
         t.words()
         keys, where, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
-        known = self.known
-        slot = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
+        slot = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             at = where[new]
             self._learn([t.raw[a:b] for a, b in zip(t.a[at].tolist(), t.b[at].tolist(), strict=True)], keys[new])
-            slot[new] = np.arange(len(self.begin) - 1 - len(new), len(self.begin) - 1)
-        begin = np.asarray(self.begin, np.int64)
-        lo, size = begin[slot], begin[slot + 1] - begin[slot]
-        word_lo, word_n = lo[back], size[back]
+            slot = np.searchsorted(self.keys, keys)
+        word_lo, word_n = self.lo[slot][back], self.size[slot][back]
         n_words = np.diff(t.at)
         if close is not None:
             # One more "word" after each document, taken from beyond the table.
@@ -75,11 +86,10 @@ class WordEncoder:
         total = np.concatenate([[0], np.cumsum(word_n)])
         flat = source[np.repeat(word_lo - total[:-1], word_n) + np.arange(total[-1])]
         starts = total[np.concatenate([[0], np.cumsum(n_words)])]
-        whole = [i for i in range(len(parts)) if any(s in t.raw[t.starts[i] : t.starts[i + 1]] for s in self.special)] if any(s in t.raw for s in self.special) else []
         if whole:
             pieces = [flat[starts[i] : starts[i + 1]] for i in range(len(parts))]
             for i in whole:
-                ids = self.tokenizer.encode(bytes(parts[i]).decode("utf-8", "replace"), add_special_tokens=False).ids
+                ids = self.tokenizer.encode(bytes(raw[i]).decode("utf-8", "replace"), add_special_tokens=False).ids
                 pieces[i] = np.asarray(ids + ([] if close is None else [close]), np.uint32)
             flat, starts = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         return flat, starts
