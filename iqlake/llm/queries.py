@@ -45,6 +45,13 @@ def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
+def op5_relational_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the 32,000-piece model, and back."""
+    from iqlake.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iqlake.llm.jaccard import jaccard_classes
 
