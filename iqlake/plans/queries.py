@@ -770,3 +770,90 @@ def g14_failed_trials(spark, sf):
 def c10_deltas(spark, sf):
     rows = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("m"), "l_returnflag").agg(F.sum("l_linenumber").alias("v"))
     return select.deltas(rows, "l_returnflag", "R", "A", ["m"], ["v"])
+
+
+# --- SQL for queries whose Spark side is an array kernel or a driver-side plan -----------------------------------------
+
+
+def welch_sql(a: str, b: str, points: int, step: int, density: bool, detrend: bool = True, periodic: bool = True) -> str:
+    """CTEs ending in m(frame, k, power), by a plain DFT of the sliding windows of ``src`` (frame, pos, and what a and b use)."""
+    w = spectral.hann(points, periodic)
+    unit = float(800.0 * (w * w).sum()) if density else float(w.sum() ** 2)
+    mean = lambda c: f"{c} - avg({c}) OVER (PARTITION BY frame, s)" if detrend else c
+    t = f"2*pi()*((k*p) % {points})/{points}"
+    return f"""st AS (SELECT frame, unnest(range(0, len - {points} + 1, {step})) AS s FROM (SELECT frame, count(*) AS len FROM src GROUP BY frame) WHERE len >= {points}),
+        x AS (SELECT st.frame, s, pos - s AS p, {a} AS a, {b} AS b FROM st JOIN src ON src.frame = st.frame WHERE pos >= s AND pos < s + {points}),
+        c AS (SELECT frame, s, p, {mean('a')} AS a, {mean('b')} AS b, 0.5 - 0.5*cos(2*pi()*p/{points if periodic else points - 1}) AS w FROM x),
+        f AS (SELECT frame, s, k, sum(w*(a*cos({t}) + b*sin({t}))) AS re, sum(w*(b*cos({t}) - a*sin({t}))) AS im FROM c, (SELECT unnest(range({points})) AS k) GROUP BY frame, s, k),
+        m AS (SELECT frame, (k + {points // 2}) % {points} AS k, avg((re*re + im*im)/{unit!r}) AS power FROM f GROUP BY 1, 2)"""
+
+
+SRC = PAIRED + ", src AS (SELECT * FROM paired), "
+ORACLE["e11_welch_variant"] = f"WITH {IQ}, src AS (SELECT * FROM iq), {welch_sql('i', 'q', 256, 64, False, False, False)} SELECT k, (k - 128)*3.125::DOUBLE AS freq, " + r6("avg(power) AS power") + " FROM m GROUP BY k"
+ORACLE["e9_error_psd"] = (
+    f"WITH {SRC} e AS MATERIALIZED (WITH {welch_sql('yi - i', 'yq - q', 256, 128, True)} SELECT k, avg(power) AS power FROM m GROUP BY k), r AS MATERIALIZED (WITH {welch_sql('i', 'q', 256, 128, True)} SELECT k, avg(power) AS power FROM m GROUP BY k) "
+    "SELECT k, (k - 128)*3.125::DOUBLE AS freq, " + r6("10*log10(power/(SELECT sum(power)*3.125 FROM r)) AS db") + " FROM e"
+)
+ORACLE["e10_band_error"] = (
+    f"WITH {SRC} e AS MATERIALIZED (WITH {welch_sql('yi - i', 'yq - q', 512, 256, True)} SELECT * FROM m), r AS MATERIALIZED (WITH {welch_sql('i', 'q', 512, 256, True)} SELECT * FROM m), "
+    "g AS (SELECT * FROM (VALUES ('left', -200.0, -100.0), ('main', -100.0, 100.0), ('right', 100.0, 200.0)) t(name, lo, hi)) "
+    "SELECT name, " + r6("10*log10(sum(e.power)/sum(r.power)) AS db") + " FROM e JOIN r USING (frame, k) JOIN g ON (k - 256)*1.5625 >= lo AND (k - 256)*1.5625 < hi GROUP BY name"
+)
+_L, _, _W = spectral.layout(512, 800.0, 200.0, 10)
+ORACLE["e5_spectral_evm"] = (
+    f"WITH {PAIRED}, whole AS (SELECT * FROM paired WHERE frame IN (SELECT frame FROM paired GROUP BY frame HAVING count(*) = 512)), "
+    "f AS (SELECT frame, (k + 256) % 512 AS k, sum((yi-i)*cos(t) + (yq-q)*sin(t)) AS er, sum((yq-q)*cos(t) - (yi-i)*sin(t)) AS ei, sum(i*cos(t) + q*sin(t)) AS rr, sum(q*cos(t) - i*sin(t)) AS ri "
+    "FROM (SELECT *, 2*pi()*((k*pos) % 512)/512 AS t FROM whole, (SELECT unnest(range(512)) AS k)) GROUP BY 1, 2), "
+    f"s AS (SELECT frame, (k - {_L}) // {_W} AS sub, avg(sqrt(er*er+ei*ei))/avg(sqrt(rr*rr+ri*ri)) AS ratio FROM f WHERE k >= {_L} AND k < {_L + 10 * _W} GROUP BY 1, 2) "
+    "SELECT " + r6("20*log10(avg(ratio)) AS evm_db") + " FROM s"
+)
+_, _T17 = windows.fractional_taps(0.27, 17)
+ORACLE["f8_fractional_alignment"] = (
+    f"WITH {PAIRED} SELECT frame, n, " + r6("i AS i", "q AS q", "fi AS yi", "fq AS yq") + " FROM (SELECT *, count(*) OVER (PARTITION BY frame) AS len, "
+    + ", ".join(" + ".join(f"({t!r}) * coalesce({'lag' if k >= 8 else 'lead'}({c}, {abs(k - 8)}) OVER w, 0)" for k, t in enumerate(_T17)) + f" AS {o}" for c, o in (("yi", "fi"), ("yq", "fq")))
+    + " FROM paired WINDOW w AS (PARTITION BY frame ORDER BY n)) WHERE pos >= 8 AND pos < len - 8"
+)
+ORACLE["l7_phase_equivariance"] = "SELECT 0.0::DOUBLE AS largest"
+ORACLE["l1_l4_chunked_outputs"] = f"WITH {PAIRED}{LAGS} SELECT frame, n, " + r6(*terms_sql(GMP, GMP_COEF, "p")) + " FROM a"
+ORACLE["c6_leave_one_frame_out"] = (
+    f"WITH {PAIRED}, s AS (SELECT frame, sum(p) AS s1, sum(p*p) AS s2, sum(p*p*p) AS s3, sum(c) AS t1, sum(d) AS u1, sum(p*c) AS t2, sum(p*d) AS u2 FROM (SELECT frame, i*i+q*q AS p, i*yi+q*yq AS c, i*yq-q*yi AS d FROM paired) GROUP BY frame), "
+    + "o AS (SELECT s.frame, " + ", ".join(f"t.{c} - s.{c} AS {c}" for c in ("s1", "s2", "s3", "t1", "u1", "t2", "u2")) + " FROM s, (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in ("s1", "s2", "s3", "t1", "u1", "t2", "u2")) + " FROM s) t), "
+    "k AS (SELECT frame, (s3*t1-s2*t2)/(s1*s3-s2*s2) AS ar, (s3*u1-s2*u2)/(s1*s3-s2*s2) AS ai, (s1*t2-s2*t1)/(s1*s3-s2*s2) AS br, (s1*u2-s2*u1)/(s1*s3-s2*s2) AS bi FROM o), "
+    "z AS (SELECT frame, yi, yq, i*(ar+br*p)-q*(ai+bi*p) AS zi, i*(ai+bi*p)+q*(ar+br*p) AS zq FROM (SELECT *, i*i+q*q AS p FROM paired JOIN k USING (frame))) "
+    "SELECT frame, " + r6("10*log10(sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq))/sum(yi*yi+yq*yq)) AS nmse_db") + " FROM z GROUP BY frame"
+)
+_E, _P = "sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq)) FILTER (WHERE pos >= 16)", "sum(yi*yi+yq*yq) FILTER (WHERE pos >= 16)"
+ORACLE["k20_k21_protocol"] = (
+    f"WITH {PAIRED}, z AS (SELECT *, i*(1-0.1*(i*i+q*q)) AS zi, q*(1-0.1*(i*i+q*q)) AS zq FROM paired WHERE frame % 5 = 3) SELECT count(*) FILTER (WHERE pos >= 16) AS scored, count(*) FILTER (WHERE pos < 16) AS discarded, "
+    + r6(f"{_E}/count(*) FILTER (WHERE pos >= 16) AS mse", f"{_P}/count(*) FILTER (WHERE pos >= 16) AS ref_power", f"({_E})/({_P}) AS relative_power", f"10*log10(({_E})/({_P})) AS nmse_db", f"sqrt(({_E})/({_P})) AS evm", f"20*log10(sqrt(({_E})/({_P}))) AS evm_db") + ", 0 AS delay FROM z"
+)
+_SLOW = lambda tau: f"SELECT frame, n, pos, 0.3*exp(-1/{tau}) + (1-exp(-1/{tau}))*(i*i+q*q) AS s, {tau}::DOUBLE AS tau FROM iq WHERE pos = 0"
+ORACLE["k23_slow_state_table"] = (
+    f"WITH RECURSIVE {PAIRED}, r AS (({_SLOW('4.0')} UNION ALL {_SLOW('300.0')}) UNION ALL SELECT iq.frame, iq.n, iq.pos, r.s*exp(-1/r.tau) + (1-exp(-1/r.tau))*(iq.i*iq.i+iq.q*iq.q), r.tau FROM r JOIN iq ON iq.frame = r.frame AND iq.pos = r.pos + 1) "
+    "SELECT tau, " + r6("corr(s, ((yi-i)*i+(yq-q)*q)/sqrt(i*i+q*q)) AS radial", "corr(s, ((yq-q)*i-(yi-i)*q)/sqrt(i*i+q*q)) AS tangential") + ", (SELECT max(c) FROM (SELECT count(*) AS c FROM iq GROUP BY frame)) >= 3*tau AS observable FROM r JOIN paired p ON p.n = r.n WHERE p.i*p.i+p.q*p.q > 0 GROUP BY tau"
+)
+
+
+def fixed_spline_sql(branches: list[tuple[int, int]], gains: list[list[complex]], root: str) -> str:
+    """Integer spline memory model of KNOTS in the default formats; ``root`` gives the radius from v, g and f."""
+    codes, _, _ = S.monotone_codes(KNOTS, CFG.data)
+    table = str(codes)
+    lag = lambda c, d: f"coalesce(lag({c}, {d}) OVER w, 0)" if d else c
+    out = FIXED[: FIXED.index(", r AS (SELECT")] + f", r0 AS (SELECT frame, n, ci, cq, {root} AS r FROM f), "
+    out += "l AS (SELECT n, " + ", ".join(f"{lag('ci', m)} AS ci{b}, {lag('cq', m)} AS cq{b}, greatest({codes[0]}, least({codes[-1]}, {lag('r', d)})) AS r{b}" for b, (m, d) in enumerate(branches)) + " FROM r0 WINDOW w AS (PARTITION BY frame ORDER BY n)), "
+    out += "k AS (SELECT *, " + ", ".join(" + ".join(f"(r{b} >= {c})::INT" for c in codes[1:-1]) + f" AS k{b}" for b in range(len(branches))) + " FROM l), "
+    ratio = lambda b: (f"(r{b} - {table}[k{b}+1])*4096", f"({table}[k{b}+2] - {table}[k{b}+1])")
+    out += "w AS (SELECT *, " + ", ".join(f"least(4096, {SHIFT.replace('abs(c)', f'abs({ratio(b)[0]})').replace('c < 0', 'false').replace('{d}', ratio(b)[1])}) AS w{b}" for b in range(len(branches))) + " FROM k), "
+    parts = []
+    for b, gs in enumerate(gains):
+        for p, o in (("real", "g"), ("imag", "h")):
+            cs = str([models._code(getattr(g, p), CFG.coef) for g in gs])
+            parts.append(f"{cs}[k{b}+1] + " + sh(f"w{b}*({cs}[k{b}+2] - {cs}[k{b}+1])", 12) + f" AS {o}{b}")
+    out += "z AS (SELECT *, " + ", ".join(parts) + " FROM w) "
+    re = " + ".join(f"ci{b}*g{b} - cq{b}*h{b}" for b in range(len(branches)))
+    im = " + ".join(f"ci{b}*h{b} + cq{b}*g{b}" for b in range(len(branches)))
+    return f"WITH {out} SELECT n, greatest(-32768, least(32767, {sh(re, 12)}))::BIGINT AS oi, greatest(-32768, least(32767, {sh(im, 12)}))::BIGINT AS oq FROM z"
+
+
+ORACLE["k14_fixed_spline_float_root"] = fixed_spline_sql([(0, 0)], [GAINS], "round_even(sqrt(v::DOUBLE), 0)::BIGINT")
+ORACLE["k16_fixed_spline_memory"] = fixed_spline_sql([(0, 0), (1, 1)], [GAINS, [0.1 * g for g in GAINS]], "f + (v - f*f > f)::INT")
