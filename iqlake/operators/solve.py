@@ -136,3 +136,72 @@ def gram_gain(df: DataFrame) -> DataFrame:
     d = "i*yq - q*yi"
     s = df.agg(*[F.sum(F.expr(e)).alias(n) for n, e in {"s1": p, "s2": f"{p}*{p}", "s3": f"{p}*{p}*{p}", "t1": c, "u1": d, "t2": f"{p}*({c})", "u2": f"{p}*({d})"}.items()])
     return s.selectExpr("(s3*t1 - s2*t2)/(s1*s3 - s2*s2) as a_re", "(s3*u1 - s2*u2)/(s1*s3 - s2*s2) as a_im", "(s1*t2 - s2*t1)/(s1*s3 - s2*s2) as b_re", "(s1*u2 - s2*u1)/(s1*s3 - s2*s2) as b_im")
+
+
+@dataclass(frozen=True)
+class Hammerstein:
+    """A memoryless spline and the tail of a FIR whose first tap is 1, with the objective after each block."""
+
+    knots: list[float]
+    coef: np.ndarray
+    tail: np.ndarray
+    objective: list[float]
+    converged: bool
+
+
+def fit_hammerstein(df: DataFrame, knots: list[float], taps: int, ridge: float = 0.0, smooth: float = 0.0, fir_ridge: float = 0.0, most: int = 20, least: int = 2, tolerance: float = 1e-7, rise: float = 1e-9) -> Hammerstein:
+    """Alternating least squares over (frame, n, i, q, yi, yq): the tail for fixed controls, then the controls for a fixed tail.
+
+    Each block is one partition-QR job over the spline features and their lags, which are written to memory and disk once.
+    Stops when a round lowers the objective by less than ``tolerance`` of it, after ``least`` rounds; a block that raises the
+    objective by more than ``rise`` of it is an error.
+    """
+    from iqlake.operators.features import curvature, spline_design
+    from iqlake.operators.frames import in_order
+
+    k = len(knots)
+    zero = F.array(*[F.lit(0.0)] * (2 * k))
+    base = spline_design(df, knots, [(0, 0)], ["frame", "n", "yi", "yq"])
+    base = base.withColumns({f"phi_{d}": F.coalesce(F.lag("phi", d).over(in_order()), zero) for d in range(taps)}).drop("phi").persist()
+    bend = np.sqrt(smooth) * curvature(knots)
+    penalties = [bend] if smooth else None
+
+    def output(d: int, c: np.ndarray) -> tuple:
+        terms = [(F.col(f"phi_{d}")[2 * j], F.col(f"phi_{d}")[2 * j + 1], float(c[j].real), float(c[j].imag)) for j in range(k)]
+        return sum((a * x - b * y for a, b, x, y in terms), F.lit(0.0)), sum((a * y + b * x for a, b, x, y in terms), F.lit(0.0))
+
+    def objective(power: float, c: np.ndarray, h: np.ndarray) -> float:
+        return power + ridge * float((np.abs(c) ** 2).sum()) + float((np.abs(bend @ c) ** 2).sum()) + fir_ridge * float((np.abs(h) ** 2).sum())
+
+    try:
+        tail = np.zeros(taps - 1, complex)
+        got = fit(base.withColumn("phi", F.col("phi_0")), k, ridge, penalties)
+        coef, seen = got.coef, [objective(got.residual_power, got.coef, tail)]
+        done = taps == 1
+        for r in range(most if taps > 1 else 0):
+            before = seen[-1]
+            vi, vq = output(0, coef)
+            lagged = F.array(*[x for d in range(1, taps) for x in output(d, coef)])
+            t = base.select(lagged.alias("phi"), (F.col("yi") - vi).alias("yi"), (F.col("yq") - vq).alias("yq"))
+            got = fit(t, taps - 1, fir_ridge)
+            tail = got.coef
+            seen.append(objective(got.residual_power, coef, tail))
+            parts = []
+            for j in range(k):
+                re, im = F.col("phi_0")[2 * j], F.col("phi_0")[2 * j + 1]
+                for d, h in enumerate(tail, 1):
+                    a, b = F.col(f"phi_{d}")[2 * j], F.col(f"phi_{d}")[2 * j + 1]
+                    re, im = re + float(h.real) * a - float(h.imag) * b, im + float(h.real) * b + float(h.imag) * a
+                parts += [re, im]
+            got = fit(base.select(F.array(*parts).alias("phi"), "yi", "yq"), k, ridge, penalties)
+            coef = got.coef
+            seen.append(objective(got.residual_power, coef, tail))
+            scale = max(before, 1e-12 * seen[0], 1e-300)  # below that, rounding
+            if max(seen[-2] - before, seen[-1] - seen[-2]) > rise * scale:
+                raise ValueError("a block raised the objective")
+            if r + 1 >= least and before - seen[-1] <= tolerance * scale:
+                done = True
+                break
+        return Hammerstein(list(knots), coef, tail, seen, done)
+    finally:
+        base.unpersist()

@@ -289,3 +289,13 @@ def test_files(spark, tmp_path):
 def test_unsorted_duplicate_stream_rows_are_errors():
     with pytest.raises(ValueError):
         models.TermModel([features.Term(0, 0, 0)], [])
+
+
+def test_hammerstein_fit_recovers(spark):
+    knots, c, h = [0.0, 0.7, 1.5, 4.0], [1 + 0j, 0.95 + 0.05j, 0.9 + 0.02j, 0.7 - 0.1j], [0.15 - 0.05j, -0.05 + 0.02j]
+    df = signal(spark, noise(900), nperseg=300)
+    m = models.HammersteinModel(models.SplineModel(knots, [(0, 0)], [c]), h)
+    y = m.predict(df).withColumn("yi", F.col("pi")).withColumn("yq", F.col("pq")).drop("pi", "pq")
+    got = solve.fit_hammerstein(y, knots, 3, most=25, tolerance=1e-6)
+    assert np.abs(got.coef - c).max() < 1e-3 and np.abs(got.tail - h).max() < 1e-3
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(got.objective, got.objective[1:]))
