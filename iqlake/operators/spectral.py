@@ -6,8 +6,10 @@ one Arrow group with an FFT. For short frames ``dft`` gives the same by a join w
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,45 @@ def welch(df: DataFrame, fs: float, nperseg: int, overlap: int | None = None, sc
     unit = float(w.sum() ** 2) if scaling == "spectrum" else float(fs * (w * w).sum())
     freq = np.fft.fftshift(np.fft.fftfreq(nperseg, 1 / fs))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        x = pdf[cols[0]].to_numpy() + 1j * pdf[cols[1]].to_numpy()
-        if len(x) < nperseg:
-            return pd.DataFrame({"frame": [], "k": [], "freq": [], "power": []}).astype({"frame": "int64", "k": "int64"})
-        parts = np.lib.stride_tricks.sliding_window_view(x, nperseg)[:: nperseg - overlap]
+    def kernel(frame: np.ndarray, x: list[np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(frame) if x[0].shape[1] >= nperseg else 0
+        if not n:
+            return {"frame": frame[:0], "k": frame[:0], "freq": freq[:0], "power": freq[:0]}
+        parts = np.lib.stride_tricks.sliding_window_view(x[0] + 1j * x[1], nperseg, axis=1)[:, :: nperseg - overlap]
         if detrend:
-            parts = parts - parts.mean(1, keepdims=True)
-        p = (np.abs(np.fft.fft(parts * w, axis=1)) ** 2 / unit).mean(0)
-        return pd.DataFrame({"frame": pdf["frame"].iloc[0], "k": np.arange(nperseg), "freq": freq, "power": np.fft.fftshift(p)})
+            parts = parts - parts.mean(2, keepdims=True)
+        p = (np.abs(np.fft.fft(parts * w, axis=2)) ** 2 / unit).mean(1)
+        return {"frame": np.repeat(frame, nperseg), "k": np.tile(np.arange(nperseg), n), "freq": np.tile(freq, n), "power": np.fft.fftshift(p, axes=1).ravel()}
+
+    return over_frames(df, list(cols), kernel, "frame long, k long, freq double, power double")
+
+
+#: Values of a column that a kernel gets at a time.
+AT_ONCE = 1 << 18
+
+
+def over_frames(df: DataFrame, cols: list[str], kernel: Callable[[np.ndarray, list[np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``kernel(frames, matrices)`` over frames of one length at a time: a row per frame and a matrix per column, ordered by n.
+
+    Frames become arrays in the JVM, so many short frames cost one Arrow batch instead of one group each.
+    """
+    rows = df.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("n", *cols))).alias("s")).select("frame", *[F.col(f"s.{c}").alias(c) for c in cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame, off = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy().astype(np.int64)
+            values = [batch.column(c + 1).values.to_numpy() for c in range(len(cols))]
+            length = np.diff(off)
+            for n in np.unique(length):
+                own = np.flatnonzero(length == n)
+                step = max(1, AT_ONCE // max(1, int(n)))
+                for lo in range(0, len(own), step):
+                    at = off[:-1][own[lo : lo + step]][:, None] + np.arange(n)[None, :]
+                    out = kernel(frame[own[lo : lo + step]], [v[at] for v in values])
+                    if len(next(iter(out.values()))):
+                        yield pa.RecordBatch.from_pydict(out)
 
-    return df.select("frame", "n", *cols).groupBy("frame").applyInPandas(run, "frame long, k long, freq double, power double")
+    return rows.mapInArrow(run, schema)
 
 
 def rectangular(df: DataFrame, fs: float, nperseg: int, cols: list[tuple[str, str]]) -> DataFrame:
@@ -52,17 +81,17 @@ def rectangular(df: DataFrame, fs: float, nperseg: int, cols: list[tuple[str, st
     freq = np.fft.fftshift(np.fft.fftfreq(nperseg, 1 / fs))
     names = [n for j in range(len(cols)) for n in (f"re_{j}", f"im_{j}")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        keep = len(pdf) == nperseg
-        out = {"frame": pdf["frame"].iloc[0] if keep else [], "k": np.arange(nperseg if keep else 0), "freq": freq if keep else []}
-        for j, (a, b) in enumerate(cols):
-            y = np.fft.fftshift(np.fft.fft(pdf[a].to_numpy() + 1j * pdf[b].to_numpy())) if keep else np.zeros(0, complex)
-            out |= {f"re_{j}": y.real, f"im_{j}": y.imag}
-        return pd.DataFrame(out).astype({"frame": "int64", "k": "int64"})
+    def kernel(frame: np.ndarray, x: list[np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(frame) if x[0].shape[1] == nperseg else 0
+        out = {"frame": np.repeat(frame[:n], nperseg), "k": np.tile(np.arange(nperseg), n), "freq": np.tile(freq, n)}
+        for j, pair in enumerate(cols):
+            a, b = (x[flat.index(c)][:n] for c in pair)
+            y = np.fft.fftshift(np.fft.fft(a + 1j * b, axis=1), axes=1).ravel() if n else np.zeros(0, complex)
+            out |= {f"re_{j}": y.real.copy(), f"im_{j}": y.imag.copy()}
+        return out
 
     flat = list(dict.fromkeys(c for p in cols for c in p))
-    return df.select("frame", "n", *flat).groupBy("frame").applyInPandas(run, "frame long, k long, freq double, " + ", ".join(f"{n} double" for n in names))
+    return over_frames(df, flat, kernel, "frame long, k long, freq double, " + ", ".join(f"{n} double" for n in names))
 
 
 def dft(df: DataFrame, points: int, windowed: bool = True) -> DataFrame:
