@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,13 +109,3 @@ def windows_of(df: DataFrame, length: int, stride: int, cols: list[str]) -> Data
     w = in_order().rowsBetween(0, length - 1)
     got = df.select("frame", "n", "pos", *[F.collect_list(c).over(w).alias(c) for c in cols])
     return got.filter((F.size(cols[0]) == length) & (F.col("pos") % stride == 0))
-
-
-def per_frame(df: DataFrame, kernel, schema: str, cols: list[str]) -> DataFrame:  # noqa: ANN001
-    """``kernel(sorted arrays) -> DataFrame`` for each frame, in Arrow groups."""
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(pdfs) if not isinstance(pdfs, pd.DataFrame) else pdfs
-        yield kernel(key[0], pdf.sort_values("n"))
-
-    return df.select("frame", "n", *cols).groupBy("frame").applyInPandas(lambda key, pdf: next(run(key, pdf)), schema)

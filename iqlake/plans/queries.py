@@ -772,6 +772,62 @@ def c10_deltas(spark, sf):
     return select.deltas(rows, "l_returnflag", "R", "A", ["m"], ["v"])
 
 
+# --- further rows of the survey ---------------------------------------------------------------------------------------
+
+
+@query("SELECT x.n, " + r6("x.i AS i", "x.q AS q", "y.yi AS yi", "y.yq AS yq") + " FROM paired x JOIN paired y ON y.n = x.n + 1 AND y.frame % 5 = 3 WHERE x.frame % 5 = 3", PAIRED)
+def b9_split_alignment(spark, sf):
+    """One frozen delay applied to another split, not estimated anew."""
+    val = V.paired(spark, sf).filter(V.split_of() == "val")
+    return rounded(align.overlap(val, val, 1))
+
+
+@query("SELECT frame, count(*) FILTER (WHERE lag(i, 2) IS NOT NULL AND sqrt(i*i+q*q) > 0.2) AS both FROM (SELECT frame, i, q, lag(i, 2) OVER (PARTITION BY frame ORDER BY n) AS lag2 FROM iq) GROUP BY frame".replace("lag(i, 2) IS NOT NULL", "lag2 IS NOT NULL"), IQ)
+def b16_combined_masks(spark, sf):
+    e = windows.safe_lag(V.iq_events(spark, sf), "i", 2)
+    return e.groupBy("frame").agg(F.count_if(F.col("lagged_valid") & (S.amplitude("i", "q") > 0.2)).alias("both"))
+
+
+@query("SELECT frame, " + r6("10*log10(sum(0.04*(pi*pi+pq*pq))/sum(yi*yi+yq*yq)) - 10*log10(sum((yi-i)*(yi-i)+(yq-q)*(yq-q))/sum(yi*yi+yq*yq)) AS db_delta") + " FROM (SELECT *, coalesce(lag(i) OVER w, 0) AS pi, coalesce(lag(q) OVER w, 0) AS pq FROM paired WINDOW w AS (PARTITION BY frame ORDER BY n)) GROUP BY frame", PAIRED)
+def c7_fold_gains(spark, sf):
+    """Candidate minus baseline per frame, joined on the frame."""
+    p = V.paired(spark, sf)
+    cubic = models.TermModel([features.Term(0, 0, 0), features.Term(2, 0, 0)], [1 + 0j, -0.1 + 0j]).predict(p)
+    a = cubic.groupBy("frame").agg(metrics.nmse_db(("pi", "pq"), ("yi", "yq")).alias("db")).withColumn("model", F.lit("candidate"))
+    b = p.groupBy("frame").agg(metrics.nmse_db(("i", "q"), ("yi", "yq")).alias("db")).withColumn("model", F.lit("baseline"))
+    return rounded(select.deltas(a.union(b), "model", "candidate", "baseline", ["frame"], ["db"]))
+
+
+@query("SELECT frame, " + r6("10*log10(sum((zi-1.5*i)*(zi-1.5*i)+(zq-1.5*q)*(zq-1.5*q))/sum(2.25*i*i+2.25*q*q)) AS nmse_db") + " FROM (SELECT *, di*(1.5-0.12*(di*di+dq*dq)) AS zi, dq*(1.5-0.12*(di*di+dq*dq)) AS zq FROM (SELECT *, i*(1+0.1*(i*i+q*q)) AS di, q*(1+0.1*(i*i+q*q)) AS dq FROM iq)) GROUP BY frame", IQ)
+def k19_cross_surrogate(spark, sf):
+    """A frozen predistorter scored through another surrogate than its own."""
+    dpd = models.TermModel([features.Term(0, 0, 0), features.Term(2, 0, 0)], [1 + 0j, 0.1 + 0j], "gmp_dpd")
+    other = models.TermModel([features.Term(0, 0, 0), features.Term(2, 0, 0)], [1.5 + 0j, -0.12 + 0j])
+    out = models.cascade(V.iq_events(spark, sf), dpd, other).withColumn("ti", 1.5 * F.col("i")).withColumn("tq", 1.5 * F.col("q"))
+    return rounded(out.groupBy("frame").agg(metrics.nmse_db(("pi", "pq"), ("ti", "tq")).alias("nmse_db")))
+
+
+@query("SELECT n, " + "round(yi - 0.05*i0 + 0.02*q0 + 0.1*i2, 10) + 0.0 AS ci, round(yq - 0.05*q0 - 0.02*i0 + 0.1*q2, 10) + 0.0 AS cq" + " FROM a", PAIRED + LAGS)
+def k12_fir_correction(spark, sf):
+    c = models.FirCorrection([0, 2], [-0.05 - 0.02j, 0.1 + 0j])
+    return rounded(c.correct(V.paired(spark, sf), ("yi", "yq")).select("n", F.col("yi").alias("ci"), F.col("yq").alias("cq")), 10)
+
+
+@query("SELECT ka::INT AS ka, la::INT AS la, ((2*ka*la*bits + 7) // 8)::BIGINT AS bytes, bits::INT AS bits FROM (SELECT unnest([1, 3, 5]) AS ka), (SELECT unnest([4, 24]) AS la), (SELECT unnest([12, 14, 16]) AS bits)")
+def m15_coefficient_bytes(spark, sf):
+    rows = [(ka, la, cost.generalized(ka, la).coefficient_bytes(b), b) for ka in (1, 3, 5) for la in (4, 24) for b in (12, 14, 16)]
+    return spark.createDataFrame(rows, "ka int, la int, bytes long, bits int")
+
+
+@query()
+def k6_hammerstein_fit(spark, sf):
+    from iqlake.operators.solve import fit_hammerstein
+
+    got = fit_hammerstein(V.paired(spark, sf), [0.0, 0.4, 0.8, 1.6], 2, 1e-9, 0.0, 1e-9, most=4)
+    rows = [("control", k, float(c.real), float(c.imag)) for k, c in enumerate(got.coef)] + [("tail", k + 1, float(h.real), float(h.imag)) for k, h in enumerate(got.tail)]
+    return rounded(spark.createDataFrame(rows, "part string, k int, re double, im double"))
+
+
 # --- SQL for queries whose Spark side is an array kernel or a driver-side plan -----------------------------------------
 
 
