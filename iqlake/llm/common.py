@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,9 +55,21 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self._shuffles_end_with_their_job():
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextlib.contextmanager
+    def _shuffles_end_with_their_job(self) -> Iterator[None]:
+        """A written table needs its shuffle files no more; without this they stay until the driver happens to collect garbage."""
+        key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(key)
+        conf.set(key, "true")
+        try:
+            yield
+        finally:
+            conf.set(key, before)
+
     def keep(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 

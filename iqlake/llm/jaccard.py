@@ -217,10 +217,12 @@ def _set(raw: bytes) -> np.ndarray:
 
 
 def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) whose components are the classes of ``nodes`` (k, set) in ``groups`` (node, label)."""
+    """Pairs (a, b) whose components are the classes of ``nodes`` (k, set; a k may repeat) in ``groups`` (node, label)."""
     sized = groups.join(groups.groupBy(F.col("label").alias("g")).agg(F.count(F.lit(1)).alias("size")), F.col("label") == F.col("g")).select("node", "g", "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    placed = scratch.save(nodes.join(sized, F.col("k") == F.col("node")).select("g", F.pmod(F.xxhash64("k"), blocks).alias("block"), blocks.alias("blocks"), "k", "set"), "placed")
+    # The same set from several chunks meets here, where the join has dealt it already.
+    nodes = nodes.join(sized, F.col("k") == F.col("node")).groupBy("k").agg(F.first("set").alias("set"), F.first("g").alias("g"), F.first("size").alias("size"))
+    placed = scratch.save(nodes.select("g", F.pmod(F.xxhash64("k"), blocks).alias("block"), blocks.alias("blocks"), "k", "set"), "placed")
 
     def own(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         return join_self([r[0] for r in rows], [_set(r[1]) for r in rows], percent)
@@ -327,14 +329,12 @@ def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     docs = scratch.save(told.mapInArrow(survivors, f"id {kind}, n long, k binary, prefix array<long>, set binary"), "docs")
     scratch.drop("chunks")
     scratch.drop("shared")
-    # Equal sets have equal prefixes: ranks of n-grams are global.
-    nodes = docs.filter("set is not null").groupBy("k").agg(F.first("set").alias("set"), F.first("prefix").alias("prefix"))
-    nodes = scratch.save(nodes, "nodes")
-    tokens = nodes.select("k", F.explode("prefix").alias("token"))
-    shared_by = tokens.groupBy("token").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Equal sets have equal prefixes: ranks of n-grams are global. Sets themselves move only if they are in a group.
+    tokens = docs.select("k", F.explode("prefix").alias("token"))
+    shared_by = tokens.groupBy("token").agg(F.min("k").alias("m"), F.max("k").alias("x")).filter("m <> x").select("token", "m")
     candidates = tokens.join(shared_by, "token").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b")).distinct()
     groups = components(candidates, scratch, "candidates")
-    links = _links(nodes.select("k", "set"), groups, scratch, percent).filter("a <> b")
+    links = _links(docs.filter("set is not null").select("k", "set"), groups, scratch, percent).filter("a <> b")
     labels = components(links, scratch, "classes")
     best = docs.filter("k is not null").groupBy("k").agg(F.min("id").alias("low"))
     classed = best.join(labels, F.col("k") == F.col("node"), "left").select("k", "low", F.coalesce("label", "k").alias("label"))
