@@ -53,22 +53,24 @@ class Scratch:
             if self.spark.sparkContext._jsc is not None:
                 self.drop()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+        """Writes ``df``, planned under ``conf``, and reads it back."""
         path = f"{self.root}/{name}"
-        with self._shuffles_end_with_their_job():
+        # A written table needs its shuffle files no more; without this they stay until the driver happens to collect garbage.
+        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **(conf or {})}):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
-    def _shuffles_end_with_their_job(self) -> Iterator[None]:
-        """A written table needs its shuffle files no more; without this they stay until the driver happens to collect garbage."""
-        key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
-        before = conf.get(key)
-        conf.set(key, "true")
+    def _set(self, conf: dict[str, str]) -> Iterator[None]:
+        before = {k: self.spark.conf.get(k) for k in conf}
+        for k, v in conf.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            conf.set(key, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)

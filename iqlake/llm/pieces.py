@@ -32,6 +32,8 @@ MASK = 62
 MOST_PIECES = 1 << 20
 PER_BUCKET = 24 << 20
 KEEP_KEYS = 4_000_000
+#: Text whose distinct units make one partition, and units whose edges a task groups by hash; beyond it Spark sorts them.
+PER_PARTITION, HASHED_UNITS = 1 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -287,8 +289,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 for lo in range(0, len(spell), 50_000):
                     yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new][lo : lo + 50_000].view(np.int64)), "unit": pa.array(spell[lo : lo + 50_000], pa.string())})
 
-    units = slim.mapInArrow(distinct, "key long, unit string").groupBy("key").agg(F.first("unit").alias("unit"))
-    table = scratch.save(unit_ids(units, path, model), "table")
+    # So many partitions that the edges of one's units fit in memory: they are grouped by hash, without a sort that spills.
+    dealt = slim.mapInArrow(distinct, "key long, unit string").repartition(max(1, -(-total_bytes(chunks) // PER_PARTITION)), "key")
+    units = dealt.groupBy("key").agg(F.first("unit").alias("unit"))
+    table = scratch.save(unit_ids(units, path, model), "table", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HASHED_UNITS)})
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
