@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from places import SF
 from iqlake.functions import scalar as S
 from iqlake.operators import align, features, frames, metrics, models, solve, spectral, windows
 from iqlake.plans import cost, govern, residual, select
