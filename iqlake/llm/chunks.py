@@ -1,7 +1,7 @@
 """Documents in chunks, and questions that chunks ask each other.
 
-A chunk is one row with some megabytes of text, compressed, in a written table, so its number and content never change. To
-learn something global about its keys (does this symbol occur in another chunk? does this window come first here?) a chunk
+A chunk is one row with some megabytes of text, compressed, in a written table, so its number and content never change. The
+table is bucketed by the chunk's number, and so are the answers that chunks get, so texts are never shuffled. To learn something global about its keys (does this symbol occur in another chunk? does this window come first here?) a chunk
 deals its distinct keys over buckets, one packed binary row for each bucket; a bucket compares what all chunks sent and
 answers with one value for each key, in the order asked. However frequent a key is, a chunk sends it once, so no bucket
 grows with a hot key, and nothing is sampled or capped.
@@ -34,7 +34,7 @@ def make_chunks(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, mos
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 3)
         held: list[tuple[pa.RecordBatch, list]] = []
         size = rows = 0
 
@@ -73,7 +73,7 @@ def make_chunks(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, mos
             yield emit()
 
     schema = "chunk long, n_bytes long, n long, sizes binary, texts binary" + "".join(f", `c_{f.name}` array<{f.dataType.simpleString()}>" for f in others)
-    return scratch.save(df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "chunks")
+    return scratch.save_by(df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "chunks", "chunk")
 
 
 def chunk_parts(sizes: bytes, texts: bytes, n_bytes: int) -> list[memoryview]:
@@ -97,37 +97,51 @@ def bounds_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]]).astype(np.int64)
 
 
-def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[tuple]], list[np.ndarray]], fields: list[str]) -> DataFrame:
-    """Answers (chunk, answers) to ``asked`` (bucket, chunk, and the binary ``fields``), an array of structs (bucket, bits) for each chunk.
-
-    ``answer`` gets the chunks and fields of one bucket and gives an array of small integers for each chunk.
-    """
+def by_bucket(asked: DataFrame, buckets: int, fields: list[str], answer: Callable[[int, list[int], list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``answer`` makes of each bucket's chunks and ``fields``, given ``asked`` (bucket, chunk, and the binary fields)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, chunks, rows = None, [], []
-
-        def reply() -> pa.RecordBatch:
-            bits = [np.asarray(b, np.uint8).tobytes() for b in answer(chunks, rows)]
-            return pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
         for batch in batches:
             for b, c, *data in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if bucket is not None and b != bucket:
-                    yield reply()
+                    yield from answer(bucket, chunks, rows)
                     chunks, rows = [], []
                 bucket = b
                 chunks.append(c)
                 rows.append(tuple(data))
         if rows:
-            yield reply()
+            yield from answer(bucket, chunks, rows)
+
+    # Buckets grow in number with the text; partitions are as many as the session shuffles into, each with a range of buckets.
+    parts = min(buckets, 4 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = asked.select("bucket", "chunk", *fields).repartitionById(parts, F.expr(f"cast(bucket * {parts}L div {buckets} as int)")).sortWithinPartitions("bucket", "chunk")
+    return dealt.mapInArrow(run, schema)
+
+
+def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[tuple]], list[np.ndarray]], fields: list[str]) -> DataFrame:
+    """Answers (chunk, answers) to ``asked`` (bucket, chunk, and the binary ``fields``), an array of structs (bucket, bits) for each chunk.
+
+    ``answer`` gets the chunks and fields of one bucket and gives an array of small integers for each chunk.
+    """
 
-    dealt = asked.select("bucket", "chunk", *fields).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk")
-    answers = dealt.mapInArrow(run, "chunk long, bucket int, bits binary")
+    def reply(bucket: int, chunks: list[int], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bits = [np.asarray(b, np.uint8).tobytes() for b in answer(chunks, rows)]
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    return collected(by_bucket(asked, buckets, fields, reply, "chunk long, bucket int, bits binary"))
+
+
+def collected(answers: DataFrame) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
 
+def save_answers(answers: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.save_by(answers, name, "chunk")
+
+
 def with_answers(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """``chunks`` with their answers in column ``name``; null where a chunk asked nothing."""
+    """``chunks`` with their answers in column ``name``; null where a chunk asked nothing. Both are bucketed by chunk: no shuffle."""
     return chunks.join(answers.withColumnRenamed("answers", name).hint("shuffle_hash"), "chunk", "left")
 
 

@@ -38,13 +38,16 @@ class Scratch:
     """Written tables that cut lineage within one operator call.
 
     Tables are compressed Parquet in the shared folder, so a lost executor costs a reread and never a recomputation of
-    everything before. ``keep`` gives a result that outlives the scratch: a reliable checkpoint, which Spark itself removes
-    when no plan refers to it any more.
+    everything before. ``keep`` gives a result that outlives the scratch: a reliable checkpoint. Spark removes it once no plan
+    refers to it where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true (set it when the session is built; the
+    default is false); elsewhere it stays in the checkpoint folder like any other checkpoint.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.root = f"{scratch_root(spark)}/{self.name}"
+        self.tables: list[str] = []
         atexit.register(self._last)
 
     def _last(self) -> None:
@@ -61,6 +64,17 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Writes ``df`` bucketed by ``key``, so that joins on it with other such tables need no shuffle, and reads it back.
+
+        There are as many buckets as the session has shuffle partitions, which a cluster sizes for its data.
+        """
+        number, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.name}_{name}"
+        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(min(number, 100_000), key).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     @contextlib.contextmanager
     def _set(self, conf: dict[str, str]) -> Iterator[None]:
         before = {k: self.spark.conf.get(k) for k in conf}
@@ -76,6 +90,9 @@ class Scratch:
         return df.checkpoint(eager=True)
 
     def drop(self, name: str = "") -> None:
+        for t in [t for t in self.tables if not name or t == f"{self.name}_{name}"]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.tables.remove(t)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

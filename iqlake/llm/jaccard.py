@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iqlake.llm.chunks import ask, bounds_of, chunk_texts, cut, joined, make_chunks, read_answers, total_bytes, with_answers
+from iqlake.llm.chunks import ask, bounds_of, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
 from iqlake.llm.common import Scratch
 from iqlake.llm.components import components
 from iqlake.llm.substring import _columns
@@ -286,7 +286,7 @@ def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
         return np.split(rare[back], np.cumsum([len(r[0]) // 6 for r in rows])[:-1])
 
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
-    shared = scratch.save(ask(slim.mapInArrow(asked, "bucket int, chunk long, keys binary"), buckets, how_many, ["keys"]), "shared")
+    shared = save_answers(ask(slim.mapInArrow(asked, "bucket int, chunk long, keys binary"), buckets, how_many, ["keys"]), scratch, "shared")
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iqlake.llm.chunks import ask, bounds_of, chunk_parts, chunk_texts, cut, joined, make_chunks, read_answers, total_bytes, with_answers
+from iqlake.llm.chunks import ask, bounds_of, chunk_parts, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
 from iqlake.llm.common import Scratch
 from iqlake.llm.textcore import U, Texts, mix, window_docs, windows_hash
 
@@ -160,7 +160,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
         return np.split((count[back] > 1).astype(np.uint8), np.cumsum([len(r[0]) // 6 for r in rows])[:-1])
 
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
-    repeated = scratch.save(ask(slim.mapInArrow(triples, "bucket int, chunk long, keys binary"), buckets, twice, ["keys"]), "repeated")
+    repeated = save_answers(ask(slim.mapInArrow(triples, "bucket int, chunk long, keys binary"), buckets, twice, ["keys"]), scratch, "repeated")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +187,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
         return np.split(out, np.cumsum(sizes)[:-1])
 
     asked = with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes", f"c_{id_col}"), repeated, "repeated")
-    firsts = scratch.save(ask(asked.mapInArrow(windows, "bucket int, chunk long, keys binary, more binary, docs binary"), buckets, first_here, ["keys", "more", "docs"]), "firsts")
+    firsts = save_answers(ask(asked.mapInArrow(windows, "bucket int, chunk long, keys binary, more binary, docs binary"), buckets, first_here, ["keys", "more", "docs"]), scratch, "firsts")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "removed": pa.array([np.packbits(_covered(starts[again], width, len(t.a))).tobytes()], pa.binary())})
 
     told = with_answers(with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes"), repeated, "repeated"), firsts, "firsts")
-    marks = scratch.save(told.mapInArrow(removed, "chunk long, removed binary"), "marks")
+    marks = scratch.save_by(told.mapInArrow(removed, "chunk long, removed binary"), "marks", "chunk")
     scratch.drop("repeated")
     scratch.drop("firsts")
     return chunks.join(marks.hint("shuffle_hash"), "chunk")

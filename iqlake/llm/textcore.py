@@ -6,6 +6,7 @@ maximal runs of bytes other than 0x20 and 0x09-0x0D, which never occur inside a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,15 +14,17 @@ import pyarrow as pa
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for each byte, and an odd base congruent to 3 modulo 8.
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: An odd base congruent to 3 modulo 8, for windows of words.
 _BASE = int(_rng.integers(1, 2**60)) * 8 + 3
 _M = (1 << 64) - 1
 _INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes handled at a time; temporary arrays take about forty times as much.
+#: Words handled at a time by windows_hash.
 BLOCK = 1 << 20
+#: Spans of more bytes are hashed one by one with BLAKE2b.
+LONG_SPAN = 512
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [_M], np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,23 +47,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number, zeros past its end."""
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))
+
+
 def spans_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Fingerprints of data[a:b] for ascending, disjoint spans; equal bytes give equal values."""
-    out = np.zeros(len(a), np.uint64)
-    i = 0
-    while i < len(a):
-        j = max(i + 1, int(np.searchsorted(b, a[i] + BLOCK, "right")))
-        lo, hi = int(a[i]), int(b[j - 1])
-        n = hi - lo
-        pw, ip = (_POW, _IPOW) if n <= BLOCK else (_powers(_BASE, n + 1), _powers(_INV, n + 1))
-        acc = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * pw[:n], out=acc[1:])
-        s, e = (a[i:j] - lo).astype(np.int64), (b[i:j] - lo).astype(np.int64)
-        out[i:j] = mix((acc[e] - acc[s]) * ip[s] + (e - s).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        i = j
+    """Fingerprints of data[a:b]; equal bytes give equal values.
+
+    Eight bytes at a time go through a finaliser that is one to one, so spans of one length up to eight bytes never collide
+    and longer ones have no structure that could make them; those over ``LONG_SPAN`` go through BLAKE2b.
+    """
+    n = (b - a).astype(np.int64)
+    out = mix(n.astype(np.uint64) + U(0x9E3779B97F4A7C15))
+    left, at, now = n, a.astype(np.int64), np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    if len(now):
+        word = eights(data)
+        left, at = left[now], at[now]
+        while len(now):
+            out[now] = mix((out[now] ^ (word[at] & _HEAD[np.minimum(left, 8)])) * U(0xD6E8FEB86659FD93) + U(0xA5A3564E2D8F1C37))
+            more = left > 8
+            now, left, at = now[more], left[more] - 8, at[more] + 8
+    for k in np.flatnonzero(n > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[a[k] : b[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def spans_differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Where data[a:b] is not other[c:d], byte for byte."""
+    out = (b - a) != (d - c)
+    now = np.flatnonzero(~out & (b > a))
+    if len(now):
+        one, two = eights(data), eights(other)
+        left, x, y = (b - a)[now].astype(np.int64), a[now].astype(np.int64), c[now].astype(np.int64)
+        while len(now):
+            bad = ((one[x] ^ two[y]) & _HEAD[np.minimum(left, 8)]) != 0
+            out[now[bad]] = True
+            more = (left > 8) & ~bad
+            now, left, x, y = now[more], left[more] - 8, x[more] + 8, y[more] + 8
     return out
 
 
+def distinct(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different spans by ascending fingerprint: their fingerprints, one place each, and for each span its number among them.
+
+    Spans are compared byte for byte, so two texts of one fingerprint stay apart (the later ones come at the end).
+    """
+    keys, first, back = np.unique(spans_hash(data, a, b), return_index=True, return_inverse=True)
+    bad = np.flatnonzero(spans_differ(data, a, b, data, a[first][back], b[first][back]))
+    if len(bad):
+        extra: dict[bytes, int] = {}
+        for k in bad.tolist():
+            back[k] = extra.setdefault(data[a[k] : b[k]].tobytes(), len(first) + len(extra))
+        of = np.unique(back[bad], return_index=True)[1]
+        keys, first = np.concatenate([keys, spans_hash(data, a[bad[of]], b[bad[of]])]), np.concatenate([first, bad[of]])
+    return keys, first, back
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``."""
     flag = np.empty(len(data) + 2, bool)
@@ -115,6 +159,12 @@ def window_docs(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return first + np.arange(len(doc)), doc
 
 
+def ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices lo[0] .. lo[0] + size[0] - 1, lo[1] .., one after another."""
+    end = np.cumsum(size)
+    return np.repeat(lo - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
 def blob(column: pa.Array) -> list[memoryview]:
     """The UTF-8 bytes of each value of a string or binary column; null gives none."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
