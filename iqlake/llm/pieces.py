@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 Text is cut into units that no piece can span: a run of spaces with what follows it, and every tab and newline alone. The
-distinct units of the whole table are segmented once: their substrings of bounded length are exploded and joined to the
+distinct units of the whole table are segmented once: their substrings of bounded length are exploded and equi-joined to the
 piece table (a vocabulary, broadcast under a checked bound), which gives the edges of each unit's lattice; the edges are
-grouped by unit and folded with a higher-order ``aggregate``. The grouping needs no shuffle, as units are already dealt by
-key. A unigram model's fold is Viterbi; a BPE model's fold applies the best-scored edge between two neighbours, leftmost
-first, until none is left, as Viterbi over the scores of a BPE model is not its segmentation. Chunks of documents then ask
-for the ids of their units.
+grouped by unit and folded from left to right with a higher-order ``aggregate`` that keeps one state, with its back pointer,
+for each boundary. The grouping needs no shuffle, as units are already dealt. Chunks of documents then fetch the ids of
+their units.
+
+The fold is Viterbi. For a unigram model an edge relaxes the state of its end if its score is better. A BPE model's own
+segmentation is not that of the best sum of scores, so its relaxation is another: an edge may follow the last edge of the
+state where it starts if no merge would have crossed the boundary between the two first. A segmentation is the model's if
+and only if that holds for each two neighbours, so exactly one edge into each boundary passes, and the path is the model's.
+When a merge happens inside a piece is known from the piece alone (``spines``); a crossing merge is an edge of the lattice.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,19 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iqlake.llm.chunks import ask, bounds_of, chunk_parts, make_chunks, total_bytes, with_answers
+from iqlake.llm.chunks import ask, by_bucket, chunk_parts, make_chunks, total_bytes, with_answers
 from iqlake.llm.common import Scratch
 from iqlake.llm.substring import _columns
-from iqlake.llm.textcore import U, Texts, spans_hash
+from iqlake.llm.textcore import Texts, distinct, ragged, spans_hash
 
 SPACE = "▁"
-#: Units of more characters are folded outside the bit mask, by the same rule with a heap.
-MASK = 62
 MOST_PIECES = 1 << 20
-PER_BUCKET = 24 << 20
-KEEP_KEYS = 4_000_000
-#: Text whose distinct units make one partition, and units whose edges a task groups by hash; beyond it Spark sorts them.
-PER_PARTITION, HASHED_UNITS = 1 << 20, 50_000
+#: The rank of a merge that never happens.
+NEVER = (1 << 31) - 1
+#: Edges of a block of the fold, and steps of a block of its way back.
+EDGES, STEPS = 64, 256
+#: Text whose units one bucket answers.
+PER_BUCKET = 16 << 20
+#: Bytes of distinct units in a partition, and units whose edges a task groups by hash; beyond it Spark sorts them.
+PER_PARTITION, HASHED_UNITS, MOST_PARTITIONS = 1 << 18, 50_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -77,78 +83,133 @@ class Model:
         return [bytes([of_byte[i]]) if i in of_byte else b" \xe2\x81\x87 " if k == 2 else p.replace(SPACE, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
 
 
+def spines(model: Model) -> dict[str, tuple[list[int], list[int]]]:
+    """For each piece that a BPE model reaches: by length of a prefix, and of a suffix, the rank of the merge that ends it.
+
+    A prefix counts if it is a symbol at some time while the piece is built (the piece itself is never ended); 0 elsewhere.
+    """
+    plain = model.plain()
+    order = {s: k + 1 for k, s in enumerate(sorted({model.scores[i] for i in plain.values()}, reverse=True))}
+    rank = {p: order[model.scores[i]] for p, i in plain.items()}
+    out: dict[str, tuple[list[int], list[int]]] = {}
+    for piece in plain:
+        left, right = [0] * len(piece), [0] * len(piece)
+        parts, last = [(k, k + 1) for k in range(len(piece))], 0
+        while len(parts) > 1:
+            best = min(((rank[piece[x[0] : y[1]]], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if piece[x[0] : y[1]] in rank), default=None)
+            if best is None:
+                break
+            r, k = best
+            if r < last:
+                raise ValueError("merges of a piece are not in the order of their scores")
+            last = r
+            if k == 0:
+                left[parts[0][1] - 1] = r
+            if k == len(parts) - 2:
+                right[len(piece) - parts[-1][0] - 1] = r
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+        if len(parts) == 1:
+            left[-1] = right[-1] = NEVER
+            out[piece] = left, right
+    return out
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(p, i, model.scores[i]) for p, i in model.plain().items()]
-    if len(rows) > MOST_PIECES:
+    """(piece, id, rank or score, and for BPE the spines)."""
+    plain = model.plain()
+    if len(plain) > MOST_PIECES:
         raise ValueError("the piece table is too large to broadcast")
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    if not model.bpe:
+        return spark.createDataFrame(pd.DataFrame({"piece": list(plain), "id": list(plain.values()), "score": [model.scores[i] for i in plain.values()]}), "piece string, id int, score double")
+    order = {s: k + 1 for k, s in enumerate(sorted({model.scores[i] for i in plain.values()}, reverse=True))}
+    rows = [(p, plain[p], order[model.scores[plain[p]]], left, right) for p, (left, right) in spines(model).items()]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank", "left", "right"]), "piece string, id int, rank int, left array<int>, right array<int>")
+
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though lambdas in it read it many times."""
+    return F.transform(F.array(value), use)[0]
 
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
+def _follows(prev: Column, e: Column, near: Column) -> Column:
+    """Whether edge ``e`` may follow the last edge of ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
 
-def _inside(e: Column, mask: Column) -> Column:
-    """Boundaries of ``mask`` strictly within an edge."""
-    return F.call_function("shiftleft", _bit(e["j"] - e["i"] - 1) - 1, e["i"] + 1).bitwiseAND(mask)
+    def crosses(c: Column) -> Column:
+        inside = (c["i"] < e["i"]) & (c["j"] > e["i"]) & (c["i"] >= prev["i"]) & (c["j"] <= e["j"])
+        return inside & (c["rank"] < F.get(prev["right"], e["i"] - c["i"] - 1)) & (c["rank"] <= F.get(e["left"], c["j"] - e["i"] - 1))
 
+    return (e["i"] == 0) | ~F.exists(near, crosses)
 
-def _ends(e: Column, mask: Column) -> Column:
-    return (mask.bitwiseAND(_bit(e["i"])) != 0) & (mask.bitwiseAND(_bit(e["j"])) != 0)
 
+def fold(edges: Column, n: Column, longest: int, bpe: bool) -> Column:
+    """The path through ``edges`` (structs j, i, id, c and rank, left, right or score; ascending by j, i) of a unit of ``n`` characters.
 
-def fold_bpe(edges: Column, n: Column) -> Column:
-    """Bit mask of the boundaries that are left; ``edges`` (s, i, j, id) by falling score, then place."""
-    start = _bit(n + 1) - 1
+    States of boundaries are kept for as long as an edge may start there; what is behind moves on to ``done`` a block at a
+    time, so that a long unit costs no more a character than a short one (but for the copies of ``done``, one a block).
+    """
+    kept = "i", "id", "c", ("right" if bpe else "score")
+    none = "cast(array() as array<int>) AS right" if bpe else "cast(0 as double) AS score"
+    first = F.expr(f"array(struct(-1 AS i, -1 AS id, cast(null as string) AS c, {none}))")
+    start = F.struct(F.expr("cast(array() as array<struct<i: int, id: int, c: string>>)").alias("done"), first.alias("tail"), F.lit(0).alias("base"))
+    behind, ahead = longest * longest, 2 * longest * longest
+
+    def block(state: Column, b: Column) -> Column:
+        base = state["base"]
+
+        def relax(near: Column) -> Column:
+            def step(tail: Column, e: Column) -> Column:
+                known = F.size(tail) > e["j"] - base
+                prev = F.get(tail, e["i"] - base)
+                new = F.struct(*[e[k].alias(k) for k in kept])
+                if bpe:
+                    return F.when(known, tail).when(_follows(prev, e, near), F.array_append(tail, new)).otherwise(tail)
+                scored = F.struct(*[e[k].alias(k) for k in kept[:-1]], (prev["score"] + e["score"]).alias("score"))
+                better = prev["score"] + e["score"] > F.get(tail, F.size(tail) - 1)["score"]
+                return F.when(~known, F.array_append(tail, scored)).when(better, F.array_append(F.slice(tail, 1, F.size(tail) - 1), scored)).otherwise(tail)
 
-    def step(mask: Column, _: Column) -> Column:
-        def test(found: Column, e: Column) -> Column:
-            m = _inside(e, mask)
-            return F.when(found != 0, found).when((m != 0) & (m.bitwiseAND(m - 1) == 0) & _ends(e, mask), m).otherwise(F.lit(0).cast("long"))
+            return F.aggregate(F.slice(edges, b * EDGES + 1, F.lit(EDGES)), state["tail"], step)
 
-        return mask.bitwiseXOR(F.aggregate(edges, F.lit(0).cast("long"), test))
+        def moved(tail: Column) -> Column:
+            gone = F.greatest(F.lit(0), F.size(tail) - (longest + 1))
+            out = F.transform(F.slice(tail, F.lit(1), gone), lambda x: F.struct(*[x[k].alias(k) for k in kept[:-1]]))
+            return F.struct(F.concat(state["done"], out).alias("done"), F.slice(tail, gone + 1, F.lit(longest + 1)).alias("tail"), (base + gone).alias("base"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n - 1, F.size(edges)))), start, step)
+        near = F.slice(edges, F.greatest(F.lit(1), b * EDGES + 1 - behind), F.lit(EDGES + ahead)) if bpe else F.lit(0)
+        return _bound(_bound(near, relax), moved)
 
+    blocks = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / EDGES).cast("int"))
+    end = lambda s: F.concat(s["done"], F.transform(s["tail"], lambda x: F.struct(*[x[k].alias(k) for k in kept[:-1]])))
+    return _bound(F.aggregate(blocks, start, block, end), lambda states: _path(states, n))
 
-def fold_viterbi(edges: Column, n: Column) -> Column:
-    """Bit mask of the best path's boundaries; ``edges`` (i, j, s) ascending by i. Ties go to the edge that comes first."""
-    low = F.lit(-1e300)
-    start = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(F.when(k == 0, 0.0).otherwise(low).alias("s"), F.lit(-1).alias("b")))
 
-    def relax(best: Column, e: Column) -> Column:
-        s = F.element_at(best, e["i"] + 1)["s"] + e["s"]
-        return F.when(s > F.element_at(best, e["j"] + 1)["s"], F.transform(best, lambda x, k: F.when(k == e["j"], F.struct(s.alias("s"), e["i"].alias("b"))).otherwise(x))).otherwise(best)
+def _path(states: Column, n: Column) -> Column:
+    """Follows the back pointers from the last boundary; (id, c) of each edge, first to last."""
+    empty = F.expr("cast(array() as array<struct<id: int, c: string>>)")
 
-    best = F.aggregate(edges, start, relax)
+    def back(s: Column, _: Column) -> Column:
+        at = F.get(states, s["at"])
+        return F.when(s["at"] <= 0, s).otherwise(F.struct(at["i"].alias("at"), F.array_append(s["path"], F.struct(at["id"].alias("id"), at["c"].alias("c"))).alias("path")))
 
-    def back(state: Column, _: Column) -> Column:
-        at = state["at"]
-        return F.when(at <= 0, state).otherwise(F.struct(F.element_at(best, at + 1)["b"].alias("at"), state["mask"].bitwiseOR(_bit(F.element_at(best, at + 1)["b"])).alias("mask")))
+    def some(s: Column, _: Column) -> Column:
+        one = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(STEPS))), F.struct(s["at"].alias("at"), empty.alias("path")), back)
+        return F.when(s["at"] <= 0, s).otherwise(_bound(one, lambda x: F.struct(x["at"].alias("at"), F.concat(s["path"], x["path"]).alias("path"))))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), _bit(n).alias("mask")), back, lambda s: s["mask"])
+    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int")), F.struct(n.alias("at"), empty.alias("path")), some, lambda s: F.reverse(s["path"]))
 
 
 def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
-    """(key, ids) of ``units`` (key, unit), unit of at most MASK characters."""
+    """(unit, ids) of distinct ``units``, of any length but not empty; dealt by unit, they are not shuffled again."""
     spark = units.sparkSession
     longest = max(map(len, model.plain()))
-    n = F.char_length("unit")
-    starts = units.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    subs = starts.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("n"), F.col("i") + longest))))
-    subs = subs.select("key", "n", "i", "j", F.substring("unit", F.col("i") + 1, F.col("j") - F.col("i")).alias("sub"))
+    ends = units.withColumn("n", F.char_length("unit")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    spans = ends.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - longest), F.col("j") - 1)))
+    subs = spans.select("unit", "n", "i", "j", F.substring("unit", F.col("i") + 1, F.col("j") - F.col("i")).alias("sub"))
     found = subs.join(F.broadcast(piece_table(spark, model)), F.col("sub") == F.col("piece"), "left").filter((F.col("j") == F.col("i") + 1) | F.col("id").isNotNull())
-    spare = F.when(F.col("id").isNull(), F.col("sub"))
-    # An unknown character scores below any path of pieces.
-    worst = min(model.scores) - 10.0
-    edge = F.struct((-F.coalesce("score", F.lit(worst))).alias("s"), "i", "j", F.coalesce("id", F.lit(-1)).alias("id"), spare.alias("c"))
-    grouped = found.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
-    if model.bpe:
-        wide = F.array_sort(F.filter("edges", lambda e: e["j"] > e["i"] + 1))
-        masked = grouped.withColumn("wide", wide).withColumn("mask", fold_bpe(F.col("wide"), F.col("n")))
-    else:
-        by_start = F.array_sort(F.transform("edges", lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"), (-e["s"]).alias("s"))))
-        masked = grouped.withColumn("wide", by_start).withColumn("mask", fold_viterbi(F.col("wide"), F.col("n")))
+    # An unknown character merges with nothing, and scores below any path of pieces.
+    none = F.array(F.lit(NEVER))
+    rest = [F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("left", none).alias("left"), F.coalesce("right", none).alias("right")] if model.bpe else [F.coalesce("score", F.lit(min(model.scores) - 10.0)).alias("score")]
+    edge = F.struct("j", "i", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNull(), F.col("sub")).alias("c"), *rest)
+    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     bytes_ = model.byte_ids()
     first_byte = bytes_[0] if bytes_ else 0
     if bytes_ and bytes_ != list(range(first_byte, first_byte + 256)):
@@ -159,85 +220,16 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
         one = F.transform(F.sequence(F.lit(0), F.octet_length(e["c"]) - 1), lambda b: F.conv(F.substring(hexed, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte) if bytes_ else F.array(F.lit(model.unknown))
         return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(one)
 
-    left = F.filter("edges", lambda e: _ends(e, F.col("mask")) & (_inside(e, F.col("mask")) == 0))
-    path = F.array_sort(F.transform(left, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id"), e["c"].alias("c"))))
-    return masked.select("key", F.flatten(F.transform(path, spelled)).alias("ids"))
-
-
-def heap_bpe(unit: str, model: Model, plain: dict[str, int]) -> list[int]:
-    """The BPE fold of one long unit: best score, then leftmost, by a heap over neighbours."""
-    n = len(unit)
-    nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap: list[tuple[float, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = nxt[a]
-        if b < n:
-            got = plain.get(unit[a : end[b]]) if end[b] - a <= 64 else None
-            if got is not None:
-                heapq.heappush(heap, (-model.scores[got], a, b, end[b]))
-
-    for k in range(n - 1):
-        offer(k)
-    while heap:
-        _, a, b, e = heapq.heappop(heap)
-        if not (alive[a] and b < n and alive[b] and nxt[a] == b and end[b] == e and end[a] == b):
-            continue
-        alive[b], end[a], nxt[a] = False, e, nxt[b]
-        if nxt[a] < n:
-            prv[nxt[a]] = a
-        if prv[a] >= 0:
-            offer(prv[a])
-        offer(a)
-    return [i for k in range(n) if alive[k] for i in _ids_of(unit[k : end[k]], model, plain)]
-
-
-def _ids_of(part: str, model: Model, plain: dict[str, int]) -> list[int]:
-    got = plain.get(part)
-    if got is not None:
-        return [got]
-    table = model.byte_ids()
-    return [table[b] for b in part.encode()] if table else [model.unknown]
-
-
-def long_viterbi(unit: str, model: Model, plain: dict[str, int]) -> list[int]:
-    """Viterbi of one long unit, edge by edge in the order of the short fold."""
-    n, longest, worst = len(unit), max(map(len, plain)), min(model.scores) - 10.0
-    best, back = [0.0] + [-1e300] * n, [-1] * (n + 1)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + longest) + 1):
-            got = plain.get(unit[i:j])
-            if got is not None or j == i + 1:
-                s = best[i] + (model.scores[got] if got is not None else worst)
-                if s > best[j]:
-                    best[j], back[j] = s, i
-    cuts = [n]
-    while cuts[-1] > 0:
-        cuts.append(back[cuts[-1]])
-    cuts.reverse()
-    return [i for a, b in zip(cuts, cuts[1:]) for i in _ids_of(unit[a:b], model, plain)]
-
-
-def unit_ids(units: DataFrame, path: str, model: Model) -> DataFrame:
-    """(key, ids) of all ``units``: short ones by the lattice, long ones by the same fold off the mask."""
-    short = lattice_ids(units.filter(F.char_length("unit") <= MASK), model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.load(path)
-        plain = own.plain()
-        for batch in batches:
-            fold = heap_bpe if own.bpe else long_viterbi
-            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "ids": pa.array([fold(u, own, plain) for u in batch.column(1).to_pylist()], pa.list_(pa.int32()))})
-
-    return short.union(units.filter(F.char_length("unit") > MASK).mapInArrow(run, "key long, ids array<int>"))
+    path = fold(F.col("edges"), F.col("n"), longest, model.bpe)
+    ids = _bound(path, lambda p: F.when(F.exists(p, lambda e: e["id"] < 0), F.flatten(F.transform(p, spelled))).otherwise(F.transform(p, lambda e: e["id"])))
+    return grouped.select("unit", ids.alias("ids"))
 
 
 class Units:
     """The units of some documents: bounds in ``t.data`` and where each document's begin (and the end)."""
 
     def __init__(self, parts: list) -> None:
-        self.t = Texts([b" " + bytes(p).replace("▁".encode(), b" ") if len(p) else b"" for p in parts])
+        self.t = Texts([b" " + bytes(p).decode("utf-8", "replace").encode().replace("▁".encode(), b" ") if len(p) else b"" for p in parts])
         d = self.t.data
         space, control = d == 32, (d == 9) | (d == 10)
         new = np.zeros(len(d), bool)
@@ -251,14 +243,51 @@ class Units:
         self.b = edge[np.searchsorted(edge, self.a, "right")]
         self.at = np.searchsorted(self.a, self.t.starts)
 
-    def keys(self) -> np.ndarray:
-        return spans_hash(self.t.data, self.a, self.b)
-
-
-def ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices lo[0] .. lo[0] + size[0] - 1, lo[1] .., one after another."""
-    end = np.cumsum(size)
-    return np.repeat(lo - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+    def distinct(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Different units by bucket and spelling, where each bucket's begin (and the end), and each unit's number among them."""
+        keys, first, back = distinct(self.t.data, self.a, self.b)
+        spelled = [self.t.raw[a:b] for a, b in zip(self.a[first].tolist(), self.b[first].tolist(), strict=True)]
+        order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
+        bucket = bucket_of(keys, buckets)[order]
+        order = order[np.argsort(bucket, kind="stable")]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return [spelled[k] for k in order.tolist()], np.searchsorted(np.sort(bucket), np.arange(buckets + 1)), place[back]
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    edge = ((np.arange(1, buckets, dtype=object) << 64) // buckets).astype(np.uint64)
+    return np.searchsorted(edge, keys, "right")
+
+
+def packed_lists(*lists: np.ndarray | list[bytes]) -> bytes:
+    """Arrays of numbers, and lists of bytes with their lengths, compressed."""
+    parts: list[bytes] = []
+    for x in lists:
+        if isinstance(x, list):
+            parts += [np.array([len(x), *map(len, x)], "<u4").tobytes(), b"".join(x)]
+        else:
+            kind = next(k for k in ("<u1", "<u2", "<u4") if x.max(initial=0) <= np.iinfo(k).max)
+            parts += [np.array([len(x), int(kind[2])], "<u4").tobytes(), x.astype(kind).tobytes()]
+    raw = b"".join(parts)
+    return np.array([len(raw)], "<u4").tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpacked_lists(blob: bytes, *kinds: type) -> list:
+    raw = pa.Codec("zstd").decompress(memoryview(blob)[4:], int(np.frombuffer(blob[:4], "<u4")[0]), asbytes=True)
+    pos, out = 0, []
+    for kind in kinds:
+        n = int(np.frombuffer(raw, "<u4", 1, pos)[0])
+        if kind is list:
+            size = np.frombuffer(raw, "<u4", n, pos + 4).astype(np.int64)
+            ends = pos + 4 + 4 * n + np.cumsum(size)
+            out.append([raw[e - k : e] for e, k in zip(ends.tolist(), size.tolist(), strict=True)])
+            pos = int(ends[-1]) if n else pos + 4
+        else:
+            wide = int(np.frombuffer(raw, "<u4", 1, pos + 4)[0])
+            out.append(np.frombuffer(raw, f"<u{wide}", n, pos + 8).astype(np.int64))
+            pos += 8 + wide * n
+    return out
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -275,69 +304,61 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     chunks = make_chunks(df.select(id_col, text_col), scratch, id_col, text_col)
     buckets = max(1, -(-total_bytes(chunks) // PER_BUCKET))
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
+    schema = "bucket int, chunk long, units binary, ids binary"
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.empty(0, np.uint64)
-        for batch in batches:
-            for sizes, texts, n_bytes in _columns(batch, "sizes", "texts", "n_bytes"):
-                u = Units(chunk_parts(sizes, texts, n_bytes))
-                keys, first = np.unique(u.keys(), return_index=True)
-                at = np.searchsorted(sent, keys)
-                new = sent[np.minimum(at, len(sent) - 1)] != keys if len(sent) else np.ones(len(keys), bool)
-                sent = np.insert(sent, at[new], keys[new]) if len(sent) < KEEP_KEYS else keys
-                spell = [u.t.raw[a:b].decode("utf-8", "replace").replace(" ", SPACE) for a, b in zip(u.a[first[new]].tolist(), u.b[first[new]].tolist(), strict=True)]
-                for lo in range(0, len(spell), 50_000):
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new][lo : lo + 50_000].view(np.int64)), "unit": pa.array(spell[lo : lo + 50_000], pa.string())})
-
-    # So many partitions that the edges of one's units fit in memory: they are grouped by hash, without a sort that spills.
-    dealt = slim.mapInArrow(distinct, "key long, unit string").repartition(max(1, -(-total_bytes(chunks) // PER_PARTITION)), "key")
-    units = dealt.groupBy("key").agg(F.first("unit").alias("unit"))
-    table = scratch.save(unit_ids(units, path, model), "table", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HASHED_UNITS)})
+    def rows(chunk: int, at: np.ndarray, units: list[bytes], size: np.ndarray | None = None, ids: np.ndarray | None = None) -> pa.RecordBatch:
+        full = np.flatnonzero(np.diff(at) > 0).tolist()
+        end = None if size is None else np.concatenate([[0], np.cumsum(size)])
+        told = [b"" if end is None else packed_lists(size[at[b] : at[b + 1]], ids[end[at[b]] : end[at[b + 1]]]) for b in full]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "units": pa.array([packed_lists(units[at[b] : at[b + 1]]) for b in full], pa.binary()), "ids": pa.array(told, pa.binary())})
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, sizes, texts, n_bytes in _columns(batch, "chunk", "sizes", "texts", "n_bytes"):
-                yield packed(chunk, np.unique(Units(chunk_parts(sizes, texts, n_bytes)).keys()), None, None)
-
-    def packed(chunk: int, keys: np.ndarray, size: np.ndarray | None, ids: np.ndarray | None) -> pa.RecordBatch:
-        at = bounds_of(keys, buckets)
-        full = np.flatnonzero(np.diff(at) > 0)
-        end = np.concatenate([[0], np.cumsum(size)]) if size is not None else None
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "keys": pa.array([keys[at[b] : at[b + 1]].astype("<u8").tobytes() for b in full], pa.binary()),
-            "sizes": pa.array([b"" if size is None else size[at[b] : at[b + 1]].astype("<u4").tobytes() for b in full], pa.binary()),
-            "ids": pa.array([b"" if ids is None else ids[end[at[b]] : end[at[b + 1]]].astype("<u4").tobytes() for b in full], pa.binary()),
-        })
+                units, at, _ = Units(chunk_parts(sizes, texts, n_bytes)).distinct(buckets)
+                yield rows(chunk, at, units)
+
+    def meet(_: int, __: list[int], sent: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = sorted(set().union(*[unpacked_lists(r[0], list)[0] for r in sent]))
+        for lo in range(0, len(names), 50_000):
+            yield pa.RecordBatch.from_pydict({"unit": pa.array([x.decode().replace(" ", SPACE) for x in names[lo : lo + 50_000]], pa.string())})
+
+    units = scratch.save(by_bucket(slim.mapInArrow(asked, schema), buckets, ["units"], meet, "unit string"), "units")
+    # So many partitions that the edges of one's units fit in memory: they are grouped by hash, without a sort that spills.
+    n_bytes = units.agg(F.coalesce(F.sum(F.octet_length("unit")), F.lit(0))).first()[0]
+    dealt = units.repartition(min(MOST_PARTITIONS, max(1, -(-n_bytes // PER_PARTITION))), "unit")
+    table = scratch.save(lattice_ids(dealt, model), "table", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HASHED_UNITS)})
+    scratch.drop("units")
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
-            order = np.argsort(keys)
+            names, lists = [x.encode().replace(SPACE.encode(), b" ") for x in batch.column(0).to_pylist()], batch.column(1)
+            end = np.cumsum([len(x) for x in names])
+            bucket = bucket_of(spans_hash(np.frombuffer(b"".join(names), np.uint8), end - np.array([len(x) for x in names]), end), buckets) if names else np.zeros(0, int)
+            order = np.argsort(bucket, kind="stable")
             off = lists.offsets.to_numpy().astype(np.int64)
             size = np.diff(off)[order]
-            yield packed(-1, keys[order], size, lists.values.to_numpy()[ragged(off[:-1][order], size)])
+            yield rows(-1, np.searchsorted(bucket[order], np.arange(buckets + 1)), [names[k] for k in order.tolist()], size, lists.values.to_numpy()[ragged(off[:-1][order], size)])
 
-    def answer(chunk: list[int], rows: list[tuple]) -> list[np.ndarray]:
-        head = [r for c, r in zip(chunk, rows, strict=True) if c < 0]
-        keys = np.concatenate([np.frombuffer(r[0], "<u8") for r in head])
-        size = np.concatenate([np.frombuffer(r[1], "<u4") for r in head]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(r[2], "<u4") for r in head])
+    def answer(chunk: list[int], sent: list[tuple]) -> list[np.ndarray]:
+        where: dict[bytes, int] = {}
+        sizes, ids = [], []
+        for c, r in zip(chunk, sent, strict=True):
+            if c < 0:
+                where.update(zip(names := unpacked_lists(r[0], list)[0], range(len(where), len(where) + len(names))))
+                one, two = unpacked_lists(r[1], int, int)
+                sizes.append(one)
+                ids.append(two)
+        size, flat = np.concatenate(sizes), np.concatenate(ids)
         lo = np.cumsum(size) - size
-        order = np.argsort(keys)
-        keys, lo, size = keys[order], lo[order], size[order]
         out = []
-        for c, r in zip(chunk, rows, strict=True):
-            if c < 0:
-                out.append(np.zeros(0, np.uint8))
-                continue
-            at = np.searchsorted(keys, np.frombuffer(r[0], "<u8"))
-            n = size[at]
-            out.append(np.frombuffer(np.array([len(n)], "<u4").tobytes() + n.astype("<u2").tobytes() + ids[ragged(lo[at], n)].astype("<u2").tobytes(), np.uint8) if n.max(initial=0) < 65536 and ids.max(initial=0) < 65536 else np.frombuffer(np.array([len(n) | 1 << 31], "<u4").tobytes() + n.astype("<u4").tobytes() + ids[ragged(lo[at], n)].astype("<u4").tobytes(), np.uint8))
+        for c, r in zip(chunk, sent, strict=True):
+            at = np.array([where[x] for x in unpacked_lists(r[0], list)[0]] if c >= 0 else [], np.int64)
+            out.append(np.frombuffer(packed_lists(size[at], flat[ragged(lo[at], size[at])]), np.uint8))
         return out
 
-    schema = "bucket int, chunk long, keys binary, sizes binary, ids binary"
     questions = slim.mapInArrow(asked, schema).union(table.mapInArrow(known, schema))
-    answers = scratch.save(ask(questions, buckets, answer, ["keys", "sizes", "ids"]).filter("chunk >= 0"), "answers")
+    answers = ask(questions, buckets, answer, ["units", "ids"]).filter("chunk >= 0")
     spelled = model.spelled()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,16 +372,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for row, (sizes, texts, n_bytes, told) in enumerate(_columns(batch, "sizes", "texts", "n_bytes", "answers")):
                 parts = chunk_parts(sizes, texts, n_bytes)
                 u = Units(parts)
-                size, ids = [], []
-                for x in sorted(told or [], key=lambda x: x["bucket"]):
-                    head = int(np.frombuffer(x["bits"][:4], "<u4")[0])
-                    kind_, count = ("<u4", head & ~(1 << 31)) if head >> 31 else ("<u2", head)
-                    flat = np.frombuffer(x["bits"][4:], kind_)
-                    size.append(flat[:count].astype(np.int64))
-                    ids.append(flat[count:].astype(np.int32))
-                _, back = np.unique(u.keys(), return_inverse=True)
-                size = np.concatenate(size) if size else np.zeros(0, np.int64)
-                ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                got = [unpacked_lists(x["bits"], int, int) for x in sorted(told or [], key=lambda x: x["bucket"])]
+                size = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
+                ids = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
+                _, _, back = u.distinct(buckets)
                 n = size[back]
                 flat = ids[ragged((np.cumsum(size) - size)[back], n)]
                 end = np.concatenate([[0], np.cumsum(n)])[u.at]
@@ -398,8 +413,3 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     text.__annotations__ = {"ids": pd.Series, "return": pd.Series}
     return df.withColumn(out, F.pandas_udf(text, "string")(ids_col))
 
-
-def key_of(unit: str) -> int:
-    """The key of a unit, for tests."""
-    raw = np.frombuffer(unit.replace(SPACE, " ").encode(), np.uint8)
-    return int(spans_hash(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0]) if len(raw) else int(U(0))

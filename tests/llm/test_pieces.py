@@ -1,22 +1,29 @@
 """The relational lattice against the SentencePiece library and, for Viterbi, against all paths."""
 
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from iqlake.llm import chunks, pieces
 
+def thue_morse(n):
+    """A word and its complement: equal under any polynomial modulo 2 ** 64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def corpus():
     rng = random.Random(2)
     words = ["Hello", "world", "the", "thnding", "eauouon", "ciónée", "日本語", "zzzz", "a", "1999", "naïve,", "x" * 70, "ab" * 60, "é", "😀", "unbelievably", "ha▁ha", "\x00", "__", "<s>", "<0x41>"]
-    texts = ["", " ", "  a  b ", "\n", "a\nb\t c", "▁x", "tail   ", "z" * 3000, "word " * 5000] + ["".join(w + rng.choice([" ", "  ", "\n", " \n ", "\t", ""]) for w in rng.choices(words, k=rng.randint(1, 40))) for _ in range(150)]
+    texts = ["", " ", "  a  b ", "\n", "a\nb\t c", "▁x", "tail   ", "z" * 3000, "word " * 5000, " ".join(thue_morse(1024)), "".join(rng.choice("abehinorst") for _ in range(10_000)), "ab" * 5000, " " * 700 + "x"] + ["".join(w + rng.choice([" ", "  ", "\n", " \n ", "\t", ""]) for w in rng.choices(words, k=rng.randint(1, 40))) for _ in range(150)]
     return list(enumerate(texts)) + [(900, None), (None, "null id"), (3, "\n")]
 
 
@@ -35,6 +42,10 @@ def test_against_the_library(docs, monkeypatch):
     assert pieces.encode(docs([]), PATH).count() == 0
 
 
+def spelled(part, model, plain):
+    return [plain[part]] if part in plain else [model.unknown]
+
+
 def best_path(unit, model):
     """Every segmentation, one by one."""
     plain, worst = model.plain(), min(model.scores) - 10
@@ -43,20 +54,38 @@ def best_path(unit, model):
         head = unit[:k]
         if head in plain or k == 1:
             s, rest = best_path(unit[k:], model)
-            done.append((s + (model.scores[plain[head]] if head in plain else worst), pieces._ids_of(head, model, plain) + rest))
+            done.append((s + (model.scores[plain[head]] if head in plain else worst), spelled(head, model, plain) + rest))
     return max(done, key=lambda x: x[0])
 
 
+def table_path(unit, model):
+    """The best path by a table of boundaries, for units with too many segmentations."""
+    plain, worst = model.plain(), min(model.scores) - 10
+    best = [(0.0, [])] + [(-math.inf, [])] * len(unit)
+    for j in range(1, len(unit) + 1):
+        for i in range(max(0, j - 8), j):
+            head = unit[i:j]
+            if (head in plain or j == i + 1) and best[i][0] + (s := model.scores[plain[head]] if head in plain else worst) > best[j][0]:
+                best[j] = (best[i][0] + s, best[i][1] + spelled(head, model, plain))
+    return best[-1][1]
+
+
 def test_viterbi(spark):
     rng = random.Random(4)
     names = sorted({"".join(rng.choices("▁abc", k=rng.randint(1, 4))).lstrip() for _ in range(40)} | {"a", "b"})
     model = pieces.Model(["<unk>", *names], [0.0, *[-rng.random() * 9 for _ in names]], [2, *[1] * len(names)], False)
-    units = ["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(units)), "key long, unit string")
-    plain = model.plain()
-    for r in pieces.lattice_ids(df, model).collect():
-        assert list(r.ids) == best_path(units[r.key], model)[1]
-        assert list(r.ids) == pieces.long_viterbi(units[r.key], model, plain)
+    units = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(60)})
+    long = ["".join(rng.choices("abcd", k=n)) for n in (90, 700)]
+    df = spark.createDataFrame([(u,) for u in units + long], "unit string")
+    got = {r.unit: list(r.ids) for r in pieces.lattice_ids(df, model).collect()}
+    assert all(got[u] == best_path(u, model)[1] for u in units)
+    assert all(got[u] == table_path(u, model) for u in long)
+
+
+def test_merges_out_of_order_are_refused():
+    model = pieces.Model(["a", "b", "c", "ab", "abc"], [0.0, 0.0, 0.0, -9.0, -3.0], [1] * 5, True)
+    with pytest.raises(ValueError):
+        pieces.spines(model)
 
 
 def test_units_cover_the_text():
@@ -65,6 +94,6 @@ def test_units_cover_the_text():
 
 
 def test_no_shuffle_between_explode_and_fold(spark):
-    units = spark.createDataFrame([(1, "▁a")], "key long, unit string").groupBy("key").agg(F.first("unit").alias("unit"))
+    units = spark.createDataFrame([("▁a",)], "unit string").repartition(3, "unit")
     plan = pieces.lattice_ids(units, pieces.Model.load(PATH))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
