@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-Text is cut into units that no piece can span: a run of spaces with what follows it, and every tab and newline alone. The
-distinct units of the whole table are segmented once: their substrings of bounded length are exploded and equi-joined to the
-piece table (a vocabulary, broadcast under a checked bound), which gives the edges of each unit's lattice; the edges are
-grouped by unit and folded from left to right with a higher-order ``aggregate`` that keeps one state, with its back pointer,
-for each boundary. The grouping needs no shuffle, as units are already dealt. Chunks of documents then fetch the ids of
-their units.
+Text is cut into units that no piece can span: between two characters that are next to each other in no piece. The distinct
+units of the whole table are segmented once: their substrings of bounded length are exploded and equi-joined to the piece
+table (a vocabulary, broadcast under a checked bound), which gives the edges of each unit's lattice; the edges are grouped by
+unit and folded from left to right with a higher-order ``aggregate`` that keeps one state, with its back pointer, for each
+boundary. The grouping needs no shuffle, as units are already dealt. Chunks of documents then fetch the ids of their units.
 
 The fold is Viterbi. For a unigram model an edge relaxes the state of its end if its score is better. A BPE model's own
 segmentation is not that of the best sum of scores, so its relaxation is another: an edge may follow the last edge of the
 state where it starts if no merge would have crossed the boundary between the two first. A segmentation is the model's if
 and only if that holds for each two neighbours, so exactly one edge into each boundary passes, and the path is the model's.
 When a merge happens inside a piece is known from the piece alone (``spines``); a crossing merge is an edge of the lattice.
+
+An edge is one BIGINT: its end, 255 less its length (so that longer edges into a boundary come first), its piece.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SPACE = "▁"
 MOST_PIECES = 1 << 20
 #: The rank of a merge that never happens.
 NEVER = (1 << 31) - 1
+#: The piece of an edge over a character that is no piece.
+UNKNOWN = (1 << 24) - 1
 #: Edges of a block of the fold, and steps of a block of its way back.
 EDGES, STEPS = 64, 256
 #: Text whose units one bucket answers.
@@ -64,11 +67,7 @@ class Model:
             raise ValueError("only the identity normaliser with a dummy prefix is known")
         if m.trainer_spec.model_type not in (1, 2) or m.trainer_spec.treat_whitespace_as_suffix or any(p.type == 4 for p in m.pieces):
             raise ValueError("an unknown kind of model")
-        out = Model([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type == 2, next(i for i, p in enumerate(m.pieces) if p.type == 2))
-        for p in out.plain():
-            if any(c in p for c in "\t\n") or SPACE in p.lstrip(SPACE):
-                raise ValueError("a piece spans units")
-        return out
+        return Model([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type == 2, next(i for i, p in enumerate(m.pieces) if p.type == 2))
 
     def plain(self) -> dict[str, int]:
         return {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 1}
@@ -83,14 +82,18 @@ class Model:
         return [bytes([of_byte[i]]) if i in of_byte else b" \xe2\x81\x87 " if k == 2 else p.replace(SPACE, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
 
 
+def _ranks(model: Model) -> dict[str, int]:
+    plain = model.plain()
+    order = {s: k + 1 for k, s in enumerate(sorted({model.scores[i] for i in plain.values()}, reverse=True))}
+    return {p: order[model.scores[i]] for p, i in plain.items()}
+
+
 def spines(model: Model) -> dict[str, tuple[list[int], list[int]]]:
     """For each piece that a BPE model reaches: by length of a prefix, and of a suffix, the rank of the merge that ends it.
 
     A prefix counts if it is a symbol at some time while the piece is built (the piece itself is never ended); 0 elsewhere.
     """
-    plain = model.plain()
-    order = {s: k + 1 for k, s in enumerate(sorted({model.scores[i] for i in plain.values()}, reverse=True))}
-    rank = {p: order[model.scores[i]] for p, i in plain.items()}
+    plain, rank = model.plain(), _ranks(model)
     out: dict[str, tuple[list[int], list[int]]] = {}
     for piece in plain:
         left, right = [0] * len(piece), [0] * len(piece)
@@ -115,15 +118,36 @@ def spines(model: Model) -> dict[str, tuple[list[int], list[int]]]:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, rank or score, and for BPE the spines)."""
     plain = model.plain()
+    if model.bpe:
+        plain = {p: plain[p] for p in spines(model)}
     if len(plain) > MOST_PIECES:
         raise ValueError("the piece table is too large to broadcast")
+    return spark.createDataFrame(pd.DataFrame({"piece": list(plain), "id": list(plain.values())}), "piece string, id int")
+
+
+def _numbers(values: list, kind: str = "int") -> Column:
+    """A constant array, folded once when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def piece_facts(model: Model) -> Column:
+    """What the fold knows of pieces, by id: scores, or ranks and where a piece's spines begin in the arrays ``left`` and ``right``."""
     if not model.bpe:
-        return spark.createDataFrame(pd.DataFrame({"piece": list(plain), "id": list(plain.values()), "score": [model.scores[i] for i in plain.values()]}), "piece string, id int, score double")
-    order = {s: k + 1 for k, s in enumerate(sorted({model.scores[i] for i in plain.values()}, reverse=True))}
-    rows = [(p, plain[p], order[model.scores[plain[p]]], left, right) for p, (left, right) in spines(model).items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank", "left", "right"]), "piece string, id int, rank int, left array<int>, right array<int>")
+        worst = min(model.scores) - 10.0  # an unknown character scores below any path of pieces
+        return F.struct(_numbers([repr(x) for x in [*model.scores, worst]], "double").alias("score"))
+    ranks, plain, of = _ranks(model), model.plain(), spines(model)
+    rank, start, left, right = [NEVER] * len(model.pieces), [0] * (len(model.pieces) + 1), [], []
+    # The last one stands for an unknown character, which merges with nothing.
+    for piece, i in [*plain.items(), (None, len(model.pieces))]:
+        if piece is None or piece in of:
+            start[i] = len(left)
+            one, two = of[piece] if piece is not None else ([NEVER], [NEVER])
+            left += one
+            right += two
+            if piece is not None:
+                rank[i] = ranks[piece]
+    return F.struct(_numbers(rank).alias("rank"), _numbers(start).alias("start"), _numbers(left).alias("left"), _numbers(right).alias("right"))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -131,64 +155,98 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _follows(prev: Column, e: Column, near: Column) -> Column:
-    """Whether edge ``e`` may follow the last edge of ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
+def _edge(j: Column, size: Column, piece: Column) -> Column:
+    return F.shiftleft(j.cast("long"), 32) + F.shiftleft((255 - size).cast("long"), 24) + piece
+
+
+def _end(e: Column) -> Column:
+    return F.shiftright(e, 32).cast("int")
+
+
+def _size(e: Column) -> Column:
+    return 255 - F.shiftright(e, 24).bitwiseAND(F.lit(255)).cast("int")
 
-    def crosses(c: Column) -> Column:
-        inside = (c["i"] < e["i"]) & (c["j"] > e["i"]) & (c["i"] >= prev["i"]) & (c["j"] <= e["j"])
-        return inside & (c["rank"] < F.get(prev["right"], e["i"] - c["i"] - 1)) & (c["rank"] <= F.get(e["left"], c["j"] - e["i"] - 1))
 
-    return (e["i"] == 0) | ~F.exists(near, crosses)
+def _piece(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(UNKNOWN)).cast("int")
 
 
-def fold(edges: Column, n: Column, longest: int, bpe: bool) -> Column:
-    """The path through ``edges`` (structs j, i, id, c and rank, left, right or score; ascending by j, i) of a unit of ``n`` characters.
+def _slot(e: Column, unknown: int) -> Column:
+    """Where the facts of an edge's piece are."""
+    return F.least(_piece(e), F.lit(unknown))
+
+
+def _follows(prev: Column, e: Column, near: Column, facts: Column, unknown: int) -> Column:
+    """Whether edge ``e`` may follow edge ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
+    at = _end(prev)
+    both = F.struct(at.alias("at"), (at - _size(prev)).alias("low"), _end(e).alias("high"), F.get(facts["start"], _slot(prev, unknown)).alias("right"), F.get(facts["start"], _piece(e)).alias("left"))
+
+    def test(x: Column) -> Column:
+        def crosses(c: Column) -> Column:
+            inside = (c["i"] < x["at"]) & (c["j"] > x["at"]) & (c["i"] >= x["low"]) & (c["j"] <= x["high"])
+            before = c["rank"] < F.get(facts["right"], x["right"] + x["at"] - c["i"] - 1)
+            return inside & before & (c["rank"] <= F.get(facts["left"], x["left"] + c["j"] - x["at"] - 1))
+
+        return ~F.exists(near, crosses)
+
+    return _bound(both, test)
+
+
+def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
+    """The path through the ascending ``edges`` of a unit of ``n`` characters, as edges.
 
     States of boundaries are kept for as long as an edge may start there; what is behind moves on to ``done`` a block at a
     time, so that a long unit costs no more a character than a short one (but for the copies of ``done``, one a block).
     """
-    kept = "i", "id", "c", ("right" if bpe else "score")
-    none = "cast(array() as array<int>) AS right" if bpe else "cast(0 as double) AS score"
-    first = F.expr(f"array(struct(-1 AS i, -1 AS id, cast(null as string) AS c, {none}))")
-    start = F.struct(F.expr("cast(array() as array<struct<i: int, id: int, c: string>>)").alias("done"), first.alias("tail"), F.lit(0).alias("base"))
+    unknown = len(model.pieces)
     behind, ahead = longest * longest, 2 * longest * longest
+    first = F.expr("array(0L)" if model.bpe else "array(struct(0L AS e, cast(0 as double) AS score))")
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("done"), first.alias("tail"), F.lit(0).alias("base"))
+    plain = (lambda x: x) if model.bpe else (lambda x: F.transform(x, lambda y: y["e"]))
+
+    def whole(facts: Column) -> Column:
+        def block(state: Column, b: Column) -> Column:
+            base = state["base"]
 
-    def block(state: Column, b: Column) -> Column:
-        base = state["base"]
+            def relax(near: Column) -> Column:
+                def merged(tail: Column, e: Column) -> Column:
+                    # Longer edges come first; if none of them passes, the single character does.
+                    sure = (_size(e) == 1) | (_end(e) == _size(e))
+                    follows = _follows(F.get(tail, _end(e) - _size(e) - base), e, near, facts, unknown)
+                    return F.when(F.size(tail) > _end(e) - base, tail).when(sure | follows, F.array_append(tail, e)).otherwise(tail)
 
-        def relax(near: Column) -> Column:
-            def step(tail: Column, e: Column) -> Column:
-                known = F.size(tail) > e["j"] - base
-                prev = F.get(tail, e["i"] - base)
-                new = F.struct(*[e[k].alias(k) for k in kept])
-                if bpe:
-                    return F.when(known, tail).when(_follows(prev, e, near), F.array_append(tail, new)).otherwise(tail)
-                scored = F.struct(*[e[k].alias(k) for k in kept[:-1]], (prev["score"] + e["score"]).alias("score"))
-                better = prev["score"] + e["score"] > F.get(tail, F.size(tail) - 1)["score"]
-                return F.when(~known, F.array_append(tail, scored)).when(better, F.array_append(F.slice(tail, 1, F.size(tail) - 1), scored)).otherwise(tail)
+                def scored(tail: Column, e: Column) -> Column:
+                    score = F.get(tail, _end(e) - _size(e) - base)["score"] + F.get(facts["score"], _slot(e, unknown))
+                    new = F.struct(e.alias("e"), score.alias("score"))
+                    known = F.size(tail) > _end(e) - base
+                    better = score > F.get(tail, F.size(tail) - 1)["score"]
+                    return F.when(~known, F.array_append(tail, new)).when(better, F.array_append(F.slice(tail, F.lit(1), F.size(tail) - 1), new)).otherwise(tail)
 
-            return F.aggregate(F.slice(edges, b * EDGES + 1, F.lit(EDGES)), state["tail"], step)
+                return F.aggregate(F.slice(edges, b * EDGES + 1, F.lit(EDGES)), state["tail"], merged if model.bpe else scored)
 
-        def moved(tail: Column) -> Column:
-            gone = F.greatest(F.lit(0), F.size(tail) - (longest + 1))
-            out = F.transform(F.slice(tail, F.lit(1), gone), lambda x: F.struct(*[x[k].alias(k) for k in kept[:-1]]))
-            return F.struct(F.concat(state["done"], out).alias("done"), F.slice(tail, gone + 1, F.lit(longest + 1)).alias("tail"), (base + gone).alias("base"))
+            def moved(tail: Column) -> Column:
+                gone = F.greatest(F.lit(0), F.size(tail) - (longest + 1))
+                return F.struct(F.concat(state["done"], F.slice(plain(tail), F.lit(1), gone)).alias("done"), F.slice(tail, gone + 1, F.lit(longest + 1)).alias("tail"), (base + gone).alias("base"))
 
-        near = F.slice(edges, F.greatest(F.lit(1), b * EDGES + 1 - behind), F.lit(EDGES + ahead)) if bpe else F.lit(0)
-        return _bound(_bound(near, relax), moved)
+            if not model.bpe:
+                return _bound(relax(F.lit(0)), moved)
+            about = F.slice(edges, F.greatest(F.lit(1), b * EDGES + 1 - behind), F.lit(EDGES + ahead))
+            near = F.transform(F.filter(about, lambda e: _size(e) > 1), lambda e: F.struct((_end(e) - _size(e)).alias("i"), _end(e).alias("j"), F.get(facts["rank"], _piece(e)).alias("rank")))
+            return _bound(_bound(near, relax), moved)
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / EDGES).cast("int"))
-    end = lambda s: F.concat(s["done"], F.transform(s["tail"], lambda x: F.struct(*[x[k].alias(k) for k in kept[:-1]])))
-    return _bound(F.aggregate(blocks, start, block, end), lambda states: _path(states, n))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / EDGES).cast("int"))
+        return F.aggregate(blocks, start, block, lambda s: F.concat(s["done"], plain(s["tail"])))
+
+    return _bound(_bound(piece_facts(model), whole), lambda states: _path(states, n))
 
 
 def _path(states: Column, n: Column) -> Column:
-    """Follows the back pointers from the last boundary; (id, c) of each edge, first to last."""
-    empty = F.expr("cast(array() as array<struct<id: int, c: string>>)")
+    """Follows the back pointers from the last boundary; the edges, first to last."""
+    empty = F.expr("cast(array() as array<bigint>)")
 
     def back(s: Column, _: Column) -> Column:
-        at = F.get(states, s["at"])
-        return F.when(s["at"] <= 0, s).otherwise(F.struct(at["i"].alias("at"), F.array_append(s["path"], F.struct(at["id"].alias("id"), at["c"].alias("c"))).alias("path")))
+        e = F.get(states, s["at"])
+        return F.when(s["at"] <= 0, s).otherwise(F.struct((s["at"] - _size(e)).alias("at"), F.array_append(s["path"], e).alias("path")))
 
     def some(s: Column, _: Column) -> Column:
         one = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(STEPS))), F.struct(s["at"].alias("at"), empty.alias("path")), back)
@@ -201,46 +259,66 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) of distinct ``units``, of any length but not empty; dealt by unit, they are not shuffled again."""
     spark = units.sparkSession
     longest = max(map(len, model.plain()))
-    ends = units.withColumn("n", F.char_length("unit")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    spans = ends.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - longest), F.col("j") - 1)))
-    subs = spans.select("unit", "n", "i", "j", F.substring("unit", F.col("i") + 1, F.col("j") - F.col("i")).alias("sub"))
-    found = subs.join(F.broadcast(piece_table(spark, model)), F.col("sub") == F.col("piece"), "left").filter((F.col("j") == F.col("i") + 1) | F.col("id").isNotNull())
-    # An unknown character merges with nothing, and scores below any path of pieces.
-    none = F.array(F.lit(NEVER))
-    rest = [F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("left", none).alias("left"), F.coalesce("right", none).alias("right")] if model.bpe else [F.coalesce("score", F.lit(min(model.scores) - 10.0)).alias("score")]
-    edge = F.struct("j", "i", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNull(), F.col("sub")).alias("c"), *rest)
-    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     bytes_ = model.byte_ids()
     first_byte = bytes_[0] if bytes_ else 0
     if bytes_ and bytes_ != list(range(first_byte, first_byte + 256)):
         raise ValueError("byte pieces must be numbered in order")
+    if longest > 255 or len(model.pieces) >= UNKNOWN:
+        raise ValueError("a piece is too long, or there are too many")
+    ends = units.withColumn("n", F.char_length("unit")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    spans = ends.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.col("j"), F.lit(longest)))))
+    subs = spans.select("unit", "n", "j", "size", F.substring("unit", F.col("j") - F.col("size") + 1, F.col("size")).alias("sub"))
+    found = subs.join(F.broadcast(piece_table(spark, model)), F.col("sub") == F.col("piece"), "left").filter((F.col("size") == 1) | F.col("id").isNotNull())
+    edge = _edge(F.col("j"), F.col("size"), F.coalesce("id", F.lit(UNKNOWN)))
+    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def spelled(e: Column) -> Column:
-        hexed = F.hex(F.encode(e["c"], "UTF-8"))
-        one = F.transform(F.sequence(F.lit(0), F.octet_length(e["c"]) - 1), lambda b: F.conv(F.substring(hexed, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte) if bytes_ else F.array(F.lit(model.unknown))
-        return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(one)
+        c = F.substring("unit", _end(e), F.lit(1))
+        hexed = F.hex(F.encode(c, "UTF-8"))
+        one = F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda b: F.conv(F.substring(hexed, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte) if bytes_ else F.array(F.lit(model.unknown))
+        return F.when(_piece(e) != UNKNOWN, F.array(_piece(e))).otherwise(one)
 
-    path = fold(F.col("edges"), F.col("n"), longest, model.bpe)
-    ids = _bound(path, lambda p: F.when(F.exists(p, lambda e: e["id"] < 0), F.flatten(F.transform(p, spelled))).otherwise(F.transform(p, lambda e: e["id"])))
+    path = fold(F.col("edges"), F.col("n"), model, longest)
+    ids = _bound(path, lambda p: F.when(F.exists(p, lambda e: _piece(e) == UNKNOWN), F.flatten(F.transform(p, spelled))).otherwise(F.transform(p, _piece)))
     return grouped.select("unit", ids.alias("ids"))
 
 
+class Alphabet:
+    """Which characters may be next to each other in a piece."""
+
+    def __init__(self, model: Model) -> None:
+        pairs = {(p[k].replace(SPACE, " "), p[k + 1].replace(SPACE, " ")) for p in model.plain() for k in range(len(p) - 1)}
+        chars = sorted({c for pair in pairs for c in pair})
+        #: The number of a character that is in a pair, else 0.
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        of = {c: k for k, c in enumerate(chars, 1)}
+        self.together = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in pairs:
+            self.together[of[a], of[b]] = True
+
+
 class Units:
     """The units of some documents: bounds in ``t.data`` and where each document's begin (and the end)."""
 
-    def __init__(self, parts: list) -> None:
-        self.t = Texts([b" " + bytes(p).decode("utf-8", "replace").encode().replace("▁".encode(), b" ") if len(p) else b"" for p in parts])
+    def __init__(self, parts: list, alphabet: Alphabet) -> None:
+        self.t = Texts([b" " + bytes(p).decode("utf-8", "replace").encode().replace(SPACE.encode(), b" ") if len(p) else b"" for p in parts])
         d = self.t.data
-        space, control = d == 32, (d == 9) | (d == 10)
-        new = np.zeros(len(d), bool)
-        new[1:] = (space[1:] & ~space[:-1]) | control[1:] | control[:-1]
-        new[self.t.starts[:-1]] = True
-        new[self.t.starts[1:] - 1] = False  # the newline that closes a document
-        self.a = np.flatnonzero(new)
-        last = np.zeros(len(d), bool)
-        last[self.t.starts[1:] - 1] = True
-        edge = np.flatnonzero(new | last)
-        self.b = edge[np.searchsorted(edge, self.a, "right")]
+        place = np.flatnonzero((d & 0xC0) != 0x80)
+        known = alphabet.number[np.frombuffer(self.t.raw.decode().encode("utf-32-le"), "<u4")]
+        new = np.ones(len(place), bool)
+        new[1:] = ~alphabet.together[known[:-1], known[1:]]
+        cut = np.zeros(len(d) + 1, bool)
+        cut[place[new]] = True
+        cut[self.t.starts] = True
+        last = self.t.starts[1:] - 1  # the newline that closes a document
+        cut[last] = True
+        edge = np.flatnonzero(cut)
+        closing = np.zeros(len(d) + 1, bool)
+        closing[last] = True
+        closing[len(d)] = True
+        begins = ~closing[edge]
+        self.a, self.b = edge[begins], edge[np.flatnonzero(begins) + 1]
         self.at = np.searchsorted(self.a, self.t.starts)
 
     def distinct(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -304,6 +382,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     chunks = make_chunks(df.select(id_col, text_col), scratch, id_col, text_col)
     buckets = max(1, -(-total_bytes(chunks) // PER_BUCKET))
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
+    alphabet = Alphabet(model)
     schema = "bucket int, chunk long, units binary, ids binary"
 
     def rows(chunk: int, at: np.ndarray, units: list[bytes], size: np.ndarray | None = None, ids: np.ndarray | None = None) -> pa.RecordBatch:
@@ -315,7 +394,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, sizes, texts, n_bytes in _columns(batch, "chunk", "sizes", "texts", "n_bytes"):
-                units, at, _ = Units(chunk_parts(sizes, texts, n_bytes)).distinct(buckets)
+                units, at, _ = Units(chunk_parts(sizes, texts, n_bytes), alphabet).distinct(buckets)
                 yield rows(chunk, at, units)
 
     def meet(_: int, __: list[int], sent: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +450,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids_at = batch.column(batch.schema.get_field_index(f"c_{id_col}"))
             for row, (sizes, texts, n_bytes, told) in enumerate(_columns(batch, "sizes", "texts", "n_bytes", "answers")):
                 parts = chunk_parts(sizes, texts, n_bytes)
-                u = Units(parts)
+                u = Units(parts, alphabet)
                 got = [unpacked_lists(x["bits"], int, int) for x in sorted(told or [], key=lambda x: x["bucket"])]
                 size = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
                 ids = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)

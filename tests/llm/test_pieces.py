@@ -89,7 +89,8 @@ def test_merges_out_of_order_are_refused():
 
 
 def test_units_cover_the_text():
-    u = pieces.Units([b"a b\nc", b"", b"  x"])
+    alphabet = pieces.Alphabet(pieces.Model([" a", "▁b", "▁▁▁x"], [0.0] * 3, [1] * 3, True))
+    u = pieces.Units([b"a b\nc", b"", b"  x"], alphabet)
     assert [u.t.raw[a:b] for a, b in zip(u.a, u.b)] == [b" a", b" b", b"\n", b"c", b"   x"] and u.at.tolist() == [0, 4, 4, 5]
 
 
