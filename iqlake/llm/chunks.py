@@ -87,6 +87,30 @@ def chunk_texts(sizes: bytes, texts: bytes, n_bytes: int) -> Texts:
     return Texts(chunk_parts(sizes, texts, n_bytes))
 
 
+def chunk_rows(marked: DataFrame, like: DataFrame, text_col: str, gone: str) -> DataFrame:
+    """The rows of chunks, with the columns of ``like``, without those whose places are in the array column ``gone`` (null: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = lambda batch, name: batch.column(batch.schema.get_field_index(name))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes = column(batch, "sizes")[i].as_py()
+                parts = chunk_parts(sizes, column(batch, "texts")[i].as_buffer(), column(batch, "n_bytes")[i].as_py())
+                stays = np.ones(len(parts), bool)
+                stays[column(batch, gone)[i].as_py() or []] = False
+                null = np.frombuffer(sizes, "<i8") < 0
+                out = {}
+                for name in like.columns:
+                    if name == text_col:
+                        out[name] = pa.array([None if z else bytes(p).decode("utf-8", "replace") for p, z, s in zip(parts, null.tolist(), stays.tolist(), strict=True) if s], pa.string())
+                    else:
+                        out[name] = column(batch, f"c_{name}")[i].values.filter(pa.array(stays))
+                yield pa.RecordBatch.from_pydict(out)
+
+    kinds = ["string" if f.name == text_col else f.dataType.simpleString() for f in like.schema.fields]
+    return marked.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(like.columns, kinds, strict=True)))
+
+
 def total_bytes(chunks: DataFrame) -> int:
     return chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 

@@ -48,6 +48,7 @@ class Scratch:
         self.name = f"{name}_{uuid.uuid4().hex}"
         self.root = f"{scratch_root(spark)}/{self.name}"
         self.tables: list[str] = []
+        self.saved: set[str] = set()
         atexit.register(self._last)
 
     def _last(self) -> None:
@@ -59,6 +60,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
         """Writes ``df``, planned under ``conf``, and reads it back."""
         path = f"{self.root}/{name}"
+        self.saved.add(name)
         # A written table needs its shuffle files no more; without this they stay until the driver happens to collect garbage.
         with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **(conf or {})}):
             df.write.option("compression", "zstd").parquet(path)
@@ -73,6 +75,7 @@ class Scratch:
         with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
             df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(min(number, 100_000), key).saveAsTable(table)
         self.tables.append(table)
+        self.saved.add(name)
         return self.spark.table(table)
 
     @contextlib.contextmanager
@@ -89,6 +92,11 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
+    def only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for name in sorted(self.saved - set(names)):
+            self.drop(name)
+
     def drop(self, name: str = "") -> None:
         for t in [t for t in self.tables if not name or t == f"{self.name}_{name}"]:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
@@ -96,6 +104,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.saved.discard(name)
         if not name:
             atexit.unregister(self._last)
 
@@ -108,20 +117,34 @@ def spread_hash(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def dense_ranks(df: DataFrame, key: list[str], order: list[str], rows_per_bucket: int = 16384, rank: str = "rank") -> DataFrame:
+def dense_ranks(df: DataFrame, key: list[str], order: list[str], rows_per_bucket: int = 16384, rank: str = "rank", together: str | None = None) -> DataFrame:
     """Adds a gapless 0-based rank within ``key`` without gathering a key in one task.
 
     A key with many rows is dealt over sub-buckets by a hash of ``order``; rows are ranked inside a sub-bucket and shifted by
     the sizes of the sub-buckets before it. ``order`` should tell rows apart; equal rows get distinct ranks in any order.
-    Needs a ``df`` that reads the same twice (a written table).
+    With ``together`` (a column that decides ``key``) its equal values get consecutive ranks: sub-buckets are ranges of its
+    hash, and a value with more rows than a sub-bucket holds has sub-buckets of its own. Needs a ``df`` that reads the same
+    twice (a written table).
     """
     total = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_total")).select(*key, F.greatest(F.lit(1), F.ceil(F.col("_total") / rows_per_bucket)).cast("long").alias("_n"))
-    dealt = _same(df, total, key).withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(7)), F.col("_n")))
-    counts = dealt.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select(*key, "_b", (F.sum("_c").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_c")).alias("_before"))
-    within = Window.partitionBy(*key, "_b").orderBy(F.xxhash64(*[F.col(c) for c in order]), *[F.col(c) for c in order])
+    mixed = F.xxhash64(*[F.col(c) for c in order], F.lit(7))
+    bucket = ["_b", "_v", "_w"]
+    if together is None:
+        dealt = _same(df, total, key).withColumns({"_b": F.pmod(mixed, F.col("_n")), "_v": F.lit(0).cast("long"), "_w": F.lit(0).cast("long")})
+        first = []
+    else:
+        value = F.xxhash64(F.col(together), F.lit(9))
+        many = df.groupBy(together).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > rows_per_bucket).withColumn("_p", F.ceil(F.col("_c") / rows_per_bucket).cast("long"))
+        dealt = _same(split_join(df, many.select(together, "_p"), together, "left", hottest(many, together, "_c")), total, key)
+        own = F.col("_p").isNotNull()
+        dealt = dealt.withColumns({"_b": F.shiftright(F.shiftrightunsigned(value, 33) * F.col("_n"), 31), "_v": F.when(own, value), "_w": F.when(own, F.pmod(mixed, F.col("_p")))}).drop("_p")
+        dealt = dealt.fillna(0, ["_v", "_w"])
+        first = [value]
+    counts = dealt.groupBy(*key, *bucket).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select(*key, *bucket, (F.sum("_c").over(Window.partitionBy(*key).orderBy(*bucket)) - F.col("_c")).alias("_before"))
+    within = Window.partitionBy(*key, *bucket).orderBy(*first, F.xxhash64(*[F.col(c) for c in order]), *[F.col(c) for c in order])
     ranked = dealt.withColumn("_r", F.row_number().over(within) - 1)
-    return _same(ranked, before, [*key, "_b"]).withColumn(rank, (F.col("_r") + F.col("_before")).cast("long")).drop("_r", "_before", "_b", "_n")
+    return _same(ranked, before, [*key, *bucket]).withColumn(rank, (F.col("_r") + F.col("_before")).cast("long")).drop("_r", "_before", "_n", *bucket)
 
 
 def _same(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -134,6 +157,30 @@ def _same(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.join(named, cond).drop(*[f"_k_{c}" for c in key])
 
 
+#: Keys that a split join may broadcast, and rows that make a key worth it.
+HOT_KEYS, HOT_ROWS = 512, 64
+
+
+def hottest(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """At most HOT_KEYS keys, those with the largest ``count``."""
+    return rows.filter(F.col(count) >= HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS).select(key)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once, without gathering a frequent key's rows in one task.
+
+    The rows of ``right`` for the most frequent keys of ``left`` (at most HOT_KEYS, whatever the input) are broadcast; the
+    others are shuffled, and none of them has more than 1 / HOT_KEYS of the rows. Needs a ``left`` that reads the same twice.
+    """
+    if hot is None:
+        hot = hottest(left.groupBy(key).agg(F.count(F.lit(1)).alias("_c")), key, "_c")
+    known = right.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
+    marked = left.join(F.broadcast(known), key, "left")
+    common = marked.filter("_hot").drop("_hot")
+    rest = marked.filter("_hot is null").select(*left.columns).join(right, key, how)
+    return common.unionByName(rest)
+
+
 def need(df: DataFrame, **kinds: type | tuple) -> None:
     for name, kind in kinds.items():
         got = df.schema[name].dataType

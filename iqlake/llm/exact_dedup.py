@@ -10,7 +10,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.llm.common import Scratch, sha256_hex
@@ -20,6 +20,30 @@ from iqlake.llm.common import Scratch, sha256_hex
 HEAVY, COUNTERS, FAN_IN = 512, 2048, 256
 
 
+def _winners(rows: DataFrame, heavy: int, counters: int) -> DataFrame:
+    """(d, keep_id, group_size) of frequent digests of ``rows`` (id, d), at most ``heavy`` of them, verified by exact counts."""
+    # Sketches of partitions meet in a tree, so that no task merges those of the whole table.
+    leaves = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("leaf")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(d), {counters})").alias("s"))
+    sketch = leaves.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {heavy})").alias("top"))
+    often = sketch.select(F.explode("top").alias("t")).filter("t.count > 1").select(F.col("t.item").alias("item"))
+    return _groups(rows.join(F.broadcast(often), F.xxhash64("d") == F.col("item"), "left_semi"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("d").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def _verdicts(rows: DataFrame, digests: DataFrame, scratch: Scratch, heavy: int, counters: int) -> DataFrame:
+    """``rows``, which have a digest d, with keep_id and group_size of their group in ``digests`` (id, d)."""
+    winners = scratch.save(_winners(digests, heavy, counters), "winners")
+    marked = rows.join(F.broadcast(winners), "d", "left")
+    common = marked.filter("group_size is not null")
+    rare = marked.filter("group_size is null").select(*rows.columns)
+    # Counted map-side; what is not frequent meets its group's count in a join whose larger partitions can be split.
+    groups = _groups(digests.join(F.broadcast(winners), "d", "left_anti"))
+    return common.unionByName(rare.join(groups, "d"))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
     """One row for each row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
@@ -28,28 +52,22 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     counts in group_size. An empty table gives an empty result. Other columns of ``df`` are not read, so their names can't
     clash.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "exact")
-    digests = scratch.save(df.select(F.col(id_col).alias("id"), sha256_hex(F.col(text_col)).alias("text_sha256")).withColumn("d", F.unhex("text_sha256")), "digests").select("id", "d")
-    # Sketches of partitions meet in a tree, so that no task merges those of the whole table.
-    key = F.xxhash64("d")
-    leaves = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("leaf")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(d), {counters})").alias("s"))
-    sketch = leaves.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {heavy})").alias("top"))
-    often = sketch.select(F.explode("top").alias("t")).filter("t.count > 1").select(F.col("t.item").alias("item"))
-    winners = digests.join(F.broadcast(often), key == F.col("item"), "left_semi").groupBy("d").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    winners = scratch.save(winners.coalesce(1), "winners")
-    marked = digests.join(F.broadcast(winners), "d", "left")
-    common = marked.filter(F.col("group_size").isNotNull())
-    group = Window.partitionBy("d")
-    rare = marked.filter(F.col("group_size").isNull()).select("d", "id", F.max("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
-    out = common.select("d", "id", "keep_id", "group_size").union(rare)
+    scratch = Scratch(df.sparkSession, "exact")
+    digests = scratch.save(df.select(F.col(id_col).alias("id"), F.unhex(sha256_hex(F.col(text_col))).alias("d")), "digests")
+    out = _verdicts(digests, digests, scratch, heavy, counters)
     out = scratch.keep(out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("d")).alias("text_sha256")))
     scratch.drop()
     return out
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw: int) -> DataFrame:
-    """``df`` without the rows that lose, its columns unchanged; rows with a null id stay only if their group has no other."""
-    verdict = exact_dedup(df, id_col, text_col, **kw)
-    kept = verdict.filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, counters: int = COUNTERS) -> DataFrame:
+    """``df`` without the rows that lose, its columns unchanged.
+
+    A row is judged by its own text and id: it stays if its id is the largest of the rows with its text (null is smallest),
+    whatever other texts have that id. Rows that repeat both id and text stay or go together. Columns may have any names.
+    """
+    scratch = Scratch(df.sparkSession, "copies")
+    digest = F.unhex(sha256_hex(F.col(f"`{text_col}`")))
+    digests = scratch.save(df.select(F.col(f"`{id_col}`").alias("id"), digest.alias("d")), "digests")
+    whole = df.select(digest.alias("d"), F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return _verdicts(whole, digests, scratch, heavy, counters).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")

@@ -1,10 +1,12 @@
 """Main-text extraction by scoring the tree of a page.
 
 A page becomes a tree of elements with the text blocks they hold. Each block passes points, for its length and commas, to
-its ancestors, less to each higher one; a container's points are discounted by its share of link text. The best container
+its nearest ancestors, less to each higher one; a container's points are discounted by its share of link text. The best container
 and those siblings that look like it are kept, and their blocks read in page order. Parts that are never main text
 (scripts, menus, adverts, forms, reader comments and so on) are pruned with everything in them.
 
+White space is what Python's ``str.split`` splits at (U+0085, U+00A0 and U+001C to U+001F, too).
+
 One linear pass reads the markup as browsers do: unclosed paragraphs end at the next block, an unfinished tag at the end of a
 cut page is dropped, raw text elements end at their own end tag only.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +39,8 @@ OWN = frozenset("html body main article".split())
 START = {"article": 25, "main": 25, "section": 5, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3}
 #: Never a container; only one if blocks are in it.
 LEAVES, CELLS = frozenset("p h1 h2 h3 h4 h5 h6 tr caption figcaption legend summary".split()), frozenset("li td th dd dt".split())
+#: How far up a block's points go; beyond it the share is below a twentieth.
+LEVELS = 6
 #: Start tags that end an open element of the listed kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -79,6 +84,7 @@ def parse(page: str) -> Node:
     """The tree of a page; pruned parts are left out."""
     root = Node("html", None, False)
     at, run, links, link_depth, articles = root, [], 0, 0, 0
+    still: Counter[str] = Counter()  # open elements by name, so that a stray end tag costs no walk
     pos, end = 0, len(page)
 
     def close() -> None:
@@ -91,6 +97,10 @@ def parse(page: str) -> Node:
             run.clear()
             links = 0
 
+    def leave(node: Node) -> Node:
+        still[node.tag] -= 1
+        return node.parent
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         stop = m.start() if m else end
@@ -118,33 +128,31 @@ def parse(page: str) -> Node:
                 if tag in BLOCK:
                     close()
                     if at.tag == "p":
-                        at = at.parent
+                        at = leave(at)
                     if tag in ENDS and at.tag in ENDS[tag]:
-                        at = at.parent
+                        at = leave(at)
                         if tag == "tr" and at.tag == "tr":
-                            at = at.parent
+                            at = leave(at)
                 if tag in VOID or tag in ("html", "body"):
                     continue
                 node = Node(tag, at, at.pruned or _marked(tag, m[3], articles > 0))
                 if not node.pruned:
                     at.items.append(node)
                 articles += tag in ("article", "main")
+                still[tag] += 1
                 at = node
         elif m[1] is not None:
             tag = m[1].lower()
             if tag == "a":
                 link_depth = 0
             elif tag in BLOCK or tag in PRUNED:
-                up = at
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
+                if still[tag]:
                     close()
-                    while at is not up:
+                    while at.tag != tag:
                         articles -= at.tag in ("article", "main")
-                        at = at.parent
-                    articles -= up.tag in ("article", "main")
-                    at = up.parent
+                        at = leave(at)
+                    articles -= tag in ("article", "main")
+                    at = leave(at)
                 elif tag in BLOCK and not at.pruned:
                     close()
     close()
@@ -165,7 +173,7 @@ def _measure(root: Node) -> list[Node]:
                 plain = 1 - b.link_chars / n
                 points = (min(1, n / 25) * (1 + b.text.count(",")) + min(n / 100, 3)) * plain
                 up, level = (node.parent if node.tag in ("p", "pre", "li", "td", "dd") and node.parent else node), 0
-                while up is not None:
+                while up is not None and level <= LEVELS:
                     up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
                     up, level = up.parent, level + 1
                 node.chars += n

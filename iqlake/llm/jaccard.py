@@ -12,8 +12,10 @@ documents. Exact at every step:
    their bitmaps allow is below the least that their sizes need, or when all below are in one class already. Leaves that are
    left are compared exactly.
 
-A group of more than ``BLOCK`` nodes is dealt over blocks: each is joined with itself, classes are joined by their pivots, and
-whatever is then not in the group's largest class is joined with all blocks. So no task holds more than two blocks.
+A group of more than ``BLOCK`` nodes is dealt over blocks, bounded in nodes and bytes, by the rarest shared n-gram, so that
+like nodes mostly meet in one. Each block is joined with itself, classes are joined by their pivots, and a node that is then
+not in the group's largest class goes to just those other blocks that hold a node with an n-gram of its prefix and a size
+that it can link with, where it meets their trees. No task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iqlake.llm.chunks import ask, bounds_of, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
-from iqlake.llm.common import Scratch
+from iqlake.llm.chunks import ask, bounds_of, chunk_rows, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
+from iqlake.llm.common import Scratch, hottest, split_join
 from iqlake.llm.components import components
 from iqlake.llm.substring import _columns
 from iqlake.llm.textcore import U, Texts, mix, window_docs, windows_hash
 
 WIDTH, PERCENT = 5, 80
 BLOCK, FAN, BITS = 1024, 4, 1 << 15
+#: Bytes of sets in a block.
+BLOCK_BYTES = 16 << 20
 PER_BUCKET = 32 << 20
 _THIRD = U((1 << 64) // 3)
 
@@ -216,13 +220,35 @@ def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8")
 
 
-def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) whose components are the classes of ``nodes`` (k, set; a k may repeat) in ``groups`` (node, label)."""
-    sized = groups.join(groups.groupBy(F.col("label").alias("g")).agg(F.count(F.lit(1)).alias("size")), F.col("label") == F.col("g")).select("node", "g", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+def _blocks() -> Column:
+    """How many blocks the counted nodes (n, bytes) make."""
+    return F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")
+
+
+def _placed(nodes: DataFrame, groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Nodes (g, block, k, size, set, prefix) of groups of one block, and of larger ones."""
+    named = groups.select(F.col("node").alias("k"), F.col("label").alias("g"))
     # The same set from several chunks meets here, where the join has dealt it already.
-    nodes = nodes.join(sized, F.col("k") == F.col("node")).groupBy("k").agg(F.first("set").alias("set"), F.first("g").alias("g"), F.first("size").alias("size"))
-    placed = scratch.save(nodes.select("g", F.pmod(F.xxhash64("k"), blocks).alias("block"), blocks.alias("blocks"), "k", "set"), "placed")
+    one = nodes.join(named, "k").groupBy("k").agg(*[F.first(c).alias(c) for c in ("set", "prefix", "g")])
+    one = scratch.save(one.select("g", "k", F.octet_length("set").alias("size"), "set", "prefix"), "grouped")
+    sizes = one.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("g", "n", _blocks().alias("blocks"))
+    sizes = scratch.save(sizes, "sizes")
+    large = sizes.filter("blocks > 1").select("g", "blocks")
+    if large.isEmpty():
+        return one.withColumn("block", F.lit(0).cast("long")), one.limit(0)
+    sized = split_join(one, large, "g", "left")
+    small = sized.filter("blocks is null").drop("blocks").withColumn("block", F.lit(0).cast("long"))
+    many = scratch.save(sized.filter("blocks is not null").withColumn("t", F.xxhash64("g", F.get("prefix", F.lit(0)))), "many")
+    # Nodes of one rarest n-gram stay together unless they fill blocks by themselves.
+    alike = many.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("t", _blocks().alias("parts"))
+    dealt = split_join(many, alike.filter("parts > 1"), "t", "left")
+    block = F.when(F.col("parts").isNull(), F.pmod("t", F.col("blocks") * 2)).otherwise(F.xxhash64("t", F.pmod(F.xxhash64("k"), F.col("parts"))))
+    return small, scratch.save(dealt.withColumn("block", block).drop("t", "blocks", "parts"), "dealt")
+
+
+def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) whose components are the classes of ``nodes`` (k, set, prefix; a k may repeat) in ``groups`` (node, label)."""
+    small, large = _placed(nodes, groups, scratch)
 
     def own(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         return join_self([r[0] for r in rows], [_set(r[1]) for r in rows], percent)
@@ -231,31 +257,47 @@ def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int)
         dealt = df.select("g", "block", "k", "set").repartition("g", "block").sortWithinPartitions("g", "block")
         return dealt.mapInArrow(_tasks(own, 2), "a binary, b binary")
 
-    stars = scratch.save(self_join(placed), "stars")
-    large = placed.filter("blocks > 1")
+    columns = ["g", "block", "k", "set"]
+    stars = scratch.save(self_join(small.select(*columns).union(large.select(*columns))), "stars")
     if large.isEmpty():
         return stars
-    pivots = large.join(stars.select(F.col("b").alias("k")).distinct(), "k", "left_semi")
-    count = pivots.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n"))
-    again = scratch.save(self_join(pivots.join(count, "g").select("g", F.pmod(F.xxhash64("k", F.lit(1)), F.col("n")).alias("block"), "k", "set")), "again")
+    pivots = scratch.save(large.join(stars.select(F.col("b").alias("k")).distinct(), "k", "left_semi"), "pivots")
+    count = pivots.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("g", _blocks().alias("n"))
+    again = scratch.save(self_join(split_join(pivots, count, "g").select("g", F.pmod(F.xxhash64("k", F.lit(1)), F.col("n")).alias("block"), "k", "set")), "again")
     links = stars.union(again)
-    labels = components(links, scratch, "inner")
-    labelled = large.join(labels, F.col("k") == F.col("node"), "left").select("g", "block", "blocks", "k", "set", F.coalesce("label", "k").alias("label"))
+    labels = components(links.filter("a <> b"), scratch, "inner")
+    labelled = large.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = scratch.save(labelled, "labelled")
     sizes = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    open_ = labelled.join(major.withColumn("parts", F.ceil(F.col("others") / BLOCK).cast("long")), "g")
-    few = open_.filter(F.col("label") != F.col("major")).select("g", F.pmod(F.xxhash64("k", F.lit(2)), F.col("parts")).alias("part"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(0).alias("side"), "k", "label", "set")
-    all_ = open_.select("g", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "block", F.lit(1).alias("side"), "k", "label", "set")
+    major = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0").select("g", "major")
+    open_ = scratch.save(split_join(labelled, major, "g"), "open")
+    routes = scratch.save(_routes(open_, percent), "routes")
+    parts = routes.groupBy("g", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("g", "block", _blocks().alias("parts"))
+    sent = routes.join(parts, ["g", "block"]).select("k", "g", "block", F.pmod(F.xxhash64("k", F.lit(2)), F.col("parts")).alias("part"))
+    few = sent.join(open_.select("k", "label", "set"), "k").select("g", "block", "part", F.lit(0).alias("side"), "k", "label", "set")
+    met = open_.join(parts, ["g", "block"]).select("g", "block", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(1).alias("side"), "k", "label", "set")
 
     def across(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         left, right = ([(k, label, _set(raw)) for side, k, label, raw in rows if side == s] for s in (0, 1))
         return join_two(left, right, percent) if left and right else iter(())
 
-    dealt = few.union(all_).repartition("g", "part", "block").sortWithinPartitions("g", "part", "block", "side")
+    dealt = few.union(met).repartition("g", "block", "part").sortWithinPartitions("g", "block", "part", "side")
     return links.union(scratch.save(dealt.mapInArrow(_tasks(across, 3), "a binary, b binary"), "across"))
 
 
+def _routes(nodes: DataFrame, percent: int) -> DataFrame:
+    """(k, size, g, block): for nodes outside their group's largest class, the other blocks that hold a node they may link with.
+
+    Linked sets share an n-gram of their prefixes and differ in size by no more than the threshold allows, so a block is left
+    out if no node in it has one of these n-grams at a size in range. N-grams meet block by block, not node by node.
+    """
+    words = nodes.select("g", "block", "k", "size", "label", "major", F.explode("prefix").alias("token"))
+    held = words.groupBy("token", "g", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    few = words.filter("label <> major").select("token", "g", F.col("block").alias("own"), "k", "size")
+    near = (100 * F.col("size") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("size"))
+    return few.join(held, ["token", "g"]).filter((F.col("own") != F.col("block")) & near).select("k", "size", "g", "block").distinct()
+
+
 def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, n_shingles, component_id.
 
@@ -265,8 +307,30 @@ def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     component's smallest unless all are null; repeated rows are linked with each other. Other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "jaccard")
+    _, rows = _classes(df.select(id_col, text_col), scratch, width, percent, id_col, text_col)
+    out = scratch.keep(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id")))
+    scratch.drop()
+    return out
+
+
+def keep_one(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each class, its columns unchanged.
+
+    It is the row with the smallest id (null is largest), and of several rows with that id any one. A row is judged by its own
+    text, whatever other texts have its id. Rows without words are classes of their own. Columns may have any names.
+    """
+    scratch = Scratch(df.sparkSession, "jaccard")
+    chunks, rows = _classes(df, scratch, width, percent, id_col, text_col)
+    gone = rows.filter((F.col("chunk") != F.col("first.chunk")) | (F.col("place") != F.col("first.place"))).groupBy("chunk").agg(F.collect_list("place").alias("gone"))
+    gone = scratch.save_by(gone, "gone", "chunk")
+    scratch.only("chunks", "gone")
+    return chunk_rows(chunks.join(gone.hint("shuffle_hash"), "chunk", "left"), df, text_col, "gone")
+
+
+def _classes(df: DataFrame, scratch: Scratch, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``df``, and for each row (chunk, place, id, n, first), first being (none, id, chunk, place) of its class's least row."""
     kind = df.schema[id_col].dataType.simpleString()
-    chunks = make_chunks(df.select(id_col, text_col), scratch, id_col, text_col)
+    chunks = make_chunks(df, scratch, id_col, text_col)
     buckets = max(1, -(-total_bytes(chunks) // PER_BUCKET))
 
     def third(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +355,7 @@ def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_at = batch.column(batch.schema.get_field_index(f"c_{id_col}"))
-            for row, (sizes, texts, n_bytes, told) in enumerate(_columns(batch, "sizes", "texts", "n_bytes", "shared")):
+            for row, (chunk, sizes, texts, n_bytes, told) in enumerate(_columns(batch, "chunk", "sizes", "texts", "n_bytes", "shared")):
                 keys, at = shingles(chunk_texts(sizes, texts, n_bytes), width)
                 n = np.diff(at)
                 known, count = third(keys)
@@ -323,32 +387,26 @@ def jaccard_classes(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
                 # A name only for those that may be linked; others are alone.
                 for lo in range(0, len(n), 2048):
                     hi = min(len(n), lo + 2048)
-                    yield pa.RecordBatch.from_pydict({"id": ids.slice(lo, hi - lo), "n": pa.array(n[lo:hi], pa.int64()), "k": pa.array([x if y else None for x, y in zip(names[lo:hi], alive[lo:hi], strict=True)], pa.binary()), "prefix": pa.array(prefix[lo:hi], pa.list_(pa.int64())), "set": pa.array(sets[lo:hi], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * (hi - lo), pa.int64()), "place": pa.array(range(lo, hi), pa.int32()), "id": ids.slice(lo, hi - lo), "n": pa.array(n[lo:hi], pa.int64()), "k": pa.array([x if y else None for x, y in zip(names[lo:hi], alive[lo:hi], strict=True)], pa.binary()), "prefix": pa.array(prefix[lo:hi], pa.list_(pa.int64())), "set": pa.array(sets[lo:hi], pa.binary())})
 
     told = with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes", f"c_{id_col}"), shared, "shared")
-    docs = scratch.save(told.mapInArrow(survivors, f"id {kind}, n long, k binary, prefix array<long>, set binary"), "docs")
-    scratch.drop("chunks")
+    docs = scratch.save(told.mapInArrow(survivors, f"chunk long, place int, id {kind}, n long, k binary, prefix array<long>, set binary"), "docs")
     scratch.drop("shared")
     # Equal sets have equal prefixes: ranks of n-grams are global. Sets themselves move only if they are in a group.
     tokens = docs.select("k", F.explode("prefix").alias("token"))
-    shared_by = tokens.groupBy("token").agg(F.min("k").alias("m"), F.max("k").alias("x")).filter("m <> x").select("token", "m")
-    candidates = tokens.join(shared_by, "token").filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b")).distinct()
-    groups = components(candidates, scratch, "candidates")
-    links = _links(docs.filter("set is not null").select("k", "set"), groups, scratch, percent).filter("a <> b")
+    shared_by = tokens.groupBy("token").agg(F.min("k").alias("m"), F.max("k").alias("x"), F.count(F.lit(1)).alias("n")).filter("m <> x")
+    shared_by = scratch.save(shared_by.select("token", "m", "n"), "tokens")
+    pairs = split_join(tokens, shared_by.select("token", "m"), "token", hot=hottest(shared_by, "token", "n"))
+    groups = components(pairs.filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b")).distinct(), scratch, "candidates")
+    links = _links(docs.filter("set is not null").select("k", "set", "prefix"), groups, scratch, percent).filter("a <> b")
     labels = components(links, scratch, "classes")
-    best = docs.filter("k is not null").groupBy("k").agg(F.min("id").alias("low"))
-    classed = best.join(labels, F.col("k") == F.col("node"), "left").select("k", "low", F.coalesce("label", "k").alias("label"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "chunk", "place")
+    best = docs.filter("k is not null").groupBy("k").agg(F.min(row).alias("low"), F.count(F.lit(1)).alias("rows"))
+    classed = best.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     classed = scratch.save(classed, "classed")
-    least = classed.groupBy("label").agg(F.min("low").alias("component"))
-    by_key = classed.join(least, "label").select("k", "component")
-    out = docs.select("id", "n", "k").join(by_key, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    out = scratch.keep(out)
-    scratch.drop()
-    return out
-
-
-def keep_one(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each class, that of its smallest id (ids should be unique and not null), its columns unchanged."""
-    verdict = jaccard_classes(df, width, percent, id_col, text_col)
-    kept = verdict.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    least = classed.groupBy("label").agg(F.min("low").alias("first"))
+    by_key = scratch.save(split_join(classed, least, "label").select("k", "first", "rows"), "by_key")
+    columns = ["chunk", "place", "id", "n"]
+    alone = docs.filter("k is null").select(*columns, row.alias("first"))
+    others = split_join(docs.filter("k is not null").select(*columns, "k"), by_key.select("k", "first"), "k", hot=hottest(by_key, "k", "rows"))
+    return chunks, alone.union(others.select(*columns, "first"))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.llm.common import Scratch
@@ -70,7 +70,7 @@ def features(parts: list) -> dict[str, np.ndarray]:
     key, first, count = np.unique(mix(h ^ salt[word_doc]), return_index=True, return_counts=True)
     top = np.zeros(docs, np.int64)
     np.maximum.at(top, word_doc[first], count)
-    out["top_word"], out["n_distinct"] = top, np.bincount(word_doc[first], minlength=docs)
+    out["top_word"] = top
     bang = np.zeros(len(h), bool)
     long = t.b - t.a >= 2
     bang[long] = (data[t.b[long] - 1] == 33) & (data[t.b[long] - 2] == 33)
@@ -145,6 +145,18 @@ def _rows(id_col: str, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _posteriors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns of ``rows``, ascending, and the posterior of each."""
+    seen = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("pattern")
+    patterns = seen["pattern"].to_numpy(np.int64)
+    return patterns, fit(patterns, seen["n"].to_numpy(np.int64))
+
+
+def _failed(n_words: np.ndarray | Column, n_repeat_words: np.ndarray | Column) -> np.ndarray | Column:
+    """The base rule."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior, pattern.
 
@@ -156,10 +168,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{k} long" for k in [*COUNTS, "pattern"])
     rows = scratch.save(df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(_rows(id_col, "_text"), schema), "rows")
-    seen = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("pattern")
-    good = fit(seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.int64))
-    known = spark.createDataFrame(pd.DataFrame({"pattern": seen["pattern"].to_numpy(np.int64), "posterior": good}), "pattern long, posterior double")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    patterns, good = _posteriors(rows)
+    known = spark.createDataFrame(pd.DataFrame({"pattern": patterns, "posterior": good}), "pattern long, posterior double")
+    failed = _failed(F.col("n_words"), F.col("n_repeat_words"))
     out = rows.join(F.broadcast(known), "pattern", "left").select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), (~failed & (F.col("posterior") >= KEEP_AT)).alias("kept"), "posterior", "pattern")
     out = scratch.keep(out)
     scratch.drop()
@@ -167,6 +178,22 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that ``score`` rejects, its columns unchanged."""
-    kept = score(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``df`` without the rows that ``score`` rejects, its columns unchanged.
+
+    A row is judged by its own text alone, so repeated and null ids change nothing; ``id_col`` is not read. The table is read
+    twice, for the counts of patterns and for the verdicts, and nothing but the counts is shuffled.
+    """
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in slices(batches, "_text"):
+            yield pa.RecordBatch.from_pydict({"pattern": pa.array(votes(features(parts)))})
+
+    known, good = _posteriors(df.select(F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(patterns, "pattern long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, parts in slices(batches, text_col):
+            f = features(parts)
+            at = np.searchsorted(known, votes(f))
+            yield batch.filter(pa.array(~_failed(f["n_words"], f["n_repeat_words"]) & (good[at] >= KEEP_AT)))
+
+    return df.mapInArrow(run, df.schema)

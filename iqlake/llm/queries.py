@@ -89,7 +89,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    words = """words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM
+                (SELECT doc_id, regexp_extract_all(TEXT, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents))"""
     return {
+        "op1_recompression": f"""
+            WITH {words.replace("TEXT", "text")},
+            wins AS (SELECT doc_id, k, md5(string_agg(word, ' ') OVER w) AS name FROM words
+                WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+                QUALIFY count(*) OVER w = 20),
+            again AS (SELECT doc_id, k FROM wins QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, k) > 1),
+            gone AS (SELECT DISTINCT doc_id, k + d AS k FROM again, range(20) t(d))
+            SELECT doc_id, count(word) AS n_words, count(gone.k) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
+            FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id""",
+        "op8_signature_trees": f"""
+            WITH RECURSIVE {words.replace("TEXT", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+            runs AS (SELECT doc_id, k, max(k) OVER (PARTITION BY doc_id) AS n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS name FROM words),
+            sets AS (SELECT DISTINCT doc_id, md5(name) AS name FROM runs WHERE k <= n - 3 OR (n < 4 AND k = 1)),
+            sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+            met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sets a JOIN sets b ON a.name = b.name AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+            reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = documents.doc_id), doc_id) AS component_id
+            FROM documents LEFT JOIN sizes USING (doc_id)""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from iqlake.llm.chunks import ask, bounds_of, chunk_parts, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
-from iqlake.llm.common import Scratch
+from iqlake.llm.common import Scratch, need
 from iqlake.llm.textcore import U, Texts, mix, window_docs, windows_hash
 
 WIDTH, ROUNDS, NAMED = 20, 2, 3
@@ -209,12 +210,13 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
 def drop_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """``df`` with its columns, and n_words, n_removed; the text is the words that stay, joined by a space.
 
-    A word goes when a window of ``width`` consecutive words that covers it has also started earlier: in a smaller id (null is
+    Ids must be whole numbers (a TypeError otherwise). A word goes when a window of ``width`` consecutive words that covers it has also started earlier: in a smaller id (null is
     smallest), in the same document further left, or, for rows with the same id, in the one that comes first in the input.
     Windows are judged on the input. A text from which nothing goes is left as it is, white space included; a null text stays
     null. Words are never split or folded. With ``digest`` the text column is replaced by kept_sha256, of the words that stay
     joined by a space. Other columns pass through, whatever their names, unless called n_words or n_removed (those are replaced).
     """
+    need(df, **{id_col: T.IntegralType})
     scratch = Scratch(df.sparkSession, "substring")
     df = df.drop("n_words", "n_removed")
     marked = mark_repeats(df, scratch, width, id_col, text_col)

@@ -2,7 +2,7 @@
 
 The tokenizer's normaliser (NFC, white space to a space, lower case) and its pre-tokenizer never look across white space,
 so a text's ids are the concatenation of its words' ids. A chunk of text is split into words by vectorised fingerprints;
-only words that the worker has not met are handed to the tokenizer. A text that holds one of the tokenizer's special strings
+only words that the worker has not met are handed to the tokenizer, and known ones are compared byte for byte. A text that holds one of the tokenizer's special strings
 is encoded as a whole.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from iqlake.llm.textcore import Texts, slices
+from iqlake.llm.textcore import Texts, distinct, ragged, slices, spans_differ
 
 #: Words kept by a worker; beyond it the memory starts anew, which costs time only.
 KEEP_WORDS = 2_000_000
@@ -36,11 +36,14 @@ class WordEncoder:
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)  # ascending
         self.lo, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.n_ids = 0
-
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        """Adds words that are not known; one text, a special token between words, is much cheaper than many texts."""
+        #: Where each known word's bytes are.
+        self.a, self.b = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.text, self.n_text = np.empty(1 << 20, np.uint8), 0
+        #: All ids met; the first is that of the close.
+        self.ids, self.n_ids = np.zeros(1 << 20, np.uint32), 1
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Stores the ids of ``words``: where they begin, and how many. One text, a special token between words, is much cheaper than many texts."""
         flat = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(w.decode("utf-8", "replace") for w in words)], add_special_tokens=False)[0].ids, np.uint32)
         is_mark = flat == self.mark_id
         cuts = np.concatenate([[-1], np.flatnonzero(is_mark), [len(flat)]])
@@ -53,8 +56,18 @@ class WordEncoder:
         self.ids[self.n_ids : self.n_ids + len(got)] = got
         lo = self.n_ids + np.cumsum(size) - size
         self.n_ids += len(got)
+        return lo, size
+
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+        lo, size = self._ids(words)
+        end = self.n_text + np.cumsum([len(w) for w in words])
+        if end[-1] > len(self.text):
+            self.text = np.concatenate([self.text[: self.n_text], np.empty(2 * int(end[-1]) - self.n_text, np.uint8)])
+        self.text[self.n_text : end[-1]] = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.concatenate([[self.n_text], end[:-1]])
+        self.n_text = int(end[-1])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.lo, self.size = np.insert(self.keys, at, keys), np.insert(self.lo, at, lo), np.insert(self.size, at, size)
+        self.keys, self.lo, self.size, self.a, self.b = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.lo, lo), (self.size, size), (self.a, begin), (self.b, end)))
 
     def encode(self, parts: list, close: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``close``, and where each text begins (and the end)."""
@@ -68,23 +81,30 @@ class WordEncoder:
             whole = [i for i in range(len(parts)) if any(s in t.raw[t.starts[i] : t.starts[i + 1]] for s in self.special)]
             t = Texts([b"" if i in set(whole) else p for i, p in enumerate(parts)])
         t.words()
-        keys, where, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
+        keys, where, back = distinct(t.data, t.a, t.b)
+        a, b = t.a[where], t.b[where]
+        # Words of one fingerprint that are not the same come last; they are never learnt.
+        twin = np.arange(len(keys)) >= len(np.unique(keys))
         slot = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        new = np.flatnonzero(~twin & (self.keys[np.minimum(slot, len(self.keys) - 1)] != keys)) if len(self.keys) else np.flatnonzero(~twin)
         if len(new):
-            at = where[new]
-            self._learn([t.raw[a:b] for a, b in zip(t.a[at].tolist(), t.b[at].tolist(), strict=True)], keys[new])
+            self._learn([t.raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)], keys[new])
             slot = np.searchsorted(self.keys, keys)
-        word_lo, word_n = self.lo[slot][back], self.size[slot][back]
+        lo, size = self.lo[slot], self.size[slot]
+        # A known fingerprint is taken at its word only if the bytes are those that were learnt.
+        odd = np.flatnonzero(twin | spans_differ(t.data, a, b, self.text[: self.n_text], self.a[slot], self.b[slot]))
+        if len(odd):
+            lo[odd], size[odd] = self._ids([t.raw[x:y] for x, y in zip(a[odd].tolist(), b[odd].tolist(), strict=True)])
+        word_lo, word_n = lo[back], size[back]
         n_words = np.diff(t.at)
         if close is not None:
-            # One more "word" after each document, taken from beyond the table.
-            word_lo = np.insert(word_lo, t.at[1:], self.n_ids)
+            # One more "word" after each document.
+            self.ids[0] = close
+            word_lo = np.insert(word_lo, t.at[1:], 0)
             word_n = np.insert(word_n, t.at[1:], 1)
             n_words = n_words + 1
-        source = self.ids[: self.n_ids] if close is None else np.append(self.ids[: self.n_ids], np.uint32(close))
         total = np.concatenate([[0], np.cumsum(word_n)])
-        flat = source[np.repeat(word_lo - total[:-1], word_n) + np.arange(total[-1])]
+        flat = self.ids[ragged(word_lo, word_n)]
         starts = total[np.concatenate([[0], np.cumsum(n_words)])]
         if whole:
             pieces = [flat[starts[i] : starts[i + 1]] for i in range(len(parts))]

@@ -5,9 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from iqlake.llm import chunks, jaccard
+from iqlake.llm.common import Scratch
+from iqlake.llm.components import components
 
 
 def brute(docs, width, percent):
@@ -50,11 +53,56 @@ def test_against_all_pairs(docs, monkeypatch, width, percent, block):
     monkeypatch.setattr(chunks.make_chunks, "__defaults__", (9000,))
     monkeypatch.setattr(jaccard, "PER_BUCKET", 30000)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    pairs = corpus(width, 40, 14) + [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A  b\tc"), (905, "a b c d"), (906, "a"), (None, "a"), (907, "long " * 20000), (908, "long " * 300), (908, "long " * 300)]
+    pairs = corpus(width, 40, 14) + [(900, None), (901, ""), (902, " \n"), (903, "a b c"), (904, "A  b\tc"), (905, "a b c d"), (906, "a"), (None, "a"), (907, "long " * 20000), (908, "long " * 300), (908, "long " * 300)] + [(920 + k, "x y z " + "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048))) for k in (0, 1)]
     rows = jaccard.jaccard_classes(docs(pairs), width, percent).collect()
     assert Counter(map(tuple, rows)) == brute(pairs, width, percent)
 
 
+def test_keep_one_judges_rows(docs):
+    """One row of each class, by the row's own text: repeated and null ids that hold different texts."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    d = docs([(1, a), (1, b), (2, b), (None, a), (None, b), (None, "lone words here"), (1, a), (5, None), (5, "")])
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(d).collect())
+    assert got == Counter([(1, a), (1, b), (None, "lone words here"), (5, None), (5, "")])
+
+
+def test_unlike_sets_of_one_group_meet_few_blocks(spark, monkeypatch, tmp_path):
+    """A chain of unlike sets, each with one n-gram of the next, makes one group; nodes go to blocks by shared n-grams only."""
+    rng = np.random.default_rng(6)
+    n = 20_000
+    own = rng.integers(1, 2**62, (n, 12)).astype(np.uint64)
+    own[1:, 0] = own[:-1, 11]
+    own[1::500, 1:11] = own[::500, 1:11]  # and some that link
+    sets = [np.unique(x) for x in own]
+    links = {k + 1 for k in range(0, n, 500)}
+    names = [k.to_bytes(16, "big") for k in range(n)]
+    rows = pd.DataFrame({"k": names, "set": [x.astype("<u8").tobytes() for x in sets], "prefix": [x.view(np.int64) for x in sets]})
+    nodes = spark.createDataFrame(rows, "k binary, set binary, prefix array<long>").repartition(4)
+    groups = spark.createDataFrame(pd.DataFrame({"node": names, "label": [names[0]] * n}), "node binary, label binary")
+    sent, real = [], jaccard._routes
+
+    def counted(open_, percent):
+        out = real(open_, percent).checkpoint()
+        sent.append((out.count(), out.select("g", "block").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_routes", counted)
+    got = jaccard._links(nodes, groups, Scratch(spark, "t"), 80).filter("a <> b").collect()
+    assert {max(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in got} == links
+    # Each node shares n-grams with two others, so it goes to two blocks at most, not to all the group's.
+    assert sent and 0 < sent[0][0] <= 2 * n and sent[0][1] > n / 1024
+
+
+def test_path_of_ascending_names(spark):
+    """Rounds grow as the logarithm of a path, whatever its names."""
+    scratch = Scratch(spark, "path")
+    edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b").union(spark.range(1000, 1300).selectExpr("1000L AS a", "id + 1 AS b"))
+    labels = {r.node: r.label for r in components(edges, scratch, "p").collect()}
+    assert len(labels) == 702 and len({labels[k] for k in range(401)}) == 1 and len({labels[k] for k in range(1000, 1301)}) == 1 and len(set(labels.values())) == 2
+    assert sum(x.startswith("p-s") for x in scratch.saved) <= 16
+    scratch.drop()
+
+
 def test_empty_and_columns(docs):
     assert jaccard.jaccard_classes(docs([])).count() == 0
     d = docs([(1, "one two three four five six"), (2, "one two three four five six"), (3, None)])

@@ -28,6 +28,10 @@ def brute(docs, w=20):
     return Counter(out)
 
 
+#: Words around two that any polynomial modulo 2 ** 64 takes for one.
+CONTEXT = [f"c{k}" for k in range(25)]
+
+
 def corpus(seed, n=250):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(60)] + ["é", "the", "the", "the"]
@@ -56,7 +60,7 @@ def small(monkeypatch):
 
 
 def test_against_brute_force(docs, small):
-    pairs = corpus(1) + [(900, None), (901, ""), (None, "w1 " * 30), (902, "hot words " * 40), (903, "hot words " * 40), (904, "z" * 70000 + " w2" * 25)]
+    pairs = corpus(1) + [(900, None), (901, ""), (None, "w1 " * 30), (902, "hot words " * 40), (903, "hot words " * 40), (904, "z" * 70000 + " w2" * 25)] + [(910 + k, " ".join([*CONTEXT[:10], "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)), *CONTEXT[10:]])) for k in (0, 1)]
     got = substring.drop_repeats(docs(pairs), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == brute(pairs)
 
@@ -71,6 +75,11 @@ def test_rows_keep_columns(docs, small):
     assert substring.drop_repeats(docs([])).count() == 0
 
 
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        substring.drop_repeats(spark.createDataFrame([("x", "t")], "doc_id string, text string"))
+
+
 def test_determined_symbols_agree():
     """Two occurrences of a window have the same symbols in their zones, wherever they stand."""
     rng = np.random.default_rng(4)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +85,13 @@ def test_extract(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_many_nested_and_stray_tags():
+    t = time.perf_counter()
+    for page in ("<div>a, b" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>a</div>" * 50_000 + "</section>" * 50_000, "<table><tr><td>" * 30_000 + "</html>" * 50_000):
+        html.main_text(page)
+    assert time.perf_counter() - t < 20  # seconds; minutes where the work is quadratic
+
+
 def test_best_fit_is_brute_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -129,7 +137,31 @@ def brute_features(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
 
 
-TEXTS = ["", None, "one", "a b c d e f g h i j k", "x y z x y z x y z x y z x y z", "l\nl\n \nl \r\nl", "é ü\x0b日本 # $ % |", "hot " * 400, "A!! B!! " * 30, "w\x1cx \x85 y z " * 5, "q " * 100000]
+def brute_votes(t):
+    """The rules one by one from the text."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars, symbols, dup, repeated = brute_features(t)
+    upper, lower = sum(c in UPPER for c in t), sum(c in LOWER for c in t)
+    ended = sum(re.sub(r"[\x20\x09-\x0D]+$", "", x)[-1] in ".!?:;)\"'" for x in lines)
+    tails, bars, bangs = sum(x[-1] in "#*$%&|<>" for x in w), w.count("|"), sum(x.endswith("!!") for x in w)
+    top = max(Counter(w).values(), default=0)
+    good_bad = [
+        (50 * symbols <= n, 5 * symbols > n), (20 * tails <= n, 5 * tails > n), (bars == 0, 10 * bars > n), (5 * upper <= lower, upper > lower), (100 * bangs <= n, 5 * bangs > n),
+        (20 * repeated <= n, 5 * repeated > n), (dup == 0, 3 * dup > len(lines)), (4 * top <= n, 5 * top > 2 * n), (3 * n < chars < 10 * n, chars < 2 * n or chars > 15 * n),
+        (10 * ended >= 7 * len(lines), 10 * ended < len(lines)), (n >= 30, n < 10),
+    ]
+    return sum(3**k * (2 if bad else 1 if good else 0) for k, (good, bad) in enumerate(good_bad))
+
+
+#: Letters with a case that the rules know: ASCII and the accented ones of Latin-1.
+UPPER = set(map(chr, [*range(65, 91), *range(0xC0, 0xDF)]))
+LOWER = set(map(chr, [*range(97, 123), *range(0xDF, 0x100)]))
+
+
+#: This line and its complement are equal under any polynomial modulo 2 ** 64.
+THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+TEXTS = ["", None, "one", "a b c d e f g h i j k", "x y z x y z x y z x y z x y z", "l\nl\n \nl \r\nl", "é ü\x0b日本 # $ % |", "hot " * 400, "A!! B!! " * 30, "w\x1cx \x85 y z " * 5, "q " * 100000, THUE + "\n" + THUE.translate({97: 98, 98: 97}) + "\nEnds here."]
 
 
 def test_quality(docs):
@@ -138,11 +170,23 @@ def test_quality(docs):
     assert len(rows) == len(pairs)
     want = Counter((i, *brute_features(t or "")) for i, t in pairs)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+    assert Counter((r.doc_id, r.pattern) for r in rows) == Counter((i, brute_votes(t or "")) for i, t in pairs)
+    by_pattern = dict(zip(*map(np.ndarray.tolist, np.unique([r.pattern for r in rows], return_counts=True))))
+    good = dict(zip(by_pattern, quality.fit(np.array(list(by_pattern)), np.array(list(by_pattern.values())))))
     for r in rows:
+        assert r.posterior == good[r.pattern] and r.kept == (not r.base_failed and r.posterior >= 0.5)
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert all(r.kept for r in rows if r.doc_id is not None and r.doc_id >= 100)
     assert quality.score(docs([])).count() == 0
+    # The same id with a good and a bad text: each row has its own verdict.
+    more = [*pairs, (100, "bad | # $"), (100, None), (None, pairs[-1][1])]
+    kept = Counter((r.doc_id, r.text) for r in quality.keep_good(docs(more)).collect())
+    verdict = {}
+    for r, t in zip(sorted(quality.score(docs([(k, t) for k, (_, t) in enumerate(more)])).collect(), key=lambda r: r.doc_id), [t for _, t in more], strict=True):
+        verdict[t] = r.kept
+    assert kept == Counter((i, t) for i, t in more if verdict[t])
+    assert quality.keep_good(docs([])).count() == 0
     kept = quality.keep_good(docs(pairs))
     assert kept.columns == docs(pairs).columns and kept.count() == sum(r.kept for r in rows)
 
