@@ -90,6 +90,8 @@ def chunk_texts(sizes: bytes, texts: bytes, n_bytes: int) -> Texts:
 def chunk_rows(marked: DataFrame, like: DataFrame, text_col: str, gone: str) -> DataFrame:
     """The rows of chunks, with the columns of ``like``, without those whose places are in the array column ``gone`` (null: none)."""
 
+    names = like.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda batch, name: batch.column(batch.schema.get_field_index(name))
         for batch in batches:
@@ -100,7 +102,7 @@ def chunk_rows(marked: DataFrame, like: DataFrame, text_col: str, gone: str) ->
                 stays[column(batch, gone)[i].as_py() or []] = False
                 null = np.frombuffer(sizes, "<i8") < 0
                 out = {}
-                for name in like.columns:
+                for name in names:
                     if name == text_col:
                         out[name] = pa.array([None if z else bytes(p).decode("utf-8", "replace") for p, z, s in zip(parts, null.tolist(), stays.tolist(), strict=True) if s], pa.string())
                     else:
@@ -108,7 +110,7 @@ def chunk_rows(marked: DataFrame, like: DataFrame, text_col: str, gone: str) ->
                 yield pa.RecordBatch.from_pydict(out)
 
     kinds = ["string" if f.name == text_col else f.dataType.simpleString() for f in like.schema.fields]
-    return marked.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(like.columns, kinds, strict=True)))
+    return marked.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def total_bytes(chunks: DataFrame) -> int:

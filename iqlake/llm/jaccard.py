@@ -235,7 +235,8 @@ def _placed(nodes: DataFrame, groups: DataFrame, scratch: Scratch) -> tuple[Data
     sizes = scratch.save(sizes, "sizes")
     large = sizes.filter("blocks > 1").select("g", "blocks")
     if large.isEmpty():
-        return one.withColumn("block", F.lit(0).cast("long")), one.limit(0)
+        one = one.withColumn("block", F.lit(0).cast("long"))
+        return one, one.limit(0)
     sized = split_join(one, large, "g", "left")
     small = sized.filter("blocks is null").drop("blocks").withColumn("block", F.lit(0).cast("long"))
     many = scratch.save(sized.filter("blocks is not null").withColumn("t", F.xxhash64("g", F.get("prefix", F.lit(0)))), "many")

@@ -76,7 +76,7 @@ def test_unlike_sets_of_one_group_meet_few_blocks(spark, monkeypatch, tmp_path):
     sets = [np.unique(x) for x in own]
     links = {k + 1 for k in range(0, n, 500)}
     names = [k.to_bytes(16, "big") for k in range(n)]
-    rows = pd.DataFrame({"k": names, "set": [x.astype("<u8").tobytes() for x in sets], "prefix": [x.view(np.int64) for x in sets]})
+    rows = pd.DataFrame({"k": names, "set": [x.astype("<u8").tobytes() for x in sets], "prefix": [x.view(np.int64).tolist() for x in sets]})
     nodes = spark.createDataFrame(rows, "k binary, set binary, prefix array<long>").repartition(4)
     groups = spark.createDataFrame(pd.DataFrame({"node": names, "label": [names[0]] * n}), "node binary, label binary")
     sent, real = [], jaccard._routes
