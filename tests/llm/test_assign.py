@@ -15,7 +15,7 @@ from iqlake.llm.common import dense_ranks
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: This word and its complement are equal under any polynomial modulo 2 ** 64.
 THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
-ODD = [(1, "a b"), (2, None), (3, ""), (4, "a b"), (5, "A b"), (5, "A b"), (None, "a b"), (None, None), (6, " a b"), (7, "é\x1c x"), (8, "word " * 9000), (9, "hot"), (10, "hot"), (11, "<|endoftext|> x"), (12, "It's é 2024 Oİ")]
+ODD = [(1, "a b"), (2, None), (3, ""), (4, "a b"), (5, "A b"), (5, "A b"), (None, "a b"), (None, None), (6, " a b"), (7, "é\x1c x"), (8, "word " * 9000), (9, "hot"), (10, "hot"), (11, "<|endoftext|> x"), (12, "It's é 2024 Oİ"), (13, THUE + " " + THUE.translate({97: 98, 98: 97}))]
 
 
 def test_exact_dedup(docs):

@@ -99,7 +99,7 @@ def test_op5_op7_op10(spark, folder):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     want = con.execute(r"""
-        WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents)
+        WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents)
         SELECT doc_id, coalesce(len(ws), 0), coalesce(length(array_to_string(ws, '')), 0), coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0), coalesce(len(ls) - len(list_distinct(ls)), 0) FROM w""").fetchall()
     got = queries.op10_weak_supervision(spark, folder).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) for r in got) == Counter(want)
