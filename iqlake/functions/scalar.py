@@ -136,12 +136,15 @@ class FixedFormat:
 
     @staticmethod
     def for_full_scale(bits: int, peak: float, guard: float = 1.001) -> FixedFormat:
-        """As many fraction bits as keep ``peak`` times ``guard`` in range, 0 to bits - 1 of them."""
-        import math
-
-        if peak <= 0:
-            raise ValueError("full scale must be positive")
-        return FixedFormat(bits, max(0, min(bits - 1, math.floor(math.log2(((1 << (bits - 1)) - 1) / (peak * guard))))))
+        """As many fraction bits as keep ``peak`` times ``guard`` in range, 0 to bits - 1 of them; an error if none do."""
+        need = peak * guard
+        if not 0 < need < float("inf") or guard < 1:
+            raise ValueError("full scale must be positive and finite, the guard 1 at least")
+        for fraction in range(bits - 1, -1, -1):
+            fmt = FixedFormat(bits, fraction)
+            if fmt.high * 2.0**-fraction >= need:
+                return fmt
+        raise ValueError("no format of these bits covers the full scale")
 
     def quantize(self, v: Column | str) -> Column:
         return saturate(F.rint(col(v) * float(2**self.fraction)).cast("long"), self)
@@ -169,22 +172,31 @@ def divide_even(num: Column | str, den: Column | str | int) -> Column:
 
 
 def shift_even(code: Column | str, shift: int) -> Column:
-    """Rounding right shift, ties to even, built on sign and magnitude; exact for all BIGINT magnitudes."""
+    """Rounding right shift, ties to even; exact for every BIGINT.
+
+    The arithmetic shift rounds down. What it drops counts as one more if it is above half, or half of an odd result: if
+    dropped + odd exceeds half. The sum stays within ``shift`` + 1 bits, so nothing overflows near the ends of BIGINT.
+    """
     c = col(code)
     if shift <= 0:
         return F.shiftleft(c, -shift) if shift else c
-    mag = F.abs(c)
-    whole, rest, half = F.shiftright(mag, shift), mag.bitwiseAND(F.lit((1 << shift) - 1)), 1 << (shift - 1)
-    up = (rest > half) | ((rest == half) & (whole.bitwiseAND(F.lit(1)) == 1))
-    return F.when(c < 0, -1).otherwise(1).cast("long") * (whole + F.when(up, 1).otherwise(0))
+    down = F.shiftright(c, shift)
+    dropped = c.bitwiseAND(F.lit((1 << shift) - 1))
+    return down + F.shiftright(dropped + F.lit((1 << (shift - 1)) - 1) + down.bitwiseAND(F.lit(1)), shift)
 
 
 def isqrt_even(value: Column | str) -> Column:
-    """Nearest integer square root of a BIGINT; there are no ties, as r + 1/2 squared is never whole. Exact below 2 ** 52."""
+    """Nearest integer square root of a BIGINT, exact for all that are not negative; r + 1/2 squared is never whole, so there are no ties.
+
+    The double root is off by one at most, and never beyond the root of the largest BIGINT, so no square wraps.
+    """
     v = col(value)
-    guess = F.floor(F.sqrt(v.cast("double"))).cast("long")
-    floor = F.when(guess * guess > v, guess - 1).when((guess + 1) * (guess + 1) <= v, guess + 1).otherwise(guess)
-    return F.when(v - floor * floor > floor, floor + 1).otherwise(floor)
+    most = F.lit(3037000499).cast("long")  # fixed value: the whole root of 2 ** 63 - 1
+    guess = F.least(most, F.floor(F.sqrt(v.cast("double"))).cast("long"))
+    low = guess - F.when(guess * guess > v, 1).otherwise(0)
+    # (low + 1) ** 2 <= v, without the square of low + 1.
+    floor = low + F.when(v - low * low > low + low, 1).otherwise(0)
+    return floor + F.when(v - floor * floor > floor, 1).otherwise(0)
 
 
 def multiply_codes(a: Pair, b: Pair) -> Pair:
@@ -192,9 +204,18 @@ def multiply_codes(a: Pair, b: Pair) -> Pair:
     return multiply(a, b)
 
 
+def checked_product(a: Column | str, b: Column | str) -> Column:
+    """Product of BIGINTs; one that does not fit is an error, whatever the session's ANSI mode."""
+    fits = F.call_function("try_multiply", col(a).cast("long"), col(b).cast("long"))
+    both = col(a).isNotNull() & col(b).isNotNull()
+    return F.when(both & fits.isNull(), F.raise_error(F.lit("a product does not fit 64 bits")).cast("long")).otherwise(fits)
+
+
 def monotone_codes(knots: list[float], fmt: FixedFormat) -> tuple[list[int], int, int]:
-    """Ascending codes of knots with collisions moved up by one; how many collided, and the largest shift."""
-    raw = [max(fmt.low, min(fmt.high, round(k * 2**fmt.fraction))) for k in knots]
+    """Ascending codes of knots with collisions moved up by one; how many collided, and the largest shift. Knots out of range are an error."""
+    raw = [round(k * 2**fmt.fraction) for k in knots]
+    if min(raw) < fmt.low or max(raw) > fmt.high:
+        raise ValueError("a knot is out of the format's range")
     out: list[int] = []
     for c in raw:
         out.append(c if not out or c > out[-1] else out[-1] + 1)

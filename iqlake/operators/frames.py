@@ -79,10 +79,18 @@ def even_sample(df: DataFrame, length: int, most: int) -> DataFrame:
 
 
 def check_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: pairs, rows with no partner on either side, and values that are not finite."""
-    a = left.select(*keys, F.lit(1).alias("_l"))
-    b = right.select(*keys, F.lit(1).alias("_r"))
-    return a.join(b, keys, "full").agg(F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("pairs"), F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"))
+    """One row: pairs, rows with no partner on either side, and rows of either with a double that is null or not finite."""
+
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        ok = F.lit(True)
+        for c, kind in df.dtypes:
+            if kind in ("double", "float") and c not in keys:
+                ok = ok & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+        return df.select(*keys, (~ok).cast("long").alias(name))
+
+    both = marked(left, "_l").join(marked(right, "_r"), keys, "full")
+    bad = F.sum(F.coalesce("_l", F.lit(0)) + F.coalesce("_r", F.lit(0)))
+    return both.agg(F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("pairs"), F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"), F.coalesce(bad, F.lit(0)).alias("not_finite"))
 
 
 def support(df: DataFrame, maximum: float, by: list[str] | None = None) -> DataFrame:
@@ -109,9 +117,20 @@ def window_starts(df: DataFrame, length: int, stride: int, per_frame: bool = Tru
 
 
 def crossing_windows(df: DataFrame, length: int, stride: int) -> DataFrame:
-    """How many flat windows lie across a frame boundary: by arithmetic on starts, no join of windows and boundaries."""
-    starts = window_starts(df, length, stride, per_frame=False)
-    frame_of = df.select("n", "frame")
-    first = starts.join(frame_of, starts.start == frame_of.n).select("start", F.col("frame").alias("a"))
-    last = frame_of.select((F.col("n") - (length - 1)).alias("start"), F.col("frame").alias("b"))
-    return first.join(last, "start").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("a") != F.col("b")).alias("crossing"))
+    """How many flat windows lie across a frame boundary: by arithmetic on a row a frame, no join of windows and samples.
+
+    Windows start at the record's first sample and every ``stride`` on; frames tile the record. A window crosses if it starts
+    in a frame's last ``length`` - 1 samples and ends in the record.
+    """
+    f = frame_lengths(df)
+    bounds = F.broadcast(f.agg(F.min("first_n").alias("lo"), F.max(F.col("first_n") + F.col("len") - 1).alias("hi")))
+    first, end = F.col("first_n"), F.col("first_n") + F.col("len")
+
+    def starts(low: Column, high: Column) -> Column:
+        """How many windows start in [low, high), cut to those that end in the record."""
+        last = F.least(high, F.col("hi") - length + 2)
+        up = lambda v: F.floor((v - F.col("lo") + stride - 1) / stride)
+        return F.greatest(F.lit(0).cast("long"), up(last) - up(low))
+
+    rows = f.crossJoin(bounds).select(starts(first, end).alias("w"), starts(F.greatest(first, end - (length - 1)), end).alias("c"))
+    return rows.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("windows"), F.coalesce(F.sum("c"), F.lit(0)).alias("crossing"))

@@ -214,7 +214,9 @@ def predict_fixed_spline(model: SplineModel, df: DataFrame, cfg: FixedConfig, fl
     Integer radius (rounding root, or ``float_root`` for rint of a double root), weight rounded to ``weight_bits``,
     interpolated coefficients, one product per branch, one saturated sum, one output rounding.
     """
-    codes, _, _ = monotone_codes(model.knots, cfg.data)
+    if cfg.power.fraction != cfg.data.fraction:
+        raise ValueError("radius and data need the same fraction bits")
+    codes, _, _ = monotone_codes(model.knots, cfg.power)
     wide = quantized(df, cfg)
     p = F.col("ci") * F.col("ci") + F.col("cq") * F.col("cq")
     wide = wide.withColumn("_r", F.rint(F.sqrt(p.cast("double"))).cast("long") if float_root else isqrt_even(p))

@@ -1,8 +1,7 @@
 """Regularised complex least squares: partition QR, small triangular factors merged on the driver.
 
-No normal equations: each partition reduces its rows to an R factor of at most P + 1 rows, the factors are stacked and
-reduced again, and the singular values of the last R are those of the whole design. What reaches the driver is
-partitions x P^2 numbers, halved by a merge among executors while there are many.
+No normal equations: each partition reduces its rows to an R factor of at most P + 1 rows, executors stack and reduce these
+again, and the singular values of the last R are those of the whole design. At most MERGE x P^2 numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,52 +34,63 @@ def _factor(a: np.ndarray) -> np.ndarray:
     return np.linalg.qr(a, mode="r")
 
 
-def r_factors(design: DataFrame, by: list[str] | None = None, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
-    """(group, rows, r): R of [phi | target] of each partition, or of each group of ``by``; complex entries interleaved."""
-    ti, tq = target
+def _rows(batch: pa.RecordBatch | pa.Table, target: tuple[str, str]) -> np.ndarray:
+    """[phi | target] as a complex matrix, from the values of the list column at once."""
+    table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+    phi = table.column("phi").combine_chunks()
+    phi = phi.combine_chunks() if isinstance(phi, pa.ChunkedArray) else phi
+    pairs = phi.flatten().to_numpy(zero_copy_only=False).reshape(len(phi), -1)
+    t = [table.column(c).to_numpy() for c in target]
+    return np.column_stack([pairs[:, 0::2] + 1j * pairs[:, 1::2], t[0] + 1j * t[1]])
 
-    def run(pdf: pd.DataFrame) -> tuple[int, bytes]:
-        phi = np.stack(pdf["phi"].to_numpy()) if len(pdf) else np.zeros((0, 2))
-        a = np.column_stack([phi[:, 0::2] + 1j * phi[:, 1::2], pdf[ti].to_numpy() + 1j * pdf[tq].to_numpy()])
-        return len(pdf), _factor(a).astype(np.complex128).tobytes()
 
+def _factor_table(group: int, rows: int, r: np.ndarray) -> pa.Table:
+    return pa.table({"group": pa.array([group], pa.int64()), "rows": pa.array([rows], pa.int64()), "r": pa.array([np.ascontiguousarray(r, np.complex128).tobytes()], pa.binary())})
+
+
+FACTORS = "group long, rows long, r binary"
+
+
+def r_factors(design: DataFrame, by: str | None = None, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
+    """(group, rows, r): R of [phi | target] of each partition, or of each group of column ``by``; complex entries interleaved."""
     if by:
-        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            n, r = run(pdf)
-            return pd.DataFrame({"group": [key[0]], "rows": [n], "r": [r]})
-
-        return design.select(*by, "phi", ti, tq).groupBy(*by).applyInPandas(one, "group long, rows long, r binary")
-
-    def parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: np.ndarray | None = None
-        n = 0
-        for pdf in it:
-            if len(pdf):
-                k, raw = run(pdf)
-                r = np.frombuffer(raw, complex)
-                width = len(pdf["phi"].iloc[0]) // 2 + 1
-                r = r.reshape(-1, width)
+        def one(key: tuple, table: pa.Table) -> pa.Table:
+            return _factor_table(key[0].as_py(), table.num_rows, _factor(_rows(table, target)))
+
+        return design.select(by, "phi", *target).groupBy(by).applyInArrow(one, FACTORS)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                r = _factor(_rows(batch, target))
                 held = r if held is None else _factor(np.vstack([held, r]))
-                n += k
+                n += batch.num_rows
         if held is not None:
-            yield pd.DataFrame({"group": [0], "rows": [n], "r": [held.tobytes()]})
+            yield from _factor_table(0, n, held).to_batches()
+
+    return design.select("phi", *target).mapInArrow(parts, FACTORS)
 
-    return design.select("phi", ti, tq).mapInPandas(parts, "group long, rows long, r binary")
+
+def _read(r: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(r, complex).reshape(-1, width)
 
 
 def merged(factors: DataFrame, width: int) -> tuple[int, np.ndarray]:
-    """Rows and R of all factors; merged on executors first if there are more than a few."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = _factor(np.vstack([np.frombuffer(x, complex).reshape(-1, width) for x in pdf["r"]]))
-        return pd.DataFrame({"group": [0], "rows": [int(pdf["rows"].sum())], "r": [r.tobytes()]})
-
-    n = factors.sparkSession.sparkContext.defaultParallelism
-    if factors.rdd.getNumPartitions() > MERGE:
-        factors = factors.groupBy(F.pmod(F.xxhash64("r"), F.lit(n))).applyInPandas(merge, "group long, rows long, r binary")
-    got = factors.collect()
+    """Rows and R of all factors: executors merge them to at most MERGE, one after another, in the job that brings these here."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros((0, width), complex), 0
+        for batch in batches:
+            for rows, r in zip(batch.column("rows").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                held, n = _factor(np.vstack([held, _read(r, width)])), n + rows
+        if n:
+            yield from _factor_table(0, n, held).to_batches()
+
+    got = factors.repartition(MERGE, F.xxhash64("r")).mapInArrow(merge, FACTORS).collect()
     if not got:
         raise ValueError("no rows to fit")
-    return sum(g["rows"] for g in got), _factor(np.vstack([np.frombuffer(g["r"], complex).reshape(-1, width) for g in got]))
+    return sum(g["rows"] for g in got), _factor(np.vstack([_read(g["r"], width) for g in got]))
 
 
 def solve(rows: int, r: np.ndarray, ridge: float = 0.0, penalties: list[np.ndarray] | None = None, scaled: bool = False, rcond: float | None = None) -> Fit:
@@ -115,19 +125,63 @@ def fit(design: DataFrame, width: int, ridge: float = 0.0, penalties: list[np.nd
     return solve(rows, r, ridge, penalties, scaled, rcond)
 
 
-def leave_one_out(design: DataFrame, width: int, ridge: float = 0.0, scaled: bool = False) -> dict[int, Fit]:
-    """For each frame the fit on all others: one R factor per frame, merged over prefix and suffix products, no refit from rows."""
-    got = sorted(((g["group"], g["rows"], np.frombuffer(g["r"], complex).reshape(-1, width + 1)) for g in r_factors(design, ["frame"]).collect()), key=lambda g: g[0])
-    if len(got) < 2:
-        raise ValueError("two frames at least are needed")
-    none = np.zeros((0, width + 1), complex)
-    before, after = [none], [none]
-    for _, _, r in got:
-        before.append(_factor(np.vstack([before[-1], r])))
-    for _, _, r in reversed(got):
-        after.append(_factor(np.vstack([after[-1], r])))
-    total = sum(n for _, n, _ in got)
-    return {g: solve(total - n, _factor(np.vstack([before[k], after[len(got) - 1 - k]])), ridge, scaled=scaled) for k, (g, n, _) in enumerate(got)}
+#: Factors that one task takes prefix and suffix products of.
+FAN = 256
+
+
+def others(factors: DataFrame, width: int) -> DataFrame:
+    """For each factor (group, rows, r) the rows and R of all others, by a tree of partial products on executors.
+
+    Up to FAN factors are one task's work: what is left of each is a product of the ones before and of the ones after. More
+    are dealt over buckets; a bucket's own others (this function again, of the buckets' products) join its prefixes.
+    """
+
+    def apart(table: pa.Table, rows: int, base: np.ndarray) -> pa.Table:
+        """Others of the factors of ``table``, and of ``base``, which is outside."""
+        table = table.sort_by("group")
+        own = [_read(r, width) for r in table.column("r").to_pylist()]
+        n = table.column("rows").to_pylist()
+        before, after = [base], [np.zeros((0, width), complex)]
+        for r in own[:-1]:
+            before.append(_factor(np.vstack([before[-1], r])))
+        for r in reversed(own[1:]):
+            after.append(_factor(np.vstack([after[-1], r])))
+        left = [_factor(np.vstack([x, y])) if len(x) + len(y) else x for x, y in zip(before, reversed(after), strict=True)]
+        return pa.table({"group": table.column("group"), "rows": pa.array([rows + sum(n) - k for k in n], pa.int64()), "r": pa.array([x.tobytes() for x in left], pa.binary())})
+
+    # Two numbers: one may not be the product of nothing.
+    count = factors.count()
+    if count <= FAN:
+        return factors.withColumn("_b", F.lit(0)).groupBy("_b").applyInArrow(lambda t: apart(t.select(["group", "rows", "r"]), 0, np.zeros((0, width), complex)), FACTORS)
+    dealt = factors.withColumn("_b", F.pmod(F.xxhash64("group"), F.lit(-(-2 * count // FAN))))
+
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        return _factor_table(key[0].as_py(), sum(table.column("rows").to_pylist()), _factor(np.vstack([_read(r, width) for r in table.column("r").to_pylist()])))
+
+    up = others(dealt.groupBy("_b").applyInArrow(product, FACTORS), width).withColumnRenamed("group", "_b")
+
+    def inside(own: pa.Table, base: pa.Table) -> pa.Table:
+        return apart(own.select(["group", "rows", "r"]), base.column("rows")[0].as_py(), _read(base.column("r")[0].as_py(), width))
+
+    return dealt.groupBy("_b").cogroup(up.groupBy("_b")).applyInArrow(inside, FACTORS)
+
+
+def leave_one_out(design: DataFrame, width: int, ridge: float = 0.0, scaled: bool = False, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
+    """For each frame the fit on all others, a row a frame: frame, rows, rank, condition, coef (interleaved), residual_power.
+
+    One R factor a frame, merged over all others by a tree; no refit from rows, and nothing goes to the driver. An error if
+    there are fewer than two frames.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [solve(n, _read(r, width + 1), ridge, scaled=scaled) if n else None for n, r in zip(batch.column("rows").to_pylist(), batch.column("r").to_pylist(), strict=True)]
+            if None in fits:
+                raise ValueError("two frames at least are needed")
+            flat = [np.column_stack([f.coef.real, f.coef.imag]).reshape(-1).tolist() for f in fits]
+            yield pa.RecordBatch.from_pydict({"frame": batch.column("group"), "rows": batch.column("rows"), "rank": pa.array([f.rank for f in fits], pa.int32()), "condition": pa.array([f.condition for f in fits], pa.float64()), "coef": pa.array(flat, pa.list_(pa.float64())), "residual_power": pa.array([f.residual_power for f in fits], pa.float64())})
+
+    return others(r_factors(design, "frame", target), width + 1).mapInArrow(run, "frame long, rows long, rank int, condition double, coef array<double>, residual_power double")
 
 
 def gram_gain(df: DataFrame) -> DataFrame:

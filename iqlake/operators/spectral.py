@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from iqlake.functions.scalar import power, ratio_db
 
@@ -55,9 +56,11 @@ AT_ONCE = 1 << 18
 def over_frames(df: DataFrame, cols: list[str], kernel: Callable[[np.ndarray, list[np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """``kernel(frames, matrices)`` over frames of one length at a time: a row per frame and a matrix per column, ordered by n.
 
-    Frames become arrays in the JVM, so many short frames cost one Arrow batch instead of one group each.
+    Frames become arrays in the JVM, so many short frames cost one Arrow batch instead of one group each. A ``df`` that has a
+    row a frame and arrays in ``cols`` is taken as it is, without a shuffle.
     """
-    rows = df.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("n", *cols))).alias("s")).select("frame", *[F.col(f"s.{c}").alias(c) for c in cols])
+    whole = isinstance(df.schema[cols[0]].dataType, ArrayType)
+    rows = df.select("frame", *cols) if whole else df.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("n", *cols))).alias("s")).select("frame", *[F.col(f"s.{c}").alias(c) for c in cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,25 +56,43 @@ def smoothed(c: str, weights: list[float], order: str, keys: list[str]) -> Colum
     return sum(terms[1:], terms[0])
 
 
-def slow_envelope(df: DataFrame, tau: float, start: float, keys: list[str] | None = None) -> DataFrame:
-    """One-pole state s = a s + (1 - a) power with a = exp(-1 / tau), from ``start`` at each frame's first sample.
+#: Samples that one matrix product of the one-pole filter covers.
+SCAN = 128
+
 
-    A frame is a bounded unit of some thousand rows; its recurrence runs in one Arrow group.
-    """
+def one_pole(values: np.ndarray, tau: float, start: float) -> np.ndarray:
+    """s[n] = a s[n - 1] + (1 - a) values[n] with a = exp(-1 / tau), from ``start``: blocks by one product with the powers of a, then a carry a block."""
     a = math.exp(-1.0 / tau)
+    k = np.arange(SCAN)
+    lower = np.where(k[:, None] >= k[None, :], a ** np.maximum(k[:, None] - k[None, :], 0), 0.0)
+    blocks = np.zeros((-(-len(values) // SCAN), SCAN))
+    blocks.reshape(-1)[: len(values)] = values
+    own = (1 - a) * blocks @ lower.T
+    carry = np.empty(len(blocks))
+    s, decay = start, a**SCAN
+    for b in range(len(blocks)):
+        carry[b] = s
+        s = decay * s + own[b, -1]
+    return (own + carry[:, None] * a ** (k + 1)[None, :]).reshape(-1)[: len(values)]
+
+
+def slow_envelope(df: DataFrame, tau: float, start: float, keys: list[str] | None = None) -> DataFrame:
+    """One-pole state s = a s + (1 - a) power with a = exp(-1 / tau), from ``start`` at each frame's first sample."""
+    return slow_envelopes(df, {"state": tau}, start, keys)
+
+
+def slow_envelopes(df: DataFrame, taus: dict[str, float], start: float, keys: list[str] | None = None) -> DataFrame:
+    """A column for each named time constant, all in one pass: a frame, a bounded unit of some thousand rows, is one Arrow group."""
     frame = keys or ["frame"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         p = (pdf["i"] ** 2 + pdf["q"] ** 2).to_numpy()
-        out = np.empty(len(p))
-        s = start
-        for k, v in enumerate(p):
-            s = a * s + (1 - a) * v
-            out[k] = s
-        return pdf.assign(state=out)
-
-    schema = df.select(*frame, "n", "i", "q").schema.add("state", "double")
+        return pdf.assign(**{name: one_pole(p, tau, start) for name, tau in taus.items()})
+
+    schema = df.select(*frame, "n", "i", "q").schema
+    for name in taus:
+        schema = schema.add(name, "double")
     return df.select(*frame, "n", "i", "q").groupBy(*frame).applyInPandas(run, schema)
 
 

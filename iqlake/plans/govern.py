@@ -14,14 +14,24 @@ from iqlake.operators.frames import checked_role
 from iqlake.operators.metrics import bundle, frozen_reference, ls_gain, mean_frame_nmse
 
 
+#: Hex digits of a bucket of ``content_hash``.
+DIGITS = 4
+
+
 def row_hash(*cols: str) -> Column:
     """SHA-256 of the columns as text, joined by a bar; null is empty."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
 
 
 def content_hash(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """One hash per group of ``keys``, the same whatever the order or partitioning of rows: the SHA-256 of sorted row hashes."""
-    return df.withColumn("_h", row_hash(*cols)).groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("sha256"))
+    """One hash per group of ``keys``, the same whatever the order or partitioning of rows, repeated rows counted.
+
+    Row hashes fall by their first hex digits into ``16 ** DIGITS`` buckets; a bucket's value is the SHA-256 of its sorted
+    hashes, a group's that of its sorted (bucket, value) list, which is no longer than the number of buckets.
+    """
+    rows = df.withColumn("_h", row_hash(*cols)).groupBy(*keys, F.substring("_h", 1, DIGITS).alias("_b"))
+    parts = rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_v"))
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_b", "_v"))), ""), 256).alias("sha256"))
 
 
 def canonical_sha256(value: object) -> str:

@@ -123,9 +123,15 @@ def b18_padded_frames(spark, sf):
     return rounded(frames.padded(V.iq_events(spark, sf), 512, ["i", "q"]))
 
 
-@query("SELECT count(*) AS pairs, 0::BIGINT AS left_only, 0::BIGINT AS right_only FROM paired", PAIRED)
+BAD = "SELECT frame, n, CASE WHEN n % 11 = 3 THEN 'nan'::DOUBLE WHEN n % 13 = 5 THEN NULL ELSE yi END AS yi, yq FROM paired WHERE n % 7 <> 2"
+
+
+@query("SELECT count(*) FILTER (WHERE l AND r) AS pairs, count(*) FILTER (WHERE r IS NULL) AS left_only, count(*) FILTER (WHERE l IS NULL) AS right_only, count(*) FILTER (WHERE r AND NOT (coalesce(isfinite(yi), false) AND isfinite(yq)))::BIGINT AS not_finite "
+       f"FROM (SELECT frame, n, true AS l FROM iq WHERE n % 5 <> 1) FULL JOIN (SELECT *, true AS r FROM ({BAD})) USING (frame, n)", PAIRED)
 def b2_check_pairs(spark, sf):
-    return frames.check_pairs(V.iq_events(spark, sf), V.paired(spark, sf), ["frame", "n"])
+    """Rows are left out on both sides and values spoilt on one, so that every count is above 0."""
+    p = V.paired(spark, sf).filter("n % 7 <> 2").select("frame", "n", F.when(F.col("n") % 11 == 3, float("nan")).when(F.col("n") % 13 == 5, None).otherwise(F.col("yi")).alias("yi"), "yq")
+    return frames.check_pairs(V.iq_events(spark, sf).filter("n % 5 <> 1"), p, ["frame", "n"])
 
 
 @query("SELECT CASE WHEN frame % 5 < 3 THEN 'train' WHEN frame % 5 = 3 THEN 'val' ELSE 'test' END AS split, count(*) AS samples, count(DISTINCT frame) AS frames FROM iq GROUP BY 1", IQ)
@@ -305,18 +311,18 @@ def e2_dft_power(spark, sf):
 
 @query("SELECT k, " + r6("power AS power") + " FROM m", EMB + MEAN)
 def e3_power_spectrum(spark, sf):
-    return rounded(spectral.power_spectrum(V.iq_embed(spark, sf), 32.0, 32).select("k", "power"))
+    return rounded(spectral.power_spectrum(V.iq_arrays(spark, sf), 32.0, 32).select("k", "power"))
 
 
 @query("SELECT 32 AS frames, " + r6("10*log10(l/(SELECT max(p) FROM z)) AS left_db", "10*log10(r/(SELECT max(p) FROM z)) AS right_db") + " FROM side", EMB + MEAN + SUBS)
 def e6_subchannel_aclr(spark, sf):
-    s = spectral.power_spectrum(V.iq_embed(spark, sf), 32.0, 32)
+    s = spectral.power_spectrum(V.iq_arrays(spark, sf), 32.0, 32)
     return rounded(spectral.subchannel_aclr_db(s, 32.0, 32, 16.0, 4).select(F.lit(32).alias("frames"), "left_db", "right_db"))
 
 
 @query("SELECT " + r6("10*log10(l/main) AS left_db", "10*log10(r/main) AS right_db", "(10*log10(l/main)+10*log10(r/main))/2 AS mean_db") + " FROM side", EMB + MEAN + SUBS)
 def e7_standard_aclr(spark, sf):
-    s = spectral.power_spectrum(V.iq_embed(spark, sf), 32.0, 32)
+    s = spectral.power_spectrum(V.iq_arrays(spark, sf), 32.0, 32)
     return rounded(spectral.standard_aclr_db(s, 16.0, 4.0))
 
 
@@ -326,18 +332,18 @@ RSQL = ", g AS (SELECT * FROM (VALUES ('main', -8.0, 8.0), ('left', -12.0, -8.0)
 
 @query("SELECT name, " + r6("p0 AS power_before", "p1 AS power_after", "10*log10(p0/(SELECT p0 FROM pool WHERE name = 'main')) AS dbc_before", "10*log10(p0/p1) AS suppression_db") + " FROM pool", EMB + RSQL)
 def e8_region_report(spark, sf):
-    before = spectral.welch(V.iq_embed(spark, sf), 32.0, 32)
+    before = spectral.welch(V.iq_arrays(spark, sf), 32.0, 32)
     return rounded(spectral.region_report(before, before.withColumn("power", F.col("power") * 0.25), REGIONS).select("name", "power_before", "power_after", "dbc_before", "suppression_db"))
 
 
 @query("SELECT k, " + r6("10*log10(power/0.5) AS db") + " FROM m", EMB + MEAN)
 def e13_spectrum_db(spark, sf):
-    return rounded(spectral.spectrum_db(spectral.power_spectrum(V.iq_embed(spark, sf), 32.0, 32), 0.5).select("k", "db"))
+    return rounded(spectral.spectrum_db(spectral.power_spectrum(V.iq_arrays(spark, sf), 32.0, 32), 0.5).select("k", "db"))
 
 
 @query("SELECT k, " + r6("(0.25*coalesce(lag(power) OVER w, power) + 0.5*power + 0.25*coalesce(lead(power) OVER w, power)) AS power") + " FROM m WINDOW w AS (ORDER BY k)", EMB + MEAN)
 def e12_smoothed(spark, sf):
-    s = spectral.power_spectrum(V.iq_embed(spark, sf), 32.0, 32).withColumn("all", F.lit(0))
+    s = spectral.power_spectrum(V.iq_arrays(spark, sf), 32.0, 32).withColumn("all", F.lit(0))
     return rounded(s.select("k", windows.smoothed("power", [0.25, 0.5, 0.25], "k", ["all"]).alias("power")))
 
 
@@ -463,7 +469,7 @@ def h9_integer_root(spark, sf):
 @query("SELECT event_id AS n, isfinite(value) AS finite, floor(value * 3)::BIGINT * (event_id + 1) AS product FROM events")
 def h11_h16_checked(spark, sf):
     e = V.table(spark, sf, "events")
-    return e.select(F.col("event_id").alias("n"), S.finite("value").alias("finite"), (F.floor(F.col("value") * 3).cast("long") * (F.col("event_id") + 1)).alias("product"))
+    return e.select(F.col("event_id").alias("n"), S.finite("value").alias("finite"), S.checked_product(F.floor(F.col("value") * 3).cast("long"), F.col("event_id") + 1).alias("product"))
 
 
 @query()
@@ -599,8 +605,8 @@ def c6_leave_one_frame_out(spark, sf):
 
     terms = [features.Term(0, 0, 0), features.Term(2, 0, 0)]
     fits = leave_one_out(features.design(V.paired(spark, sf), terms), 2)
-    table = spark.createDataFrame([(f, float(r.coef[0].real), float(r.coef[0].imag), float(r.coef[1].real), float(r.coef[1].imag)) for f, r in fits.items()], "frame long, a_re double, a_im double, b_re double, b_im double")
-    p = V.paired(spark, sf).join(F.broadcast(table), "frame").withColumn("pw", S.power("i", "q"))
+    fits = fits.select("frame", *[F.col("coef")[k].alias(n) for k, n in enumerate(("a_re", "a_im", "b_re", "b_im"))])
+    p = V.paired(spark, sf).join(fits, "frame").withColumn("pw", S.power("i", "q"))
     p = p.withColumn("pi", F.expr("i*(a_re + b_re*pw) - q*(a_im + b_im*pw)")).withColumn("pq", F.expr("i*(a_im + b_im*pw) + q*(a_re + b_re*pw)"))
     return rounded(p.groupBy("frame").agg(metrics.nmse_db(("pi", "pq"), ("yi", "yq")).alias("nmse_db")))
 
@@ -665,7 +671,7 @@ def m8_row_hash(spark, sf):
     return V.table(spark, sf, "events").select(F.col("event_id").alias("n"), govern.row_hash("event_id", "user_id", "event_type").alias("sha256"))
 
 
-@query("SELECT event_type, sha256(string_agg(h, '' ORDER BY h)) AS sha256 FROM (SELECT event_type, sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR)) AS h FROM events) GROUP BY 1")
+@query("SELECT event_type, sha256(string_agg(b || v, '' ORDER BY b)) AS sha256 FROM (SELECT event_type, substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS v FROM (SELECT event_type, sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR)) AS h FROM events) GROUP BY 1, 2) GROUP BY 1")
 def m8_content_hash(spark, sf):
     return govern.content_hash(V.table(spark, sf, "events"), ["event_type"], ["event_id", "user_id"])
 
@@ -693,11 +699,24 @@ def c5_m3_candidates(spark, sf):
     return cost.within_budget(g, 150)
 
 
-@query()
+#: Counts of each model in closed form: mul, add, div, nonlinear, compare, lookup, read, write, coef, const, state.
+COSTS = {
+    "mp": ("24*(2 + 1 + 1 + 2*4 + 4*5)", "24*(1 + 2*5) + 2*(24*5 - 1)", "0", "24", "24", "0", "24*(2 + 2*5)", "2", "2*24*5", "5 + 24", "2*23"),
+    "gmp": ("(2 + 2) + 2*(5*24 + 2*6*2 - 24) + 4*24", "1 + 2*(5*24 + 2*6*2 - 24) + 2*24 + 2*23", "0", "1", "0", "0", "2*(5*24 + 24) + (5*24 + 24 - 24) + 2*24", "2 + 4", "2*(5*24 + 24)", "9", "2*23 + 4*23"),
+    "spline": ("4 + 1 + 4", "6 + 2", "0", "1", "4", "2", "6", "2", "2*16", "2*16 - 1", "0"),
+    "branches": ("3*(5 + 4) - 2*2", "3*8 + 2*2 - 2", "0", "1", "3*4", "3*2", "3*6", "3*2", "3*2*16", "3*(2*16 - 1)", "0"),
+    "hammerstein": ("5 + 4 + 7*4", "6 + 2 + 7*(2 + 2)", "0", "1", "5", "4", "8 + 4*7", "2", "2*32 + 2*7", "2*32 - 1", "2*7"),
+    "spline_memory": ("3*2 + 2*(2 + 4)", "2*2 + 2*(4 + 2) + 2", "0", "2", "2*3", "2*2", "4*2 + 2*2", "2", "2*8*2", "2*8 - 1", "2*1"),
+    "fir": ("3*4", "3*(2 + 2)", "0", "0", "0", "0", "4*3", "2", "2*3", "3", "2*2"),
+    "reservoir": ("100*100 + 300 + 2*100 + 5 + 32 + 2*137", "100*99 + 100*4 + 2 + 2*137", "0", "100 + 32", "4", "0", "100*100 + 100 + 300 + 3 + 4 + 2*137 + 2 + 100 + 5 + 32 + 2*137", "101", "100*100 + 300 + 137 + 1 + 4 + 2*137", "0", "100"),
+}
+COST_NAMES = ["mul", "add", "div", "nonlinear", "compare", "lookup", "read", "write", "coef", "const", "state"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, " + ", ".join(f'({e})::BIGINT AS "{n}"' for e, n in zip(row, COST_NAMES, strict=True)) for m, row in COSTS.items()))
 def m2_costs(spark, sf):
     rows = {"mp": cost.memory_polynomial([1, 2, 3, 4, 5], list(range(24))), "gmp": cost.generalized(5, 24, 2, 6, 2), "spline": cost.spline(16), "branches": cost.spline_branches(16, 3, shared=True), "hammerstein": cost.hammerstein(32, 8), "spline_memory": cost.spline_memory(8, [(0, 0), (1, 1)]), "fir": cost.correction([0, 1, 2]), "reservoir": cost.echo_state(100)}
-    names = list(cost.Count().row())
-    return spark.createDataFrame([(k, *v.row().values()) for k, v in rows.items()], "model string, " + ", ".join(f"`{n}` long" for n in names))
+    return spark.createDataFrame([(k, *[v[n] for n in COST_NAMES]) for k, v in rows.items()], "model string, " + ", ".join(f"`{n}` long" for n in COST_NAMES))
 
 
 @query("SELECT p AS orders, d::BIGINT AS delays, (d*(2 + greatest((p-1)//2 - 1, 0) + (p-1)//2 - (CASE WHEN p >= 2 THEN 1 ELSE 0 END) + CASE WHEN (p-1) % 2 = 1 THEN 1 ELSE 0 END + 2*(p-1) + 4*p))::BIGINT AS mul, (2*p*d)::BIGINT AS coef FROM (SELECT unnest(range(2, 8)) AS p), (SELECT unnest([1, 8, 24, 30]) AS d)")

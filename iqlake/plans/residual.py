@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from iqlake.functions.scalar import power, rotate_to_input
 from iqlake.operators.frames import checked_role, in_frame, in_order
 from iqlake.operators.metrics import amplitude_regions, boundary_split, by_position, complex_correlations, frozen_reference, real_correlation
-from iqlake.operators.windows import safe_lag, slow_envelope
+from iqlake.operators.windows import safe_lag, slow_envelope, slow_envelopes
 
 
 def residual(df: DataFrame) -> DataFrame:
@@ -49,14 +49,13 @@ def envelope_table(df: DataFrame, lags: list[int], exponents: list[int]) -> Data
 def slow_state_table(df: DataFrame, taus: list[float], start: float, shortest: int = 3) -> DataFrame:
     """Pearson of each slow envelope state with the rotated error; observable if the longest frame has at least ``shortest`` time constants."""
     longest = df.groupBy("frame").count().agg(F.max("count").alias("m"))
-    out = None
-    for tau in taus:
-        s = slow_envelope(df, tau, start).select("n", "state")
-        radial, tangential, ok = rotate_to_input(F.col("ei"), F.col("eq"), F.col("i"), F.col("q"))
-        one = df.join(s, "n").agg(F.lit(float(tau)).alias("tau"), real_correlation(F.col("state"), radial, ok).alias("radial"), real_correlation(F.col("state"), tangential, ok).alias("tangential"))
-        one = one.crossJoin(F.broadcast(longest)).withColumn("observable", F.col("m") >= shortest * tau).drop("m")
-        out = one if out is None else out.union(one)
-    return out
+    names = {f"_s{k}": float(tau) for k, tau in enumerate(taus)}
+    radial, tangential, ok = rotate_to_input(F.col("ei"), F.col("eq"), F.col("i"), F.col("q"))
+    # All states in one pass over frames, joined once; all correlations in one aggregate.
+    wide = df.join(slow_envelopes(df, names, start).select("n", *names), "n")
+    rows = [F.struct(F.lit(tau).alias("tau"), real_correlation(F.col(s), radial, ok).alias("radial"), real_correlation(F.col(s), tangential, ok).alias("tangential")) for s, tau in names.items()]
+    out = wide.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    return out.crossJoin(F.broadcast(longest)).withColumn("observable", F.col("m") >= shortest * F.col("tau")).drop("m")
 
 
 def projected_state(df: DataFrame, tau: float, start: float, lags: list[int]) -> DataFrame:

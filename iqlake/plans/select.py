@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def everything() -> Window:
-    """Trial tables are small: one row per fit."""
-    return Window.partitionBy(F.lit(0))
+def _with(trials: DataFrame, value: Column, name: str) -> DataFrame:
+    """``trials`` with an aggregate of all of them, one broadcast row."""
+    return trials.crossJoin(F.broadcast(trials.agg(value.alias(name))))
 
 
 def best(trials: DataFrame, *order: Column | str) -> DataFrame:
@@ -18,14 +18,22 @@ def best(trials: DataFrame, *order: Column | str) -> DataFrame:
 
 def near_best(trials: DataFrame, tolerance: float, score: str = "score_db", valid: str = "valid") -> DataFrame:
     """Valid trials within ``tolerance`` dB of the best score."""
-    return trials.filter(valid).withColumn("_best", F.min(score).over(everything())).filter(F.col(score) <= F.col("_best") + tolerance).drop("_best")
+    return _with(trials.filter(valid), F.min(score), "_best").filter(F.col(score) <= F.col("_best") + tolerance).drop("_best")
 
 
 def ranked(trials: DataFrame, tolerance: float, *order: Column | str, score: str = "score_db") -> DataFrame:
     """All valid trials with a rank: those near the best by ``order``, then the others by score and ``order``."""
-    t = trials.filter("valid").withColumn("_near", F.col(score) > F.min(score).over(everything()) + tolerance)
-    key = F.when(F.col("_near"), F.col(score))
-    return t.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_near", key, *order))).drop("_near")
+    t = _with(trials.filter("valid"), F.min(score), "_best").withColumn("_near", F.col(score) > F.col("_best") + tolerance).drop("_best")
+    return numbered(t, "rank", "_near", F.when(F.col("_near"), F.col(score)), *order).drop("_near")
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows numbered from 1 in ``order``: sorted by range over all tasks, numbered in each, and shifted by the tasks before."""
+    at = rows.sort(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # One row a task.
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    return at.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_k") + 1).cast("int")).drop("_p", "_k", "_before")
 
 
 def retained(trials: DataFrame, most: int, window_db: float, *order: Column | str, score: str = "score_db") -> DataFrame:
@@ -48,7 +56,7 @@ def smallest_within(trials: DataFrame, tolerance: float, size: str, score: str =
 def eligible_gain(trials: DataFrame, none: str, tolerance: float) -> DataFrame:
     """Best eligible candidate by the lesser of full and common gain, ties within ``tolerance`` to fewer multiplications; ``none`` if none is eligible."""
     t = trials.withColumn("gain", F.least("full_gain", "common_gain"))
-    ok = t.filter("eligible").withColumn("_b", F.max("gain").over(everything())).filter(F.col("gain") >= F.col("_b") - tolerance).orderBy("mul", F.desc("gain"), "recipe").limit(1).select("recipe", F.lit(0).alias("_o"))
+    ok = _with(t.filter("eligible"), F.max("gain"), "_b").filter(F.col("gain") >= F.col("_b") - tolerance).orderBy("mul", F.desc("gain"), "recipe").limit(1).select("recipe", F.lit(0).alias("_o"))
     fallback = trials.sparkSession.range(1).select(F.lit(none).alias("recipe"), F.lit(1).alias("_o"))
     return ok.union(fallback).orderBy("_o").limit(1).select("recipe")
 

@@ -38,9 +38,13 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def iq_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame of 32 complex samples per vector: even places are i, odd ones q."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "label", F.posexplode("embedding").alias("at", "v"))
-    half = e.select("frame", "label", F.expr("at div 2").alias("pos"), (F.col("at") % 2).alias("odd"), F.col("v").cast("double").alias("v"))
-    return half.groupBy("frame", "label", "pos").agg(F.max(F.when(F.col("odd") == 0, F.col("v"))).alias("i"), F.max(F.when(F.col("odd") == 1, F.col("v"))).alias("q")).withColumn("n", F.col("frame") * 32 + F.col("pos"))
+    return iq_arrays(spark, sf_dir).select("frame", "label", F.posexplode(F.arrays_zip("i", "q")).alias("pos", "s")).select("frame", "label", "pos", F.col("s.i").alias("i"), F.col("s.q").alias("q"), (F.col("frame") * 32 + F.col("pos")).alias("n"))
+
+
+def iq_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one row a frame with arrays i and q: what the kernels of whole frames take without a shuffle."""
+    part = lambda odd: F.transform(F.sequence(F.lit(odd), F.size("embedding") - 2 + odd, F.lit(2)), lambda k: F.get("embedding", k).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "label", part(0).alias("i"), part(1).alias("q"))
 
 
 def split_of(frame: str = "frame", period: int = 5) -> Column:

@@ -94,9 +94,8 @@ class FixedKernel:
     def _shift(v: np.ndarray, s: int) -> np.ndarray:
         if s <= 0:
             return v << -s
-        mag = np.abs(v)
-        whole, rest, half = mag >> s, mag & ((1 << s) - 1), 1 << (s - 1)
-        return np.where(v < 0, -1, 1) * (whole + ((rest > half) | ((rest == half) & (whole & 1 == 1))))
+        down = v >> s  # towards minus infinity; what is dropped rounds to even
+        return down + (((v & ((1 << s) - 1)) + ((1 << (s - 1)) - 1) + (down & 1)) >> s)
 
     @staticmethod
     def _clip(v: np.ndarray, bits: int) -> np.ndarray:
