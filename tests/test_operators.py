@@ -2,6 +2,7 @@
 
 import cmath
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from places import SF
 from iqlake.functions import scalar as S
 from iqlake.operators import align, features, frames, metrics, models, solve, spectral, windows
-from iqlake.plans import cost, govern, residual, select
+from iqlake.plans import cost, fits, govern, residual, search, select
 from iqlake.sources import io, views
 from iqlake.streaming import kernels
 
@@ -55,20 +56,22 @@ def test_delay_ties(spark):
 
 
 def test_two_bins(spark):
-    x = np.array([0.1, 0.2, 0.6, 0.8])
-    y = 2 * x * np.exp(1j * np.array([0.1, 0.1, -0.2, -0.2]))
-    r = metrics.characteristics(signal(spark, x, y), [0.0, 0.5, 1.0]).orderBy("bin").collect()
-    assert [q["count"] for q in r] == [2, 2]
-    assert np.allclose([(q.gain, q.phase, q.concentration) for q in r], [(2, 0.1, 1), (2, -0.2, 1)])
+    turn = np.array([0.31, -0.45, 0.07])
+    x = np.linspace(0.03, 0.87, 15)
+    bins = np.searchsorted([0.25, 0.6], x, "right")
+    y = 1.7 * x * np.exp(1j * turn[bins])
+    r = metrics.characteristics(signal(spark, x, y), [0.0, 0.25, 0.6, 0.9]).orderBy("bin").collect()
+    assert [q["count"] for q in r] == np.bincount(bins).tolist()
+    assert np.allclose([(q.gain, q.phase, q.concentration) for q in r], [(1.7, t, 1) for t in turn])
     assert metrics.characteristics(signal(spark, [1.0, 0.0]), [0.0, 0.5, 1.0]).filter("bin = 1").first()["count"] == 1
 
 
 def test_boundary_lag(spark):
-    df = signal(spark, [10, 11, 12, 20, 21, 22], nperseg=3)
-    r = windows.safe_lag(df, "i", 1).orderBy("n").collect()
-    assert [(q.lagged, q.lagged_valid) for q in r] == [(0, False), (10, True), (11, True), (0, False), (20, True), (21, True)]
-    r = windows.safe_lag(signal(spark, [1, 2, 3, 4], nperseg=2), "i", -1).orderBy("n").collect()
-    assert [(q.lagged, q.lagged_valid) for q in r] == [(2, True), (0, False), (4, True), (0, False)]
+    x = np.random.default_rng(3).normal(size=14)
+    for lag in (2, -3):
+        r = windows.safe_lag(signal(spark, x, nperseg=5), "i", lag).orderBy("n").collect()
+        want = [(x[k - lag], True) if 0 <= k - lag < len(x) and (k - lag) // 5 == k // 5 else (0, False) for k in range(len(x))]
+        assert [(q.lagged, q.lagged_valid) for q in r] == want
 
 
 def test_slow_envelope_resets(spark):
@@ -84,16 +87,137 @@ def test_rotation(spark):
 
 
 def test_rounding_vectors(spark):
-    r = spark.range(-7, 8).select(S.shift_even("id", 1).alias("s")).collect()
-    assert [q.s for q in r] == [-4, -3, -2, -2, -2, -1, 0, 0, 0, 1, 2, 2, 2, 3, 4]
-    r = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 4, 8, 9)], "v long").select(S.isqrt_even("v").alias("s")).collect()
-    assert [q.s for q in r] == [0, 1, 1, 2, 2, 3, 3]
-    f = S.FixedFormat(4, 2)
-    r = spark.createDataFrame([(v,) for v in (-3.0, -1.25, 0.125, 1.9, 4.0)], "v double").select(f.quantize("v").alias("c"), f.saturated("v").alias("s")).collect()
-    assert [q.c for q in r] == [-8, -5, 0, 7, 7] and sum(q.s for q in r) == 3
-    assert S.monotone_codes([0.0, 0.1, 0.2, 1.0], S.FixedFormat(8, 2)) == ([0, 1, 2, 4], 2, 1)
-    with pytest.raises(Exception, match="OVERFLOW"):
-        spark.range(1).select((F.lit(2**62) * F.lit(4).cast("long")).alias("x")).collect()
+    """Against whole-number arithmetic, to the ends of BIGINT."""
+    rng = np.random.default_rng(11)
+    top = 2**63 - 1
+    v = [int(x) for x in rng.integers(-(2**62), 2**62, 60)] + [int(x) for x in rng.integers(-300, 300, 60)] + [top, top - 1, -top - 1, -top, 3 << 40, -(3 << 40), 0]
+    df = spark.createDataFrame([(x,) for x in v], "v long")
+    for shift in (1, 5, 41, 62):
+        got = {q.v: q.s for q in df.select("v", S.shift_even("v", shift).alias("s")).collect()}
+        assert got == {x: round(Fraction(x, 2**shift)) for x in v}
+        y = kernels.FixedKernel._shift(np.array(v, np.int64), shift)
+        assert y.tolist() == [round(Fraction(x, 2**shift)) for x in v]
+    roots = [int(x) for x in rng.integers(0, 3037000499, 80)]
+    squares = [x for r in roots for x in (r * r, r * r + r, r * r + r + 1, max(0, r * r - 1))] + [top, 3037000499**2, 3037000499**2 - 1, 0, 1, 2, 2**52, 2**52 + 1]
+    got = {q.v: q.s for q in spark.createDataFrame([(x,) for x in squares], "v long").select("v", S.isqrt_even("v").alias("s")).collect()}
+    assert got == {x: math.isqrt(x) + (x - math.isqrt(x) ** 2 > math.isqrt(x)) for x in squares}
+    f = S.FixedFormat(6, 3)
+    r = spark.createDataFrame([(float(x),) for x in rng.uniform(-6, 6, 50).round(2)] + [(0.0625,), (0.1875,), (-0.0625,)], "v double").select("v", f.quantize("v").alias("c"), f.saturated("v").alias("s")).collect()
+    codes = [round(Fraction(q.v) * 8) for q in r]
+    assert [q.c for q in r] == [max(-32, min(31, c)) for c in codes] and [q.s for q in r] == [not -32 <= c <= 31 for c in codes]
+    assert S.monotone_codes([0.0, 0.05, 0.08, 0.9, 1.3], S.FixedFormat(7, 3)) == ([0, 1, 2, 7, 10], 2, 1)
+    with pytest.raises(ValueError):
+        S.monotone_codes([0.0, 9.0], S.FixedFormat(7, 3))
+    for peak in (0.3, 0.97, 5.2, 31.0):
+        fmt = S.FixedFormat.for_full_scale(10, peak)
+        assert fmt.high / 2**fmt.fraction >= peak * 1.001 and (fmt.fraction == 9 or fmt.high / 2 ** (fmt.fraction + 1) < peak * 1.001)
+    with pytest.raises(ValueError):
+        S.FixedFormat.for_full_scale(4, 8.0)
+    with pytest.raises(Exception, match="64 bits"):
+        spark.range(1).select(S.checked_product(F.lit(2**62), F.lit(4).cast("long")).alias("x")).collect()
+
+
+def test_no_delay_is_an_error(spark):
+    scores = spark.createDataFrame([(-1, 3, None), (0, 4, None)], "d int, overlap long, score double")
+    for s in (scores, scores.filter("d > 5")):
+        with pytest.raises(Exception, match="no delay"):
+            align.integer_delay(s).collect()
+
+
+def test_delays_over_many_blocks(spark, monkeypatch):
+    """Blocks shorter than the record, gaps and missing samples: as the double loop."""
+    monkeypatch.setattr(align, "SAMPLES", 16)
+    x, y = noise(90), noise(90)
+    df = signal(spark, x, y).filter("n % 17 <> 4").withColumn("n", F.col("n") - 40)
+    xs = {k - 40: x[k] for k in range(90) if k % 17 != 4}
+    ys = {k - 40: y[k] for k in range(90) if k % 17 != 4}
+    for r in align.delay_scores(df, df, 12, 2).collect():
+        pairs = [(xs[n], ys[n + r.d]) for n in xs if n + r.d in ys]
+        c = sum(a.conjugate() * b for a, b in pairs)
+        assert r.overlap == len(pairs)
+        assert abs(r.score - abs(c) ** 2 / (sum(abs(a) ** 2 for a, _ in pairs) * sum(abs(b) ** 2 for _, b in pairs))) < 1e-12
+
+
+def test_one_pole_is_the_recurrence():
+    p = np.random.default_rng(2).random(500)
+    for tau in (0.4, 9.0, 5000.0):
+        a, s, want = math.exp(-1 / tau), 0.25, []
+        for v in p:
+            s = a * s + (1 - a) * v
+            want.append(s)
+        assert np.abs(windows.one_pole(p, tau, 0.25) - want).max() < 1e-12
+
+
+def test_rank_over_many_tasks(spark):
+    rows = [(f"r{k}", float((k * 37) % 50), k % 9 != 0) for k in range(200)]
+    t = spark.createDataFrame(rows, "recipe string, score_db double, valid boolean").repartition(6)
+    got = {r.recipe: r["rank"] for r in select.ranked(t, 3.0, "recipe").collect()}
+    valid = [r for r in rows if r[2]]
+    low = min(r[1] for r in valid)
+    want = sorted(valid, key=lambda r: (r[1] > low + 3.0, r[1] if r[1] > low + 3.0 else 0.0, r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want, 1)}
+
+
+def test_leave_one_out_by_a_tree(spark, monkeypatch):
+    """Buckets of few frames: every fit as from the rows of the other frames."""
+    monkeypatch.setattr(solve, "FAN", 4)
+    x, t = noise(22 * 12), noise(22 * 12)
+    terms = [features.Term(0, 0, 0), features.Term(1, 0, 0)]
+    got = solve.leave_one_out(features.design(signal(spark, x, t, 12), terms), 2, 1e-3).collect()
+    a = np.column_stack([x, x * np.abs(x)])
+    assert sorted(r.frame for r in got) == list(range(22))
+    for r in got:
+        keep = np.arange(len(x)) // 12 != r.frame
+        n = keep.sum()
+        want = np.linalg.solve(a[keep].conj().T @ a[keep] / n + 1e-3 * np.eye(2), a[keep].conj().T @ t[keep] / n)
+        assert r.rows == n and np.abs(np.array(r.coef).view(complex) - want).max() < 1e-9
+    with pytest.raises(Exception, match="two frames"):
+        solve.leave_one_out(features.design(signal(spark, x[:9], t[:9], 12), terms), 2).collect()
+
+
+def test_named_fits(spark):
+    df = signal(spark, 0.6 * noise(1200), nperseg=300)
+    plant = models.SplineModel([0.0, 0.6, 1.2, 3.0], [(0, 0), (1, 1)], [list(1 + 0.1 * noise(4)), list(0.1 * noise(4))])
+    y = plant.predict(df).withColumn("yi", F.col("pi")).withColumn("yq", F.col("pq")).drop("pi", "pq")
+    got, about = fits.fit_spline_memory(y, plant.branches, plant.knots, ridge=0.0)
+    assert np.abs(np.array(got.coef) - np.array(plant.coef)).max() < 1e-8 and about.rank == 8 and about.warmup == 1 and about.mse < 1e-16
+    gain = 1.8 - 0.4j
+    scaled = df.select("frame", "n", "pos", "i", "q", F.expr("1.8*i + 0.4*q").alias("yi"), F.expr("1.8*q - 0.4*i").alias("yq"))
+    inverse, _ = fits.fit_predistorter(scaled, gain, [(0, 0)], knots=[0.0, 1.0, 4.0], ridge=0.0)
+    assert np.abs(np.array(inverse.coef) - 1).max() < 1e-8
+    base = y.withColumn("pi", F.col("i")).withColumn("pq", F.col("q"))
+    first = base.select("*").withColumn("yi", F.col("pi")).withColumn("yq", F.col("pq"))
+    taps = models.FirCorrection([0, 2], [0.2 - 0.1j, -0.05 + 0.3j], True)
+    moved = taps.correct(first, ("yi", "yq"))
+    again, about = fits.fit_correction(moved, [0, 2], True, 0.0)
+    assert np.abs(np.array(again.coef) - taps.coef).max() < 1e-9 and about.width == 2
+    with pytest.raises(ValueError):
+        fits.fit_correction(moved, [300])
+
+
+def test_search(spark):
+    """Every trial as refitted frame by frame from its own rows; the planted topology wins."""
+    df = signal(spark, 0.7 * noise(600), nperseg=100)
+    terms = features.generalized(3, 2)
+    y = models.TermModel(terms, list(noise(len(terms)))).predict(df).withColumn("yi", F.col("pi") + F.expr("0.001 * sin(n)")).withColumn("yq", F.col("pq")).drop("pi", "pq").persist()
+    recipes = [search.Recipe.generalized("small", ka=1, la=2), search.Recipe.generalized("right", ka=3, la=2), search.Recipe.generalized("large", ka=5, la=3)]
+    ledger = {r.recipe: r for r in search.trials(search.folds(y, recipes, [1e-6], 10), recipes, "topology").collect()}
+    for recipe in recipes:
+        fits_ = solve.leave_one_out(features.design(y, list(recipe.terms)), len(recipe.terms), 1e-6, True)
+        error = power = 0.0
+        for r in fits_.collect():
+            p = models.TermModel(list(recipe.terms), list(np.array(r.coef).view(complex))).predict(y.filter(F.col("frame") == r.frame))
+            e, w = p.agg(F.sum(F.expr("pow(pi - yi, 2) + pow(pq - yq, 2)")), F.sum(F.expr("yi*yi + yq*yq"))).first()
+            error, power = error + e, power + w
+        assert abs(ledger[recipe.name].score_db - 10 * math.log10(error / power)) < 1e-6 and ledger[recipe.name].frames == 6
+    got = search.search(y, recipes, 1e-6, [1e-8, 1e-6, 1e-4], 10, 3 + 9)
+    assert got.recipe.name == "right" and got.ledger.count() == 3 + 3 * len({r.recipe for r in got.ledger.filter("stage = 'ridge'").collect()})
+    with pytest.raises(ValueError):
+        search.search(y, recipes, 1e-6, [1e-8], 10, 5)
+    trial = got.ledger.filter("recipe = 'right' AND stage = 'topology'").selectExpr("*", "score_db + 0.1 AS validation_db", "common_db AS validation_common_db", "score_db + 5 AS reference_db", "common_db + 5 AS reference_common_db", "0.0 AS above_support", "true AS causal")
+    limits = {"condition_ratio": 2.0, "norm_ratio": 2.0, "gain_db": 1.0, "common_gain_db": 1.0, "gap_db": 0.5, "boundary_db": 3.0, "mul": 1000}
+    assert search.decision(trial, limits).first()["passed"]
+    assert not search.decision(trial, limits | {"mul": 3}).first()["passed"]
 
 
 def test_tone_and_leakage(spark):
