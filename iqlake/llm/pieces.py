@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from iqlake.llm.chunks import ask, by_bucket, chunk_parts, make_chunks, total_bytes, with_answers
 from iqlake.llm.common import Scratch
 from iqlake.llm.substring import _columns
-from iqlake.llm.textcore import Texts, distinct, ragged, spans_hash
+from iqlake.llm.textcore import Texts, distinct, eights, ragged, spans_hash
 
 SPACE = "▁"
 MOST_PIECES = 1 << 20
@@ -179,13 +179,14 @@ def _slot(e: Column, unknown: int) -> Column:
 def _follows(prev: Column, e: Column, near: Column, facts: Column, unknown: int) -> Column:
     """Whether edge ``e`` may follow edge ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
     at = _end(prev)
-    both = F.struct(at.alias("at"), (at - _size(prev)).alias("low"), _end(e).alias("high"), F.get(facts["start"], _slot(prev, unknown)).alias("right"), F.get(facts["start"], _piece(e)).alias("left"))
+    right, left = F.get(facts["start"], _slot(prev, unknown)), F.get(facts["start"], _piece(e))
+    both = F.struct(at.alias("at"), (at - _size(prev)).alias("low"), _end(e).alias("high"), (right + at - 1).alias("right"), (left - at - 1).alias("left"))
 
     def test(x: Column) -> Column:
         def crosses(c: Column) -> Column:
             inside = (c["i"] < x["at"]) & (c["j"] > x["at"]) & (c["i"] >= x["low"]) & (c["j"] <= x["high"])
-            before = c["rank"] < F.get(facts["right"], x["right"] + x["at"] - c["i"] - 1)
-            return inside & before & (c["rank"] <= F.get(facts["left"], x["left"] + c["j"] - x["at"] - 1))
+            before = c["rank"] < F.get(facts["right"], x["right"] - c["i"])
+            return inside & before & (c["rank"] <= F.get(facts["left"], x["left"] + c["j"]))
 
         return ~F.exists(near, crosses)
 
@@ -296,20 +297,46 @@ class Alphabet:
         self.together = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         for a, b in pairs:
             self.together[of[a], of[b]] = True
+        #: For two bytes: both are ASCII characters, and not together.
+        ascii_ = self.number[:128]
+        apart = np.zeros((256, 256), bool)
+        apart[:128, :128] = ~self.together[ascii_[:, None], ascii_[None, :]]
+        self.apart = apart.reshape(-1)
+
+
+def _valid(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 class Units:
     """The units of some documents: bounds in ``t.data`` and where each document's begin (and the end)."""
 
     def __init__(self, parts: list, alphabet: Alphabet) -> None:
-        self.t = Texts([b" " + bytes(p).decode("utf-8", "replace").encode().replace(SPACE.encode(), b" ") if len(p) else b"" for p in parts])
+        mark = SPACE.encode()
+        parts = [b" " + p if len(p) else b"" for p in map(bytes, parts)]
+        if any(mark in p for p in parts) or not _valid(b"".join(parts)):
+            parts = [p.decode("utf-8", "replace").encode().replace(mark, b" ") for p in parts]
+        self.t = Texts(parts)
         d = self.t.data
-        place = np.flatnonzero((d & 0xC0) != 0x80)
-        known = alphabet.number[np.frombuffer(self.t.raw.decode().encode("utf-32-le"), "<u4")]
-        new = np.ones(len(place), bool)
-        new[1:] = ~alphabet.together[known[:-1], known[1:]]
         cut = np.zeros(len(d) + 1, bool)
-        cut[place[new]] = True
+        # Pairs of ASCII by a table, then those with a longer character.
+        cut[1 : len(d)] = alphabet.apart[d[:-1].astype(np.uint16) << 8 | d[1:]] if len(d) else False
+        lead = np.flatnonzero(d >= 0xC0)
+        if len(lead):
+            size = 2 + (d[lead] >= 0xE0) + (d[lead] >= 0xF0)
+            point = d[lead].astype(np.int64) & (0xFF >> (size + 1))
+            for k in (1, 2, 3):
+                point = np.where(size > k, point << 6 | (d[np.minimum(lead + k, len(d) - 1)] & 0x3F), point)
+            own = alphabet.number[point]
+            before = np.where(d[lead - 1] < 0x80, alphabet.number[d[lead - 1]], np.concatenate([own[:1], own[:-1]]))
+            cut[lead] = ~alphabet.together[before, own]
+            after = lead + size
+            plain = d[after] < 0x80
+            cut[after[plain]] = ~alphabet.together[own[plain], alphabet.number[d[after[plain]]]]
         cut[self.t.starts] = True
         last = self.t.starts[1:] - 1  # the newline that closes a document
         cut[last] = True
@@ -322,15 +349,15 @@ class Units:
         self.at = np.searchsorted(self.a, self.t.starts)
 
     def distinct(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Different units by bucket and spelling, where each bucket's begin (and the end), and each unit's number among them."""
+        """Different units by bucket and first bytes, where each bucket's begin (and the end), and each unit's number among them."""
         keys, first, back = distinct(self.t.data, self.a, self.b)
-        spelled = [self.t.raw[a:b] for a, b in zip(self.a[first].tolist(), self.b[first].tolist(), strict=True)]
-        order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
-        bucket = bucket_of(keys, buckets)[order]
-        order = order[np.argsort(bucket, kind="stable")]
+        bucket = bucket_of(keys, buckets)
+        # Like spellings next to each other compress well.
+        order = np.lexsort((eights(self.t.data)[self.a[first]].byteswap(), bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return [spelled[k] for k in order.tolist()], np.searchsorted(np.sort(bucket), np.arange(buckets + 1)), place[back]
+        raw, at = self.t.raw, first[order]
+        return [raw[a:b] for a, b in zip(self.a[at].tolist(), self.b[at].tolist(), strict=True)], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[back]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
@@ -75,9 +76,12 @@ def spans_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spans_differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Where data[a:b] is not other[c:d], byte for byte."""
+    """Where data[a:b] is not other[c:d], given that their fingerprints are equal.
+
+    Byte for byte, but that spans of one length up to eight bytes are equal if their fingerprints are.
+    """
     out = (b - a) != (d - c)
-    now = np.flatnonzero(~out & (b > a))
+    now = np.flatnonzero(~out & (b - a > 8))
     if len(now):
         one, two = eights(data), eights(other)
         left, x, y = (b - a)[now].astype(np.int64), a[now].astype(np.int64), c[now].astype(np.int64)
@@ -94,7 +98,13 @@ def distinct(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
     Spans are compared byte for byte, so two texts of one fingerprint stay apart (the later ones come at the end).
     """
-    keys, first, back = np.unique(spans_hash(data, a, b), return_index=True, return_inverse=True)
+    code, seen = pd.factorize(spans_hash(data, a, b))
+    # Codes count up as they are first met.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    order = np.argsort(seen)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys, first, back = seen[order], first[order], rank[code]
     bad = np.flatnonzero(spans_differ(data, a, b, data, a[first][back], b[first][back]))
     if len(bad):
         extra: dict[bytes, int] = {}
