@@ -214,3 +214,35 @@ def excluded_frames(df: DataFrame, nperseg: int) -> DataFrame:
 
 def spectrum_db(spectrum: DataFrame, reference: float, tiny: float = 1e-300) -> DataFrame:
     return spectrum.withColumn("db", 10 * F.log10(F.greatest(F.col("power"), F.lit(tiny)) / reference))
+
+
+SPEC = "input_signal_fs", "bw_main_ch", "n_sub_ch", "nperseg"
+
+
+def spec_metrics(df: DataFrame, spec: dict, aclr: bool = True) -> DataFrame:
+    """One row of the metrics that need a whole spec: mean frame NMSE, spectral EVM and leakage of the estimate.
+
+    Without one of SPEC, or if the record is not whole frames of nperseg, ``available`` is false, ``reason`` says why and the
+    rest is null.
+    """
+    from iqlake.operators.metrics import mean_frame_nmse
+
+    names = ["nmse_db", "evm_db", "left_db", "right_db", "mean_db"]
+
+    def without(reason: str) -> DataFrame:
+        row = df.sparkSession.range(1)
+        return row.select(F.lit(False).alias("available"), F.lit(reason).alias("reason"), *[F.lit(None).cast("double").alias(n) for n in names])
+
+    missing = [k for k in SPEC if k not in spec]
+    if missing:
+        return without(f"the spec lacks {', '.join(missing)}")
+    fs, width, subs, nperseg = (spec[k] for k in SPEC)
+    if df.groupBy("frame").count().filter(F.col("count") != nperseg).limit(1).count():
+        return without("the record is not whole frames")
+    parts = [mean_frame_nmse(df, nperseg=nperseg).select("nmse_db"), spectral_evm_db(df, fs, nperseg, width, subs)]
+    if aclr:
+        parts.append(subchannel_aclr_db(power_spectrum(df, fs, nperseg, ("yi", "yq")), fs, nperseg, width, subs).select("left_db", "right_db", "mean_db"))
+    out = df.sparkSession.range(1).select(F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"))
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))
+    return out.select("available", "reason", *[F.col(n) if n in out.columns else F.lit(None).cast("double").alias(n) for n in names])

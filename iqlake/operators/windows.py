@@ -127,3 +127,29 @@ def windows_of(df: DataFrame, length: int, stride: int, cols: list[str]) -> Data
     w = in_order().rowsBetween(0, length - 1)
     got = df.select("frame", "n", "pos", *[F.collect_list(c).over(w).alias(c) for c in cols])
     return got.filter((F.size(cols[0]) == length) & (F.col("pos") % stride == 0))
+
+
+def alignment_variants(df: DataFrame, delays: dict[str, float], count: int = 65, beta: float = 8.6) -> dict[str, DataFrame]:
+    """The pairs of (frame, n, i, q, yi, yq) under each named delay, all on the samples that every variant has.
+
+    Inputs of the variants are the same, bit for bit (checked: an error otherwise), so that their scores differ by the
+    alignment alone.
+    """
+    made = {name: align_fractionally(df, d, count, beta) for name, d in delays.items()}
+    shared = None
+    for v in made.values():
+        own = v.select("frame", "n", F.col("i").alias("_i"), F.col("q").alias("_q"))
+        if shared is None:
+            shared = own
+        else:
+            both = shared.join(own.select("frame", "n", F.col("_i").alias("_j"), F.col("_q").alias("_r")), ["frame", "n"])
+            same = F.when((F.col("_i") == F.col("_j")) & (F.col("_q") == F.col("_r")), True).otherwise(F.raise_error(F.lit("inputs of the variants differ")).cast("boolean"))
+            shared = both.filter(same).select("frame", "n", "_i", "_q")
+    return {name: v.join(shared.select("frame", "n"), ["frame", "n"], "left_semi") for name, v in made.items()}
+
+
+def first_batches(rows: DataFrame, size: int, most: int, *order: str) -> DataFrame:
+    """The rows of the first ``most`` batches of ``size`` in ``order``: the cap of a smoke run."""
+    if size < 1 or most < 1:
+        raise ValueError("size and number of batches must be positive")
+    return rows.orderBy(*order).limit(size * most)

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqlake.operators.align import delay_scores, fractional_diagnostic, integer_delay
@@ -99,3 +99,38 @@ def transfer(source, target_train: DataFrame, target_eval: DataFrame, refit, sam
     for n in samples:
         out[f"refit_{n}"] = refit(prefix(target_train, n)).predict(target_eval).agg(nmse_db(est, ref).alias("db"))
     return out
+
+
+def freeze_selection(spark: SparkSession, row: dict, binding: dict, directory: str) -> dict:
+    """Publishes one selected model with what it is bound to (delay, scale, protocol hash); the manifest with both hashes comes last."""
+    from iqlake.sources import io
+
+    io.save_models(spark, [row], f"{directory}/models")
+    stored = io.load_model(spark, f"{directory}/models", row["model_id"], row["model_type"])
+    manifest = {"model_id": row["model_id"], "model_type": row["model_type"], "binding": binding, "model_sha256": canonical_sha256(stored), "binding_sha256": canonical_sha256(binding), "tables": ["models"]}
+    io.write_json(spark, manifest, f"{directory}/manifest")
+    return manifest
+
+
+def load_frozen(spark: SparkSession, directory: str, binding: dict) -> dict:
+    """The model row of a published selection, only if model and binding are what was frozen, and the binding is the caller's."""
+    from iqlake.sources import io
+
+    manifest, _ = io.read_bundle(spark, directory)
+    row = io.load_model(spark, f"{directory}/models", manifest["model_id"], manifest["model_type"])
+    if canonical_sha256(row) != manifest["model_sha256"] or canonical_sha256(manifest["binding"]) != manifest["binding_sha256"]:
+        raise ValueError("the selection is not what was frozen")
+    if manifest["binding"] != binding:
+        raise ValueError("the model is bound to another delay, scale or protocol")
+    return row
+
+
+def evaluate_frozen(spark: SparkSession, directory: str, binding: dict, df: DataFrame, split: str, purpose: str) -> DataFrame:
+    """Pooled metrics of a frozen term model on ``df``; hashes are checked before any sample is read."""
+    from iqlake.operators.features import Term
+    from iqlake.operators.models import TermModel
+
+    checked_role(split, purpose)
+    row = load_frozen(spark, directory, binding)
+    model = TermModel([Term(**t) for t in row["terms"]], [complex(c["re"], c["im"]) for c in row["coef"]])
+    return model.predict(df).agg(*bundle(("pi", "pq"), ("yi", "yq")))

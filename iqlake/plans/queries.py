@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from iqlake.functions import scalar as S
 from iqlake.operators import align, features, frames, metrics, models, spectral, windows
-from iqlake.plans import cost, govern, residual, select
+from iqlake.plans import cost, fits, govern, residual, search, select
+from iqlake.sources import io
 from iqlake.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -932,3 +933,155 @@ def fixed_spline_sql(branches: list[tuple[int, int]], gains: list[list[complex]]
 
 ORACLE["k14_fixed_spline_float_root"] = fixed_spline_sql([(0, 0)], [GAINS], "round_even(sqrt(v::DOUBLE), 0)::BIGINT")
 ORACLE["k16_fixed_spline_memory"] = fixed_spline_sql([(0, 0), (1, 1)], [GAINS, [0.1 * g for g in GAINS]], "f + (v - f*f > f)::INT")
+
+
+# --- files, selection, streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT n, " + r6("i AS i", "q AS q", "yi AS yi", "yq AS yq") + " FROM paired", PAIRED)
+def a1_a2_a5_a7_csv_pair(spark, sf):
+    """The record written as two CSV files of a split and read back as a pair."""
+    at = io.workspace(spark, "csv")
+    p = V.paired(spark, sf)
+    io.write_iq_csv(p.select("n", "i", "q"), f"{at}/train_input.csv")
+    io.write_iq_csv(p.select("n", F.col("yi").alias("i"), F.col("yq").alias("q")), f"{at}/train_output.csv")
+    return rounded(io.load_pair(spark, at, "train").select("n", "i", "q", "yi", "yq"))
+
+
+@query("SELECT n, frame, " + r6("i AS i", "q AS q") + " FROM iq WHERE frame IN (SELECT frame FROM iq GROUP BY frame HAVING count(*) = 512)", IQ)
+def a6_waveforms(spark, sf):
+    """Whole frames written as a bundle of waveforms and loaded with exactly these columns."""
+    at = io.workspace(spark, "waves")
+    frames.with_length(V.iq_events(spark, sf)).filter("len = 512").select("frame", "n", "i", "q").write.parquet(at)
+    return rounded(io.load_waveforms(spark, at, {"frame": "bigint", "n": "bigint", "i": "double", "q": "double"}, 512).select("n", "frame", "i", "q"))
+
+
+@query("SELECT split, count(*) AS samples, min(n) AS first_n, max(n) AS last_n, " + r6("max(i*i+q*q)/(SELECT max(i*i+q*q) FROM cut WHERE split = 'train') AS peak_power") + " FROM cut GROUP BY split",
+       PAIRED + ", cut AS (SELECT *, CASE WHEN n < 400 THEN 'train' WHEN n < 700 THEN 'val' ELSE 'test' END AS split FROM paired WHERE n >= 50)")
+def a8_prepared(spark, sf):
+    """Chronological cuts, scaled by the training input's peak, the sealed test apart."""
+    at = io.workspace(spark, "prepared")
+    io.prepare(V.paired(spark, sf), at, 50, 400, 700)
+    selection = spark.read.parquet(f"{at}/selection").select("split", "n", "i", "q")
+    whole = selection.union(spark.read.parquet(f"{at}/sealed_test").select(F.lit("test"), "n", "i", "q"))
+    return rounded(whole.groupBy("split").agg(F.count(F.lit(1)).alias("samples"), F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.max(S.power("i", "q")).alias("peak_power")))
+
+
+@query("SELECT count(*) AS scored, " + r6(f"sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq))/count(*) AS mse", "10*log10(sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq))/sum(yi*yi+yq*yq)) AS nmse_db") + " FROM (SELECT *, i*(0.97-0.08*(i*i+q*q)) AS zi, q*(0.97-0.08*(i*i+q*q)) AS zq FROM paired WHERE frame % 5 < 3)", PAIRED)
+def a9_m9_m11_m18_frozen_model(spark, sf):
+    """A model saved, frozen with its binding, verified, loaded and evaluated."""
+    at = io.workspace(spark, "frozen")
+    row = {"model_id": "m", "model_type": "gmp_pa", "terms": [(0, 0, 0), (2, 0, 0)], "coef": [(0.97, 0.0), (-0.08, 0.0)]}
+    binding = {"delay": 0, "scale": 1.0}
+    govern.freeze_selection(spark, row, binding, at)
+    train = V.paired(spark, sf).filter(V.split_of() == "train")
+    return rounded(govern.evaluate_frozen(spark, at, binding, train, "train", "report").select("scored", "mse", "nmse_db"))
+
+
+@query("SELECT frame, n, " + r6("i AS i") + " FROM iq ORDER BY frame, n LIMIT 300", IQ)
+def b14_first_batches(spark, sf):
+    return rounded(windows.first_batches(V.iq_events(spark, sf), 100, 3, "frame", "n").select("frame", "n", "i"))
+
+
+_VARIANTS = "v AS (SELECT frame, n, pos, i, q, yi, yq, " + ", ".join(" + ".join(f"({t!r}) * coalesce({'lag' if k >= 8 else 'lead'}({c}, {abs(k - 8)}) OVER w, 0)" for k, t in enumerate(_T17)) + f" AS {o}" for c, o in (("yi", "fi"), ("yq", "fq"))) + ", count(*) OVER (PARTITION BY frame) AS len FROM paired WINDOW w AS (PARTITION BY frame ORDER BY n))"
+
+
+@query("SELECT variant, count(*) AS samples, " + r6("10*log10(sum((zi-i)*(zi-i)+(zq-q)*(zq-q))/sum(i*i+q*q)) AS nmse_db") + " FROM (SELECT 'whole' AS variant, i, q, yi AS zi, yq AS zq FROM v WHERE pos >= 8 AND pos < len - 8 UNION ALL SELECT 'fractional', i, q, fi, fq FROM v WHERE pos >= 8 AND pos < len - 8) GROUP BY variant", PAIRED + ", " + _VARIANTS)
+def c11_alignment_variants(spark, sf):
+    made = windows.alignment_variants(V.paired(spark, sf), {"whole": 0.0, "fractional": 0.27}, 17)
+    rows = [d.agg(F.lit(n).alias("variant"), F.count(F.lit(1)).alias("samples"), metrics.nmse_db().alias("nmse_db")) for n, d in made.items()]
+    return rounded(rows[0].union(rows[1]))
+
+
+@query("SELECT false AS available, 'the spec lacks nperseg' AS reason, NULL::DOUBLE AS nmse_db, NULL::DOUBLE AS evm_db UNION ALL SELECT true, NULL, " + r6("(SELECT avg(db) FROM (SELECT " + NMSE + " AS db FROM whole GROUP BY frame)) AS nmse_db") + ", evm_db FROM (" + ORACLE["e5_spectral_evm"].split(" FROM s")[0].split("SELECT " + r6("20*log10(avg(ratio)) AS evm_db"))[-1] + "SELECT " + r6("20*log10(avg(ratio)) AS evm_db") + " FROM s)",
+       ORACLE["e5_spectral_evm"][len("WITH "):].rsplit("SELECT ", 1)[0].rstrip())
+def e14_spec_metrics(spark, sf):
+    """With a spec that lacks a key, and with a whole one."""
+    spec = {"input_signal_fs": 800.0, "bw_main_ch": 200.0, "n_sub_ch": 10, "nperseg": 512}
+    whole = frames.with_length(V.paired(spark, sf)).filter("len = 512").drop("len")
+    out = spectral.spec_metrics(whole, {k: v for k, v in spec.items() if k != "nperseg"}).union(spectral.spec_metrics(whole, spec, aclr=False))
+    return rounded(out.select("available", "reason", "nmse_db", "evm_db"))
+
+
+def spline2_sql(table: str, top: float, ridge: float) -> str:
+    """The fit of a spline of two knots, 0 and ``top``, by its 2 x 2 normal equations."""
+    w = f"least(1, sqrt(i*i+q*q)/{top})"
+    sums = ", ".join([f"avg((i*i+q*q)*{a}*{b}){x} AS {n}" for n, a, b, x in (("g00", f"(1-{w})", f"(1-{w})", f"+{ridge}"), ("g01", f"(1-{w})", w, ""), ("g11", w, w, f"+{ridge}"))] + [f"avg({b}*({e})) AS {n}" for n, b, e in (("x0", f"(1-{w})", "i*yi+q*yq"), ("y0", f"(1-{w})", "i*yq-q*yi"), ("x1", w, "i*yi+q*yq"), ("y1", w, "i*yq-q*yi"))])
+    d = "(g00*g11-g01*g01)"
+    return f"WITH {PAIRED}, g AS (SELECT {sums} FROM {table}) SELECT 0 AS knot, " + r6(f"(g11*x0-g01*x1)/{d} AS re", f"(g11*y0-g01*y1)/{d} AS im") + " FROM g UNION ALL SELECT 1, " + r6(f"(g00*x1-g01*x0)/{d} AS re", f"(g00*y1-g01*y0)/{d} AS im") + " FROM g"
+
+
+def _controls(spark, model) -> DataFrame:
+    return rounded(spark.createDataFrame([(k, float(c.real), float(c.imag)) for k, c in enumerate(model.coef[0])], "knot int, re double, im double"))
+
+
+@query(spline2_sql("paired", 1.2, 0.001))
+def k5_spline_memory_fit(spark, sf):
+    model, _ = fits.fit_spline_memory(V.paired(spark, sf), [(0, 0)], [0.0, 1.2], ridge=1e-3)
+    return _controls(spark, model)
+
+
+@query(spline2_sql("(SELECT (1.1*yi - 0.1*yq)/1.22 AS i, (1.1*yq + 0.1*yi)/1.22 AS q, i AS yi, q AS yq FROM paired)", 1.2, 0.001))
+def k4_predistorter_fit(spark, sf):
+    """The gain 1.1 - 0.1j: y over it is y times (1.1 + 0.1j) / 1.22."""
+    model, _ = fits.fit_predistorter(V.paired(spark, sf), 1.1 - 0.1j, [(0, 0)], knots=[0.0, 1.2], ridge=1e-3)
+    return _controls(spark, model)
+
+
+_TAP = ", t AS (SELECT *, yi-i AS ti, yq-q AS tq FROM paired), g AS (SELECT avg(i*i+q*q) AS p, avg(ti*ti+tq*tq) AS t2, avg(i*ti+q*tq) AS a, avg(i*tq-q*ti) AS b, avg(i*ti-q*tq) AS c, avg(i*tq+q*ti) AS d FROM t)"
+
+
+@query(" UNION ALL ".join(f"SELECT {name} AS conjugate, " + r6(f"{x}/(p*1.01) AS re", f"{y}/(p*1.01) AS im", f"t2 - 2*({x}*{x}+{y}*{y})/(p*1.01) + ({x}*{x}+{y}*{y})/(p*1.01*1.01) AS mse") + " FROM g" for name, x, y in (("false", "a", "b"), ("true", "c", "d"))), PAIRED + _TAP)
+def k7_correction_fits(spark, sf):
+    base = V.paired(spark, sf).withColumn("pi", F.col("i")).withColumn("pq", F.col("q"))
+    rows = []
+    for conjugate in (False, True):
+        model, about = fits.fit_correction(base, [0], conjugate, 0.01)
+        rows.append((conjugate, float(model.coef[0].real), float(model.coef[0].imag), about.mse))
+    return rounded(spark.createDataFrame(rows, "conjugate boolean, re double, im double, mse double"))
+
+
+RECIPES = [search.Recipe("linear", (features.Term(0, 0, 0),), cost.memory_polynomial([1], [0]).mul), search.Recipe("cubic", (features.Term(0, 0, 0), features.Term(2, 0, 0)), cost.memory_polynomial([1, 3], [0]).mul)]
+OOF = ORACLE["c6_leave_one_frame_out"][len("WITH "):].rsplit(" SELECT ", 1)[0] + (
+    ", lin AS (SELECT frame, t1/s1 AS ar, u1/s1 AS ai FROM o), oof AS (SELECT 'cubic' AS recipe, frame, pos, yi, yq, i*(ar+br*p)-q*(ai+bi*p) AS zi, i*(ai+bi*p)+q*(ar+br*p) AS zq FROM (SELECT *, i*i+q*q AS p FROM paired JOIN k USING (frame)) "
+    "UNION ALL SELECT 'linear', frame, pos, yi, yq, i*ar-q*ai, i*ai+q*ar FROM paired JOIN lin USING (frame)), "
+    "led AS (SELECT recipe, count(DISTINCT frame) AS frames, 10*log10(sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq))/sum(yi*yi+yq*yq)) AS score_db, 10*log10(sum((zi-yi)*(zi-yi)+(zq-yq)*(zq-yq)) FILTER (WHERE pos >= 16)/sum(yi*yi+yq*yq) FILTER (WHERE pos >= 16)) AS common_db FROM oof GROUP BY recipe)"
+)
+
+
+@query("SELECT recipe, frames, true AS valid, CASE recipe WHEN 'linear' THEN 4 ELSE 12 END::BIGINT AS mul, " + r6("score_db AS score_db", "common_db AS common_db") + " FROM led", OOF)
+def m5_m16_out_of_fold(spark, sf):
+    t = search.trials(search.folds(V.paired(spark, sf), RECIPES, [0.0], 16), RECIPES, "topology")
+    return rounded(t.select("recipe", "frames", "valid", "mul", "score_db", "common_db"))
+
+
+@query("SELECT recipe, " + r6("score_db AS score_db") + " FROM led ORDER BY score_db LIMIT 1", OOF)
+def m4_search(spark, sf):
+    """The winner of both stages; its ridge is too small to be seen in the score."""
+    got = search.search(V.paired(spark, sf), RECIPES, 0.0, [1e-14, 1e-13], 16, 2 + 2 * 2, most=2)
+    return rounded(got.ledger.filter((F.col("recipe") == got.recipe.name) & (F.col("stage") == "topology")).select("recipe", "score_db"))
+
+
+_TRIAL = {"valid": "p_size % 7 <> 0", "condition_ratio": "p_size / 10.0", "norm_ratio": "p_retailprice / 1000.0", "score_db": "-30 - p_size / 10.0", "common_db": "-30.5 - p_size / 10.0", "validation_db": "-30 - p_size / 10.0 + (p_size % 5) / 4.0", "validation_common_db": "-30.4 - p_size / 10.0", "reference_db": "-32.0", "reference_common_db": "-32.2", "above_support": "CASE WHEN p_size % 11 = 0 THEN 0.1 ELSE 0.0 END", "mul": "p_size * 20", "causal": "p_size % 3 <> 0"}
+_LIMITS = {"condition_ratio": 4.0, "norm_ratio": 1.5, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "boundary_db": 1.2, "mul": 900}
+_RULES = {"rank_and_finiteness": "valid", "condition_stability": "condition_ratio <= 4.0", "coefficient_stability": "norm_ratio <= 1.5", "full_gain": "reference_db - score_db >= 0.1", "common_gain": "reference_common_db - common_db >= 0.2", "validation_gap": "greatest(validation_db - score_db, validation_common_db - common_db) <= 0.8", "boundary": "greatest(abs(score_db - common_db), abs(validation_db - validation_common_db)) <= 1.2", "input_support": "above_support = 0", "operation_budget": "mul < 900", "causal_model": "causal"}
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in _RULES.items()) + ", " + " AND ".join(f"({e})" for e in _RULES.values()) + " AS passed FROM t", "t AS (SELECT p_partkey, " + ", ".join(f"{e if n in ('valid', 'causal') else f'({e})::DOUBLE'} AS {n}" for n, e in _TRIAL.items()) + " FROM part)")
+def m6_decision(spark, sf):
+    t = V.table(spark, sf, "part").select("p_partkey", *[(F.expr(e) if n in ("valid", "causal") else F.expr(f"cast({e} as double)")).alias(n) for n, e in _TRIAL.items()])
+    return search.decision(t, _LIMITS).select("p_partkey", *_RULES, "passed")
+
+
+@query(ORACLE["l1_l4_chunked_outputs"])
+def l1_l6_streamed(spark, sf):
+    """Frames arrive in three files, each a stretch of every frame; the sink after the last one."""
+    from iqlake.streaming.kernels import TermKernel, replay, stream
+
+    at = io.workspace(spark, "stream")
+    e = V.iq_events(spark, sf).select("frame", "n", "pos", "i", "q")
+    for low, high in ((0, 37), (37, 300), (300, V.NPERSEG)):
+        e.filter((F.col("pos") >= low) & (F.col("pos") < high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        q = stream(replay(spark, f"{at}/in", e.schema), TermKernel(models.TermModel(GMP, GMP_COEF))).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).outputMode("append").start()
+        q.awaitTermination()
+    return rounded(spark.read.parquet(f"{at}/out").select("frame", "n", "pi", "pq"))

@@ -166,3 +166,28 @@ def read_bundle(spark: SparkSession, directory: str) -> tuple[dict, dict[str, Da
         raise ValueError("the bundle is not published")
     manifest = json.loads(spark.read.text(f"{directory}/manifest").first()[0])
     return manifest, {name: spark.read.parquet(f"{directory}/{name}") for name in manifest["tables"]}
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; removed when the program ends."""
+    import atexit
+    import contextlib
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="iqlake-")
+    at = f"{root}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                fs, p = _path(spark, at)
+                fs.delete(p, True)
+
+    atexit.register(drop)
+    return at
