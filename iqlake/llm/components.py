@@ -11,17 +11,17 @@ from iqlake.llm.common import Scratch, hottest, split_join
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of ``edges``; nodes that are connected share the label, one of their own.
 
-    Each round maps a node to the one of it and its neighbours whose hash with the round's number is least, and rewrites the
-    edges. Whatever the names are (a path of ascending ones, too), each round is expected to leave at most half of the nodes,
-    as about a third of a path's are least and of denser graphs fewer, so rounds grow as the logarithm of the nodes. The
-    rounds' maps are then composed, last to first. Hubs are split joins. Nothing goes to the driver.
+    Each round maps a node to the least of it and its neighbours, and rewrites the edges. Even rounds compare names, which ends
+    a star around its least node at once; odd rounds compare hashes of names with the round's number, of which whatever the
+    names are (a path of ascending ones, too) at most half are expected to be least, so rounds grow as the logarithm of the
+    nodes. The rounds' maps are then composed, last to first. Hubs are split joins. Nothing goes to the driver.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     now = scratch.save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), f"{name}-e0")
     steps: list[DataFrame] = []
     while not now.isEmpty():
         r = len(steps)
-        named = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        named = lambda c: F.struct((F.xxhash64(F.lit(r), c) if r % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         step = now.groupBy("u").agg(F.min(named("v")).alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least(named("u"), F.col("m"))["to"].alias("to"), "degree")
         step = scratch.save(step, f"{name}-s{r}")
         steps.append(step)

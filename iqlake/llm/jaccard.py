@@ -165,7 +165,7 @@ def traverse(x: Tree, y: Tree, offset: int, classes: Classes, percent: int, foun
 
 
 def join_self(keys: list[bytes], sets: list[np.ndarray], percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Each key with the first key of its class."""
+    """Each key with the least key of its class."""
     order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k])))
     sets = [sets[k] for k in order]
     classes = Classes(np.arange(len(sets)))
@@ -179,8 +179,11 @@ def join_self(keys: list[bytes], sets: list[np.ndarray], percent: int) -> Iterat
             pivot = int(np.argmax(np.bincount(classes.label)))
     tree = Tree(sets)
     traverse(tree, tree, 0, classes, percent, lambda p, q: None)
+    least: dict[int, bytes] = {}
     for k, c in enumerate(classes.label.tolist()):
-        yield keys[order[k]], keys[order[c]]
+        least[c] = min(least.get(c, keys[order[k]]), keys[order[k]])
+    for k, c in enumerate(classes.label.tolist()):
+        yield keys[order[k]], least[c]
 
 
 def join_two(left: list[tuple], right: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
