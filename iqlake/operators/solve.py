@@ -72,6 +72,70 @@ def r_factors(design: DataFrame, by: str | None = None, target: tuple[str, str]
     return design.select("phi", *target).mapInArrow(parts, FACTORS)
 
 
+#: Rows of frames that are factored at a time.
+ROWS = 4096
+
+
+def term_factors(df: DataFrame, terms: list, by_frame: bool = False, skip: int = 0, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
+    """``r_factors`` of the dictionary of ``terms`` over (frame, n, i, q, target), made where frames are arrays.
+
+    Samples are moved once, to their frame's task; lags, powers and products are numpy's there, so no row of features is ever
+    built or sent. ``skip`` leaves out the first samples of each frame (their past still counts).
+    """
+    signals, powers = sorted({t.signal for t in terms}), sorted({(t.envelope, t.exponent) for t in terms})
+    rows = df.select("frame", F.struct("n", "i", "q", *target).alias("s")).groupBy("frame").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    rows = rows.select("frame", *[F.col(f"s.{c}").alias(f"c{k}") for k, c in enumerate(("i", "q", *target))])
+
+    def late(x: np.ndarray, d: int) -> np.ndarray:
+        """x[n - d], 0 outside the frame."""
+        out = np.zeros_like(x)
+        if d >= 0:
+            out[d:] = x[: len(x) - d] if d < len(x) else 0
+        else:
+            out[:d] = x[-d:] if -d < len(x) else 0
+        return out
+
+    def design(i: np.ndarray, q: np.ndarray, yi: np.ndarray, yq: np.ndarray) -> np.ndarray:
+        x = i + 1j * q
+        xs = {d: late(x, d) for d in signals}
+        r = np.abs(x)
+        rs = {(d, e): late(r, d) ** e if e else None for d, e in powers}
+        a = np.empty((len(x), len(terms) + 1), complex)
+        for k, t in enumerate(terms):
+            p = rs[t.envelope, t.exponent]
+            a[:, k] = xs[t.signal] if p is None else xs[t.signal] * p
+        a[:, -1] = yi + 1j * yq
+        return a[skip:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        total = 0
+
+        def fold() -> None:
+            nonlocal held, n
+            held, n = [_factor(np.vstack(held))], 0
+
+        for batch in batches:
+            off = batch.column(1).offsets.to_numpy()
+            values = [batch.column(k).values.to_numpy() for k in range(1, 5)]
+            for k, frame in enumerate(batch.column(0).to_pylist()):
+                a = design(*[v[off[k] : off[k + 1]] for v in values])
+                if by_frame:
+                    if len(a):
+                        yield from _factor_table(frame, len(a), _factor(a)).to_batches()
+                    continue
+                held.append(a)
+                n += len(a)
+                total += len(a)
+                if n >= ROWS:
+                    fold()
+        if total and not by_frame:
+            fold()
+            yield from _factor_table(0, total, held[0]).to_batches()
+
+    return rows.mapInArrow(run, FACTORS)
+
+
 def _read(r: bytes, width: int) -> np.ndarray:
     return np.frombuffer(r, complex).reshape(-1, width)
 
@@ -117,6 +181,14 @@ def solve(rows: int, r: np.ndarray, ridge: float = 0.0, penalties: list[np.ndarr
     return Fit(c / unit, int(np.sum(s > s[0] * max(rows, p) * np.finfo(float).eps)) if len(s) and s[0] > 0 else 0, float(sing[0] / sing[-1]) if sing[-1] > 0 else float("inf"), s, rows, float((np.abs(left) ** 2).sum()))
 
 
+def fit_dictionary(df: DataFrame, terms: list, ridge: float = 0.0, scaled: bool = False, rcond: float | None = None, target: tuple[str, str] = ("yi", "yq")) -> Fit:
+    """``fit`` of a dictionary of terms over frames, from ``term_factors``."""
+    rows, r = merged(term_factors(df, terms, target=target), len(terms) + 1)
+    if rows < len(terms) and not ridge:
+        raise ValueError("fewer rows than features")
+    return solve(rows, r, ridge, None, scaled, rcond)
+
+
 def fit(design: DataFrame, width: int, ridge: float = 0.0, penalties: list[np.ndarray] | None = None, scaled: bool = False, rcond: float | None = None, target: tuple[str, str] = ("yi", "yq")) -> Fit:
     """Least squares of a design with ``width`` complex features."""
     rows, r = merged(r_factors(design, target=target), width + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from iqlake.operators import features
 from iqlake.operators.models import FirCorrection, SplineModel, TermModel
-from iqlake.operators.solve import Fit, fit
+from iqlake.operators.solve import Fit, fit, fit_dictionary
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def _power(df: DataFrame, cols: tuple[str, str] = ("yi", "yq")) -> float:
 
 def fit_terms(df: DataFrame, terms: list[features.Term], ridge: float = 0.0, scaled: bool = True, rcond: float | None = None) -> tuple[TermModel, Report]:
     """A memory polynomial or generalised one over frames (frame, n, i, q, yi, yq)."""
-    got = fit(features.design(df, terms), len(terms), ridge, scaled=scaled, rcond=rcond)
+    got = fit_dictionary(df, terms, ridge, scaled, rcond)
     model = TermModel(terms, list(got.coef))
     return model, _report(got, _power(df), ridge, model.warmup)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from iqlake.operators import features
 from iqlake.operators.features import Term
-from iqlake.operators.solve import _factor, _read, others, r_factors, solve
+from iqlake.operators.solve import _factor, _read, others, solve, term_factors
 from iqlake.plans import cost, select
 from iqlake.plans.fits import Report, fit_terms
 
@@ -49,9 +49,8 @@ def folds(df: DataFrame, recipes: list[Recipe], ridges: list[float], warmup: int
     place = {t: k for k, t in enumerate(terms)}
     width = len(terms) + 1
     trials = [(r.name, [place[t] for t in r.terms] + [width - 1]) for r in recipes]
-    design = features.design(df, terms, ["frame", "pos", "yi", "yq"])
-    own = r_factors(design, "frame")
-    steady = r_factors(design.filter(F.col("pos") >= warmup), "frame").select("group", F.col("rows").alias("scored"), F.col("r").alias("steady"))
+    own = term_factors(df, terms, True)
+    steady = term_factors(df, terms, True, warmup).select("group", F.col("rows").alias("scored"), F.col("r").alias("steady"))
     rest = others(own, width).select("group", F.col("rows").alias("fitted"), F.col("r").alias("rest"))
     both = own.join(rest, "group").join(steady, "group", "left")
 
