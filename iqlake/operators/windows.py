@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,6 +114,41 @@ def fractional_taps(delay: float, count: int = 65, beta: float = 8.6) -> tuple[i
     return whole, (taps / taps.sum()).tolist()
 
 
+@dataclass(frozen=True)
+class FrozenAlignment:
+    """A fractional alignment as it was frozen on the training split: whole delay, taps, and a hash over all of it."""
+
+    delay: float
+    whole: int
+    beta: float
+    taps: tuple[float, ...]
+
+    @property
+    def guard(self) -> int:
+        """Samples that both ends of a frame lose."""
+        return len(self.taps) // 2
+
+    def sha256(self) -> str:
+        return hashlib.sha256(repr((self.delay, self.whole, self.beta, self.taps)).encode()).hexdigest()
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self != freeze_fractional(self.delay, len(self.taps), self.beta):
+            raise ValueError("the taps are not those of the frozen delay")
+        return align_fractionally(df, self.delay, len(self.taps), self.beta)
+
+
+def freeze_fractional(delay: float, count: int = 65, beta: float = 8.6) -> FrozenAlignment:
+    """Checked settings and their taps; an even or too small count, and values that are not finite, are errors."""
+    if not math.isfinite(delay) or not math.isfinite(beta) or beta < 0:
+        raise ValueError("delay and beta must be finite, beta not negative")
+    if count < 3 or count % 2 == 0:
+        raise ValueError("an odd number of taps, three at least, is needed")
+    whole, taps = fractional_taps(delay, count, beta)
+    if abs(sum(taps) - 1) > 1e-9 or not -0.5 <= delay - whole < 0.5:
+        raise ValueError("the taps have no unit gain")
+    return FrozenAlignment(delay, whole, beta, tuple(taps))
+
+
 def align_fractionally(df: DataFrame, delay: float, count: int = 65, beta: float = 8.6) -> DataFrame:
     """Pairs x[n] with y at n + delay per frame: whole part by lead, the rest by the FIR, then a symmetric guard is cropped."""
     whole, taps = fractional_taps(delay, count, beta)

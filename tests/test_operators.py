@@ -241,6 +241,14 @@ def test_fractional_delay(spark):
     r = windows.align_fractionally(df, 0.27).agg(metrics.nmse_db().alias("db")).first().db
     wrong = windows.align_fractionally(df, -0.27).agg(metrics.nmse_db().alias("db")).first().db
     assert r < -100 and wrong > r + 60
+    frozen = windows.freeze_fractional(0.27)
+    assert frozen.guard == 32 and frozen.whole == 0 and frozen.sha256() == windows.freeze_fractional(0.27).sha256() != windows.freeze_fractional(0.28).sha256()
+    assert frozen.apply(df).agg(metrics.nmse_db().alias("db")).first().db == r
+    for bad in ({"count": 8}, {"count": 1}, {"beta": -1.0}, {"delay": math.inf}):
+        with pytest.raises(ValueError):
+            windows.freeze_fractional(**{"delay": 0.27, **bad})
+    with pytest.raises(ValueError):
+        windows.FrozenAlignment(0.27, 0, 8.6, windows.freeze_fractional(0.3).taps).apply(df)
 
 
 def test_terms_and_costs():
