@@ -174,11 +174,11 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
                 keys = a[first]
                 at = bounds_of(keys, buckets)
                 full = np.flatnonzero(np.diff(at) > 0)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "keys": pa.array([keys[at[x] : at[x + 1]].astype("<u8").tobytes() for x in full], pa.binary()), "more": pa.array([cut(b[first][at[x] : at[x + 1]], 4) for x in full], pa.binary()), "docs": pa.array([np.ascontiguousarray(rank[at[x] : at[x + 1]].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in full], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "keys": pa.array([keys[at[x] : at[x + 1]].astype("<u8").tobytes() for x in full], pa.binary()), "more": pa.array([cut(b[first][at[x] : at[x + 1]], 8) for x in full], pa.binary()), "docs": pa.array([np.ascontiguousarray(rank[at[x] : at[x + 1]].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in full], pa.binary())})
 
     def first_here(chunk: list[int], rows: list[tuple]) -> list[np.ndarray]:
         sizes = [len(r[0]) // 8 for r in rows]
-        keys, more = joined([r[0] for r in rows], 8), joined([r[1] for r in rows], 4)
+        keys, more = joined([r[0] for r in rows], 8), joined([r[1] for r in rows], 8)
         docs = np.concatenate([np.ascontiguousarray(np.frombuffer(r[2], np.uint8).reshape(8, -1).T).reshape(-1).view("<i8") for r in rows])
         order = np.lexsort((np.repeat(np.argsort(np.argsort(chunk)), sizes), docs, more, keys))
         new = np.ones(len(keys), bool)
