@@ -174,6 +174,10 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     if hot is None:
         hot = hottest(left.groupBy(key).agg(F.count(F.lit(1)).alias("_c")), key, "_c")
+    names = hot.collect()  # HOT_KEYS at most
+    if not names:
+        return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(names, hot.schema)
     known = right.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(known), key, "left")
     common = marked.filter("_hot").drop("_hot")
