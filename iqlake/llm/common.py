@@ -20,16 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where it is unset (a local run), one in the warehouse."""
     jsc = spark.sparkContext._jsc.sc()
     at = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
         if at is None:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="iqlake-checkpoints-")
+            at = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         spark.sparkContext.setCheckpointDir(at)
     return at or jsc.getCheckpointDir().get()
 
@@ -66,14 +64,17 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+    def save_by(self, df: DataFrame, name: str, key: str, sort: bool = False) -> DataFrame:
         """Writes ``df`` bucketed by ``key``, so that joins on it with other such tables need no shuffle, and reads it back.
 
+        With ``sort`` each bucket is sorted by ``key``, and merge joins of such tables need no sort.
+
         There are as many buckets as the session has shuffle partitions, which a cluster sizes for its data.
         """
         number, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.name}_{name}"
-        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-            df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(min(number, 100_000), key).saveAsTable(table)
+        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **({"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} if sort else {})}):
+            made = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(min(number, 100_000), key)
+            (made.sortBy(key) if sort else made).saveAsTable(table)
         self.tables.append(table)
         self.saved.add(name)
         return self.spark.table(table)

@@ -78,6 +78,12 @@ def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iqlake.llm.exact_dedup import exact_dedup
 
@@ -111,6 +117,13 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
             SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = documents.doc_id), doc_id) AS component_id
             FROM documents LEFT JOIN sizes USING (doc_id)""",
+        "op11_sorted_runs": r"""
+            WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+            lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM cut),
+            keyed AS (SELECT doc_id, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+            often AS (SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keep <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE keep IS NULL OR keep = doc_id), '')) AS kept_sha256
+            FROM keyed LEFT JOIN often USING (k) GROUP BY doc_id""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
