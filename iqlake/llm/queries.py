@@ -84,6 +84,12 @@ def op11_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_tight_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iqlake.llm.repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")), absent_col="absent")
+
+
 def op13_radix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 100; ids divisible by 7 have a label that is wrong by one."""
     from iqlake.llm.hard_negatives import hard_negatives
@@ -133,6 +139,29 @@ def oracle_sql() -> dict[str, str]:
             often AS (SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keep <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE keep IS NULL OR keep = doc_id), '')) AS kept_sha256
             FROM keyed LEFT JOIN often USING (k) GROUP BY doc_id""",
+        "op12_tight_arcs": r"""
+            WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+            kinds AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + length(name)), lambda k: CAST(ascii(name[k]) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM named),
+            rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+                FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0)),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM rows),
+            judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 3
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS fault, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed),
+            before(x, z, l, w, t) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 5, 'user:' || chr(10)), (1, 2, 'I', 5, 'user:' || chr(10)), (2, 3, 'I', 5, 'assistant:' || chr(10)), (3, 2, 'I', 5, 'user:' || chr(10)),
+                (0, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, 'II', 10, 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10))),
+            over_row(z, l, y, w, initial) AS (VALUES (0, 'D', 0, 2, ''), (1, 'D', 1, 2, ''), (2, 'D', 2, 2, ''), (3, 'D', 3, 2, ''), (0, 'K', 1, 0, 's'), (0, 'K', 2, 0, 'u'), (1, 'K', 2, 0, 'u'), (3, 'K', 2, 0, 'u'), (2, 'K', 3, 0, 'a'),
+                (0, 'R', 2, 1, ''), (1, 'R', 2, 1, ''), (2, 'R', 3, 1, ''), (3, 'R', 2, 1, '')),
+            nodes AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS p, 0 AS z, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} AS v FROM conversations
+                UNION ALL SELECT n.conv_id, n.p + 1, e.y, min({'c': n.v.c + b.w + e.w + CASE WHEN e.l <> 'D' AND j.fault = 1 THEN 5 ELSE 0 END, 'a': n.v.a || b.l || e.l,
+                    'r': n.v.r || b.t || CASE e.l WHEN 'D' THEN '' ELSE CASE WHEN e.l = 'K' THEN j.role WHEN e.y = 2 THEN 'user' ELSE 'assistant' END || ':' || j.text || chr(10) END})
+                FROM nodes n JOIN judged j ON j.conv_id IS NOT DISTINCT FROM n.conv_id AND j.p = n.p + 1 JOIN before b ON b.x = n.z JOIN over_row e ON e.z = b.z AND (e.l = 'D' OR j.fault < 2) AND (e.l <> 'K' OR e.initial = j.initial)
+                GROUP BY n.conv_id, n.p, e.y),
+            sums AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE fault = 2) AS blank, count(*) FILTER (WHERE fault = 3) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated,
+                count(*) FILTER (WHERE p > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM judged GROUP BY conv_id),
+            ends AS (SELECT n.conv_id, min({'c': n.v.c + b.w, 'a': n.v.a || b.l, 'r': n.v.r || b.t}) AS v FROM nodes n LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM n.conv_id JOIN before b ON b.x = n.z AND b.z IN (0, 3) WHERE n.p = coalesce(s.n, 0) GROUP BY n.conv_id)
+            SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                e.v.c AS cost, e.v.a AS audit, sha256(left(e.v.r, CAST(greatest(0, length(e.v.r) - 1) AS BIGINT))) AS repaired_sha256 FROM ends e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id""",
         "op13_radix_selection": """
             WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                 FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -36,6 +36,9 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     pages = [(k, f"u{k}", x) for k, x in enumerate([None, "", "<nav>no</nav><article><p>Yes, this is it, really.</p></article>", "<p>a</p>" * 50])]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    rng = random.Random(3)
+    vectors = [(i, [float(x) for x in rng.choices([-0.5, -0.1, 0.1, 0.3, 0.6], k=8)] if i % 41 else None, i % 3 if i % 17 else None) for i in range(320)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -47,7 +50,8 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, folder, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     out = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in out.description]
     cols, got = rows(queries.queries()[name](spark, folder))
