@@ -1,9 +1,14 @@
 """Main-text extraction by scoring the tree of a page.
 
-A page becomes a tree of elements with the text blocks they hold. Each block passes points, for its length and commas, to
-its nearest ancestors, less to each higher one; a container's points are discounted by its share of link text. The best container
-and those siblings that look like it are kept, and their blocks read in page order. Parts that are never main text
-(scripts, menus, adverts, forms, reader comments and so on) are pruned with everything in them.
+A page becomes a tree of elements with the text blocks they hold. Each block gives points, for its length and commas, to the element
+it lies in; a paragraph, or an element with just one thing in it, passes all points it has received to its parent, any other
+element half of them, and so on up to the root, in one pass from the leaves. A container's points are discounted by its share of
+link text. If the best container is one of several far apart that score alike, the lowest element that holds most of these
+takes its place. The best container and those siblings that look like it are kept, and their blocks read in page order.
+
+Parts that are never main text (scripts, menus, forms and so on) are pruned by tag, role and hidden state. An element is furniture
+if a whole class name, or its whole id, says so in all its words (``ad``, ``cookie-banner``, ``comment-list``, but not
+``related-work``), unless it holds most of a page that has hardly any other text.
 
 White space is what Python's ``str.split`` splits at (U+0085, U+00A0 and U+001C to U+001F, too).
 
@@ -32,26 +37,27 @@ RAW = frozenset("script style textarea title noscript xmp iframe noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 PRUNED = frozenset("head nav footer aside form fieldset button select option datalist dialog menu svg math canvas audio video object embed iframe template noscript script style textarea title input search".split())
-#: Words in a class or id that mark what is not main text.
+#: Words of a class name or id that say that an element is not main text, and words that say nothing beside them.
 MARKS = frozenset("ad ads advert advertisement advertising adsense advertorial banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus sidebar sidebars footer masthead cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup paywall comment comments commentlist respond replies disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar skip".split())
+NEUTRAL = frozenset("site page top bottom left right primary secondary list box container wrapper wrap area inner outer block section item items bar slot unit text global fixed sticky button buttons link links form content main body panel column col row group area zone header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OWN = frozenset("html body main article".split())
 START = {"article": 25, "main": 25, "section": 5, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3}
 #: Never a container; only one if blocks are in it.
 LEAVES, CELLS = frozenset("p h1 h2 h3 h4 h5 h6 tr caption figcaption legend summary".split()), frozenset("li td th dd dt".split())
-#: How far up a block's points go; beyond it the share is below a twentieth.
-LEVELS = 6
+#: What part of its points an element with several things in it passes on, and what part of the best score makes a peer.
+SHARE, PEER, PEERS = 0.5, 0.5, 3
 #: Start tags that end an open element of the listed kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "pruned", "score", "chars", "link_chars", "order")
+    __slots__ = ("tag", "parent", "items", "pruned", "furniture", "points", "chars", "link_chars", "peers")
 
-    def __init__(self, tag: str, parent: Node | None, pruned: bool) -> None:
-        self.tag, self.parent, self.pruned = tag, parent, pruned
+    def __init__(self, tag: str, parent: Node | None, pruned: bool, furniture: bool = False) -> None:
+        self.tag, self.parent, self.pruned, self.furniture = tag, parent, pruned, furniture
         self.items: list[Node | Block] = []
-        self.score, self.chars, self.link_chars = float(START.get(tag, 0)), 0, 0
+        self.points, self.chars, self.link_chars, self.peers = 0.0, 0, 0, 0
 
 
 class Block:
@@ -63,21 +69,28 @@ class Block:
         self.text, self.link_chars = text, link_chars
 
 
-def _marked(tag: str, attrs: str, in_article: bool) -> bool:
+def _says_furniture(name: str, in_article: bool) -> bool:
+    words = {w.lower() for w in _PARTS.findall(name)}
+    marks = words & MARKS or (not in_article and "header" in words)
+    return bool(marks) and words <= MARKS | NEUTRAL
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is pruned, and whether it is furniture by its names."""
     if tag in PRUNED or (tag == "header" and not in_article):
-        return True
-    if not attrs.strip() or tag in OWN:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name = m[1].lower()
-        value = m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & MARKS or ("header" in words and not in_article):
-                return True
-    return False
+        return True, False
+    furniture = False
+    if attrs.strip() and tag not in OWN:
+        for m in _ATTR.finditer(attrs):
+            name = m[1].lower()
+            value = m[2] or m[3] or m[4] or ""
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                return True, False
+            if name == "class":
+                furniture = furniture or any(_says_furniture(x, in_article) for x in value.split())
+            elif name == "id":
+                furniture = furniture or _says_furniture(value, in_article)
+    return False, furniture
 
 
 def parse(page: str) -> Node:
@@ -107,7 +120,7 @@ def parse(page: str) -> Node:
         if stop > pos and not at.pruned:
             run.append(page[pos:stop])
             if link_depth:
-                links += len(page[pos:stop].strip())
+                links += len(html.unescape(page[pos:stop]).strip())
         if not m:
             break
         pos = m.end()
@@ -135,7 +148,8 @@ def parse(page: str) -> Node:
                             at = leave(at)
                 if tag in VOID or tag in ("html", "body"):
                     continue
-                node = Node(tag, at, at.pruned or _marked(tag, m[3], articles > 0))
+                pruned, furniture = (True, False) if at.pruned else _kind(tag, m[3], articles > 0)
+                node = Node(tag, at, pruned, furniture)
                 if not node.pruned:
                     at.items.append(node)
                 articles += tag in ("article", "main")
@@ -159,34 +173,72 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Scores all nodes, bottom up; the nodes in page order."""
+def _nodes(root: Node) -> list[Node]:
+    """All nodes in page order."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
         stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
+    return nodes
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Counts characters, and leaves out elements without any."""
+    for node in reversed(nodes):
+        node.items = [x for x in node.items if isinstance(x, Block) or x.chars]
+        node.chars = sum(len(x.text) if isinstance(x, Block) else x.chars for x in node.items)
+        node.link_chars = sum(x.link_chars for x in node.items)
+
+
+def _clear(root: Node) -> None:
+    """Removes furniture and elements without text; an element that holds most of a page with hardly any other text stays."""
+    nodes = _nodes(root)
+    _measure(nodes)
+    outer, stack = 0, [root]
+    while stack:
+        for x in stack.pop().items:
+            if isinstance(x, Node) and x.furniture:
+                outer += x.chars
+            elif isinstance(x, Node):
+                stack.append(x)
+    bare, whole = 20 * (root.chars - outer) < root.chars, root.chars
     for node in nodes:
-        for b in node.items:
-            if isinstance(b, Block):
-                n = len(b.text)
-                plain = 1 - b.link_chars / n
-                points = (min(1, n / 25) * (1 + b.text.count(",")) + min(n / 100, 3)) * plain
-                up, level = (node.parent if node.tag in ("p", "pre", "li", "td", "dd") and node.parent else node), 0
-                while up is not None and level <= LEVELS:
-                    up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-                    up, level = up.parent, level + 1
-                node.chars += n
-                node.link_chars += b.link_chars
+        node.items = [x for x in node.items if isinstance(x, Block) or not x.furniture or (bare and 2 * x.chars >= whole)]
+    _measure(nodes)
+
+
+def _score(nodes: list[Node]) -> None:
+    """Passes points up, from the leaves; every node is seen once."""
     for node in reversed(nodes):
-        if node.parent:
-            node.parent.chars += node.chars
-            node.parent.link_chars += node.link_chars
-    return nodes
+        for x in node.items:
+            if isinstance(x, Block):
+                n = len(x.text)
+                node.points += (min(1, n / 25) * (1 + x.text.count(",")) + min(n / 100, 3)) * (1 - x.link_chars / n)
+            else:
+                node.points += x.points * (1 if len(x.items) == 1 or x.tag in LEAVES or x.tag in CELLS or x.tag == "pre" else SHARE)
 
 
 def _final(node: Node) -> float:
-    return node.score * (1 - node.link_chars / node.chars) if node.chars else float("-inf")
+    return (node.points + START.get(node.tag, 0)) * (1 - node.link_chars / node.chars) if node.chars else float("-inf")
+
+
+def _container(nodes: list[Node], able: list[Node]) -> Node:
+    """The best container, or the lowest that holds most of its peers, beyond all wrappers with nothing else in them."""
+    best = max(able, key=_final)
+    least = PEER * _final(best)
+    alike = {id(n) for n in able if _final(n) >= least}
+    for node in reversed(nodes):
+        node.peers = sum(x.peers for x in node.items if isinstance(x, Node))
+        # Of nodes in each other the lowest is the peer.
+        if not node.peers and id(node) in alike:
+            node.peers = 1
+    if nodes[0].peers >= PEERS:
+        while best.parent is not None and 2 * best.peers <= nodes[0].peers:
+            best = best.parent
+    while best.parent is not None and len(best.parent.items) == 1:
+        best = best.parent
+    return best
 
 
 def _blocks(node: Node) -> Iterator[str]:
@@ -204,10 +256,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    nodes = [n for n in _measure(root) if n.chars and n.tag not in LEAVES and (n.tag not in CELLS or any(isinstance(x, Node) for x in n.items))]
-    if not nodes:
+    _clear(root)
+    nodes = _nodes(root)
+    _score(nodes)
+    able = [n for n in nodes if n.chars and n.tag not in LEAVES and (n.tag not in CELLS or any(isinstance(x, Node) for x in n.items))]
+    if not able:
         return ""
-    best = max(nodes, key=_final)
+    best = _container(nodes, able)
     if best.parent is None:
         return "\n".join(_blocks(best))
     limit, out, seen = max(10.0, 0.2 * _final(best)), [], False

@@ -172,11 +172,27 @@ def brute_best_fit(lengths, most):
 
 
 def test_words_of_one_fingerprint(monkeypatch):
-    """Ids do not depend on fingerprints, however often they collide."""
+    """Ids do not depend on fingerprints of words over eight bytes, however often they collide."""
     real = textcore.spans_hash
-    monkeypatch.setattr(textcore, "spans_hash", lambda *x: real(*x) % np.uint64(7))
+
+    def colliding(data, a, b):
+        out = real(data, a, b)
+        return np.where(b - a > 8, out % np.uint64(7), out)
+
+    monkeypatch.setattr(textcore, "spans_hash", colliding)
     encoder = tokens.WordEncoder(PATH)
     tok = Tokenizer.from_file(PATH)
-    for texts in (["one two three one", "four five"], ["six two seven eight nine ten one", ""]):
+    words = [f"{x}{y}" for x in ("international", "misunderstand", "straightforward") for y in ("", "s", "ing", "ation", "ly", "ed")]
+    for texts in ([" ".join([*words, "one", "two", *words[::-1]]), "four five"], ["internationals one seven eight straightforwardly", ""]):
         flat, at = encoder.encode([t.encode() for t in texts])
         assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_short_spans_have_fingerprints_of_their_own():
+    """The finaliser is one to one: spans of one length up to eight bytes have different fingerprints."""
+    rng = np.random.default_rng(5)
+    for n in range(1, 9):
+        spans = np.unique(rng.integers(0, 256, (20_000, n), np.uint8), axis=0)
+        data = spans.reshape(-1)
+        a = np.arange(len(spans)) * n
+        assert len(np.unique(textcore.spans_hash(data, a, a + n))) == len(spans)

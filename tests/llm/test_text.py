@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -85,10 +86,174 @@ def test_extract(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PARAGRAPH = "Words of a paragraph, with a comma, that go on for a while, number %d."
+
+
+@pytest.mark.parametrize("wrappers", [0, 1, 3, 7, 12, 20])
+@pytest.mark.parametrize("loose", ["", "<i>x</i>", "<span>y, </span><div>z</div>"])
+def test_no_paragraph_is_lost_in_wrappers(wrappers, loose):
+    """However deep the paragraphs lie, alone in their wrappers or not."""
+    for n in (6, 200):
+        inner = "".join(f"<div>{loose}" * wrappers + f"<p>{PARAGRAPH % k}</p>" + "</div>" * wrappers for k in range(n))
+        page = f"<body><nav>menu</nav><div id=main>{inner}</div><div class='sidebar'><p>{PARAGRAPH % 999}</p></div><footer>end</footer></body>"
+        got = html.main_text(page).split("\n")
+        assert [x for x in got if x.startswith("Words")] == [PARAGRAPH % k for k in range(n)]
+        if wrappers and "z" in loose:
+            assert got.count("z") == n * wrappers
+
+
+def test_names_that_are_not_furniture():
+    body = "".join(f"<p>{PARAGRAPH % k}</p>" for k in range(5))
+    kept = "<p class='related-work'>Related work, too.</p><div id='sharing-economy'>The sharing economy.</div><div class='social-sciences'>Social sciences.</div>"
+    gone = "<div class='ad'>Buy, buy, buy.</div><div class='post cookie-banner'>We use cookies.</div><section id=comment-list><p>First!</p></section><div class=share-buttons>Share</div>"
+    got = html.main_text(f"<article>{body}{kept}{gone}</article>")
+    assert got.split("\n")[5:] == ["Related work, too.", "The sharing economy.", "Social sciences."]
+    assert html.main_text(f"<h1>T</h1><div class=widget>{body * 3}</div>").count("Words") == 15
+
+
+class Naive(HTMLParser):
+    """Nested lists of (tag, attributes, children) of a well-formed page."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack = [("html", {}, [])]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [])
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def naive_text(page):
+    """The method by recursion, slow and plain, for pages of div, p, article, nav, a and the names used below."""
+
+    def tree(node):
+        tag, attrs, children = node
+        if tag in ("nav", "aside", "footer", "script"):
+            return None
+        items, run = [], []
+
+        def flush():
+            text = " ".join("".join(t for t, _ in run).split())
+            if text:
+                items.append((text, sum(len(t.strip()) for t, linked in run if linked)))
+            run.clear()
+
+        def flat(children, linked):
+            for c in children:
+                if isinstance(c, str):
+                    run.append((c, linked))
+                elif c[0] in ("a", "b", "i"):
+                    flat(c[2], linked or c[0] == "a")
+                else:
+                    flush()
+                    below = tree(c)
+                    if below and size(below):
+                        items.append(below)
+
+        flat(children, False)
+        flush()
+        return {"tag": tag, "bad": attrs.get("class") in ("ad", "comments"), "items": items}
+
+    def size(x, links=False):
+        return (x[1] if links else len(x[0])) if isinstance(x, tuple) else sum(size(y, links) for y in x["items"])
+
+    def outer(x):
+        return 0 if isinstance(x, tuple) else size(x) if x["bad"] else sum(outer(y) for y in x["items"])
+
+    def cleared(x, spared):
+        if isinstance(x, dict):
+            x["items"] = [cleared(y, spared) for y in x["items"] if isinstance(y, tuple) or not y["bad"] or id(y) in spared]
+            x["items"] = [y for y in x["items"] if size(y)]
+        return x
+
+    def points(x):
+        if isinstance(x, tuple):
+            text, linked = x
+            return (min(1, len(text) / 25) * (1 + text.count(",")) + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        return sum(points(y) * (1 if isinstance(y, tuple) or len(y["items"]) == 1 or y["tag"] == "p" else 0.5) for y in x["items"])
+
+    def final(x):
+        return (points(x) + {"article": 25, "div": 5}.get(x["tag"], 0)) * (1 - size(x, True) / size(x))
+
+    def inner(x, path=()):
+        yield x, path
+        for y in x["items"]:
+            if isinstance(y, dict):
+                yield from inner(y, (*path, x))
+
+    def text(x):
+        return [x[0]] if isinstance(x, tuple) else [t for y in x["items"] for t in text(y)]
+
+    root = tree(Naive(page).stack[0])
+    everything = size(root)
+    bare = 20 * (everything - outer(root)) < everything
+    root = cleared(root, {id(x) for x, _ in inner(root) if bare and 2 * size(x) >= everything})
+    if not size(root):
+        return ""
+    able = [(x, path) for x, path in inner(root) if x["tag"] != "p"]
+    best, path = max(able, key=lambda n: final(n[0]))
+    alike = [(x, p) for x, p in able if final(x) >= 0.5 * final(best)]
+    peers = [(x, p) for x, p in alike if not any(any(z is x for z in q) for _, q in alike)]
+    held = lambda node: sum(x is node or any(z is node for z in p) for x, p in peers)
+    while path and ((len(peers) >= 3 and 2 * held(best) <= len(peers)) or len(path[-1]["items"]) == 1):
+        best, path = path[-1], path[:-1]
+    if not path:
+        return "\n".join(text(root))
+    out = []
+    for x in path[-1]["items"]:
+        if x is best:
+            keep = True
+        elif isinstance(x, tuple) or x["tag"] == "p":
+            keep = size(x) > 80 and size(x, True) < 0.25 * size(x)
+        else:
+            keep = final(x) >= max(10.0, 0.2 * final(best))
+        out += text(x) if keep else []
+    return "\n".join(out)
+
+
+def random_page(rng):
+    said = lambda: " ".join(rng.choice(["word", "and,", "more", "tall,", "&amp;", "né", "end."]) for _ in range(rng.randint(1, 40)))
+
+    def part(depth):
+        kind = rng.random()
+        if depth > 9 or kind < 0.35:
+            return f"<p>{said()} <b>{said()}</b> {'<a>' + said() + '</a>' if rng.random() < 0.2 else ''}</p>"
+        if kind < 0.42:
+            return f"<nav><a>{said()}</a></nav>"
+        if kind < 0.5:
+            return f"<div class='{rng.choice(['ad', 'comments'])}'><p>{said()}</p></div>"
+        if kind < 0.55:
+            return said()
+        tag = rng.choice(["div", "div", "div", "article"])
+        return f"<{tag}>{''.join(part(depth + 1) for _ in range(rng.choice([1, 1, 2, 3, 4])))}</{tag}>"
+
+    return "".join(part(0) for _ in range(rng.randint(1, 5)))
+
+
+def test_equals_a_plain_extractor_on_random_pages():
+    rng, texts = random.Random(17), 0
+    for _ in range(400):
+        page = random_page(rng)
+        want = naive_text(page)
+        assert html.main_text(page) == want, page
+        texts += bool(want)
+    assert texts > 300
+
+
 def test_many_nested_and_stray_tags():
     t = time.perf_counter()
     for page in ("<div>a, b" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>a</div>" * 50_000 + "</section>" * 50_000, "<table><tr><td>" * 30_000 + "</html>" * 50_000):
         html.main_text(page)
+    html.main_text("<div class=ad>x<p>a, b</p>" * 50_000)
     assert time.perf_counter() - t < 20  # seconds; minutes where the work is quadratic
 
 
