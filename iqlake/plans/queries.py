@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from iqlake.functions import scalar as S
 from iqlake.operators import align, features, frames, metrics, models, spectral, windows
-from iqlake.plans import cost, fits, govern, residual, search, select
+from iqlake.plans import cost, fits, govern, release, residual, search, select
 from iqlake.sources import io
 from iqlake.sources import views as V
 
@@ -948,6 +948,38 @@ def a1_a2_a5_a7_csv_pair(spark, sf):
     return rounded(io.load_pair(spark, at, "train").select("n", "i", "q", "yi", "yq"))
 
 
+@query("SELECT n, " + r6("i AS i", "q AS q", "yi AS yi", "yq AS yq") + " FROM paired", PAIRED)
+def a1_a2_ordered_parts(spark, sf):
+    """Both files in seven parts of unlike sizes, the largest late, each read in several splits."""
+    at = io.workspace(spark, "parts")
+    p = V.paired(spark, sf)
+    last = p.agg(F.max("n")).first()[0] or 0
+    share = F.col("n") / F.lit(last + 1.0)
+    part = F.when(share < 0.01, 0).when(share < 0.02, 1).when(share < 0.3, 2).when(share < 0.31, 3).when(share < 0.9, 4).when(share < 0.97, 5).otherwise(6)
+    dealt = p.repartitionById(7, part).sortWithinPartitions("n")
+    for name, cols in (("input", ("i", "q")), ("output", ("yi", "yq"))):
+        dealt.select(*[F.col(c).alias(x) for c, x in zip(cols, "IQ", strict=True)]).write.option("header", True).csv(f"{at}/val_{name}.csv")
+    return rounded(io.load_pair(spark, at, "val").select("n", "i", "q", "yi", "yq"))
+
+
+@query("SELECT n, " + r6("i AS i", "q AS q", "yi AS yi", "yq AS yq", "i AS ei", "q AS eq") + " FROM paired", PAIRED)
+def a4_matlab_containers(spark, sf):
+    """The record written as MATLAB 5 containers by several tasks, plain and deflated ones, and read back."""
+    from iqlake.sources.matlab import Mat5
+
+    spark.dataSource.register(Mat5)
+    p = V.paired(spark, sf)
+    half = (p.agg(F.max("n")).first()[0] or 0) // 2
+    made = []
+    for name, own, deflate in (("first", F.col("n") <= half, "false"), ("second", F.col("n") > half, "true")):
+        at = io.workspace(spark, name)
+        rows = p.filter(own).repartitionByRange(3, "n").sortWithinPartitions("n")
+        rows = rows.select("n", *[F.col(c).alias(x) for c, x in (("i", "x_re"), ("q", "x_im"), ("yi", "y_re"), ("yq", "y_im"), ("i", "eRef_re"), ("q", "eRef_im"))])
+        rows.write.format("mat5").option("variables", "x,y,eRef").option("deflate", deflate).mode("append").save(at)
+        made.append(io.load_blackbox_mat(spark, at))
+    return rounded(made[0].unionByName(made[1].withColumn("n", F.col("n") + half + 1)))
+
+
 @query("SELECT n, frame, " + r6("i AS i", "q AS q") + " FROM iq WHERE frame IN (SELECT frame FROM iq GROUP BY frame HAVING count(*) = 512)", IQ)
 def a6_waveforms(spark, sf):
     """Whole frames written as a bundle of waveforms and loaded with exactly these columns."""
@@ -1062,15 +1094,43 @@ def m4_search(spark, sf):
     return rounded(got.ledger.filter((F.col("recipe") == got.recipe.name) & (F.col("stage") == "topology")).select("recipe", "score_db"))
 
 
-_TRIAL = {"valid": "p_size % 7 <> 0", "condition_ratio": "p_size / 10.0", "norm_ratio": "p_retailprice / 1000.0", "score_db": "-30 - p_size / 10.0", "common_db": "-30.5 - p_size / 10.0", "validation_db": "-30 - p_size / 10.0 + (p_size % 5) / 4.0", "validation_common_db": "-30.4 - p_size / 10.0", "reference_db": "-32.0", "reference_common_db": "-32.2", "above_support": "CASE WHEN p_size % 11 = 0 THEN 0.1 ELSE 0.0 END", "mul": "p_size * 20", "causal": "p_size % 3 <> 0"}
-_LIMITS = {"condition_ratio": 4.0, "norm_ratio": 1.5, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "boundary_db": 1.2, "mul": 900}
-_RULES = {"rank_and_finiteness": "valid", "condition_stability": "condition_ratio <= 4.0", "coefficient_stability": "norm_ratio <= 1.5", "full_gain": "reference_db - score_db >= 0.1", "common_gain": "reference_common_db - common_db >= 0.2", "validation_gap": "greatest(validation_db - score_db, validation_common_db - common_db) <= 0.8", "boundary": "greatest(abs(score_db - common_db), abs(validation_db - validation_common_db)) <= 1.2", "input_support": "above_support = 0", "operation_budget": "mul < 900", "causal_model": "causal"}
-
-
-@query("SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in _RULES.items()) + ", " + " AND ".join(f"({e})" for e in _RULES.values()) + " AS passed FROM t", "t AS (SELECT p_partkey, " + ", ".join(f"{e if n in ('valid', 'causal') else f'({e})::DOUBLE'} AS {n}" for n, e in _TRIAL.items()) + " FROM part)")
+_LIMITS = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 40.0, "norm_ratio": 20.0, "peak_ratio": 1.3, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
+#: A part stands for a model, its order lines for the model's folds, and expressions over both for the figures.
+_MODEL = {
+    "mul": "p_size * 20", "recounted_mul": "p_size * 20 + CASE WHEN p_size % 17 = 0 THEN 1 ELSE 0 END", "lookahead": "CASE WHEN p_size % 13 = 0 THEN 2 ELSE 0 END", "above_support": "CASE WHEN p_size % 11 = 0 THEN 0.1 ELSE 0.0 END",
+    "score_db": "-30 - p_size / 10.0", "common_db": "-30.5 - p_size / 10.0", "validation_db": "-30 - p_size / 10.0 + (p_size % 5) / 4.0", "validation_common_db": "-30.4 - p_size / 10.0", "reference_db": "-30.4", "reference_common_db": "-30.8",
+    "warmup": "16", "declared_warmup": "CASE WHEN p_size % 19 = 0 THEN 8 ELSE 16 END", "cooldown": "0", "declared_cooldown": "0",
+    "limit_drift": "CASE WHEN p_size % 23 = 0 THEN 0.1 ELSE 0.0 END", "reference_drift": "CASE WHEN p_size % 29 = 0 THEN 0.1 ELSE 0.0 END", "training_drift": "CASE WHEN p_size % 31 = 0 THEN 0.1 ELSE 0.0 END",
+}
+_MODEL_SQL = "models AS (SELECT p_partkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _MODEL.items()) + " FROM part)"
+_LINE_VALUES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+_EVIDENCE_SQL = f"""{_MODEL_SQL}, lines AS (SELECT l_partkey AS p_partkey, l_linenumber, l_orderkey * 8 + l_linenumber AS line, {", ".join(f"min({c}) AS {c}" for c in _LINE_VALUES)} FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber),
+    folds AS (SELECT p_partkey, CAST(count(DISTINCT CASE WHEN line % 997 = 0 THEN 'b' ELSE 'a' END) AS DOUBLE) AS recipes, CAST(count(*) FILTER (WHERE line % 499 = 0) AS DOUBLE) AS unsolved_folds, max(l_quantity) / min(l_quantity) AS condition_ratio, max(l_extendedprice) / min(l_extendedprice) AS norm_ratio, max((1 + l_discount) / (1 + l_tax / 2)) AS peak_ratio FROM lines GROUP BY p_partkey),
+    again AS (SELECT p_partkey, max(CASE WHEN line % 211 = 0 THEN 'inf'::DOUBLE WHEN line % 89 = 0 THEN 1e-6 * l_tax / (1 + l_tax) ELSE 0 END) AS validation_drift FROM lines GROUP BY p_partkey),
+    files AS (SELECT p_partkey, CAST(count(*) FILTER (WHERE line % 131 = 0) AS DOUBLE) AS changed_files, CAST(count(*) FILTER (WHERE line % 173 = 0 OR line % 179 = 0) AS DOUBLE) AS changed_settings FROM lines GROUP BY p_partkey),
+    gaps AS (SELECT p_partkey, max(CASE WHEN line % 151 = 0 THEN 'inf'::DOUBLE WHEN line % 83 = 0 THEN 0.5 ELSE 0 END) AS stream_gap, coalesce(max(CASE WHEN line % 151 = 0 THEN 'inf'::DOUBLE WHEN line % 83 = 0 THEN 0.5 ELSE 0 END) FILTER (WHERE l_linenumber < 3), 0) AS reset_gap FROM lines GROUP BY p_partkey),
+    parts AS (SELECT p_partkey, CAST(2 - count(DISTINCT CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag END) AS DOUBLE) AS missing_tables FROM lines GROUP BY p_partkey),
+    t AS (SELECT * FROM models LEFT JOIN folds USING (p_partkey) LEFT JOIN again USING (p_partkey) LEFT JOIN files USING (p_partkey) LEFT JOIN gaps USING (p_partkey) LEFT JOIN parts USING (p_partkey))"""
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{r.sql(_LIMITS)} AS {r.name}" for r in release.RULES) + ", " + " AND ".join(r.sql(_LIMITS) for r in release.RULES) + " AS passed, " + " + ".join(f"CAST(NOT {r.sql(_LIMITS)} AS INT)" for r in release.RULES) + " AS n_failed FROM t", _EVIDENCE_SQL)
 def m6_decision(spark, sf):
-    t = V.table(spark, sf, "part").select("p_partkey", *[(F.expr(e) if n in ("valid", "causal") else F.expr(f"cast({e} as double)")).alias(n) for n, e in _TRIAL.items()])
-    return search.decision(t, _LIMITS).select("p_partkey", *_RULES, "passed")
+    """Every rule of a release, each over evidence that is worked out from the lines of a model."""
+    models = V.table(spark, sf, "part").select("p_partkey", *[F.expr(f"cast({e} as double)").alias(n) for n, e in _MODEL.items()])
+    lines = V.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in _LINE_VALUES]).withColumn("line", F.expr("l_orderkey * 8 + l_linenumber"))
+    folds = lines.selectExpr("p_partkey", "if(line % 997 = 0, 'b', 'a') AS recipe", "5 AS width", "if(line % 499 = 0, 4, 5) AS rank", "l_quantity AS condition", "l_extendedprice AS norm", "1 + l_discount AS held_peak", "1 + l_tax / 2 AS fit_peak")
+    frozen = lines.selectExpr("p_partkey", "line", "l_tax AS value", "l_returnflag AS digest")
+    found = lines.filter("line % 211 <> 0").selectExpr("p_partkey", "line", "if(line % 89 = 0, l_tax * (1 + 1e-6), l_tax) AS value")
+    files = lines.selectExpr("p_partkey", "line", "if(line % 131 = 0, concat(l_returnflag, '!'), l_returnflag) AS digest")
+    settings = lines.filter("line % 173 <> 0").selectExpr("p_partkey", "line", "if(line % 179 = 0, null, l_returnflag) AS digest")
+    batch = lines.selectExpr("p_partkey", "0 AS frame", "line AS n", "l_linenumber AS pos", "l_tax AS pi", "l_discount AS pq")
+    streamed = lines.filter("line % 151 <> 0").selectExpr("p_partkey", "0 AS frame", "line AS n", "l_tax + if(line % 83 = 0, 0.3D, 0D) AS pi", "l_discount - if(line % 83 = 0, 0.4D, 0D) AS pq")
+    evidence = [
+        release.folds_found(folds, "p_partkey"), release.drift(found, frozen, "p_partkey", "line", "value", "validation_drift"), release.changed(files, frozen, "p_partkey", "line", "digest", "changed_files"),
+        release.changed(settings, frozen, "p_partkey", "line", "digest", "changed_settings"), release.stream_gaps(streamed, batch, "p_partkey", 3), release.missing(lines, ["A", "N"], "p_partkey", "l_returnflag", "missing_tables"),
+    ]
+    out = release.decide(models, evidence, _LIMITS, "p_partkey")
+    return out.select("p_partkey", *[r.name for r in release.RULES], "passed", F.size("failed").alias("n_failed"))
 
 
 @query(ORACLE["l1_l4_chunked_outputs"])

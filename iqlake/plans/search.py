@@ -120,26 +120,3 @@ def search(df: DataFrame, recipes: list[Recipe], base_ridge: float, ridges: list
     recipe = next(r for r in recipes if r.name == top["recipe"])
     model, report = fit_terms(df, list(recipe.terms), top["ridge"])
     return Search(first.unionByName(second), recipe, top["ridge"], model, report)
-
-
-def decision(trial: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """A boolean column for each predicate of a release, null counting as false, and ``passed`` for all of them.
-
-    ``trial`` has, beside the ledger's columns, validation_db, validation_common_db, reference_db and reference_common_db (the
-    model to beat), above_support (share of validation samples beyond the training maximum) and causal.
-    """
-    gap = F.greatest(F.col("validation_db") - F.col("score_db"), F.col("validation_common_db") - F.col("common_db"))
-    edge = F.greatest(F.abs(F.col("score_db") - F.col("common_db")), F.abs(F.col("validation_db") - F.col("validation_common_db")))
-    rules = {
-        "rank_and_finiteness": F.col("valid"),
-        "condition_stability": F.col("condition_ratio") <= limits["condition_ratio"],
-        "coefficient_stability": F.col("norm_ratio") <= limits["norm_ratio"],
-        "full_gain": F.col("reference_db") - F.col("score_db") >= limits["gain_db"],
-        "common_gain": F.col("reference_common_db") - F.col("common_db") >= limits["common_gain_db"],
-        "validation_gap": gap <= limits["gap_db"],
-        "boundary": edge <= limits["boundary_db"],
-        "input_support": F.col("above_support") == 0,
-        "operation_budget": F.col("mul") < limits["mul"],
-        "causal_model": F.col("causal"),
-    }
-    return select.gates(trial, rules)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MODEL = "model_id string, model_type string, version int, knots array<double>, branches array<struct<signal:int,envelope:int>>, terms array<struct<exponent:int,signal:int,envelope:int>>, delays array<int>, conjugate boolean, coef array<struct<re:double,im:double>>"
@@ -20,25 +20,32 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
 def load_iq_csv(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
     """(n, i, q) of a two-column file with header I,Q in any case; empty files and values that are not finite are errors.
 
-    n is the place in the file: part files keep their order by name and offset.
+    n is the place in the file. Part files follow one another by their part number, then by name, whatever their sizes: each split
+    counts its lines, and sums of the counts in order of file and byte offset say where it begins. Every part must have the
+    header. The table of counts has a row a split, never one a sample.
     """
     head = spark.read.text(path).limit(1).collect()
     if checked and (not head or [c.strip().lower() for c in head[0][0].split(",")] != ["i", "q"]):
         raise ValueError(f"{path}: the header must be I,Q")
-    raw = spark.read.schema("i double, q double").option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "FAILFAST").csv(path)
-    raw = raw.select("i", "q", F.monotonically_increasing_id().alias("_at"))
-    counts = raw.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(~(F.abs("i") < float("inf")) | ~(F.abs("q") < float("inf")) | F.isnan("i") | F.isnan("q") | F.col("i").isNull() | F.col("q").isNull()).alias("_bad")).collect()
-    if checked and (not counts or sum(c["_c"] for c in counts) == 0):
-        raise ValueError(f"{path}: no samples")
-    if checked and any(c["_bad"] for c in counts):
-        raise ValueError(f"{path}: values that are not finite")
-    # Sizes of a file's splits: as many numbers as splits.
-    start, table = 0, []
-    for c in sorted(counts, key=lambda c: c["_p"]):
-        table.append((c["_p"], start))
-        start += c["_c"]
-    before = F.broadcast(spark.createDataFrame(table or [(0, 0)], "_p long, _s long"))
-    return raw.withColumn("_p", F.shiftright("_at", 33)).join(before, "_p").select((F.col("_s") + (F.col("_at") - F.shiftleft(F.col("_p"), 33))).alias("n"), "i", "q")
+    raw = spark.read.schema("i double, q double").option("header", True).option("enforceSchema", not checked).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "FAILFAST").csv(path)
+    # Rows of a split are neighbours in their partition, so within a split this number less the split's least is the line.
+    raw = raw.select("i", "q", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_byte"), F.monotonically_increasing_id().alias("_at"))
+    bad = F.count_if(~(F.abs("i") < float("inf")) | ~(F.abs("q") < float("inf")) | F.isnan("i") | F.isnan("q") | F.col("i").isNull() | F.col("q").isNull())
+    splits = raw.groupBy("_file", "_byte").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_low"), bad.alias("_bad"))
+    if checked:
+        total = splits.agg(F.sum("_c").alias("c"), F.sum("_bad").alias("bad")).first()
+        if not total["c"]:
+            raise ValueError(f"{path}: no samples")
+        if total["bad"]:
+            raise ValueError(f"{path}: values that are not finite")
+    number = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^part-(\d+)", 1).cast("long")
+    files = splits.groupBy("_file").agg(F.sum("_c").alias("_rows"))
+    by_file = Window.orderBy(number.asc_nulls_first(), "_file")  # a row a file
+    files = files.select("_file", (F.sum("_rows").over(by_file) - F.col("_rows")).alias("_before"))
+    by_byte = Window.partitionBy("_file").orderBy("_byte")
+    within = splits.select("_file", "_byte", "_low", (F.sum("_c").over(by_byte) - F.col("_c")).alias("_inner"))
+    begins = within.join(files, "_file").select("_file", "_byte", (F.col("_before") + F.col("_inner") - F.col("_low")).alias("_shift"))
+    return raw.join(F.broadcast(begins), ["_file", "_byte"]).select((F.col("_at") + F.col("_shift")).alias("n"), "i", "q")
 
 
 def load_pair(spark: SparkSession, directory: str, split: str) -> DataFrame:
@@ -78,22 +85,14 @@ def load_waveforms(spark: SparkSession, path: str, columns: dict[str, str], nper
 
 
 def load_blackbox_mat(spark: SparkSession, path: str) -> DataFrame:
-    """(n, i, q, yi, yq, ei, eq) of a MATLAB 5 container with equal-length complex x, y, eRef; needs SciPy on the executors."""
-    def decode(it):  # noqa: ANN001, ANN202
-        import io
+    """(n, i, q, yi, yq, ei, eq) of MATLAB 5 containers with numeric vectors x, y and eRef of one length and finite values."""
+    from iqlake.sources.matlab import Mat5
 
-        import numpy as np
-        import pandas as pd
-        from scipy.io import loadmat
-
-        for pdf in it:
-            for raw in pdf["content"]:
-                m = {k: np.ravel(v).astype(complex) for k, v in loadmat(io.BytesIO(raw)).items() if k in ("x", "y", "eRef")}
-                if set(m) != {"x", "y", "eRef"} or len({len(v) for v in m.values()}) != 1:
-                    raise ValueError("x, y and eRef of one length are needed")
-                yield pd.DataFrame({"n": np.arange(len(m["x"])), "i": m["x"].real, "q": m["x"].imag, "yi": m["y"].real, "yq": m["y"].imag, "ei": m["eRef"].real, "eq": m["eRef"].imag})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "n long, i double, q double, yi double, yq double, ei double, eq double")
+    spark.dataSource.register(Mat5)
+    rows = spark.read.format("mat5").option("variables", "x,y,eRef").load(path)
+    parts = dict(zip(("i", "q", "yi", "yq", "ei", "eq"), ("x_re", "x_im", "y_re", "y_im", "eRef_re", "eRef_im"), strict=True))
+    value = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} has values that are not finite")).cast("double"))
+    return rows.select("n", *[value(c).alias(name) for name, c in parts.items()])
 
 
 def chronological(df: DataFrame, train: int, val: int, test: int) -> DataFrame:
@@ -169,7 +168,10 @@ def read_bundle(spark: SparkSession, directory: str) -> tuple[dict, dict[str, Da
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; removed when the program ends."""
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir`` or, where that is unset (a local run), in the warehouse.
+
+    It is removed when the program ends.
+    """
     import atexit
     import contextlib
     import uuid
@@ -178,9 +180,7 @@ def workspace(spark: SparkSession, name: str) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="iqlake-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     at = f"{root}/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
