@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from iqlake.operators.blocks import SIZE, in_blocks, lists, placed
+from iqlake.sources import io
+
 MERGE = 64
 
 
@@ -72,68 +75,91 @@ def r_factors(design: DataFrame, by: str | None = None, target: tuple[str, str]
     return design.select("phi", *target).mapInArrow(parts, FACTORS)
 
 
-#: Rows of frames that are factored at a time.
-ROWS = 4096
+#: Rows that are factored at a time, and blocks of a frame whose factors one task merges.
+ROWS, STACK = 4096, 64
 
 
-def term_factors(df: DataFrame, terms: list, by_frame: bool = False, skip: int = 0, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
-    """``r_factors`` of the dictionary of ``terms`` over (frame, n, i, q, target), made where frames are arrays.
+def term_factors(df: DataFrame, terms: list, by_frame: bool = False, skip: int = 0, target: tuple[str, str] = ("yi", "yq"), late: int | None = None) -> DataFrame:
+    """``r_factors`` of the dictionary of ``terms`` over (frame, n, i, q, target), made where blocks of frames are arrays.
 
-    Samples are moved once, to their frame's task; lags, powers and products are numpy's there, so no row of features is ever
-    built or sent. ``skip`` leaves out the first samples of each frame (their past still counts).
+    A block has a halo as long as the longest lag, so a frame of any length is the work of many tasks; samples are moved once (those in a halo
+    twice), lags, powers and products are numpy's there, and no row of features is ever built or sent. A frame's blocks are merged in two
+    steps of at most STACK factors and what is left. ``skip`` leaves out the first samples of each frame (their past
+    still counts). With ``late`` there are two factors a frame, the other without its first ``late`` samples: columns scored, steady.
     """
     signals, powers = sorted({t.signal for t in terms}), sorted({(t.envelope, t.exponent) for t in terms})
-    rows = df.select("frame", F.struct("n", "i", "q", *target).alias("s")).groupBy("frame").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    rows = rows.select("frame", *[F.col(f"s.{c}").alias(f"c{k}") for k, c in enumerate(("i", "q", *target))])
-
-    def late(x: np.ndarray, d: int) -> np.ndarray:
-        """x[n - d], 0 outside the frame."""
-        out = np.zeros_like(x)
-        if d >= 0:
-            out[d:] = x[: len(x) - d] if d < len(x) else 0
-        else:
-            out[:d] = x[-d:] if -d < len(x) else 0
+    lags = [0, *signals, *[d for d, _ in powers]]
+    rows = in_blocks(placed(df).select("frame", "pos", "i", "q", *target), ["i", "q", *target], max(lags), -min(lags), SIZE)
+    width, size, stack = len(terms) + 1, SIZE, STACK
+    schema = FACTORS + (", scored long, steady binary" if late is not None else "")
+
+    def lagged(x: np.ndarray, d: int, lo: int, hi: int) -> np.ndarray:
+        """x[lo - d : hi - d], 0 outside the array: a halo covers lags, so that is outside the frame."""
+        out = np.zeros(hi - lo, x.dtype)
+        a, b = max(0, lo - d), min(len(x), hi - d)
+        if a < b:
+            out[a - (lo - d) : b - (lo - d)] = x[a:b]
         return out
 
-    def design(i: np.ndarray, q: np.ndarray, yi: np.ndarray, yq: np.ndarray) -> np.ndarray:
-        x = i + 1j * q
-        xs = {d: late(x, d) for d in signals}
+    def factors(i: np.ndarray, q: np.ndarray, yi: np.ndarray, yq: np.ndarray, lo: int, hi: int) -> tuple[int, np.ndarray]:
+        """Rows and R of the block's samples [lo, hi), some thousand rows at a time."""
+        x, y = i + 1j * q, yi + 1j * yq
         r = np.abs(x)
-        rs = {(d, e): late(r, d) ** e if e else None for d, e in powers}
-        a = np.empty((len(x), len(terms) + 1), complex)
-        for k, t in enumerate(terms):
-            p = rs[t.envelope, t.exponent]
-            a[:, k] = xs[t.signal] if p is None else xs[t.signal] * p
-        a[:, -1] = yi + 1j * yq
-        return a[skip:]
+        held = np.zeros((0, width), complex)
+        for at in range(lo, hi, ROWS):
+            to = min(hi, at + ROWS)
+            xs = {d: lagged(x, d, at, to) for d in signals}
+            rs = {(d, e): lagged(r, d, at, to) ** e if e else None for d, e in powers}
+            a = np.empty((to - at, width), complex)
+            for k, t in enumerate(terms):
+                p = rs[t.envelope, t.exponent]
+                a[:, k] = xs[t.signal] if p is None else xs[t.signal] * p
+            a[:, -1] = y[at:to]
+            held = _factor(np.vstack([held, a]))
+        return max(0, hi - lo), held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        total = 0
-
-        def fold() -> None:
-            nonlocal held, n
-            held, n = [_factor(np.vstack(held))], 0
-
+        held, total = np.zeros((0, width), complex), 0
         for batch in batches:
-            off = batch.column(1).offsets.to_numpy()
-            values = [batch.column(k).values.to_numpy() for k in range(1, 5)]
-            for k, frame in enumerate(batch.column(0).to_pylist()):
-                a = design(*[v[off[k] : off[k + 1]] for v in values])
-                if by_frame:
-                    if len(a):
-                        yield from _factor_table(frame, len(a), _factor(a)).to_batches()
+            off, values = lists(batch, 3)
+            for k, (frame, block, halo) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
+                own = [v[off[k] : off[k + 1]] for v in values]
+                hi = min(len(own[0]), halo + size)
+                first = lambda n: min(hi, halo + max(0, n - block * size))  # noqa: B023, E731
+                rows_, r = factors(*own, first(skip), hi)
+                if not by_frame:
+                    held, total = _factor(np.vstack([held, r])), total + rows_
                     continue
-                held.append(a)
-                n += len(a)
-                total += len(a)
-                if n >= ROWS:
-                    fold()
+                out = {"group": [frame], "rows": [rows_], "r": [r.tobytes()], "stretch": [block // stack]}
+                if late is not None:
+                    scored, steady = (rows_, r) if first(late) == first(skip) else factors(*own, first(late), hi)
+                    out |= {"scored": [scored], "steady": [steady.tobytes()]}
+                yield pa.RecordBatch.from_pydict(out)
         if total and not by_frame:
-            fold()
-            yield from _factor_table(0, total, held[0]).to_batches()
+            yield from _factor_table(0, total, held).to_batches()
 
-    return rows.mapInArrow(run, FACTORS)
+    if not by_frame:
+        return rows.mapInArrow(run, FACTORS)
+    made = rows.mapInArrow(run, FACTORS + ", stretch long" + schema[len(FACTORS) :])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of factors as one factor each."""
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            for n in ("r", "steady"):
+                if n in cols:
+                    stacked = [x if len(x) == 1 else [_factor(np.vstack([_read(r, width) for r in x])).tobytes()] for x in cols[n].to_pylist()]
+                    cols[n] = pa.array([x[0] for x in stacked], pa.binary())
+            yield pa.RecordBatch.from_pydict(cols)
+
+    extra = [n for n in ("scored", "steady") if late is not None]
+    for keys in (["group", "stretch"], ["group"]):
+        sums = [F.sum(n).alias(n) for n in ("rows", *extra[:1])]
+        lists_ = [F.collect_list(n).alias(n) for n in ("r", *extra[1:])]
+        order = ["group", "rows", "r", *(["stretch"] if "stretch" in keys else []), *extra]
+        made = made.groupBy(*keys).agg(*sums, *lists_).select(*order)
+        made = made.mapInArrow(merge, FACTORS + (", stretch long" if "stretch" in keys else "") + schema[len(FACTORS) :])
+    return made.filter("rows > 0")
 
 
 def _read(r: bytes, width: int) -> np.ndarray:
@@ -241,7 +267,7 @@ def others(factors: DataFrame, width: int) -> DataFrame:
 def leave_one_out(design: DataFrame, width: int, ridge: float = 0.0, scaled: bool = False, target: tuple[str, str] = ("yi", "yq")) -> DataFrame:
     """For each frame the fit on all others, a row a frame: frame, rows, rank, condition, coef (interleaved), residual_power.
 
-    One R factor a frame, merged over all others by a tree; no refit from rows, and nothing goes to the driver. An error if
+    One R factor a frame, written once, and merged over all others by a tree; no refit from rows, and nothing goes to the driver. An error if
     there are fewer than two frames.
     """
 
@@ -253,7 +279,8 @@ def leave_one_out(design: DataFrame, width: int, ridge: float = 0.0, scaled: boo
             flat = [np.column_stack([f.coef.real, f.coef.imag]).reshape(-1).tolist() for f in fits]
             yield pa.RecordBatch.from_pydict({"frame": batch.column("group"), "rows": batch.column("rows"), "rank": pa.array([f.rank for f in fits], pa.int32()), "condition": pa.array([f.condition for f in fits], pa.float64()), "coef": pa.array(flat, pa.list_(pa.float64())), "residual_power": pa.array([f.residual_power for f in fits], pa.float64())})
 
-    return others(r_factors(design, "frame", target), width + 1).mapInArrow(run, "frame long, rows long, rank int, condition double, coef array<double>, residual_power double")
+    own = io.written(r_factors(design, "frame", target), "factors")
+    return others(own, width + 1).mapInArrow(run, "frame long, rows long, rank int, condition double, coef array<double>, residual_power double")
 
 
 def gram_gain(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Spectra, bands and leakage ratios.
 
-A spectrum is rows (frame, k, freq, power), k ascending with frequency from -fs/2. A frame is the unit of parallel work:
-one Arrow group with an FFT. For short frames ``dft`` gives the same by a join with a table of twiddle factors, in SQL terms.
+A spectrum is rows (frame, k, freq, power), k ascending with frequency from -fs/2. Welch spectra of frames of any length come from
+blocks with a halo. For short frames ``dft`` gives the same by a join with a table of twiddle factors, in SQL terms.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from iqlake.functions.scalar import power, ratio_db
+from iqlake.operators.blocks import AT_ONCE, SIZE, in_blocks, lists, over_blocks, placed
 
 
 def hann(length: int, periodic: bool = True) -> np.ndarray:
@@ -28,7 +29,11 @@ def hann_column(pos: Column, length: int) -> Column:
 
 
 def welch(df: DataFrame, fs: float, nperseg: int, overlap: int | None = None, scaling: str = "spectrum", detrend: bool = True, periodic: bool = True, cols: tuple[str, str] = ("i", "q")) -> DataFrame:
-    """Mean spectrum of the sliding windows of each frame; frames shorter than ``nperseg`` give none."""
+    """Mean spectrum of the sliding windows of each frame; frames shorter than ``nperseg`` give none.
+
+    Rows go by blocks: a block sums the spectra of the windows that start in it, reading on into its halo, and the sums of a frame's
+    blocks are added map-side. Arrays (a row a frame) are taken as they are.
+    """
     overlap = nperseg // 2 if overlap is None else overlap
     if not 0 <= overlap < nperseg or scaling not in ("spectrum", "density"):
         raise ValueError("bad overlap or scaling")
@@ -36,21 +41,36 @@ def welch(df: DataFrame, fs: float, nperseg: int, overlap: int | None = None, sc
     unit = float(w.sum() ** 2) if scaling == "spectrum" else float(fs * (w * w).sum())
     freq = np.fft.fftshift(np.fft.fftfreq(nperseg, 1 / fs))
 
+    hop = nperseg - overlap
+
+    def spectra(x: list[np.ndarray], most: int) -> tuple[np.ndarray, int]:
+        """Sums of the spectra of the windows that start before ``most``, a row a frame, and how many they are."""
+        parts = np.lib.stride_tricks.sliding_window_view(x[0] + 1j * x[1], nperseg, axis=1)[:, :most:hop]
+        if detrend:
+            parts = parts - parts.mean(2, keepdims=True)
+        return np.fft.fftshift((np.abs(np.fft.fft(parts * w, axis=2)) ** 2 / unit).sum(1), axes=1), parts.shape[1]
+
     def kernel(frame: np.ndarray, x: list[np.ndarray]) -> dict[str, np.ndarray]:
         n = len(frame) if x[0].shape[1] >= nperseg else 0
         if not n:
             return {"frame": frame[:0], "k": frame[:0], "freq": freq[:0], "power": freq[:0]}
-        parts = np.lib.stride_tricks.sliding_window_view(x[0] + 1j * x[1], nperseg, axis=1)[:, :: nperseg - overlap]
-        if detrend:
-            parts = parts - parts.mean(2, keepdims=True)
-        p = (np.abs(np.fft.fft(parts * w, axis=2)) ** 2 / unit).mean(1)
-        return {"frame": np.repeat(frame, nperseg), "k": np.tile(np.arange(nperseg), n), "freq": np.tile(freq, n), "power": np.fft.fftshift(p, axes=1).ravel()}
+        total, windows = spectra(x, x[0].shape[1])
+        return {"frame": np.repeat(frame, nperseg), "k": np.tile(np.arange(nperseg), n), "freq": np.tile(freq, n), "power": (total / windows).ravel()}
 
-    return over_frames(df, list(cols), kernel, "frame long, k long, freq double, power double")
+    if isinstance(df.schema[cols[0]].dataType, ArrayType):
+        return over_frames(df, list(cols), kernel, "frame long, k long, freq double, power double")
+    size = hop * -(-max(SIZE, nperseg) // hop)
 
+    def sums(frame: np.ndarray, skip: int, x: list[np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(frame) if x[0].shape[1] >= nperseg else 0
+        if not n:
+            return {"frame": frame[:0], "k": frame[:0], "freq": freq[:0], "total": freq[:0], "windows": frame[:0]}
+        total, windows = spectra(x, size)
+        return {"frame": np.repeat(frame, nperseg), "k": np.tile(np.arange(nperseg), n), "freq": np.tile(freq, n), "total": total.ravel(), "windows": np.full(n * nperseg, windows)}
 
-#: Values of a column that a kernel gets at a time.
-AT_ONCE = 1 << 18
+    blocks = in_blocks(placed(df).select("frame", "pos", *cols), list(cols), after=nperseg - hop, size=size)
+    made = over_blocks(blocks, sums, "frame long, k long, freq double, total double, windows long")
+    return made.groupBy("frame", "k").agg(F.first("freq").alias("freq"), (F.sum("total") / F.sum("windows")).alias("power"))
 
 
 def over_frames(df: DataFrame, cols: list[str], kernel: Callable[[np.ndarray, list[np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -64,8 +84,7 @@ def over_frames(df: DataFrame, cols: list[str], kernel: Callable[[np.ndarray, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame, off = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy().astype(np.int64)
-            values = [batch.column(c + 1).values.to_numpy() for c in range(len(cols))]
+            frame, (off, values) = batch.column(0).to_numpy(), lists(batch, 1)
             length = np.diff(off)
             for n in np.unique(length):
                 own = np.flatnonzero(length == n)

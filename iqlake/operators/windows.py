@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.functions.scalar import power
+from iqlake.operators.blocks import SIZE, affine_starts, in_blocks, lists, placed
 from iqlake.operators.frames import in_frame, in_order
 
 
@@ -84,19 +86,28 @@ def slow_envelope(df: DataFrame, tau: float, start: float, keys: list[str] | Non
     return slow_envelopes(df, {"state": tau}, start, keys)
 
 
-def slow_envelopes(df: DataFrame, taus: dict[str, float], start: float, keys: list[str] | None = None) -> DataFrame:
-    """A column for each named time constant, all in one pass: a frame, a bounded unit of some thousand rows, is one Arrow group."""
-    frame = keys or ["frame"]
+def slow_envelopes(df: DataFrame, taus: dict[str, float], start: float, keys: list[str] | None = None, size: int = SIZE) -> DataFrame:
+    """A column for each named time constant, all in one pass; (keys, n, i, q) and these.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        p = (pdf["i"] ** 2 + pdf["q"] ** 2).to_numpy()
-        return pdf.assign(**{name: one_pole(p, tau, start) for name, tau in taus.items()})
-
-    schema = df.select(*frame, "n", "i", "q").schema
-    for name in taus:
-        schema = schema.add(name, "double")
-    return df.select(*frame, "n", "i", "q").groupBy(*frame).applyInPandas(run, schema)
+    Frames of any length: each block runs from a state of zero, a scan of the blocks' affine maps gives the state each really starts
+    from, and its decay is added.
+    """
+    frame, names = keys or ["frame"], list(taus)
+    rows = in_blocks(placed(df, frame).select(*frame, "pos", "n", "i", "q"), ["n", "i", "q"], size=size, keys=frame)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, (_, i, q) = lists(batch, len(frame) + 2)
+            p = i * i + q * q
+            states = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([one_pole(p[x:y], tau, 0.0) for x, y in zip(off, off[1:])] or [p]))) for tau in taus.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *states], names=[*batch.schema.names, *names])
+
+    made = rows.mapInArrow(run, rows.schema.simpleString()[len("struct<") : -1].replace(":", " ") + "".join(f", `{n}` array<double>" for n in names))
+    ends = made.select(*frame, "block", F.size("v0").cast("long").alias("len"), F.array(*[F.element_at(n, -1) for n in names]).alias("carry"))
+    starts = affine_starts(ends, [math.exp(-1.0 / tau) for tau in taus.values()], start, frame)
+    flat = made.join(starts, [*frame, "block"], "left").select(*frame, "start", F.posexplode(F.arrays_zip("v0", "v1", "v2", *names)).alias("k", "s"))
+    state = [(F.col(f"s.{n}") + F.pow(F.lit(math.exp(-1.0 / tau)), F.col("k") + 1) * F.coalesce(F.col("start")[j], F.lit(float(start)))).alias(n) for j, (n, tau) in enumerate(taus.items())]
+    return flat.select(*frame, F.col("s.v0").alias("n"), F.col("s.v1").alias("i"), F.col("s.v2").alias("q"), *state)
 
 
 def _decompose(delay: float) -> tuple[int, float]:

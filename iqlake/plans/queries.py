@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from iqlake.functions import scalar as S
-from iqlake.operators import align, features, frames, metrics, models, spectral, windows
+from iqlake.operators import align, features, frames, metrics, models, solve, spectral, windows
 from iqlake.plans import cost, fits, govern, release, residual, search, select
 from iqlake.sources import io
 from iqlake.sources import views as V
@@ -373,6 +373,15 @@ def e11_welch_variant(spark, sf):
     return rounded(spectral.welch(V.iq_events(spark, sf), 800.0, 256, 192, detrend=False, periodic=False).groupBy("k", "freq").agg(F.avg("power").alias("power")))
 
 
+_ONE_DFT = IQ + ", win AS (SELECT n AS s FROM iq WHERE n % 8 = 0 AND n + 32 <= (SELECT max(n) + 1 FROM iq)), x AS (SELECT s, iq.n - s AS j, i, q FROM win JOIN (SELECT unnest(range(32)) AS d) ON true JOIN iq ON iq.n = s + d), c AS (SELECT s, j, i - avg(i) OVER (PARTITION BY s) AS a, q - avg(q) OVER (PARTITION BY s) AS b, 0.5-0.5*cos(2*pi()*j/32) AS w FROM x), f AS (SELECT s, k, sum(w*(a*cos(2*pi()*((k*j)%32)/32) + b*sin(2*pi()*((k*j)%32)/32))) AS re, sum(w*(b*cos(2*pi()*((k*j)%32)/32) - a*sin(2*pi()*((k*j)%32)/32))) AS im FROM c, (SELECT unnest(range(32)) AS k) GROUP BY s, k)"
+
+
+@query("SELECT (k + 16) % 32 AS k, " + r6("avg((re*re+im*im)/256) AS power") + " FROM f GROUP BY 1", _ONE_DFT)
+def e2_one_frame(spark, sf):
+    """Overlapping windows along a record that is one frame."""
+    return rounded(spectral.welch(whole_record(V.iq_events(spark, sf)), 32.0, 32, 24).select("k", "power"))
+
+
 # --- windows ----------------------------------------------------------------------------------------------------------
 
 
@@ -387,6 +396,18 @@ def f3_slow_envelope(spark, sf):
     return rounded(windows.slow_envelope(V.iq_events(spark, sf), 8.0, 0.5).select("n", "state"))
 
 
+def whole_record(df: DataFrame) -> DataFrame:
+    """The record as one single frame."""
+    return df.withColumn("frame", F.lit(0).cast("long")).withColumn("pos", F.col("n"))
+
+
+# What is older than 400 samples has decayed by exp(-50).
+@query("SELECT b.n, " + r6("sum(exp(-(b.n-a.n)/8.0)*(1-exp(-1/8.0))*(a.i*a.i+a.q*a.q)) + any_value(CASE WHEN b.n < 5000 THEN 0.5*exp(-(b.n+1)/8.0) ELSE 0 END) AS state") + " FROM iq b JOIN (SELECT unnest(range(400)) AS d) ON b.n >= d JOIN iq a ON a.n = b.n - d GROUP BY b.n", IQ)
+def f3_one_frame(spark, sf):
+    """A record that is one frame: blocks of 512 samples, and a scan of their maps."""
+    return rounded(windows.slow_envelopes(whole_record(V.iq_events(spark, sf)), {"state": 8.0}, 0.5, size=512).select("n", "state"))
+
+
 @query("SELECT n, " + r6("sqrt(sum(i*i+q*q) OVER (PARTITION BY frame ORDER BY n ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)/25) AS rms") + " FROM iq", IQ)
 def f5_moving_rms(spark, sf):
     return rounded(V.iq_events(spark, sf).select("n", windows.moving_rms(12).alias("rms")))
@@ -1133,6 +1154,16 @@ def m6_decision(spark, sf):
     return out.select("p_partkey", *[r.name for r in release.RULES], "passed", F.size("failed").alias("n_failed"))
 
 
+_SUMS = PAIRED + ", g AS (SELECT sum(p) AS s1, sum(p*p) AS s2, sum(p*p*p) AS s3, sum(c) AS t1, sum(d) AS u1, sum(p*c) AS t2, sum(p*d) AS u2 FROM (SELECT i*i+q*q AS p, i*yi+q*yq AS c, i*yq-q*yi AS d FROM paired))"
+
+
+@query("SELECT * FROM (SELECT 0 AS term, " + r6("(s3*t1-s2*t2)/(s1*s3-s2*s2) AS re", "(s3*u1-s2*u2)/(s1*s3-s2*s2) AS im") + " FROM g UNION ALL SELECT 1, " + r6("(s1*t2-s2*t1)/(s1*s3-s2*s2) AS re", "(s1*u2-s2*u1)/(s1*s3-s2*s2) AS im") + " FROM g)", _SUMS)
+def k2_k3_one_frame(spark, sf):
+    """A dictionary fitted to a record that is one frame, and whose target is not in its span."""
+    got = solve.fit_dictionary(whole_record(V.paired(spark, sf)), [features.Term(0, 0, 0), features.Term(2, 0, 0)])
+    return rounded(spark.createDataFrame([(k, float(c.real), float(c.imag)) for k, c in enumerate(got.coef)], "term int, re double, im double"))
+
+
 @query(ORACLE["l1_l4_chunked_outputs"])
 def l1_l6_streamed(spark, sf):
     """Frames arrive in three files, each a stretch of every frame; the sink after the last one."""

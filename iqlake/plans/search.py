@@ -2,7 +2,8 @@
 
 All topologies are subsets of one dictionary, so one R factor a frame of the whole dictionary serves every trial: a subset's
 factor is that of some of its columns, the fit on all other frames comes from the merged factor of the others, and the error
-on the frame held out is the norm of its own factor times the solution. Rows are read once, whatever the number of trials.
+on the frame held out is the norm of its own factor times the solution. Rows are read once a call of ``folds``, whatever the number of
+trials: the factors, and those without each frame's first samples, are written, and all that follows reads them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from iqlake.operators.features import Term
 from iqlake.operators.solve import _factor, _read, others, solve, term_factors
 from iqlake.plans import cost, select
 from iqlake.plans.fits import Report, fit_terms
+from iqlake.sources import io
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,9 @@ def folds(df: DataFrame, recipes: list[Recipe], ridges: list[float], warmup: int
     place = {t: k for k, t in enumerate(terms)}
     width = len(terms) + 1
     trials = [(r.name, [place[t] for t in r.terms] + [width - 1]) for r in recipes]
-    own = term_factors(df, terms, True)
-    steady = term_factors(df, terms, True, warmup).select("group", F.col("rows").alias("scored"), F.col("r").alias("steady"))
-    rest = others(own, width).select("group", F.col("rows").alias("fitted"), F.col("r").alias("rest"))
-    both = own.join(rest, "group").join(steady, "group", "left")
+    own = io.written(term_factors(df, terms, True, late=warmup), "factors")
+    rest = others(own.select("group", "rows", "r"), width).select("group", F.col("rows").alias("fitted"), F.col("r").alias("rest"))
+    both = own.join(rest, "group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

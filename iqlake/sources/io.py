@@ -191,3 +191,10 @@ def workspace(spark: SparkSession, name: str) -> str:
 
     atexit.register(drop)
     return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a workspace and read back: what several jobs read is computed once."""
+    at = workspace(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from places import SF
 from iqlake.functions import scalar as S
-from iqlake.operators import align, features, frames, metrics, models, solve, spectral, windows
+from iqlake.operators import align, blocks, features, frames, metrics, models, solve, spectral, windows
 from iqlake.plans import cost, fits, govern, release, residual, search, select
 from iqlake.sources import io, matlab, views
 from iqlake.streaming import kernels
@@ -416,6 +416,86 @@ def test_files(spark, tmp_path):
         io.publish({"t": df}, {"tables": []}, f"{d}/bundle")
 
 
+def long_frame(spark, n, parts=6):
+    """One frame of n samples, made by many tasks."""
+    u = lambda k: (F.xxhash64(F.col("id"), F.lit(k)) % 1000) / 1000.0
+    return spark.range(0, n, 1, parts).select(F.lit(0).cast("long").alias("frame"), F.col("id").alias("n"), F.col("id").alias("pos"), u(1).alias("i"), u(2).alias("q"), u(3).alias("yi"), u(4).alias("yq"))
+
+
+def columns(df, *names):
+    rows = sorted(df.select("n", *names).collect())
+    return [np.array([r[k + 1] for r in rows]) for k in range(len(names))]
+
+
+def test_slow_envelope_of_one_long_frame(spark, monkeypatch):
+    """Blocks and stretches of blocks, from a record without pos, too, and long decays over many blocks."""
+    monkeypatch.setattr(blocks, "FAN", 7)
+    df = long_frame(spark, 5000)
+    i, q = columns(df, "i", "q")
+    for tau in (3.0, 4000.0):
+        want, s = [], 0.7
+        for p in i * i + q * q:
+            s = math.exp(-1 / tau) * s + (1 - math.exp(-1 / tau)) * p
+            want.append(s)
+        for rows in (df, df.drop("pos").withColumn("n", F.col("n") * 3)):
+            got, = columns(windows.slow_envelopes(rows, {"s": tau}, 0.7, size=100), "s")
+            assert np.abs(got - want).max() < 1e-12
+    with pytest.raises(Exception, match="without gaps"):
+        windows.slow_envelopes(df.filter("n <> 2500"), {"s": 3.0}, 0.7, size=100).collect()
+
+
+def test_a_million_samples_in_one_frame(spark):
+    """No task holds the frame: the largest has a block's samples."""
+    df = long_frame(spark, 1_000_000)
+    out = windows.slow_envelope(df, 1e5, 0.0)
+    i, q = (np.array(x) for x in zip(*[(r.i, r.q) for r in df.orderBy("n").select("i", "q").toLocalIterator()]))
+    want = windows.one_pole(i * i + q * q, 1e5, 0.0)
+    for n, s in out.filter("n % 99991 = 17 or n = 999999").select("n", "state").collect():
+        assert abs(s - want[n]) < 1e-11
+    held = blocks.in_blocks(df, ["n"]).select(F.size("v0").alias("c")).collect()
+    assert len(held) == 16 and max(r.c for r in held) == blocks.SIZE
+
+
+def test_welch_of_one_long_frame(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "SIZE", 100)
+    df = long_frame(spark, 3001)
+    i, q = columns(df, "i", "q")
+    x = i + 1j * q
+    for nperseg, overlap, detrend in ((64, 48, True), (256, 100, False), (50, 0, True)):
+        hop = nperseg - overlap
+        parts = np.array([x[s : s + nperseg] for s in range(0, len(x) - nperseg + 1, hop)])
+        parts = parts - parts.mean(1, keepdims=True) if detrend else parts
+        w = spectral.hann(nperseg)
+        want = np.fft.fftshift((np.abs(np.fft.fft(parts * w, axis=1)) ** 2).mean(0)) / w.sum() ** 2
+        got = {r.k: r.power for r in spectral.welch(df, 32.0, nperseg, overlap, detrend=detrend).collect()}
+        assert np.abs(np.array([got[k] for k in range(nperseg)]) - want).max() < 1e-12
+    plan = spectral.welch(df, 32.0, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan.split("Aggregate [frame")[-1]
+
+
+def test_factors_of_one_long_frame(spark, monkeypatch):
+    """Blocks with halos, merged in two steps, give the factor of the whole frame; two factors in one pass."""
+    monkeypatch.setattr(solve, "SIZE", 90)
+    monkeypatch.setattr(solve, "STACK", 3)
+    terms = [features.Term(0, 0, 0), features.Term(2, 1, 3), features.Term(1, 7, 0), features.Term(3, 0, -2)]
+    df = long_frame(spark, 1100).union(long_frame(spark, 60).withColumn("frame", F.lit(1).cast("long")))
+    for by_frame in (True, False):
+        got = solve.term_factors(df, terms, by_frame, 0, late=13 if by_frame else None).collect()
+        grams = {}
+        for frame, n in ((0, 1100), (1, 60)):
+            i, q, yi, yq = columns(df.filter(F.col("frame") == frame), "i", "q", "yi", "yq")
+            x = i + 1j * q
+            at = lambda v, d: np.array([v[k - d] if 0 <= k - d < n else 0 for k in range(n)])  # noqa: B023, E731
+            a = np.column_stack([at(x, t.signal) * at(np.abs(x), t.envelope) ** t.exponent if t.exponent else at(x, t.signal) for t in terms] + [yi + 1j * yq])
+            grams[frame] = a.conj().T @ a, a[13:].conj().T @ a[13:]
+        gram = lambda r: (lambda m: m.conj().T @ m)(solve._read(r, 5))
+        if by_frame:
+            assert sorted((r.group, r.rows, r.scored) for r in got) == [(0, 1100, 1087), (1, 60, 47)]
+            assert all(np.allclose(gram(r.r), grams[r.group][0]) and np.allclose(gram(r.steady), grams[r.group][1]) for r in got)
+        else:
+            assert np.allclose(sum(gram(r.r) for r in got), grams[0][0] + grams[1][0]) and sum(r.rows for r in got) == 1160
+
+
 def test_release_rules(spark):
     """Each rule is true and false on its own figure, and null counts as false."""
     limits = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 4.0, "norm_ratio": 1.5, "peak_ratio": 1.0, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
