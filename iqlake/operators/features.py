@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.functions.scalar import Pair, amplitude, hat_basis, scale
+from iqlake.operators.selection import exact_quantiles
 from iqlake.operators.windows import shifted
 
 
@@ -125,7 +126,7 @@ def make_knots(df: DataFrame, count: int, strategy: str = "uniform_amplitude", b
     r = amplitude("i", "q")
     u = np.linspace(0.0, 1.0, count)
     if strategy == "quantile":
-        got = df.agg(F.percentile(r, F.array(*[F.lit(float(x)) for x in u])).alias("p")).first()["p"]
+        got = exact_quantiles(df, r, [float(x) for x in u]).first()["q"]
         knots = [0.0, *got[1:-1], got[-1]]
         if len(set(knots)) < len(knots) and not unique:
             raise ValueError("repeated quantile knots")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.functions.scalar import bin_index, power, ratio_db, rotate_to_input
+from iqlake.operators.selection import exact_quantiles
 
 EST, REF = ("yi", "yq"), ("i", "q")
 
@@ -161,17 +162,18 @@ def amplitude_regions(df: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def binned_summary(df: DataFrame, x: str, y: str, edges: list[float], least: int = 8) -> DataFrame:
-    """Exact median, p10 and p90 of y by bin of x, bins with at least ``least`` rows."""
-    p = F.percentile(y, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    got = df.withColumn("bin", bin_index(F.col(x), edges)).filter("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("count"), p.alias("p")).filter(F.col("count") >= least)
-    return got.select("bin", "count", F.col("p")[0].alias("p10"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p90"))
+    """Exact median, p10 and p90 of y by bin of x, bins with at least ``least`` rows; selected, not gathered."""
+    binned = df.withColumn("bin", bin_index(F.col(x), edges)).filter("bin is not null")
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
+    got = counts.join(exact_quantiles(binned, y, [0.1, 0.5, 0.9], ["bin"]).drop("count"), "bin", "left")
+    return got.select("bin", "count", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
 
 
 def frozen_reference(train: DataFrame, bins: int) -> DataFrame:
     """Train-only quantities that other splits reuse: amplitude quantiles, mean power, maximum, uniform edges."""
     r = F.sqrt(power("i", "q"))
-    got = train.agg(F.percentile(r, F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("p"), F.avg(power("i", "q")).alias("mean_power"), F.max(r).alias("maximum"))
-    return got.select(F.col("p")[0].alias("q90"), F.col("p")[1].alias("q95"), F.col("p")[2].alias("q99"), "mean_power", "maximum", F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: k * F.col("maximum") / bins).alias("edges"))
+    got = train.agg(F.avg(power("i", "q")).alias("mean_power"), F.max(r).alias("maximum")).crossJoin(F.broadcast(exact_quantiles(train, r, [0.9, 0.95, 0.99])))
+    return got.select(F.col("q")[0].alias("q90"), F.col("q")[1].alias("q95"), F.col("q")[2].alias("q99"), "mean_power", "maximum", F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: k * F.col("maximum") / bins).alias("edges"))
 
 
 def additive_counters(df: DataFrame, by: list[str], sums: list[str], maxima: list[str]) -> DataFrame:
@@ -180,7 +182,8 @@ def additive_counters(df: DataFrame, by: list[str], sums: list[str], maxima: lis
 
 def timing_summary(df: DataFrame, ns: str = "elapsed_ns", samples: str = "samples") -> DataFrame:
     v = F.col(ns) / F.col(samples)
-    return df.agg(F.median(v).alias("median"), F.min(v).alias("fastest"), F.max(v).alias("slowest"), (F.max(v) - F.min(v)).alias("spread"))
+    ends = df.agg(F.min(v).alias("fastest"), F.max(v).alias("slowest"), (F.max(v) - F.min(v)).alias("spread"))
+    return ends.crossJoin(F.broadcast(exact_quantiles(df, v, [0.5]))).select(F.col("q")[0].alias("median"), "fastest", "slowest", "spread")
 
 
 def rotated(df: DataFrame, floor: float = 0.0) -> DataFrame:

@@ -302,59 +302,75 @@ class Hammerstein:
     converged: bool
 
 
+def spline_moments(df: DataFrame, knots: list[float], taps: int) -> tuple[int, np.ndarray]:
+    """Rows, and R of the hat-basis features x[n] B_k(abs(x[n])), their lags up to taps - 1, and the target, in one pass over blocks of frames.
+
+    R holds all moments of lagged products, and better than their sums do. Columns are lag-major, the target last.
+    """
+    k, width = np.asarray(knots), len(knots) * taps + 1
+    rows = in_blocks(placed(df).select("frame", "pos", "i", "q", "yi", "yq"), ["i", "q", "yi", "yq"], taps - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros((0, width), complex), 0
+        for batch in batches:
+            off, values = lists(batch, 3)
+            for b, skip in enumerate(batch.column(2).to_pylist()):
+                i, q, yi, yq = (v[off[b] : off[b + 1]] for v in values)
+                x = i + 1j * q
+                r = np.abs(x)
+                at = np.clip(np.searchsorted(k, r, "right") - 1, 0, len(k) - 2)
+                w = np.clip((r - k[at]) / (k[at + 1] - k[at]), 0.0, 1.0)
+                basis = np.zeros((len(x) + taps - 1, len(k)), complex)  # nothing before a frame; a halo before other blocks
+                place = np.arange(len(x)) + taps - 1
+                basis[place, at], basis[place, at + 1] = x * (1 - w), x * w
+                for lo in range(skip, len(x), ROWS):
+                    hi = min(len(x), lo + ROWS)
+                    a = np.column_stack([*[basis[lo + taps - 1 - d : hi + taps - 1 - d] for d in range(taps)], yi[lo:hi] + 1j * yq[lo:hi]])
+                    held = _factor(np.vstack([held, a]))
+                    total += hi - lo
+        if total:
+            yield from _factor_table(0, total, held).to_batches()
+
+    return merged(rows.mapInArrow(run, FACTORS), width)
+
+
 def fit_hammerstein(df: DataFrame, knots: list[float], taps: int, ridge: float = 0.0, smooth: float = 0.0, fir_ridge: float = 0.0, most: int = 20, least: int = 2, tolerance: float = 1e-7, rise: float = 1e-9) -> Hammerstein:
     """Alternating least squares over (frame, n, i, q, yi, yq): the tail for fixed controls, then the controls for a fixed tail.
 
-    Each block is one partition-QR job over the spline features and their lags, which are written to memory and disk once.
+    The samples are read once, for ``spline_moments``; all rounds work on its R, where fixed controls or a fixed tail are sums of columns.
     Stops when a round lowers the objective by less than ``tolerance`` of it, after ``least`` rounds; a block that raises the
     objective by more than ``rise`` of it is an error.
     """
-    from iqlake.operators.features import curvature, spline_design
-    from iqlake.operators.frames import in_order
+    from iqlake.operators.features import curvature, strict_knots
 
+    knots = strict_knots(knots)
     k = len(knots)
-    zero = F.array(*[F.lit(0.0)] * (2 * k))
-    base = spline_design(df, knots, [(0, 0)], ["frame", "n", "yi", "yq"])
-    base = base.withColumns({f"phi_{d}": F.coalesce(F.lag("phi", d).over(in_order()), zero) for d in range(taps)}).drop("phi").persist()
+    rows, whole = spline_moments(df, knots, taps)
+    if rows < k and not ridge:
+        raise ValueError("fewer rows than features")
+    lagged, target = [whole[:, d * k : (d + 1) * k] for d in range(taps)], whole[:, -1]
     bend = np.sqrt(smooth) * curvature(knots)
     penalties = [bend] if smooth else None
 
-    def output(d: int, c: np.ndarray) -> tuple:
-        terms = [(F.col(f"phi_{d}")[2 * j], F.col(f"phi_{d}")[2 * j + 1], float(c[j].real), float(c[j].imag)) for j in range(k)]
-        return sum((a * x - b * y for a, b, x, y in terms), F.lit(0.0)), sum((a * y + b * x for a, b, x, y in terms), F.lit(0.0))
-
     def objective(power: float, c: np.ndarray, h: np.ndarray) -> float:
         return power + ridge * float((np.abs(c) ** 2).sum()) + float((np.abs(bend @ c) ** 2).sum()) + fir_ridge * float((np.abs(h) ** 2).sum())
 
-    try:
-        tail = np.zeros(taps - 1, complex)
-        got = fit(base.withColumn("phi", F.col("phi_0")), k, ridge, penalties)
-        coef, seen = got.coef, [objective(got.residual_power, got.coef, tail)]
-        done = taps == 1
-        for r in range(most if taps > 1 else 0):
-            before = seen[-1]
-            vi, vq = output(0, coef)
-            lagged = F.array(*[x for d in range(1, taps) for x in output(d, coef)])
-            t = base.select(lagged.alias("phi"), (F.col("yi") - vi).alias("yi"), (F.col("yq") - vq).alias("yq"))
-            got = fit(t, taps - 1, fir_ridge)
-            tail = got.coef
-            seen.append(objective(got.residual_power, coef, tail))
-            parts = []
-            for j in range(k):
-                re, im = F.col("phi_0")[2 * j], F.col("phi_0")[2 * j + 1]
-                for d, h in enumerate(tail, 1):
-                    a, b = F.col(f"phi_{d}")[2 * j], F.col(f"phi_{d}")[2 * j + 1]
-                    re, im = re + float(h.real) * a - float(h.imag) * b, im + float(h.real) * b + float(h.imag) * a
-                parts += [re, im]
-            got = fit(base.select(F.array(*parts).alias("phi"), "yi", "yq"), k, ridge, penalties)
-            coef = got.coef
-            seen.append(objective(got.residual_power, coef, tail))
-            scale = max(before, 1e-12 * seen[0], 1e-300)  # below that, rounding
-            if max(seen[-2] - before, seen[-1] - seen[-2]) > rise * scale:
-                raise ValueError("a block raised the objective")
-            if r + 1 >= least and before - seen[-1] <= tolerance * scale:
-                done = True
-                break
-        return Hammerstein(list(knots), coef, tail, seen, done)
-    finally:
-        base.unpersist()
+    tail = np.zeros(taps - 1, complex)
+    got = solve(rows, np.column_stack([lagged[0], target]), ridge, penalties)
+    coef, seen = got.coef, [objective(got.residual_power, got.coef, tail)]
+    done = taps == 1
+    for r in range(most if taps > 1 else 0):
+        before = seen[-1]
+        got = solve(rows, np.column_stack([*[x @ coef for x in lagged[1:]], target - lagged[0] @ coef]), fir_ridge)
+        tail = got.coef
+        seen.append(objective(got.residual_power, coef, tail))
+        got = solve(rows, np.column_stack([lagged[0] + sum(h * x for h, x in zip(tail, lagged[1:], strict=True)), target]), ridge, penalties)
+        coef = got.coef
+        seen.append(objective(got.residual_power, coef, tail))
+        scale = max(before, 1e-12 * seen[0], 1e-300)  # below that, rounding
+        if max(seen[-2] - before, seen[-1] - seen[-2]) > rise * scale:
+            raise ValueError("a block raised the objective")
+        if r + 1 >= least and before - seen[-1] <= tolerance * scale:
+            done = True
+            break
+    return Hammerstein(list(knots), coef, tail, seen, done)

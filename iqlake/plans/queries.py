@@ -860,6 +860,28 @@ def m15_coefficient_bytes(spark, sf):
     return spark.createDataFrame(rows, "ka int, la int, bytes long, bits int")
 
 
+_HAMMER = [0.0, 0.4, 0.8, 1.6]
+
+
+def hat_sql(r: str, j: int, knots: list[float]) -> str:
+    """Hat function j at r, the end values held beyond the knots."""
+    up = "1.0" if j == 0 else f"least(1.0, greatest(0.0, ({r} - {knots[j - 1]!r}) / {knots[j] - knots[j - 1]!r}))"
+    down = "0.0" if j == len(knots) - 1 else f"least(1.0, greatest(0.0, ({r} - {knots[j]!r}) / {knots[j + 1] - knots[j]!r}))"
+    return f"({up} - {down})"
+
+
+_FEATURES = [(f"{hat_sql(f'sqrt(i{d}*i{d}+q{d}*q{d})', j, _HAMMER)}*i{d}", f"{hat_sql(f'sqrt(i{d}*i{d}+q{d}*q{d})', j, _HAMMER)}*q{d}") for d in range(2) for j in range(4)] + [("yi", "yq")]
+_MOMENTS = PAIRED + ", lagged AS (SELECT i AS i0, q AS q0, coalesce(lag(i) OVER w, 0) AS i1, coalesce(lag(q) OVER w, 0) AS q1, yi, yq FROM paired WINDOW w AS (PARTITION BY frame ORDER BY n)), z AS (SELECT " + ", ".join(f"{a} AS a{k}, {b} AS b{k}" for k, (a, b) in enumerate(_FEATURES)) + " FROM lagged)"
+
+
+@query(" UNION ALL ".join(f"SELECT {x} AS a, {y} AS b, " + r6(f"avg(a{x}*a{y} + b{x}*b{y}) AS re", f"avg(a{x}*b{y} - b{x}*a{y}) AS im") + " FROM z" for x in range(9) for y in range(x, 9)), _MOMENTS)
+def k6_moments(spark, sf):
+    """The mean products of spline features, their lags and the target that the alternating fit works on."""
+    rows, r = solve.spline_moments(V.paired(spark, sf), _HAMMER, 2)
+    g = r.conj().T @ r / rows
+    return rounded(spark.createDataFrame([(x, y, float(g[x, y].real), float(g[x, y].imag)) for x in range(9) for y in range(x, 9)], "a int, b int, re double, im double"))
+
+
 @query()
 def k6_hammerstein_fit(spark, sf):
     from iqlake.operators.solve import fit_hammerstein

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from places import SF
 from iqlake.functions import scalar as S
-from iqlake.operators import align, blocks, features, frames, metrics, models, solve, spectral, windows
+from iqlake.operators import align, blocks, features, frames, metrics, models, selection, solve, spectral, windows
 from iqlake.plans import cost, fits, govern, release, residual, search, select
 from iqlake.sources import io, matlab, views
 from iqlake.streaming import kernels
@@ -496,6 +496,41 @@ def test_factors_of_one_long_frame(spark, monkeypatch):
             assert np.allclose(sum(gram(r.r) for r in got), grams[0][0] + grams[1][0]) and sum(r.rows for r in got) == 1160
 
 
+def test_exact_quantiles(spark):
+    """Narrowed brackets give what sorting gives: ties, outliers of all sizes, groups of unlike size, nulls, one value."""
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=3000), "b": np.r_[np.full(2000, 5.0), rng.exponential(size=900) * 10.0 ** rng.integers(-30, 30, 900)], "c": np.array([7.0]), "d": rng.integers(0, 4, 1500).astype(float)}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    p = [0.0, 0.1, 0.37, 0.5, 0.9, 0.999, 1.0]
+    for most in (1 << 16, 50):
+        got = {r.g: r for r in selection.exact_quantiles(df, "x", p, ["g"], most).collect()}
+        assert set(got) == set("abcd")
+        for k, v in data.items():
+            assert got[k]["count"] == len(v) and np.allclose(got[k].q, np.quantile(v, p), rtol=1e-12, atol=0)
+    whole = selection.exact_quantiles(df, F.col("x") * 2, [0.25], most=50).first()
+    assert whole.q[0] == pytest.approx(2 * np.quantile(np.concatenate(list(data.values())), 0.25), rel=1e-12)
+    none = selection.exact_quantiles(df.filter("g = 'e'"), "x", [0.5]).collect()
+    assert [(r["count"], r.q) for r in none] == [(0, [None])]
+
+
+def test_hammerstein_reads_once(spark):
+    """The alternating fit of a long frame is one job over its samples, in blocks."""
+    df = long_frame(spark, 3000)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("hammerstein", "fit")
+    got = solve.fit_hammerstein(df, [0.0, 0.5, 1.0, 1.5], 3, 1e-6, 0.0, 1e-6, most=6, tolerance=0.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got.objective) == 13 and all(b <= a * (1 + 1e-9) for a, b in zip(got.objective, got.objective[1:]))
+    assert len(jobs.getJobIdsForGroup("hammerstein")) <= 3  # stages of one adaptive query
+    i, q, yi, yq = columns(df, "i", "q", "yi", "yq")
+    x = i + 1j * q
+    c = np.interp(np.abs(x), [0.0, 0.5, 1.0, 1.5], got.coef) * x
+    error = c + got.tail[0] * np.r_[0, c[:-1]] + got.tail[1] * np.r_[0, 0, c[:-2]] - yi - 1j * yq
+    power = (np.abs(error) ** 2).mean() + 1e-6 * ((np.abs(got.coef) ** 2).sum() + (np.abs(got.tail) ** 2).sum())
+    assert got.objective[-1] == pytest.approx(power, rel=1e-9)
+
+
 def test_release_rules(spark):
     """Each rule is true and false on its own figure, and null counts as false."""
     limits = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 4.0, "norm_ratio": 1.5, "peak_ratio": 1.0, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
