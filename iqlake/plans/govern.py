@@ -14,8 +14,8 @@ from iqlake.operators.frames import checked_role
 from iqlake.operators.metrics import bundle, frozen_reference, ls_gain, mean_frame_nmse
 
 
-#: Hex digits of a bucket of ``content_hash``.
-DIGITS = 4
+#: Hex digits of a level of ``content_hash``, and rows that a bucket of the lowest level is meant to have.
+DIGITS, BUCKET = 3, 4096
 
 
 def row_hash(*cols: str) -> Column:
@@ -26,12 +26,18 @@ def row_hash(*cols: str) -> Column:
 def content_hash(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """One hash per group of ``keys``, the same whatever the order or partitioning of rows, repeated rows counted.
 
-    Row hashes fall by their first hex digits into ``16 ** DIGITS`` buckets; a bucket's value is the SHA-256 of its sorted
-    hashes, a group's that of its sorted (bucket, value) list, which is no longer than the number of buckets.
+    A tree: the rows' hashes fall by their first digits into buckets, DIGITS for each level, with as few levels as make the buckets of
+    all rows about BUCKET long. A bucket's value is the SHA-256 of its sorted hashes, that of a bucket above it the
+    SHA-256 of its sorted (name, value) list, up to the group's. No list is longer than 16 ** DIGITS, or a bucket.
     """
-    rows = df.withColumn("_h", row_hash(*cols)).groupBy(*keys, F.substring("_h", 1, DIGITS).alias("_b"))
-    parts = rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_v"))
-    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_b", "_v"))), ""), 256).alias("sha256"))
+    rows, levels = df.count(), 0
+    while rows > BUCKET * 16 ** (DIGITS * levels):
+        levels += 1
+    list_hash = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256).alias("_v")
+    parts = df.withColumn("_h", row_hash(*cols)).groupBy(*keys, F.substring("_h", 1, DIGITS * levels).alias("_b")).agg(list_hash("_h"))
+    for level in range(levels - 1, -1, -1):
+        parts = parts.groupBy(*keys, F.substring("_b", 1, DIGITS * level).alias("_b")).agg(list_hash(F.concat("_b", "_v")))
+    return parts.select(*keys, F.col("_v").alias("sha256"))
 
 
 def canonical_sha256(value: object) -> str:

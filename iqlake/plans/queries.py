@@ -693,7 +693,7 @@ def m8_row_hash(spark, sf):
     return V.table(spark, sf, "events").select(F.col("event_id").alias("n"), govern.row_hash("event_id", "user_id", "event_type").alias("sha256"))
 
 
-@query("SELECT event_type, sha256(string_agg(b || v, '' ORDER BY b)) AS sha256 FROM (SELECT event_type, substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS v FROM (SELECT event_type, sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR)) AS h FROM events) GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT event_type, CASE WHEN max(b) = '' THEN max(v) ELSE sha256(string_agg(b || v, '' ORDER BY b)) END AS sha256 FROM (SELECT event_type, substr(h, 1, CASE WHEN (SELECT count(*) FROM events) > 4096 THEN 3 ELSE 0 END) AS b, sha256(string_agg(h, '' ORDER BY h)) AS v FROM (SELECT event_type, sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR)) AS h FROM events) GROUP BY 1, 2) GROUP BY 1")
 def m8_content_hash(spark, sf):
     return govern.content_hash(V.table(spark, sf, "events"), ["event_type"], ["event_id", "user_id"])
 
@@ -1137,6 +1137,15 @@ def m4_search(spark, sf):
     return rounded(got.ledger.filter((F.col("recipe") == got.recipe.name) & (F.col("stage") == "topology")).select("recipe", "score_db"))
 
 
+@query("SELECT recipe, ridge, stage, " + r6("score_db AS score_db") + " FROM (SELECT recipe, score_db, unnest(['topology', 'ridge', 'ridge']) AS stage, unnest([0.0, 1e-14, 1e-13]) AS ridge FROM led)", OOF)
+def m12_resumed_search(spark, sf):
+    """A search that ended after its first stage, taken up again from its ledger; every trial is there once."""
+    at, rows = f"{io.workspace(spark, 'ledger')}/trials", V.paired(spark, sf)
+    search.Ledger(spark, at, rows, 16).trials(RECIPES, [0.0], "topology").count()
+    search.search(rows, RECIPES, 0.0, [1e-14, 1e-13], 16, 2 + 2 * 2, most=2, tolerance_db=1e9, ledger=at)
+    return spark.read.parquet(at).select("recipe", "ridge", "stage", rd("score_db").alias("score_db"))
+
+
 _LIMITS = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 40.0, "norm_ratio": 20.0, "peak_ratio": 1.3, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
 #: A part stands for a model, its order lines for the model's folds, and expressions over both for the figures.
 _MODEL = {
@@ -1186,15 +1195,49 @@ def k2_k3_one_frame(spark, sf):
     return rounded(spark.createDataFrame([(k, float(c.real), float(c.imag)) for k, c in enumerate(got.coef)], "term int, re double, im double"))
 
 
-@query(ORACLE["l1_l4_chunked_outputs"])
-def l1_l6_streamed(spark, sf):
-    """Frames arrive in three files, each a stretch of every frame; the sink after the last one."""
-    from iqlake.streaming.kernels import TermKernel, replay, stream
+def _streamed(spark, sf, kernel, name: str, ended: bool = False) -> DataFrame:  # noqa: ANN001
+    """What a stream leaves in its sink after frames have come in three stretches, each in files of some frames, restarted each time."""
+    from iqlake.streaming.kernels import replay, stream
 
-    at = io.workspace(spark, "stream")
+    at = io.workspace(spark, name)
     e = V.iq_events(spark, sf).select("frame", "n", "pos", "i", "q")
     for low, high in ((0, 37), (37, 300), (300, V.NPERSEG)):
-        e.filter((F.col("pos") >= low) & (F.col("pos") < high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-        q = stream(replay(spark, f"{at}/in", e.schema), TermKernel(models.TermModel(GMP, GMP_COEF))).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).outputMode("append").start()
-        q.awaitTermination()
-    return rounded(spark.read.parquet(f"{at}/out").select("frame", "n", "pi", "pq"))
+        e.filter((F.col("pos") >= low) & (F.col("pos") < high)).repartitionByRange(3, "frame").write.mode("append").parquet(f"{at}/in")
+        rows = stream(replay(spark, f"{at}/in", e.schema, 100), kernel, V.NPERSEG if ended else None)
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("frame", "n", "pi", "pq")
+
+
+@query(ORACLE["l1_l4_chunked_outputs"])
+def l1_l6_streamed(spark, sf):
+    from iqlake.streaming.kernels import TermKernel
+
+    return rounded(_streamed(spark, sf, TermKernel(models.TermModel(GMP, GMP_COEF)), "stream"))
+
+
+@query(ORACLE["h5_k10_spline_predict"])
+def l1_spline_streamed(spark, sf):
+    """State that goes with its frame."""
+    from iqlake.streaming.kernels import SplineKernel
+
+    got = _streamed(spark, sf, SplineKernel(models.SplineModel(KNOTS, [(0, 0)], [GAINS])), "splines", True)
+    return rounded(got.select("n", F.col("pi").alias("pi_"), F.col("pq").alias("pq_")))
+
+
+@query(ORACLE["k15_fixed_terms"])
+def l4_fixed_streamed(spark, sf):
+    from iqlake.streaming.kernels import FixedKernel
+
+    m = models.TermModel([features.Term(0, 0, 0), features.Term(2, 0, 0), features.Term(0, 1, 1)], [1 + 0j, -0.1 + 0j, 0.2 + 0j])
+    got = _streamed(spark, sf, FixedKernel(m, CFG), "codes")
+    return got.select("n", F.col("pi").cast("long").alias("oi"), F.col("pq").cast("long").alias("oq"))
+
+
+@query("SELECT n, round(p.i*(1-0.1*(p.i*p.i+p.q*p.q)) - 0.05*i + 0.02*q + 0.1*coalesce(lag(i, 2) OVER w, 0), 10) + 0.0 AS ci, round(p.q*(1-0.1*(p.i*p.i+p.q*p.q)) - 0.05*q - 0.02*i + 0.1*coalesce(lag(q, 2) OVER w, 0), 10) + 0.0 AS cq FROM iq p WINDOW w AS (PARTITION BY frame ORDER BY n)", IQ)
+def l3_corrected_streamed(spark, sf):
+    """A base prediction and its correction as one kernel."""
+    from iqlake.streaming.kernels import ChainKernel, FirKernel, TermKernel
+
+    base = TermKernel(models.TermModel([features.Term(0, 0, 0), features.Term(2, 0, 0)], [1 + 0j, -0.1 + 0j]))
+    kernel = ChainKernel(base, FirKernel(models.FirCorrection([0, 2], [-0.05 - 0.02j, 0.1 + 0j])))
+    return rounded(_streamed(spark, sf, kernel, "chain").select("n", F.col("pi").alias("ci"), F.col("pq").alias("cq")), 10)

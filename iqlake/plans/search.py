@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iqlake.operators import features
@@ -21,6 +21,7 @@ from iqlake.operators.features import Term
 from iqlake.operators.solve import _factor, _read, others, solve, term_factors
 from iqlake.plans import cost, select
 from iqlake.plans.fits import Report, fit_terms
+from iqlake.plans.govern import canonical_sha256, content_hash
 from iqlake.sources import io
 
 
@@ -91,6 +92,61 @@ def trials(scores: DataFrame, recipes: list[Recipe], stage: str) -> DataFrame:
     return rows.withColumn("valid", F.coalesce(valid, F.lit(False))).join(F.broadcast(costs), "recipe").withColumn("stage", F.lit(stage)).drop("_short")
 
 
+#: What tells a sample of a record from another, for the record's hash.
+RECORD = ["frame", "n", "i", "q", "yi", "yq"]
+
+
+class Ledger:
+    """Trials kept in a folder, so that a search that was stopped goes on where it was.
+
+    A trial's key is the hash of its recipe's terms, its ridge, and the hash of the record and warm-up it was scored on: another
+    record, or a recipe of the same name with other terms, is another trial. Trials are appended by Spark's committer, all of a call or none.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, df: DataFrame, warmup: int) -> None:
+        self.spark, self.path, self.df, self.warmup = spark, path, df, warmup
+        hashes = content_hash(df, [], RECORD).collect()
+        self.record = canonical_sha256([hashes[0]["sha256"] if hashes else "", warmup])
+
+    @staticmethod
+    def key(recipe: Recipe) -> str:
+        return canonical_sha256([[t.exponent, t.signal, t.envelope] for t in recipe.terms])
+
+    def made(self) -> DataFrame | None:
+        """This record's trials, once each."""
+        fs, at = io._path(self.spark, self.path)
+        if not fs.exists(at):
+            return None
+        rows = self.spark.read.parquet(self.path)
+        return rows.filter(F.col("record") == self.record).dropDuplicates(["recipe_key", "ridge"])
+
+    def _wanted(self, recipes: list[Recipe], ridges: list[float]) -> DataFrame:
+        return self.spark.createDataFrame([(self.key(r), r.name, float(x)) for r in recipes for x in dict.fromkeys(ridges)], "recipe_key string, recipe string, ridge double")
+
+    def kept(self, recipes: list[Recipe], ridges: list[float], stage: str) -> DataFrame:
+        """The trials of these recipes and ridges that are there now.
+
+        Spark takes two scans of a folder for one, whatever files each has listed, so results from before and after an append
+        must not meet in one plan.
+        """
+        rows = self.made().drop("recipe", "record", "stage")
+        return self._wanted(recipes, ridges).join(rows, ["recipe_key", "ridge"]).drop("recipe_key").withColumn("stage", F.lit(stage))
+
+    def trials(self, recipes: list[Recipe], ridges: list[float], stage: str) -> DataFrame:
+        """``trials`` of all recipes and ridges: those that are not there yet are made and kept."""
+        wanted = self._wanted(recipes, ridges)
+        made = self.made()
+        left = wanted if made is None else wanted.join(made, ["recipe_key", "ridge"], "left_anti")
+        todo = left.select(*wanted.columns).collect()  # of a declared budget
+        if todo:
+            names = {r["recipe"] for r in todo}
+            some = [r for r in recipes if r.name in names]
+            new = trials(folds(self.df, some, sorted({r["ridge"] for r in todo}), self.warmup), some, stage)
+            new = new.join(F.broadcast(self.spark.createDataFrame(todo, wanted.schema)), ["recipe", "ridge"])
+            new.withColumn("record", F.lit(self.record)).write.mode("append").parquet(self.path)
+        return self.kept(recipes, ridges, stage)
+
+
 @dataclass(frozen=True)
 class Search:
     ledger: DataFrame
@@ -100,20 +156,27 @@ class Search:
     report: Report
 
 
-def search(df: DataFrame, recipes: list[Recipe], base_ridge: float, ridges: list[float], warmup: int, budget: int, tolerance_db: float = 0.05, tie_db: float = 0.01, most: int = 3) -> Search:
+def search(df: DataFrame, recipes: list[Recipe], base_ridge: float, ridges: list[float], warmup: int, budget: int, tolerance_db: float = 0.05, tie_db: float = 0.01, most: int = 3, ledger: str | None = None) -> Search:
     """Two stages: topologies at ``base_ridge``, then ``ridges`` for those kept; the winner is fitted on all frames.
 
     Kept are up to ``most`` topologies within ``tolerance_db`` of the best, fewer multiplications first; of a topology's ridges
     the strongest within ``tie_db`` of its best; of those the best score, ties to fewer multiplications. ``budget`` is the
-    declared number of trials, which must be what the stages use at most. The ledger has the trials of both stages.
+    declared number of trials, which must be what the stages use at most. The ledger has the trials of both stages; with a folder
+    ``ledger`` it is kept there, and only trials that it lacks are made.
     """
     select.checked_budget(budget, len(recipes), most * len(ridges))
-    first = trials(folds(df, recipes, [base_ridge], warmup), recipes, "topology")
+    kept_in = Ledger(df.sparkSession, ledger, df, warmup) if ledger else None
+
+    def stage(some: list[Recipe], levels: list[float], name: str) -> DataFrame:
+        return kept_in.trials(some, levels, name) if kept_in else trials(folds(df, some, levels, warmup), some, name)
+
+    first = stage(recipes, [base_ridge], "topology")
     kept = [r["recipe"] for r in select.retained(first, most, tolerance_db, "mul", "score_db", "recipe").collect()]
     if not kept:
         raise ValueError("no topology has a valid fit")
     left = [r for r in recipes if r.name in kept]
-    second = trials(folds(df, left, ridges, warmup), left, "ridge")
+    second = stage(left, ridges, "ridge")
+    first = kept_in.kept(recipes, [base_ridge], "topology") if kept_in else first
     ridge = select.strongest_ridge(second, tie_db)
     top = select.best(ridge.filter("valid"), "score_db", "mul", "recipe").first()
     if top is None:

@@ -11,9 +11,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from iqlake.operators.blocks import in_blocks, lists, placed
+
 OUTPUT = "frame long, n long, pi double, pq double"
 STATE = "next long, hi array<double>, hq array<double>"
 
@@ -82,6 +85,16 @@ class HammersteinKernel:
         return v[k:] + sum((h * v[k - j : k - j + n] for j, h in enumerate(self.tail, 1)), np.zeros(n, complex))
 
 
+class ChainKernel:
+    """A base prediction and the correction added to it, from one history of inputs."""
+
+    def __init__(self, base: Kernel, correction: Kernel) -> None:
+        self.parts, self.warmup = (base, correction), max(base.warmup, correction.warmup)
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        return sum(k.run(x[self.warmup - k.warmup :]) for k in self.parts)
+
+
 class FixedKernel:
     """Integer terms on codes carried as exact doubles (below 2 ** 53); inputs are quantised on the way in."""
 
@@ -134,8 +147,12 @@ def predict_chunk(kernel: Kernel, x: np.ndarray, history: np.ndarray | None = No
     return kernel.run(both), both[len(both) - kernel.warmup :]
 
 
-def stream(df: DataFrame, kernel: Kernel) -> DataFrame:
-    """A streaming frame (frame, n, pos, i, q) through ``kernel``, state kept per frame; append mode."""
+def stream(df: DataFrame, kernel: Kernel, length: int | None = None) -> DataFrame:
+    """A streaming frame (frame, n, pos, i, q) through ``kernel``, state kept per frame; append mode.
+
+    A frame's state goes when it has its ``length`` samples, so the state of a stream without end is that of its open frames. A
+    sample for a frame that is over is an error, as it does not start at 0.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs)).sort_values("pos")
@@ -147,7 +164,10 @@ def stream(df: DataFrame, kernel: Kernel) -> DataFrame:
         if len(pos) and (pos[0] != after or (np.diff(pos) != 1).any()):
             raise ValueError(f"frame {key[0]}: expected sample {after}, got {pos[0]}..{pos[-1]}")
         y, history = predict_chunk(kernel, pdf["i"].to_numpy() + 1j * pdf["q"].to_numpy(), history)
-        state.update((int(after + len(pos)), history.real.tolist(), history.imag.tolist()))
+        if after + len(pos) == length:
+            state.remove()
+        else:
+            state.update((int(after + len(pos)), history.real.tolist(), history.imag.tolist()))
         yield pd.DataFrame({"frame": key[0], "n": pdf["n"], "pi": y.real, "pq": y.imag})
 
     return df.select("frame", "n", "pos", "i", "q").groupBy("frame").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -159,11 +179,16 @@ def replay(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:  #
 
 
 def batch_outputs(df: DataFrame, kernel: Kernel) -> DataFrame:
-    """The same kernel over whole frames, one Arrow group each."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        y, _ = predict_chunk(kernel, pdf["i"].to_numpy() + 1j * pdf["q"].to_numpy())
-        return pd.DataFrame({"frame": pdf["frame"], "n": pdf["n"], "pi": y.real, "pq": y.imag})
-
-    return df.select("frame", "n", "i", "q").groupBy("frame").applyInPandas(run, OUTPUT)
+    """The same kernel over whole frames of any length, in blocks with its history as halo."""
+    rows = in_blocks(placed(df).select("frame", "pos", "n", "i", "q"), ["n", "i", "q"], kernel.warmup)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, (n, i, q) = lists(batch, 3)
+            for b, (frame, skip) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = slice(off[b], off[b + 1])
+                x = i[own] + 1j * q[own]
+                y, _ = predict_chunk(kernel, x[skip:], np.concatenate([np.zeros(kernel.warmup - skip), x[:skip]]))
+                yield pa.RecordBatch.from_pydict({"frame": np.full(len(y), frame), "n": n[own][skip:], "pi": y.real.copy(), "pq": y.imag.copy()})
+
+    return rows.mapInArrow(run, OUTPUT)

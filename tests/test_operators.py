@@ -350,6 +350,39 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert got.keys() == want.keys() and max(abs(got[n] - want[n]) for n in want) < 1e-10
 
 
+def test_stream_state_ends_with_its_frame(spark, tmp_path):
+    """A frame that has its length leaves no state; a sample for it afterwards is an error."""
+    kernel = kernels.ChainKernel(kernels.TermKernel(MODELS[0][0]), kernels.FirKernel(models.FirCorrection([0, 3], [0.1j, 0.2])))
+    df = signal(spark, noise(300), nperseg=100).select("frame", "n", "pos", "i", "q")
+    src, ck, sink = (str(tmp_path / x) for x in ("in", "ck", "out"))
+
+    def run():
+        q = kernels.stream(kernels.replay(spark, src, df.schema, 10), kernel, 100).writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink).trigger(availableNow=True).outputMode("append").start()
+        q.awaitTermination()
+        return q
+
+    df.filter("pos < 40").write.mode("append").parquet(src)
+    assert run().lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    df.filter("pos >= 40").write.mode("append").parquet(src)
+    assert run().lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    got = {r.n: complex(r.pi, r.pq) for r in spark.read.parquet(sink).collect()}
+    want = {r.n: complex(r.pi, r.pq) for r in kernels.batch_outputs(df, kernel).collect()}
+    assert got.keys() == want.keys() and max(abs(got[n] - want[n]) for n in want) < 1e-12
+    df.filter("n = 99").write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="expected sample 0"):
+        run()
+
+
+def test_batch_kernel_of_one_long_frame(spark, monkeypatch):
+    """Blocks with the history as halo."""
+    kernel = kernels.TermKernel(MODELS[0][0])
+    df = long_frame(spark, 70_000)
+    got = {r.n: complex(r.pi, r.pq) for r in kernels.batch_outputs(df, kernel).filter("n < 40 or (n > 65500 and n < 65600) or n > 69900").collect()}
+    i, q = columns(df, "i", "q")
+    want, _ = kernels.predict_chunk(kernel, i + 1j * q)
+    assert len(got) == 40 + 99 + 99 and all(abs(v - want[n]) < 1e-12 for n, v in got.items())
+
+
 def test_role_gates_and_checks(spark):
     with pytest.raises(ValueError):
         frames.checked_role("test", "model_selection")
@@ -531,6 +564,47 @@ def test_hammerstein_reads_once(spark):
     assert got.objective[-1] == pytest.approx(power, rel=1e-9)
 
 
+def test_search_goes_on_from_its_ledger(spark, tmp_path, monkeypatch):
+    """No trial is made twice; another record, warm-up or recipe of the same name is another trial."""
+    df = long_frame(spark, 400).withColumn("frame", F.expr("n div 100")).withColumn("pos", F.expr("n % 100"))
+    recipes = [search.Recipe("a", (features.Term(0, 0, 0),), 4), search.Recipe("b", (features.Term(0, 0, 0), features.Term(2, 0, 0)), 8)]
+    asked, real = [], search.folds
+    monkeypatch.setattr(search, "folds", lambda d, r, x, w: asked.append((sorted(q.name for q in r), list(x))) or real(d, r, x, w))
+    at = str(tmp_path / "trials")
+    first = search.Ledger(spark, at, df, 5)
+    first.trials(recipes[:1], [1e-6], "topology")
+    again = {"most": 2, "tolerance_db": 1e9}
+    one = search.search(df, recipes, 1e-6, [1e-6, 1e-3], 5, 2 + 4, ledger=at, **again)
+    assert asked == [(["a"], [1e-6]), (["b"], [1e-6]), (["a", "b"], [1e-3])]
+    asked.clear()
+    two = search.search(df, recipes, 1e-6, [1e-6, 1e-3], 5, 2 + 4, ledger=at, **again)
+    plain = search.search(df, recipes, 1e-6, [1e-6, 1e-3], 5, 2 + 4, **again)
+    assert asked == [(["a", "b"], [1e-6]), (["a", "b"], [1e-6, 1e-3])]  # of the plain one
+    told = lambda s: sorted((r.recipe, r.ridge, r.stage, round(r.score_db, 9), r.mul) for r in s.ledger.collect())
+    assert told(one) == told(two) == told(plain) and one.recipe == plain.recipe and one.ridge == plain.ridge
+    assert spark.read.parquet(at).count() == 4
+    asked.clear()
+    other = search.Recipe("a", (features.Term(1, 0, 0),), 4)
+    first.trials([other], [1e-6], "topology")
+    search.Ledger(spark, at, df, 6).trials(recipes[:1], [1e-6], "topology")
+    search.Ledger(spark, at, df.filter("frame < 3"), 5).trials(recipes[:1], [1e-6], "topology")
+    assert len(asked) == 3
+
+
+def test_content_hash_tree(spark, monkeypatch):
+    """The same whatever the order and partitions; repeated rows count; a tree of several levels."""
+    monkeypatch.setattr(govern, "BUCKET", 2)
+    monkeypatch.setattr(govern, "DIGITS", 1)
+    rows = [(k % 2, k, f"v{k % 7}") for k in range(300)] + [(0, 0, "v0"), (1, None, None)]
+    df = spark.createDataFrame(rows, "g int, a int, b string")
+    got = {r.g: r.sha256 for r in govern.content_hash(df, ["g"], ["a", "b"]).collect()}
+    assert got == {r.g: r.sha256 for r in govern.content_hash(df.orderBy(F.desc("a")).repartition(7), ["g"], ["a", "b"]).collect()}
+    less = spark.createDataFrame(rows[1:], df.schema)
+    other = {r.g: r.sha256 for r in govern.content_hash(less, ["g"], ["a", "b"]).collect()}
+    assert other[0] != got[0]
+    assert len(govern.content_hash(df, [], ["g", "a", "b"]).collect()) == 1
+
+
 def test_release_rules(spark):
     """Each rule is true and false on its own figure, and null counts as false."""
     limits = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 4.0, "norm_ratio": 1.5, "peak_ratio": 1.0, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
