@@ -160,15 +160,60 @@ def freeze_fractional(delay: float, count: int = 65, beta: float = 8.6) -> Froze
     return FrozenAlignment(delay, whole, beta, tuple(taps))
 
 
+#: Taps that differ from 0 up to which a sum over them is taken instead of a transform.
+DIRECT = 32
+
+
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """sum of taps[k] x[n - (k - half)] for all n, zeros beyond x: few taps directly, many by one transform of the block."""
+    half, used = len(taps) // 2, np.flatnonzero(taps)
+    if len(used) <= DIRECT:
+        wide, out = np.concatenate([np.zeros(half), x, np.zeros(half)]), np.zeros(len(x))
+        for k in used:
+            out += taps[k] * wide[2 * half - k : 2 * half - k + len(x)]
+        return out
+    size = 1 << (len(x) + len(taps) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[half : half + len(x)]
+
+
+def block_fir(df: DataFrame, cols: list[str], taps: list[float], whole: int = 0, cropped: bool = False, keep: list[str] | None = None, size: int = SIZE) -> DataFrame:
+    """(frame, n, keep, cols) with each of ``cols`` filtered: out[n] = sum of taps[k] c[n + whole - (k - half)], zeros beyond the frame.
+
+    Overlap-save over blocks of frames of any length, a halo of half the taps and the shift on both sides, one transform a block however many
+    taps. ``cropped`` leaves out the samples whose taps, or whose shifted place, reach beyond their frame.
+    """
+    if len(taps) % 2 == 0:
+        raise ValueError("an odd number of taps is needed")
+    half, keep, weights = len(taps) // 2, keep or [], np.asarray(taps, float)
+    ahead, behind = max(0, -whole) + half, max(0, whole) + half
+    rows = in_blocks(placed(df).select("frame", "pos", "n", *keep, *cols), ["n", *keep, *cols], ahead, behind, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, values = lists(batch, 3)
+            for b, (frame, block, skip) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
+                own = [v[off[b] : off[b + 1]] for v in values]
+                held, first = len(own[0]), block * size - skip
+                lo, hi = skip, min(held, skip + size)
+                if cropped:
+                    # Beyond the halo the frame ends.
+                    lo, hi = max(lo, ahead - first), min(hi, held - behind)
+                if lo >= hi:
+                    continue
+                shown = [v[lo:hi] for v in own[: 1 + len(keep)]]
+                for v in own[1 + len(keep) :]:
+                    out = convolved(np.concatenate([np.zeros(max(0, -whole)), v, np.zeros(max(0, whole))]), weights)
+                    shown.append(out[max(0, whole) + lo : max(0, whole) + hi])
+                yield pa.RecordBatch.from_pydict({"frame": np.full(hi - lo, frame), **dict(zip(["n", *keep, *cols], shown, strict=True))})
+
+    return rows.mapInArrow(run, "frame long, n long, " + ", ".join(f"`{c}` double" for c in [*keep, *cols]))
+
+
 def align_fractionally(df: DataFrame, delay: float, count: int = 65, beta: float = 8.6) -> DataFrame:
-    """Pairs x[n] with y at n + delay per frame: whole part by lead, the rest by the FIR, then a symmetric guard is cropped."""
+    """Pairs x[n] with y at n + delay per frame: the whole part moves, the rest is the FIR, then a symmetric guard is cropped."""
     whole, taps = fractional_taps(delay, count, beta)
-    half = count // 2
-    moved = df.withColumn("ai", (F.lead("yi", whole) if whole >= 0 else F.lag("yi", -whole)).over(in_order())).withColumn("aq", (F.lead("yq", whole) if whole >= 0 else F.lag("yq", -whole)).over(in_order()))
-    moved = moved.filter(F.col("ai").isNotNull())
-    sized = moved.withColumn("at", F.row_number().over(in_order()) - 1).withColumn("len", F.count(F.lit(1)).over(in_frame()))
-    out = sized.withColumn("fi", centred_fir("ai", taps)).withColumn("fq", centred_fir("aq", taps))
-    return out.filter((F.col("at") >= half) & (F.col("at") < F.col("len") - half)).select("frame", "n", "i", "q", F.col("fi").alias("yi"), F.col("fq").alias("yq"))
+    got = block_fir(df, ["yi", "yq"], taps, whole, True, ["i", "q"])
+    return got.select("frame", "n", "i", "q", "yi", "yq")
 
 
 def windows_of(df: DataFrame, length: int, stride: int, cols: list[str]) -> DataFrame:

@@ -605,6 +605,22 @@ def test_content_hash_tree(spark, monkeypatch):
     assert len(govern.content_hash(df, [], ["g", "a", "b"]).collect()) == 1
 
 
+@pytest.mark.parametrize("count", [5, 65, 1025])
+def test_long_fir_over_blocks(spark, count):
+    """Equal to the direct sum, over block borders, shifted either way, cropped or not."""
+    df = long_frame(spark, 3000)
+    i, q, yi = columns(df, "i", "q", "yi")
+    half = count // 2
+    for delay in (0.3, -3.4, 4.0):
+        whole, taps = windows.fractional_taps(delay, count)
+        direct = np.array([sum(t * (yi[n + whole - (k - half)] if 0 <= n + whole - (k - half) < 3000 else 0.0) for k, t in enumerate(taps)) if n % 37 == 0 or n in (2999, half) else math.nan for n in range(3000)])
+        there = {r.n: r.yi for r in windows.block_fir(df, ["yi"], taps, whole, size=2100).collect()}
+        assert len(there) == 3000 and all(abs(there[n] - v) < 1e-9 for n, v in enumerate(direct) if v == v)
+        lo, hi = max(0, -whole) + half, 3000 - max(0, whole) - half
+        cut = {r.n: (r.i, r.yi) for r in windows.block_fir(df, ["yi"], taps, whole, True, ["i"], 2100).collect()}
+        assert sorted(cut) == list(range(lo, hi)) and all(cut[n][0] == i[n] and abs(cut[n][1] - there[n]) < 1e-9 for n in cut)
+
+
 def test_release_rules(spark):
     """Each rule is true and false on its own figure, and null counts as false."""
     limits = {"drift": 1e-9, "stream": 1e-12, "condition_ratio": 4.0, "norm_ratio": 1.5, "peak_ratio": 1.0, "gain_db": 0.1, "common_gain_db": 0.2, "gap_db": 0.8, "edge_db": 1.2, "mul": 900.0}
