@@ -46,8 +46,7 @@ def corpus(seed, n=60):
 EDGES = [(None, "z" * 50 + "\nq"), (None, "z" * 50), (3, "z" * 50), (3, "z" * 50), (3, "other\n" + "z" * 50), (4, "Z" * 50 + "\n"), (5, " " + "z" * 50 + "\n" + "z" * 50), (900, None), (901, ""), (902, "\n\n"), (6, "z" * 50)]
 
 
-@pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("batches", [1, 5])
+@pytest.mark.parametrize(("seed", "batches"), [(0, 1), (1, 5)])
 def test_equals_double_loop(spark, docs, seed, batches):
     pairs = corpus(seed) + EDGES
     got = line_dedup(docs(pairs), batches=batches)
