@@ -44,10 +44,15 @@ def steady(warmup: int, cooldown: int = 0) -> Column:
     return mask & (F.col("pos") < F.col("len") - cooldown) if cooldown else mask
 
 
+def scored_lengths(df: DataFrame, warmup: int) -> DataFrame:
+    """Frame lengths less ``warmup``, of every frame: 0 or less where nothing is left to score."""
+    return frame_lengths(df).withColumn("scored", F.col("len") - warmup)
+
+
 def checked_warmup(df: DataFrame, warmup: int) -> DataFrame:
     """Frame lengths, with an error if ``warmup`` leaves nothing of a frame."""
-    f = frame_lengths(df)
-    return f.withColumn("scored", F.when(F.col("len") > warmup, F.col("len") - warmup).otherwise(F.raise_error(F.lit("warm-up consumes a frame")).cast("long")))
+    f = scored_lengths(df, warmup)
+    return f.withColumn("scored", F.when(F.col("scored") > 0, F.col("scored")).otherwise(F.raise_error(F.lit("warm-up consumes a frame")).cast("long")))
 
 
 def prefix(df: DataFrame, samples: int) -> DataFrame:
