@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.llm.common import Scratch
-from iqlake.llm.textcore import Texts, blob
+from iqlake.llm.textcore import Texts, blob, tidy
 
 CHUNK, ROWS = 4 << 20, 1 << 15
 
 
-def make_chunks(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, most: int = CHUNK) -> DataFrame:
+def make_chunks(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, most: int = CHUNK, *, parts_of: int = 1) -> DataFrame:
     """Table (chunk, n_bytes, n, sizes, texts, and each other column as an array), rows of a chunk in order of id, nulls first.
 
-    A null text is empty, with size -1.
+    A null text is empty, with size -1. A chunk has one of ``parts_of`` parts of ``most`` bytes, for work that takes much memory a byte.
     """
+    most //= parts_of
     others = [f for f in df.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def make_chunks(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, mos
             yield emit()
 
     schema = "chunk long, n_bytes long, n long, sizes binary, texts binary" + "".join(f", `c_{f.name}` array<{f.dataType.simpleString()}>" for f in others)
-    return scratch.save_by(df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "chunks", "chunk")
+    return scratch.save_by(df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema), "chunks", "chunk")
 
 
 def chunk_parts(sizes: bytes, texts: bytes, n_bytes: int) -> list[memoryview]:
@@ -110,7 +111,7 @@ def chunk_rows(marked: DataFrame, like: DataFrame, text_col: str, gone: str) ->
                 yield pa.RecordBatch.from_pydict(out)
 
     kinds = ["string" if f.name == text_col else f.dataType.simpleString() for f in like.schema.fields]
-    return marked.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return marked.mapInArrow(tidy(run), ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def total_bytes(chunks: DataFrame) -> int:
@@ -142,7 +143,7 @@ def by_bucket(asked: DataFrame, buckets: int, fields: list[str], answer: Callabl
     # Buckets grow in number with the text; partitions are as many as the session shuffles into, each with a range of buckets.
     parts = min(buckets, 4 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = asked.select("bucket", "chunk", *fields).repartitionById(parts, F.expr(f"cast(bucket * {parts}L div {buckets} as int)")).sortWithinPartitions("bucket", "chunk")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def ask(asked: DataFrame, buckets: int, answer: Callable[[list[int], list[tuple]], list[np.ndarray]], fields: list[str]) -> DataFrame:

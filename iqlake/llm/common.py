@@ -32,6 +32,11 @@ def scratch_root(spark: SparkSession) -> str:
     return at or jsc.getCheckpointDir().get()
 
 
+#: How tables are written. They need their shuffle files no more; without the first these stay until the driver happens to
+#: collect garbage. Rows go to Python in batches of 4 MB: a task holds Spark's own 64 MB several times, in the JVM and in Python.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 class Scratch:
     """Written tables that cut lineage within one operator call.
 
@@ -59,8 +64,7 @@ class Scratch:
         """Writes ``df``, planned under ``conf``, and reads it back."""
         path = f"{self.root}/{name}"
         self.saved.add(name)
-        # A written table needs its shuffle files no more; without this they stay until the driver happens to collect garbage.
-        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **(conf or {})}):
+        with self.planned(WRITING | (conf or {})):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -72,7 +76,7 @@ class Scratch:
         There are as many buckets as the session has shuffle partitions, which a cluster sizes for its data.
         """
         number, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.name}_{name}"
-        with self._set({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **({"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} if sort else {})}):
+        with self.planned(WRITING | ({"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} if sort else {})):
             made = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(min(number, 100_000), key)
             (made.sortBy(key) if sort else made).saveAsTable(table)
         self.tables.append(table)
@@ -80,7 +84,8 @@ class Scratch:
         return self.spark.table(table)
 
     @contextlib.contextmanager
-    def _set(self, conf: dict[str, str]) -> Iterator[None]:
+    def planned(self, conf: dict[str, str]) -> Iterator[None]:
+        """What is planned inside is planned under ``conf``."""
         before = {k: self.spark.conf.get(k) for k in conf}
         for k, v in conf.items():
             self.spark.conf.set(k, v)

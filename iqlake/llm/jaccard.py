@@ -31,7 +31,7 @@ from iqlake.llm.chunks import ask, bounds_of, chunk_rows, chunk_texts, cut, join
 from iqlake.llm.common import Scratch, hottest, split_join
 from iqlake.llm.components import components
 from iqlake.llm.substring import _columns
-from iqlake.llm.textcore import U, Texts, mix, window_docs, windows_hash
+from iqlake.llm.textcore import U, Texts, mix, tidy, window_docs, windows_hash
 
 WIDTH, PERCENT = 5, 80
 BLOCK, FAN, BITS = 1024, 4, 1 << 15
@@ -259,7 +259,7 @@ def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int)
 
     def self_join(df: DataFrame) -> DataFrame:
         dealt = df.select("g", "block", "k", "set").repartition("g", "block").sortWithinPartitions("g", "block")
-        return dealt.mapInArrow(_tasks(own, 2), "a binary, b binary")
+        return dealt.mapInArrow(tidy(_tasks(own, 2)), "a binary, b binary")
 
     columns = ["g", "block", "k", "set"]
     stars = scratch.save(self_join(small.select(*columns).union(large.select(*columns))), "stars")
@@ -286,7 +286,7 @@ def _links(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int)
         return join_two(left, right, percent) if left and right else iter(())
 
     dealt = few.union(met).repartition("g", "block", "part").sortWithinPartitions("g", "block", "part", "side")
-    return links.union(scratch.save(dealt.mapInArrow(_tasks(across, 3), "a binary, b binary"), "across"))
+    return links.union(scratch.save(dealt.mapInArrow(tidy(_tasks(across, 3)), "a binary, b binary"), "across"))
 
 
 def _routes(nodes: DataFrame, percent: int) -> DataFrame:
@@ -354,7 +354,7 @@ def _classes(df: DataFrame, scratch: Scratch, width: int, percent: int, id_col:
         return np.split(rare[back], np.cumsum([len(r[0]) // 6 for r in rows])[:-1])
 
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
-    shared = save_answers(ask(slim.mapInArrow(asked, "bucket int, chunk long, keys binary"), buckets, how_many, ["keys"]), scratch, "shared")
+    shared = save_answers(ask(slim.mapInArrow(tidy(asked), "bucket int, chunk long, keys binary"), buckets, how_many, ["keys"]), scratch, "shared")
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +394,7 @@ def _classes(df: DataFrame, scratch: Scratch, width: int, percent: int, id_col:
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * (hi - lo), pa.int64()), "place": pa.array(range(lo, hi), pa.int32()), "id": ids.slice(lo, hi - lo), "n": pa.array(n[lo:hi], pa.int64()), "k": pa.array([x if y else None for x, y in zip(names[lo:hi], alive[lo:hi], strict=True)], pa.binary()), "prefix": pa.array(prefix[lo:hi], pa.list_(pa.int64())), "set": pa.array(sets[lo:hi], pa.binary())})
 
     told = with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes", f"c_{id_col}"), shared, "shared")
-    docs = scratch.save(told.mapInArrow(survivors, f"chunk long, place int, id {kind}, n long, k binary, prefix array<long>, set binary"), "docs")
+    docs = scratch.save(told.mapInArrow(tidy(survivors), f"chunk long, place int, id {kind}, n long, k binary, prefix array<long>, set binary"), "docs")
     scratch.drop("shared")
     # Equal sets have equal prefixes: ranks of n-grams are global. Sets themselves move only if they are in a group.
     tokens = docs.select("k", F.explode("prefix").alias("token"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iqlake.llm.common import Scratch, dense_ranks
+from iqlake.llm.textcore import tidy
 from iqlake.llm.tokens import PIECES, pieces_of
 
 MOST = 2048
@@ -69,7 +70,7 @@ def token_pieces(df: DataFrame, tokenizer: str, most: int = MOST, id_col: str =
     """The pieces (id, piece, start, length, ids_crc32, and ids if wanted) of each row: its ids and a closing 0, cut only if longer than ``most``."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = PIECES.replace("id long", f"id {kind}", 1) + (", ids binary" if with_ids else "")
-    return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(pieces_of(tokenizer, most, id_col, "_text", with_ids), schema)
+    return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(pieces_of(tokenizer, most, id_col, "_text", with_ids)), schema)
 
 
 def pack(df: DataFrame, tokenizer: str, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 
 from iqlake.llm.chunks import ask, bounds_of, chunk_parts, chunk_texts, cut, joined, make_chunks, read_answers, save_answers, total_bytes, with_answers
 from iqlake.llm.common import Scratch, need
-from iqlake.llm.textcore import U, Texts, mix, window_docs, windows_hash
+from iqlake.llm.textcore import U, Texts, mix, tidy, window_docs, windows_hash
 
 WIDTH, ROUNDS, NAMED = 20, 2, 3
 _LEFT, _RIGHT, _RUN = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 #: Bytes of text whose questions one bucket answers.
 PER_BUCKET = 24 << 20
+#: Parses and windows take some 27 bytes a byte of text: chunks of half the size.
+SMALLER = 2
 
 
 class Grammar:
@@ -143,7 +145,7 @@ def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of ``df`` with the answers that ``_removed`` needs."""
-    chunks = make_chunks(df, scratch, id_col, text_col)
+    chunks = make_chunks(df, scratch, id_col, text_col, parts_of=SMALLER)
     buckets = max(1, -(-total_bytes(chunks) // PER_BUCKET))
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
         return np.split((count[back] > 1).astype(np.uint8), np.cumsum([len(r[0]) // 6 for r in rows])[:-1])
 
     slim = chunks.select("chunk", "sizes", "texts", "n_bytes")
-    repeated = save_answers(ask(slim.mapInArrow(triples, "bucket int, chunk long, keys binary"), buckets, twice, ["keys"]), scratch, "repeated")
+    repeated = save_answers(ask(slim.mapInArrow(tidy(triples), "bucket int, chunk long, keys binary"), buckets, twice, ["keys"]), scratch, "repeated")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +190,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
         return np.split(out, np.cumsum(sizes)[:-1])
 
     asked = with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes", f"c_{id_col}"), repeated, "repeated")
-    firsts = save_answers(ask(asked.mapInArrow(windows, "bucket int, chunk long, keys binary, more binary, docs binary"), buckets, first_here, ["keys", "more", "docs"]), scratch, "firsts")
+    firsts = save_answers(ask(asked.mapInArrow(tidy(windows), "bucket int, chunk long, keys binary, more binary, docs binary"), buckets, first_here, ["keys", "more", "docs"]), scratch, "firsts")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +203,7 @@ def mark_repeats(df: DataFrame, scratch: Scratch, width: int = WIDTH, id_col: st
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "removed": pa.array([np.packbits(_covered(starts[again], width, len(t.a))).tobytes()], pa.binary())})
 
     told = with_answers(with_answers(chunks.select("chunk", "sizes", "texts", "n_bytes"), repeated, "repeated"), firsts, "firsts")
-    marks = scratch.save_by(told.mapInArrow(removed, "chunk long, removed binary"), "marks", "chunk")
+    marks = scratch.save_by(told.mapInArrow(tidy(removed), "chunk long, removed binary"), "marks", "chunk")
     scratch.drop("repeated")
     scratch.drop("firsts")
     return chunks.join(marks.hint("shuffle_hash"), "chunk")
@@ -254,7 +256,7 @@ def drop_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "kept_sha256 string" if digest else f"`{text_col}` string", "n_words long", "n_removed long"])
-    out = marked.mapInArrow(run, schema)
+    out = marked.mapInArrow(tidy(run), schema)
     if digest:
         out = scratch.keep(out)
         scratch.drop()
