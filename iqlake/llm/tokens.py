@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from iqlake.llm.textcore import Texts, distinct, ragged, slices, spans_differ
 
-#: Words kept by a worker; beyond it the memory starts anew, which costs time only.
-KEEP_WORDS = 2_000_000
+#: Words kept by a worker, some 100 bytes each; beyond it the memory starts anew, which costs time only.
+KEEP_WORDS = 1_000_000
+#: Words that the tokenizer gets at a time: it holds a string for each token.
+AT_ONCE = 1 << 15
 
 
 class WordEncoder:
@@ -44,6 +47,9 @@ class WordEncoder:
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Stores the ids of ``words``: where they begin, and how many. One text, a special token between words, is much cheaper than many texts."""
+        if len(words) > AT_ONCE:
+            got = [self._ids(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
+            return np.concatenate([lo for lo, _ in got]), np.concatenate([size for _, size in got])
         flat = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(w.decode("utf-8", "replace") for w in words)], add_special_tokens=False)[0].ids, np.uint32)
         is_mark = flat == self.mark_id
         cuts = np.concatenate([[-1], np.flatnonzero(is_mark), [len(flat)]])
@@ -115,6 +121,12 @@ class WordEncoder:
         return flat, starts
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder: the tasks that a worker runs one after another share the words that it has met."""
+    return WordEncoder(path)
+
+
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -122,7 +134,7 @@ def pieces_of(path: str, most: int, id_col: str, text_col: str, with_ids: bool =
     """For ``mapInArrow``: the pieces of each document, at most ``most`` ids each, with their ids as bytes if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch, parts in slices(batches, text_col):
             flat, starts = encoder.encode(parts)
             flat = flat.astype("<u4")
