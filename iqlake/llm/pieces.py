@@ -178,19 +178,23 @@ def _slot(e: Column, unknown: int) -> Column:
 
 def _follows(prev: Column, e: Column, near: Column, facts: Column, unknown: int) -> Column:
     """Whether edge ``e`` may follow edge ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
-    at = _end(prev)
-    right, left = F.get(facts["start"], _slot(prev, unknown)), F.get(facts["start"], _piece(e))
-    both = F.struct(at.alias("at"), (at - _size(prev)).alias("low"), _end(e).alias("high"), (right + at - 1).alias("right"), (left - at - 1).alias("left"))
+    pair = F.struct((_end(e) - _size(e)).alias("at"), prev.alias("prev"))
+
+    def placed(p: Column) -> Column:
+        # Where each side's ranks begin; what is read more than once is bound, as lambdas share no subexpressions.
+        right, left = F.get(facts["start"], _slot(p["prev"], unknown)), F.get(facts["start"], _piece(e))
+        return F.struct(p["at"].alias("at"), (p["at"] - _size(p["prev"])).alias("low"), _end(e).alias("high"), (right + p["at"] - 1).alias("right"), (left - p["at"] - 1).alias("left"))
 
     def test(x: Column) -> Column:
         def crosses(c: Column) -> Column:
-            inside = (c["i"] < x["at"]) & (c["j"] > x["at"]) & (c["i"] >= x["low"]) & (c["j"] <= x["high"])
+            # Half of the edges end before the boundary, most others begin behind it.
+            inside = (c["j"] > x["at"]) & (c["i"] < x["at"]) & (c["j"] <= x["high"]) & (c["i"] >= x["low"])
             before = c["rank"] < F.get(facts["right"], x["right"] - c["i"])
             return inside & before & (c["rank"] <= F.get(facts["left"], x["left"] + c["j"]))
 
         return ~F.exists(near, crosses)
 
-    return _bound(both, test)
+    return _bound(pair, lambda p: _bound(placed(p), test))
 
 
 def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
