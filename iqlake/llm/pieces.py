@@ -176,25 +176,46 @@ def _slot(e: Column, unknown: int) -> Column:
     return F.least(_piece(e), F.lit(unknown))
 
 
+def _from(e: Column) -> Column:
+    """Where an edge starts, plus 255: quicker than the difference of its fields."""
+    return F.shiftright(e, 32) + F.shiftright(e, 24).bitwiseAND(F.lit(255))
+
+
+def _start(e: Column) -> Column:
+    return _end(e) - _size(e)
+
+
+def _single(e: Column) -> Column:
+    """Whether an edge has one character."""
+    return e.bitwiseAND(F.lit(255 << 24)) == F.lit(254 << 24)
+
+
 def _follows(prev: Column, e: Column, near: Column, facts: Column, unknown: int) -> Column:
-    """Whether edge ``e`` may follow edge ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last."""
-    pair = F.struct((_end(e) - _size(e)).alias("at"), prev.alias("prev"))
+    """Whether edge ``e`` may follow edge ``prev``: no edge of ``near`` merges a suffix of one and a prefix of the other while both last.
 
-    def placed(p: Column) -> Column:
-        # Where each side's ranks begin; what is read more than once is bound, as lambdas share no subexpressions.
-        right, left = F.get(facts["start"], _slot(p["prev"], unknown)), F.get(facts["start"], _piece(e))
-        return F.struct(p["at"].alias("at"), (p["at"] - _size(p["prev"])).alias("low"), _end(e).alias("high"), (right + p["at"] - 1).alias("right"), (left - p["at"] - 1).alias("left"))
+    Lambdas share no subexpressions, and structs are slow to make in them. So an edge that crosses is first told by numbers: it
+    is less than ``e`` (of edges with one end the longer are the lesser), not below any that ends behind the boundary, and
+    starts before it. Only then are the edge before and ranks read.
+    """
 
-    def test(x: Column) -> Column:
-        def crosses(c: Column) -> Column:
-            # Half of the edges end before the boundary, most others begin behind it.
-            inside = (c["j"] > x["at"]) & (c["i"] < x["at"]) & (c["j"] <= x["high"]) & (c["i"] >= x["low"])
-            before = c["rank"] < F.get(facts["right"], x["right"] - c["i"])
-            return inside & before & (c["rank"] <= F.get(facts["left"], x["left"] + c["j"]))
+    def place(start: Column) -> Column:
+        at = (start - 255).cast("int")
 
-        return ~F.exists(near, crosses)
+        def test(lowest: Column) -> Column:
+            def crosses(c: Column) -> Column:
+                def both(p: Column) -> Column:
+                    right, left = F.get(facts["start"], _slot(p, unknown)), F.get(facts["start"], _piece(e))
+                    rank = F.get(facts["rank"], _piece(c))
+                    before = rank < F.get(facts["right"], right + at - 1 - _start(c))
+                    return (at - _start(c) <= _size(p)) & before & (rank <= F.get(facts["left"], left - at - 1 + _end(c)))
 
-    return _bound(pair, lambda p: _bound(placed(p), test))
+                return (c < e) & (c >= lowest) & (_from(c) < start) & F.exists(F.array(prev), both)
+
+            return ~F.exists(near, crosses)
+
+        return F.exists(F.array(F.shiftleft(start - 254, 32)), test)
+
+    return F.exists(F.array(_from(e)), place)
 
 
 def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
@@ -210,16 +231,20 @@ def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
     plain = (lambda x: x) if model.bpe else (lambda x: F.transform(x, lambda y: y["e"]))
 
     def whole(facts: Column) -> Column:
+        def merged(near: Column, base: Column | None = None) -> Callable[[Column, Column], Column]:
+            def step(tail: Column, e: Column) -> Column:
+                # Longer edges come first; if none of them passes, the single character does.
+                sure = _single(e) | (_from(e) == 255)
+                follows = _follows(F.get(tail, _start(e) if base is None else _start(e) - base), e, near, facts, unknown)
+                known = F.size(tail) > (_end(e) if base is None else _end(e) - base)
+                return F.when(known, tail).when(sure | follows, F.array_append(tail, e)).otherwise(tail)
+
+            return step
+
         def block(state: Column, b: Column) -> Column:
             base = state["base"]
 
             def relax(near: Column) -> Column:
-                def merged(tail: Column, e: Column) -> Column:
-                    # Longer edges come first; if none of them passes, the single character does.
-                    sure = (_size(e) == 1) | (_end(e) == _size(e))
-                    follows = _follows(F.get(tail, _end(e) - _size(e) - base), e, near, facts, unknown)
-                    return F.when(F.size(tail) > _end(e) - base, tail).when(sure | follows, F.array_append(tail, e)).otherwise(tail)
-
                 def scored(tail: Column, e: Column) -> Column:
                     score = F.get(tail, _end(e) - _size(e) - base)["score"] + F.get(facts["score"], _slot(e, unknown))
                     new = F.struct(e.alias("e"), score.alias("score"))
@@ -227,7 +252,7 @@ def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
                     better = score > F.get(tail, F.size(tail) - 1)["score"]
                     return F.when(~known, F.array_append(tail, new)).when(better, F.array_append(F.slice(tail, F.lit(1), F.size(tail) - 1), new)).otherwise(tail)
 
-                return F.aggregate(F.slice(edges, b * EDGES + 1, F.lit(EDGES)), state["tail"], merged if model.bpe else scored)
+                return F.aggregate(F.slice(edges, b * EDGES + 1, F.lit(EDGES)), state["tail"], merged(near, base) if model.bpe else scored)
 
             def moved(tail: Column) -> Column:
                 gone = F.greatest(F.lit(0), F.size(tail) - (longest + 1))
@@ -236,11 +261,15 @@ def fold(edges: Column, n: Column, model: Model, longest: int) -> Column:
             if not model.bpe:
                 return _bound(relax(F.lit(0)), moved)
             about = F.slice(edges, F.greatest(F.lit(1), b * EDGES + 1 - behind), F.lit(EDGES + ahead))
-            near = F.transform(F.filter(about, lambda e: _size(e) > 1), lambda e: F.struct((_end(e) - _size(e)).alias("i"), _end(e).alias("j"), F.get(facts["rank"], _piece(e)).alias("rank")))
-            return _bound(_bound(near, relax), moved)
+            return _bound(_bound(F.filter(about, lambda e: ~_single(e)), relax), moved)
 
         blocks = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / EDGES).cast("int"))
-        return F.aggregate(blocks, start, block, lambda s: F.concat(s["done"], plain(s["tail"])))
+        blocked = F.aggregate(blocks, start, block, lambda s: F.concat(s["done"], plain(s["tail"])))
+        if not model.bpe:
+            return blocked
+        # Most units are one block.
+        short = _bound(F.filter(edges, lambda e: ~_single(e)), lambda near: F.aggregate(edges, first, merged(near)))
+        return F.when(F.size(edges) <= EDGES, short).otherwise(blocked)
 
     return _bound(_bound(piece_facts(model), whole), lambda states: _path(states, n))
 
@@ -257,7 +286,10 @@ def _path(states: Column, n: Column) -> Column:
         one = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(STEPS))), F.struct(s["at"].alias("at"), empty.alias("path")), back)
         return F.when(s["at"] <= 0, s).otherwise(_bound(one, lambda x: F.struct(x["at"].alias("at"), F.concat(s["path"], x["path"]).alias("path"))))
 
-    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int")), F.struct(n.alias("at"), empty.alias("path")), some, lambda s: F.reverse(s["path"]))
+    last = F.struct(n.alias("at"), empty.alias("path"))
+    short = F.aggregate(F.sequence(F.lit(1), n), last, back, lambda s: F.reverse(s["path"]))
+    blocked = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int")), last, some, lambda s: F.reverse(s["path"]))
+    return F.when(n <= STEPS, short).otherwise(blocked)
 
 
 def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
@@ -272,10 +304,11 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
         raise ValueError("a piece is too long, or there are too many")
     ends = units.withColumn("n", F.char_length("unit")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
     spans = ends.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.col("j"), F.lit(longest)))))
-    subs = spans.select("unit", "n", "j", "size", F.substring("unit", F.col("j") - F.col("size") + 1, F.col("size")).alias("sub"))
+    # What is computed below the join is compiled, what the grouping's argument holds is not.
+    subs = spans.select("unit", "size", _edge(F.col("j"), F.col("size"), F.lit(0)).alias("place"), F.substring("unit", F.col("j") - F.col("size") + 1, F.col("size")).alias("sub"))
     found = subs.join(F.broadcast(piece_table(spark, model)), F.col("sub") == F.col("piece"), "left").filter((F.col("size") == 1) | F.col("id").isNotNull())
-    edge = _edge(F.col("j"), F.col("size"), F.coalesce("id", F.lit(UNKNOWN)))
-    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.col("place") + F.coalesce("id", F.lit(UNKNOWN))
+    grouped = found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def spelled(e: Column) -> Column:
         c = F.substring("unit", _end(e), F.lit(1))
@@ -283,7 +316,7 @@ def lattice_ids(units: DataFrame, model: Model) -> DataFrame:
         one = F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda b: F.conv(F.substring(hexed, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte) if bytes_ else F.array(F.lit(model.unknown))
         return F.when(_piece(e) != UNKNOWN, F.array(_piece(e))).otherwise(one)
 
-    path = fold(F.col("edges"), F.col("n"), model, longest)
+    path = fold(F.col("edges"), F.char_length("unit"), model, longest)
     ids = _bound(path, lambda p: F.when(F.exists(p, lambda e: _piece(e) == UNKNOWN), F.flatten(F.transform(p, spelled))).otherwise(F.transform(p, _piece)))
     return grouped.select("unit", ids.alias("ids"))
 
